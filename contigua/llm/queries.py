@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contigua.llm import bpe, simhash
+from contigua.llm import bpe, line_dedup, rules, simhash
 from contigua.llm.common import table
 
 #: Where the public tokenizer files lie; they are never copied.
@@ -18,13 +18,55 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = rules.judged(documents, rules.learned(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def queries() -> dict:
-    return {"op4_simhash": op4_simhash, "op8_bpe": op8_bpe}
+    return {
+        "op4_simhash": op4_simhash,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_bpe": op8_bpe,
+    }
+
+
+#: Lines with a word, their three-line windows, and the lines that windows after the first occurrence cover.
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, text, i - 1 AS i, string_split(text, chr(10))[i] AS x
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)
+), wordy AS (
+  SELECT doc_id, text, i, x, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS n
+  FROM lines WHERE regexp_matches(x, '[^ \t\n\x0b\x0c\r]')
+), windows AS (
+  SELECT a.doc_id, a.text, a.i AS i1, b.i AS i2, c.i AS i3, a.x AS x1, b.x AS x2, c.x AS x3
+  FROM wordy a JOIN wordy b ON b.doc_id = a.doc_id AND b.text = a.text AND b.n = a.n + 1
+  JOIN wordy c ON c.doc_id = a.doc_id AND c.text = a.text AND c.n = a.n + 2
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY x1, x2, x3 ORDER BY doc_id, i1) AS nth FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, text, unnest([i1, i2, i3]) AS i FROM placed WHERE nth > 1
+), judged AS (
+  SELECT l.doc_id, l.text, l.i, l.x, g.i IS NOT NULL AS removed, regexp_matches(l.x, '[^ \t\n\x0b\x0c\r]') AS has_word
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.text = l.text AND g.i = l.i
+)
+SELECT doc_id, CAST(count(*) FILTER (WHERE has_word) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE removed) AS BIGINT) AS n_removed,
+  coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
+FROM judged GROUP BY doc_id, judged.text
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": LINE_DEDUP_SQL}
