@@ -5,14 +5,34 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contigua.llm import bpe, line_dedup, rules, simhash
-from contigua.llm.common import table
+from contigua.llm import bpe, chat, html_text, line_dedup, rules, simhash, warc
+from contigua.llm.common import new_folder, table
 
 #: Where the public tokenizer files lie; they are never copied.
 TOKENIZERS = os.environ.get("CONTIGUA_TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    warc.written_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).cast("long")
+    stored = F.col("payload").isNotNull()
+    return found.select(
+        number("record_id").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), size=3, most=2)
     return found.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
@@ -33,12 +53,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
+        "op2_chat": op2_chat,
+        "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_bpe": op8_bpe,
+        "op10_html": op10_html,
     }
 
 
@@ -68,5 +95,39 @@ FROM judged GROUP BY doc_id, judged.text
 """
 
 
+#: Conversations as strings of their turns; the copies of one, and those that a longer one begins with, go.
+CHAT_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), so_far AS (
+  SELECT conv_id, row_number() OVER w AS place, string_agg(role || chr(1) || text, chr(2)) OVER w AS body,
+    string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '') OVER w AS shown
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), ends AS (
+  SELECT conv_id, max(place) AS n FROM so_far GROUP BY conv_id
+), whole AS (
+  SELECT s.conv_id, s.place, s.body, s.shown, count(*) OVER (PARTITION BY s.place, s.body) AS n_copies,
+    row_number() OVER (PARTITION BY s.place, s.body ORDER BY s.conv_id) AS nth
+  FROM so_far s JOIN ends e ON e.conv_id = s.conv_id AND e.n = s.place
+), inner_turns AS (
+  SELECT DISTINCT s.place, s.body FROM so_far s JOIN ends e ON e.conv_id = s.conv_id AND s.place < e.n
+)
+SELECT w.conv_id, CAST(w.place AS BIGINT) AS n_turns, CAST(w.n_copies AS BIGINT) AS n_copies, w.shown AS text
+FROM whole w ANTI JOIN inner_turns i ON i.place = w.place AND i.body = w.body WHERE w.nth = 1
+"""
+
+#: What the archives must give back, from the pages themselves.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first > page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_chat": CHAT_SQL, "op3_warc": WARC_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
