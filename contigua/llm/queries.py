@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.llm import bpe, chat, html_text, line_dedup, rules, simhash, warc
+from contigua.llm import bpe, chat, crf, html_text, line_dedup, rules, simhash, warc
 from contigua.llm.common import new_folder, table
 
 #: Where the public tokenizer files lie; they are never copied.
@@ -38,6 +38,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return crf.scored(documents, crf.fit(crf.sample(documents, table(spark, sf_dir, "labels"))))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
@@ -62,6 +67,7 @@ def queries() -> dict:
         "op2_chat": op2_chat,
         "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
+        "op5_quality_crf": op5_quality_crf,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_bpe": op8_bpe,
