@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.llm import bpe, chat, crf, html_text, line_dedup, rules, simhash, warc
+from contigua.llm import bpe, chat, crf, decontam, html_text, line_dedup, rules, simhash, warc
 from contigua.llm.common import new_folder, table
 
 #: Where the public tokenizer files lie; they are never copied.
@@ -58,6 +58,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_bpe": op8_bpe,
+        "op9_decontamination": op9_decontamination,
         "op10_html": op10_html,
     }
 
