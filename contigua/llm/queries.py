@@ -7,13 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.llm import bpe, chat, crf, decontam, html_text, line_dedup, rules, simhash, warc
+from contigua.llm import bpe, chat, crf, decontam, html_text, line_dedup, rules, simhash, suffix_dedup, warc
 from contigua.llm.common import new_folder, table
 
 #: Where the public tokenizer files lie; they are never copied.
 TOKENIZERS = os.environ.get("CONTIGUA_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_chat": op2_chat,
         "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
