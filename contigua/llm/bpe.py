@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -157,8 +158,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.withColumn(text, run(F.col(ids)))
 
 
-def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256: encodes and decodes each whole text without keeping either."""
+def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids: encodes and decodes each whole text."""
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +167,15 @@ def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
         names = [str(i) for i in range(len(bpe.strings))]
         sha = hashlib.sha256
         for b in batches:
-            n, one, two = [], [], []
+            n, one, two, kept = [], [], [], []
             for x in b.column(1):
                 ids = bpe.encode(x.as_py())
                 n.append(len(ids))
                 one.append(sha(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 two.append(sha(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept.append(np.array(ids, np.int32) if with_ids else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(kept, pa.list_(pa.int32()))], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("key", key)
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    out = out.withColumnRenamed("key", key)
+    return out if with_ids else out.drop("ids")

@@ -221,3 +221,10 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 
 def hex_fp(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, most: int = 3) -> DataFrame:
+    """The rows of df, with all columns, whose key is the smallest of its group; rows with a null key stay."""
+    groups = near_groups(df.select(key, text), key, text, size, most)
+    gone = groups.where(F.col("component_id") < F.col(key)).select(key).distinct()
+    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
