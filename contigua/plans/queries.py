@@ -1,9 +1,416 @@
-"""Registered queries of the sequence engine and their SQL counterparts."""
+"""Registered queries of the sequence engine and their SQL counterparts.
 
+No test table holds DNA, so reads are derived from orders by expressions that Spark and DuckDB share: eight overlapping reads of 64
+bases from each stretch of 128, every third one from the other strand, every eleventh with an N.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contigua.config import Config
+from contigua.functions import bloom, dna, hashing
+from contigua.operators import contigs as C
+from contigua.operators import kmers as K
+from contigua.operators import ufx as U
+from contigua.operators.storage import new_folder, written
+from contigua.sources import fastq, tables
+
+CFG = Config(q_min=19, d_min=2, k=15, min_contig_len=40)
+#: k of the queries on minimum hashes, which need 16 bases at least.
+LONG_K = 31
+BINS = 16
+
+READS_SQL = """
+  SELECT read_id,
+    CASE WHEN read_id % 11 = 0 THEN concat(substring(s1, 1, 20), 'N', substring(s1, 22)) ELSE s1 END AS seq,
+    CASE WHEN read_id % 3 = 1 THEN reverse(q0) ELSE q0 END AS qual
+  FROM (
+    SELECT read_id, q0, CASE WHEN read_id % 3 = 1 THEN reverse(translate(s0, 'ACGT', 'TGCA')) ELSE s0 END AS s1
+    FROM (
+      SELECT o_orderkey AS read_id,
+        substring(translate(concat(
+          md5(concat('a', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) AS STRING))), md5(concat('b', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) AS STRING))),
+          md5(concat('c', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) AS STRING))), md5(concat('d', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) AS STRING)))),
+          '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(1 + (o_orderkey % 8) * 8 AS INT), 64) AS s0,
+        repeat(translate(md5(concat('q', CAST(o_orderkey AS STRING))), '0123456789abcdef', 'BhhhhhhhhhhhhhhT'), 2) AS q0
+      FROM orders
+    ) AS base
+  ) AS strand
+"""
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    # written first, as a table of reads is what engines start from; else its expressions are repeated wherever a filter is pushed down
+    return written(spark.sql(READS_SQL.replace("FROM orders", "FROM {orders}"), orders=orders), "reads")
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the last SELECT of its SQL over the common tables below."""
+
+    def put(f: Query) -> Query:
+        FOUND[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = f"WITH RECURSIVE {common_sql(sql)} {sql}"
+        return f
+
+    return put
+
+
+def rc(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+
+
+_k, _q, _d = CFG.k, CFG.q_min, CFG.d_min
+_counts = ", ".join(f"count(*) FILTER (WHERE {s} = '{b}' AND {s}q > {_q}) AS {s}{b}" for s in "lr" for b in "ACGT")
+_mask = {s: " + ".join(f"CASE WHEN {s}{b} >= {_d} THEN {1 << i} ELSE 0 END" for i, b in enumerate("ACGT")) for s in "lr"}
+_letter = lambda m: f"CASE {m} WHEN 0 THEN 'X' WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'F' END"
+_quality = lambda at: f"CAST((ascii(substring(qual, {at}, 1)) - 64) & 255 AS SMALLINT)"
+
+#: Tables that the SQL of queries may name, each with those that it needs.
+COMMON = {
+    "reads": ((), READS_SQL),
+    "windows": (("reads",), f"SELECT read_id, seq, qual, CAST(p AS INT) AS pos, substring(seq, CAST(p AS INT) + 1, {_k}) AS kmer FROM reads, unnest(range(0, length(seq) - {_k} + 1)) AS t(p)"),
+    "occurrences": (
+        ("windows",),
+        f"""SELECT read_id, pos, kmer, CASE WHEN pos > 0 THEN translate(substring(seq, pos, 1), 'N', 'A') END AS l, CASE WHEN pos > 0 THEN {_quality("pos")} ELSE CAST(0 AS SMALLINT) END AS lq,
+        CASE WHEN pos + {_k} < length(seq) THEN translate(substring(seq, pos + {_k} + 1, 1), 'N', 'A') END AS r,
+        CASE WHEN pos + {_k} < length(seq) THEN {_quality(f"pos + {_k} + 1")} ELSE CAST(0 AS SMALLINT) END AS rq FROM windows WHERE instr(kmer, 'N') = 0""",
+    ),
+    "good": (("occurrences",), f"SELECT * FROM occurrences WHERE lq > {_q} OR rq > {_q}"),
+    "canon": (
+        ("good",),
+        f"""SELECT read_id, pos, least(kmer, {rc("kmer")}) AS kmer, CASE WHEN {rc("kmer")} < kmer THEN translate(r, 'ACGT', 'TGCA') ELSE l END AS l, CASE WHEN {rc("kmer")} < kmer THEN rq ELSE lq END AS lq,
+        CASE WHEN {rc("kmer")} < kmer THEN translate(l, 'ACGT', 'TGCA') ELSE r END AS r, CASE WHEN {rc("kmer")} < kmer THEN lq ELSE rq END AS rq FROM good""",
+    ),
+    "counts": (("canon",), f"SELECT kmer, {_counts} FROM canon GROUP BY kmer"),
+    "masks": (("counts",), f"SELECT kmer, CAST({_mask['l']} AS TINYINT) AS lmask, CAST({_mask['r']} AS TINYINT) AS rmask FROM counts"),
+    "ufx": (("masks",), "SELECT * FROM masks WHERE lmask > 0 OR rmask > 0"),
+    "lettered": (("ufx",), f"SELECT kmer, {_letter('lmask')} AS lext, {_letter('rmask')} AS rext FROM ufx"),
+    "strands": (("lettered",), f"SELECT kmer, lext, rext FROM lettered UNION ALL SELECT {rc('kmer')}, translate(rext, 'ACGT', 'TGCA'), translate(lext, 'ACGT', 'TGCA') FROM lettered"),
+    "nodes": (("strands",), "SELECT kmer AS u, lext AS l, rext AS r FROM strands WHERE lext IN ('A', 'C', 'G', 'T') AND rext IN ('A', 'C', 'G', 'T')"),
+    "links": (("nodes",), "SELECT a.u AS u, b.u AS v FROM nodes a JOIN nodes b ON b.u = concat(substring(a.u, 2), a.r) AND b.l = substring(a.u, 1, 1)"),
+    "walk": (
+        ("nodes", "links"),
+        """SELECT u AS head, u, u AS seq, l AS left_ext, r AS right_ext FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.v = n.u)
+        UNION ALL SELECT w.head, e.v, concat(w.seq, right(e.v, 1)), w.left_ext, n.r FROM walk w JOIN links e ON e.u = w.u JOIN nodes n ON n.u = e.v""",
+    ),
+    "walked": (("walk", "links"), "SELECT seq, left_ext, right_ext FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.u = w.u)"),
+    "contigs": (
+        ("walked",),
+        f"""SELECT seq, min(left_ext) AS left_ext, min(right_ext) AS right_ext, CAST(length(seq) AS BIGINT) AS len FROM (
+        SELECT least(seq, {rc("seq")}) AS seq, CASE WHEN {rc("seq")} < seq THEN translate(right_ext, 'ACGT', 'TGCA') ELSE left_ext END AS left_ext,
+        CASE WHEN {rc("seq")} < seq THEN translate(left_ext, 'ACGT', 'TGCA') ELSE right_ext END AS right_ext FROM walked) AS one GROUP BY seq""",
+    ),
+    "numbered": (("contigs",), "SELECT row_number() OVER (ORDER BY len DESC, seq) AS contig_id, * FROM contigs"),
+}
+
+
+def common_sql(sql: str) -> str:
+    """The common tables that a statement names, in order."""
+    import re
+
+    need: set[str] = set()
+
+    def add(name: str) -> None:
+        if name not in need:
+            need.add(name)
+            for n in COMMON[name][0]:
+                add(n)
+
+    for name in COMMON:
+        if re.search(rf"\b(?:FROM|JOIN) {name}\b", sql):
+            add(name)
+    return ", ".join(f"{n} AS ({body})" for n, (_, body) in COMMON.items() if n in need)
+
+
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return K.extract(reads(spark, d), CFG)
+
+
+def canon(spark: SparkSession, d: str) -> DataFrame:
+    return K.canonicalised(K.good_quality(occurrences(spark, d), CFG))
+
+
+def table(spark: SparkSession, d: str) -> DataFrame:
+    return U.ufx_table(reads(spark, d), CFG)
+
+
+def long_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return K.without_n(K.windows(reads(spark, d), LONG_K)).select("kmer").distinct()
+
+
+# reads and their k-mers
+
+
+@query("SELECT read_id, pos, kmer FROM windows")
+def kmer_extract(spark, d):
+    return K.windows(reads(spark, d), CFG.k).select("read_id", "pos", "kmer")
+
+
+@query("SELECT read_id, pos, kmer FROM windows WHERE instr(kmer, 'N') = 0")
+def kmer_nskip(spark, d):
+    return K.without_n(K.windows(reads(spark, d), CFG.k)).select("read_id", "pos", "kmer")
+
+
+@query("SELECT * FROM occurrences")
+def kmer_extensions(spark, d):
+    return occurrences(spark, d)
+
+
+@query(f"SELECT read_id, CAST(p AS INT) AS pos, {_quality('CAST(p AS INT)')} AS quality FROM reads, unnest(range(1, length(qual) + 1)) AS t(p)")
+def quality_decode(spark, d):
+    return K.decoded_qualities(reads(spark, d), CFG).select("read_id", F.posexplode("quals").alias("pos", "quality")).withColumn("pos", F.col("pos") + 1)
+
+
+@query("SELECT read_id, seq, qual FROM reads")
+def fastq_scan(spark, d):
+    """Writes the reads as FASTQ files and reads them by small byte ranges."""
+    path = new_folder(spark, "fastq")
+    fastq.write_fastq(reads(spark, d), path)
+    return fastq.read_fastq(spark, path, split=1 << 20).withColumn("read_id", F.col("read_id").cast("long"))
+
+
+# bases and strands
+
+
+@query(f"SELECT read_id, {rc('seq')} AS rc FROM reads")
+def revcomp(spark, d):
+    return reads(spark, d).select("read_id", dna.revcomp("seq").alias("rc"))
+
+
+@query("SELECT * FROM canon")
+def canonical_kmers(spark, d):
+    return canon(spark, d)
+
+
+@query(f"SELECT kmer <= {rc('kmer')} AS canonical, count(*) AS n FROM occurrences GROUP BY 1")
+def is_canonical(spark, d):
+    return occurrences(spark, d).groupBy(dna.is_canonical("kmer").alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT code, 3 - code AS paired, substring('ACGT', code + 1, 1) AS base, count(*) AS n
+    FROM (SELECT CAST(instr('ACGT', translate(substring(seq, CAST(p AS INT), 1), 'N', 'A')) - 1 AS INT) AS code FROM reads, unnest(range(1, length(seq) + 1)) AS t(p)) AS c GROUP BY 1, 2, 3"""
+)
+def base_codes(spark, d):
+    letters = reads(spark, d).select(F.explode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("c"))
+    codes = letters.select(dna.base_code("c").cast("int").alias("code"))
+    return codes.groupBy("code", dna.inverse_code("code").cast("int").alias("paired"), dna.code_base("code").alias("base")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT read_id, regexp_full_match(seq, '[ACGT]*') AS dna, regexp_full_match(seq, '[ACGTN]*') AS dna_or_n FROM reads")
+def alphabet_check(spark, d):
+    return reads(spark, d).select("read_id", dna.is_dna("seq").alias("dna"), dna.is_dna("seq", with_n=True).alias("dna_or_n"))
+
+
+@query(
+    """SELECT read_id, CASE WHEN substring(seq, 1, 15) < substring(seq, 2, 15) THEN -1 WHEN substring(seq, 1, 15) > substring(seq, 2, 15) THEN 1 ELSE 0 END AS three_way,
+    substring(seq, 4, 3) = 'ACG' AS at_three, instr(seq, 'ACGTA') > 0 AS holds, instr(seq, 'ACGTA') > 0 OR instr(seq, 'TACGT') > 0 AS holds_either, concat('G', substring(seq, 2)) AS with_g,
+    substring(seq, 1, 15) = 'ACGTACGTACGTACG' OR substring(seq, 1, 15) = 'CGTACGTACGTACGT' AS same_either FROM reads"""
+)
+def kmer_compare(spark, d):
+    return reads(spark, d).select(
+        "read_id",
+        dna.compare("seq", "seq", CFG.k, 0, 1).alias("three_way"),
+        dna.matches_at("seq", "ACG", 3).alias("at_three"),
+        dna.contains("seq", "ACGTA").alias("holds"),
+        dna.contains_or_revcomp("seq", "ACGTA").alias("holds_either"),
+        dna.with_base("seq", 0, "G").alias("with_g"),
+        dna.matches_or_revcomp(F.substring("seq", 1, CFG.k), "ACGTACGTACGTACG").alias("same_either"),
+    )
+
+
+# counts
+
+
+@query("SELECT * FROM good")
+def quality_filter(spark, d):
+    return K.good_quality(occurrences(spark, d), CFG)
+
+
+@query("SELECT * FROM counts")
+def extension_counts(spark, d):
+    return K.extension_counts(canon(spark, d), CFG)
+
+
+@query("SELECT * FROM masks")
+def ext_masks(spark, d):
+    return U.masks(K.extension_counts(canon(spark, d), CFG), CFG)
+
+
+@query("SELECT * FROM ufx")
+def valid_kmers(spark, d):
+    return table(spark, d)
+
+
+@query("SELECT * FROM ufx WHERE bit_count(lmask) = 1 AND bit_count(rmask) = 1")
+def uu_kmers(spark, d):
+    return U.unique_both(table(spark, d))
+
+
+@query("SELECT DISTINCT kmer FROM canon")
+def distinct_kmers(spark, d):
+    return canon(spark, d).select("kmer").distinct()
+
+
+@query("SELECT read_id, pos, kmer FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY read_id, pos) AS nth FROM canon) AS c WHERE nth > 1")
+def singleton_suppressed(spark, d):
+    return K.without_first(canon(spark, d)).select("read_id", "pos", "kmer")
+
+
+@query("SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM canon GROUP BY kmer) AS c GROUP BY n")
+def kmer_spectrum(spark, d):
+    return K.spectrum(canon(spark, d))
+
+
+# the table of unique extensions
+
+
+@query("SELECT * FROM lettered")
+def ufx_table(spark, d):
+    return U.with_letters(table(spark, d))
+
+
+@query("SELECT * FROM strands")
+def ufx_both_strands(spark, d):
+    return U.both_strands(U.with_letters(table(spark, d)))
+
+
+@query("SELECT kmer, CAST(CASE WHEN bit_count(lmask) = 1 THEN lmask ELSE 0 END AS TINYINT) AS lmask, CAST(CASE WHEN bit_count(rmask) = 1 THEN rmask ELSE 0 END AS TINYINT) AS rmask FROM ufx")
+def ufx_reload(spark, d):
+    """Writes the table as tab-separated text and reads it back."""
+    path = new_folder(spark, "ufx")
+    tables.write_ufx(table(spark, d), path)
+    return tables.read_ufx(spark, path)
+
+
+# the graph
+
+
+@query("SELECT * FROM nodes")
+def oriented_nodes(spark, d):
+    return C.oriented_nodes(table(spark, d))
+
+
+@query("SELECT * FROM links")
+def edges(spark, d):
+    return C.edges(written(C.oriented_nodes(table(spark, d)), "nodes"))
+
+
+@query("SELECT u FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.v = n.u)")
+def path_heads(spark, d):
+    nodes = written(C.oriented_nodes(table(spark, d)), "nodes")
+    return C.path_heads(nodes, C.edges(nodes))
+
+
+@query("SELECT u FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.u = n.u)")
+def path_tails(spark, d):
+    nodes = written(C.oriented_nodes(table(spark, d)), "nodes")
+    return C.path_tails(nodes, C.edges(nodes))
+
+
+# contigs
+
+
+def found_contigs(spark: SparkSession, d: str) -> DataFrame:
+    return C.contigs(written(table(spark, d), "ufx"))
+
+
+@query("SELECT seq, left_ext, right_ext, len FROM contigs")
+def contigs(spark, d):
+    return found_contigs(spark, d)
+
+
+@query(f"SELECT seq, left_ext, right_ext, len FROM contigs WHERE len >= {CFG.least_length}")
+def contigs_min_len(spark, d):
+    return C.assemble(reads(spark, d), CFG)
+
+
+@query(f"SELECT {rc('seq')} AS seq, translate(right_ext, 'ACGT', 'TGCA') AS left_ext, translate(left_ext, 'ACGT', 'TGCA') AS right_ext FROM contigs")
+def contig_exts(spark, d):
+    return C.reverse_contigs(found_contigs(spark, d))
+
+
+@query("SELECT len, count(*) AS n FROM contigs GROUP BY len")
+def contig_lengths(spark, d):
+    return found_contigs(spark, d).groupBy("len").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT seq, concat(right(seq, {_k - 1}), right_ext) AS next_kmer FROM contigs")
+def contig_ext_kmer(spark, d):
+    return found_contigs(spark, d).select("seq", C.extension_kmer("seq", "right_ext", CFG.k).alias("next_kmer"))
+
+
+@query("SELECT seq, instr(seq, 'ACGTA') > 0 AS holds, instr(seq, 'ACGTA') > 0 OR instr(seq, 'TACGT') > 0 AS holds_either FROM contigs")
+def contig_contains(spark, d):
+    return found_contigs(spark, d).select("seq", dna.contains("seq", "ACGTA").alias("holds"), dna.contains_or_revcomp("seq", "ACGTA").alias("holds_either"))
+
+
+@query("SELECT seq, left_ext, right_ext, len FROM contigs")
+def contig_join_two_level(spark, d):
+    return C.two_level(written(table(spark, d), "ufx"), F.ascii(F.substring("least", 3, 1)) + F.ascii(F.substring("least", 8, 1)), 5)
+
+
+_wrapped = "rtrim(regexp_replace(seq, '(.{%d})', '\\1' || chr(10), 'g'), chr(10))" % CFG.fasta_textwidth
+
+
+@query(f"SELECT contig_id, concat('>contig ', contig_id, ' len ', len, ' left_ext ', left_ext, ' right_ext ', right_ext, chr(10), {_wrapped}) AS value FROM numbered")
+def fasta_lines(spark, d):
+    return C.fasta(C.with_ids(found_contigs(spark, d)), CFG)
+
+
+# hashes
+
+
+_shingle = "list_reduce(list_transform(string_split(substring(kmer, CAST(i AS INT), 16), ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT)), lambda a, c: a * 4 + c)"
+_long = f"SELECT DISTINCT substring(seq, CAST(p AS INT), {LONG_K}) AS kmer FROM reads, unnest(range(1, length(seq) - {LONG_K} + 2)) AS t(p) WHERE instr(substring(seq, CAST(p AS INT), {LONG_K}), 'N') = 0"
+_min_hash = f"SELECT kmer, min(CAST((CAST({_shingle} AS HUGEINT) * {hashing.KNUTH}) % 4294967296 AS BIGINT)) AS h FROM ({_long}) AS k, unnest(range(1, {LONG_K - 16 + 2})) AS t(i) GROUP BY kmer"
+
+
+@query(_min_hash)
+def lsh_minhash(spark, d):
+    return long_kmers(spark, d).select("kmer", hashing.min_hash("kmer", LONG_K).alias("h"))
+
+
+@query(f"SELECT read_id, CAST((CAST(read_id * 7919 % 4294967296 AS HUGEINT) * {hashing.KNUTH}) % 4294967296 AS BIGINT) AS h FROM reads")
+def knuth_hash(spark, d):
+    return reads(spark, d).select("read_id", hashing.knuth_hash(F.col("read_id") * 7919 % F.lit(1 << 32)).alias("h"))
+
+
+@query(f"SELECT CAST(h % {BINS} AS INT) AS bin, count(*) AS kmers FROM ({_min_hash}) AS m GROUP BY 1")
+def kmer_bin(spark, d):
+    return long_kmers(spark, d).groupBy(hashing.kmer_bin(hashing.min_hash("kmer", LONG_K), BINS).alias("bin")).agg(F.count("*").alias("kmers"))
+
+
+@query()
+def kmer_hash_lookup3(spark, d):
+    return canon(spark, d).select("kmer").distinct().select("kmer", hashing.kmer_hash("kmer").alias("h"))
+
+
+@query()
+def bloom_membership(spark, d):
+    """How many k-mers of odd reads an exact join and a filter of those of even reads hold."""
+    rows = occurrences(spark, d).select("kmer", (F.col("read_id") % 2).alias("odd")).distinct()
+    rows = written(rows, "kmers")
+    even = rows.where("odd = 0").select("kmer")
+    f = bloom.build(even, capacity=1_000_000)
+    asked = rows.where("odd = 1").join(even.withColumn("there", F.lit(True)), "kmer", "left")
+    return asked.groupBy(F.coalesce("there", F.lit(False)).alias("there"), bloom.contains(f, "kmer").alias("maybe")).agg(F.count("*").alias("kmers"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
