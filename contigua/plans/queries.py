@@ -46,7 +46,9 @@ READS_SQL = """
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     # written first, as a table of reads is what engines start from; else its expressions are repeated wherever a filter is pushed down
-    return written(spark.sql(READS_SQL.replace("FROM orders", "FROM {orders}"), orders=orders), "reads")
+    found = spark.sql(READS_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
+    # a read becomes some fifty k-mers: few small files would leave most cores idle
+    return written(found.repartition(spark.sparkContext.defaultParallelism), "reads")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
