@@ -11,7 +11,7 @@ there. Texts are joined once with the covered places of their document.
 Defined cases: a null text has no lines and stays null; a text with fewer than three lines with a word is kept;
 lines without a word are kept; rows with a null doc_id are kept whole and count nothing; rows with equal doc_id and
 text count as one and get the same result, rows of one doc_id with different texts are ordered by the
-hash of the text. Other columns are kept; names with a leading underscore must be free.
+hash of the text. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,12 +52,17 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the text after removal, and n_lines (with a word) and n_removed."""
-    later = later_lines(df, key, text).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
-    rows = df.join(later, (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_version")), "left").drop("_doc", "_version")
-    rows = rows.withColumn("_split", _lines(F.col(text)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n")
-    n_lines = F.coalesce(F.size(F.filter(F.col("_split"), _wordy)), F.lit(0)).cast("long")
-    rows = rows.withColumns({text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left), "n_lines": n_lines, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return rows.drop("_split", "_gone")
+    """df with the text after removal, and n_lines (with a word) and n_removed, which replace columns of these names."""
+    later = later_lines(df.select(key, text), key, text)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.select(row.alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    rows = rows.join(later, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("version")), "left").withColumn("split", _lines(F.col("t")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("split"), i)), "\n")
+    found = {
+        text: F.when(F.col("gone").isNull(), F.col("t")).otherwise(left),
+        "n_lines": F.coalesce(F.size(F.filter(F.col("split"), _wordy)), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    }
+    names = [*df.columns, *(c for c in found if c not in df.columns)]
+    return rows.select(*(found[c].alias(c) if c in found else F.col(f"row.`{c}`").alias(c) for c in names))

@@ -32,6 +32,7 @@ SAMPLE = 8000
 THRESHOLDS = 64
 #: Precision on the pruning third that a rule needs.
 PRECISION = 0.8
+STATISTICS = ("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_pipes", "n_marks", "n_capitals", "n_digits")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Statistics that rules put thresholds on; none needs more than the columns of with_statistics().
@@ -90,7 +91,10 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "n_digits": _count_of("0123456789"),
         }
     )
-    return df.drop("_text", "_trim", "_words", "_lines", "_hashes", "_windows", "_sorted", "_starts")
+    df = df.drop("_text", "_trim", "_words", "_lines", "_hashes", "_windows", "_sorted", "_starts")
+    # a filter is not pushed below a column that is not deterministic: else it would be written out in terms of the text, again and again
+    marked = df.withColumn("_mark", F.monotonically_increasing_id())
+    return marked.withColumns({c: F.when(F.col("_mark") >= 0, F.col(c)) for c in STATISTICS}).drop("_mark")
 
 
 def base_failed() -> Column:
@@ -201,13 +205,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judged(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """df with the statistics, base_failed and kept."""
-    return with_statistics(df, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    """df with the statistics, base_failed and kept, which replace columns of these names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    rows = with_statistics(df.select(row, F.col(text).alias("_body")), "_body").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    new = [c for c in rows.columns if c not in ("_row", "_body")]
+    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in new), *new)
 
 
 def kept_only(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of df that the list keeps, with the columns of df."""
     keep = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
     rows = judged(df.select(keep, F.col(text).alias("_body")), rules, "_body")
-    # the condition needs a column that is not deterministic, so that it is not pushed below the statistics and written out there
-    return rows.withColumn("_mark", F.monotonically_increasing_id()).where("kept and _mark >= 0").select("_row.*")
+    return rows.where("kept").select("_row.*")

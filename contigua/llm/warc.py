@@ -9,7 +9,7 @@ Columns: record_id, record_type, target_uri, date, payload_digest (bare hex SHA-
 payload_bytes, refers_to (strings), payload (binary, null unless it was read). A revisit record has no payload of its own; its
 digest and length are those of the payload that it refers to.
 
-Predicates that are pushed down: equality and IN on record_type, record_id, target_uri, payload_digest and refers_to.
+Predicates that are pushed down: equality, IN and IS NOT NULL on record_type, record_id, target_uri, payload_digest and refers_to.
 
 Defined cases: a null or empty page has an empty payload; an empty table makes no archive and reads
 as no rows; records that end early make the reader fail. Paths are those of pyarrow's file systems (file, hdfs, s3, gs).
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -184,7 +184,7 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def parse(stream: Stream, wanted: dict[str, frozenset], with_payload: bool) -> Iterator[tuple]:
+def parse(stream: Stream, wanted: dict[str, frozenset], there: set[str], with_payload: bool) -> Iterator[tuple]:
     """Rows of the records whose headers meet the predicates."""
     while head := stream.head():
         h = fields(head)
@@ -193,7 +193,7 @@ def parse(stream: Stream, wanted: dict[str, frozenset], with_payload: bool) -> I
         digest = h.get("warc-payload-digest", "").partition(":")[2]
         row = {"record_id": strip(h.get("warc-record-id")), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "refers_to": strip(h.get("warc-refers-to"))}
         row["payload_digest"] = base64.b32decode(digest).hex() if digest else None
-        if any(row[c] not in v for c, v in wanted.items()):
+        if any(row[c] not in v for c, v in wanted.items()) or any(row[c] is None for c in there):
             stream.skip(left)
         else:
             payload, size = None, None
@@ -217,7 +217,7 @@ class Archives(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, with_payload: bool):
-        self.path, self.with_payload, self.wanted = path, with_payload, {}
+        self.path, self.with_payload, self.wanted, self.there = path, with_payload, {}, set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -225,6 +225,8 @@ class WarcReader(DataSourceReader):
             if values is not None and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
                 name = f.attribute[0]
                 self.wanted[name] = frozenset(values) & self.wanted.get(name, frozenset(values))
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
+                self.there.add(f.attribute[0])
             else:
                 yield f
 
@@ -252,7 +254,7 @@ class WarcReader(DataSourceReader):
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for name in partition.files:
             with where.open_input_file(name) as source:
-                for row in parse(Stream(source, name.endswith(".gz")), self.wanted, self.with_payload):
+                for row in parse(Stream(source, name.endswith(".gz")), self.wanted, self.there, self.with_payload):
                     rows.append(row)
                     size += 200 + len(row[-1] or b"")
                     if size >= BATCH_BYTES:
