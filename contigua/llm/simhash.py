@@ -223,8 +223,146 @@ def hex_fp(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, most: int = 3) -> DataFrame:
+# Near-duplicates by resemblance of shingle sets
+
+#: Words of a fingerprint of this kind; the first is the plain one.
+WORDS = 4
+#: Bits that a bucket's fingerprints agree on, and ways to pick them. At a resemblance of 0.8 a bit differs with a
+#: probability of 0.15, so a pair shares a bucket with one of 0.98.
+AGREE, WAYS = 16, 56
+#: Differing bits of 64 * WORDS up to which a pair surely resembles by 0.8 (three standard deviations from 0.75), and beyond which it surely does not.
+SURE, FAR = 26, 64
+#: Rows of a bucket that are compared pair by pair; larger ones are searched by the index.
+FEW = 64
+_PICKS = [np.random.default_rng(way).choice(64 * WORDS, AGREE, replace=False) for way in range(WAYS)]
+_ODD = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
+_W = [f"w{i}" for i in range(WORDS)]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    out = [fingerprint(hashes)]
+    for odd in _ODD[1:]:
+        h = hashes * odd
+        h = (h ^ h >> np.uint64(32)) * _ODD[1]
+        out.append(fingerprint(h ^ h >> np.uint64(29)))
+    return out
+
+
+def resemblance(a: bytes, b: bytes, size: int) -> float:
+    """Shared shingles of two texts as a part of all; 1 of two texts without words."""
+    x, y = (set(shingle_hashes(t, size).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _close(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+
+
+def _bucket_links(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
+    """(id, id, differing bits) of a spanning forest, nearest first, of each bucket; rows are sorted by key and Gray rank."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    found = []
+    few = np.repeat(sizes <= FEW, sizes)
+    for d in range(1, min(FEW, int(sizes[sizes <= FEW].max(initial=1)))):
+        x = np.flatnonzero((key[:-d] == key[d:]) & few[:-d])
+        if not len(x):
+            break
+        n = _close(words, x, x + d)
+        found.append(np.stack([x, x + d, n], axis=1)[n <= FAR])
+    for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        # a word's share of FAR, with a margin; what is dropped by one way comes up in others
+        for x, y in GrayIndex(words[s : s + m, 0]).pairs(FAR // 3):
+            n = _close(words, s + x, s + y)
+            keep = n <= FAR
+            pairs = np.stack([s + x, s + y, n], axis=1)[keep]
+            # of these a forest at once, so that a large group does not pile up its pairs
+            found.append(_forest(pairs, s, m))
+    return [(int(ids[x]), int(ids[y]), int(n)) for x, y, n in _forest(np.concatenate(found), 0, len(key)).tolist()] if found else []
+
+
+def _forest(pairs: np.ndarray, shift: int, size: int) -> np.ndarray:
+    forest = Forest(size)
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+    return pairs[[forest.join(x - shift, y - shift) for x, y, _ in pairs.tolist()]] if len(pairs) else pairs
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from rows (key, id, w0 ...) sorted by key and Gray rank. Buckets over BUCKET rows are taken in blocks that overlap by half."""
+    held: list[np.ndarray] = []
+
+    def result(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1 and (out := _bucket_links(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64))):
+            a, b, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "bits"])
+
+    for b in batches:
+        rows = np.concatenate([*held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        yield from result(rows[:last])
+        rows = rows[last:]
+        while len(rows) > BUCKET:
+            yield from result(rows[:BUCKET])
+            rows = rows[BUCKET // 2 :]
+        held = [rows]
+    for rows in held:
+        yield from result(rows)
+
+
+def resembling_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """key and component_id of each row with a key: links are texts whose sets of word shingles resemble each other by `least` or more.
+
+    Fingerprints of 64 * WORDS bits are merged where equal and meet in the buckets of WAYS picks of AGREE bits, dealt by ranges of (bucket,
+    Gray rank), so that a large group of near copies is many ranges. Pairs of up to SURE differing bits are links; those of up
+    to FAR are checked by their whole texts unless their documents are linked already.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = np.array([wide_fingerprint(shingle_hashes(x, size)) for x in text_bytes(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(w[:, i]) for i in range(WORDS))], ["doc", *_W])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                w = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(w.astype(">i8")).view(np.uint8).reshape(len(w), -1), axis=1)
+                powers = 1 << np.arange(AGREE, dtype=np.int64)
+                keys = np.concatenate([bits[:, pick] @ powers + (way << AGREE) for way, pick in enumerate(_PICKS)])
+                order = (gray_rank(w[:, 0].view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+                repeat = pa.array(np.tile(np.arange(len(w)), WAYS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(order, WAYS)), *(c.take(repeat) for c in b.columns)], ["bucket", "gray", "id", *_W])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [resemblance(x, y, size) >= least for x, y in zip(text_bytes(b.column(2)), text_bytes(b.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    kind = ", ".join(f"{w} long" for w in _W)
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    every = written(docs.mapInArrow(prints, f"doc long, {kind}"), "fingerprints")
+    same = written(every.groupBy(*_W).agg(F.min("doc").alias("id")), "fingerprints")
+    rows = same.select("id", *_W).mapInArrow(dealt, f"bucket long, gray long, id long, {kind}").repartitionByRange("bucket", "gray").sortWithinPartitions("bucket", "gray")
+    pairs = written(rows.select("bucket", "id", *_W).mapInArrow(_in_buckets, "a long, b long, bits int"), "links")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct(), "links")
+    sure = pairs.where(F.col("bits") <= SURE).select("a", "b")
+    roots = components(sure)
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    open_pairs = pairs.where(F.col("bits") > SURE).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_pairs = open_pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    texts = lambda side: bodies.select(F.col("doc").alias(side), F.col("text").alias(f"{side}_text"))
+    # only texts that are asked for meet
+    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    bodies = written(docs.join(asked, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    also = open_pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(checked, "a long, b long")
+    linked = components(sure.unionAll(also))
+    label = same.join(linked, F.col("id") == F.col("node"), "left").select(*_W, F.coalesce("root", "id").alias("component_id"))
+    return every.join(label, _W).select(F.col("doc").alias(key), "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df, with all columns, whose key is the smallest of its group; rows with a null key stay."""
-    groups = near_groups(df.select(key, text), key, text, size, most)
+    groups = resembling_groups(df.select(key, text), key, text, size, least)
     gone = groups.where(F.col("component_id") < F.col(key)).select(key).distinct()
     return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -216,3 +216,32 @@ def test_components(spark):
             x, y = root.setdefault(a, a), root.setdefault(b, b)
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert found == {k: v for k, v in root.items() if k != v}
+
+
+def test_resembling_groups_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(400)]
+    base = [[rng.choice(words) for _ in range(rng.randrange(30, 150))] for _ in range(12)]
+    texts = []
+    for b in base:
+        for _ in range(8):
+            w = list(b)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    texts += [None, "", "one two", "One TWO", "x"]
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    above = list(range(len(sets)))
+    for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
+        if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = above[i], above[j]
+            above = [min(a, b) if x in (a, b) else x for x in above]
+    df = documents(spark, list(enumerate(texts)) + [(None, texts[0])])
+    found = {r["doc_id"]: r["component_id"] for r in simhash.resembling_groups(df).collect()}
+    assert found == dict(enumerate(above))
+    assert simhash.one_of_each(df).where("doc_id is not null").count() == len(set(above))
+    assert simhash.resembling_groups(documents(spark, [])).count() == 0
+    key, ids = np.zeros(200, np.int64), np.arange(200)
+    w = np.zeros((200, simhash.WORDS), np.uint64)
+    w[:, 1] = np.arange(200, dtype=np.uint64) & np.uint64(3)
+    assert len(simhash._bucket_links(key, ids, w)) == 199
