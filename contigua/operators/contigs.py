@@ -47,68 +47,83 @@ def path_tails(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("u").join(links.select("u"), "u", "left_anti")
 
 
+def numbered_nodes(table: DataFrame) -> DataFrame:
+    """The oriented nodes with an id each, written, so that ids stand; rounds join on ids, which are shorter than k-mers."""
+    return written(oriented_nodes(table).withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
+def edge_ids(nodes: DataFrame) -> DataFrame:
+    """u, v: the edges as ids."""
+    ahead = nodes.select(F.col("id").alias("u"), following("u", "r").alias("next"), F.substring("u", 1, 1).alias("first"))
+    back = nodes.select(F.col("id").alias("v"), F.col("u").alias("next"), F.col("l").alias("first"))
+    return ahead.join(back, ["next", "first"]).select("u", "v")
+
+
 def _doubled(nodes: DataFrame, links: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(settled: u, head, d), (rest: u, head, d, least): the nodes of paths, and those of cycles."""
-    first = nodes.select("u").join(links.select(F.col("v").alias("u"), F.col("u").alias("before")), "u", "left")
-    state = written(
-        first.select("u", F.coalesce("before", "u").alias("head"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("d"), F.col("before").isNull().alias("done"), dna.canonical("u").alias("least")), "paths"
-    )
-    settled, rest = state.where("done"), state.where("not done")
-    scratch.append(state)
-    total = state.count()
-    done_tables, reach, open_rows = [settled], 1, rest.count()
-    # a path of n nodes settles once pointers reach n; rows that are left when they reach all nodes are on cycles
-    while open_rows and reach <= 2 * total:
-        pool = done_tables[0]
-        for t in done_tables[1:]:
-            pool = pool.unionAll(t)
-        pool = pool.select("u", "head", "d", "done", "least").unionAll(rest.select("u", "head", "d", "done", "least"))
-        to = pool.select(F.col("u").alias("head"), F.col("head").alias("head2"), F.col("d").alias("d2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
-        now = written(rest.select("u", "head", "d", "least").join(to, "head").select("u", F.col("head2").alias("head"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), F.least("least", "least2").alias("least")), "paths")
+    """(u, head, d) of the nodes (column u) on paths, and u of those on cycles."""
+    before = links.select(F.col("v").alias("u"), F.col("u").alias("before"))
+    first = nodes.select("u").join(before, "u", "left").select("u", F.coalesce("before", "u").alias("head"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("d"), F.col("before").isNull().alias("done"))
+    now = written(first, "paths")
+    scratch.append(now)
+    parts = [now.where("done")]
+    rest, was = now.where("not done"), None
+    left = rest.count()
+    # a round settles part of each path that has nodes left; where none settles, only cycles are left
+    while left and left != was:
+        pool = rest
+        for p in parts:
+            pool = pool.unionAll(p)
+        to = pool.select(F.col("u").alias("head"), F.col("head").alias("head2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
+        now = written(rest.select("u", "head", "d").join(to, "head").select("u", F.col("head2").alias("head"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done")), "paths")
         scratch.append(now)
-        done_tables.append(now.where("done"))
-        before, rest, reach = open_rows, now.where("not done"), 2 * reach
-        open_rows = rest.count()
-        if open_rows == before and reach > 2 * open_rows:
-            break  # only cycles are left, and the least of each has gone all the way round
-    out = done_tables[0].select("u", "head", "d")
-    for t in done_tables[1:]:
-        out = out.unionAll(t.select("u", "head", "d"))
-    return out, rest.select("u", "head", "d", "least")
+        parts.append(now.where("done"))
+        rest, was = now.where("not done"), left
+        left = rest.count()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("u", "head", "d"), rest.select("u")
+
+
+def _starts(cycles: DataFrame, links: DataFrame, kmers_of: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """u of the node of each cycle that is the smallest canonical k-mer on it; a cycle without it, a mirror image, has none."""
+    now = written(cycles.join(kmers_of, "u").join(links, "u").select("u", F.col("v").alias("to"), dna.canonical("kmer").alias("least"), "kmer"), "cycles")
+    scratch.append(now)
+    n, reach = now.count(), 1
+    while reach < n:
+        to = now.select(F.col("u").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        now = written(now.join(to, "to").select("u", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), "kmer"), "cycles")
+        scratch.append(now)
+        reach *= 2
+    return now.where("kmer = least").select("u")
 
 
 def labelled(nodes: DataFrame, links: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """u, head, d, cyclic: the first node of each node's path and the steps from it.
+    """u, head, d, cyclic, as ids: the first node of each node's path and the steps from it; nodes: id and the k-mer u.
 
     A cycle starts at the smallest canonical k-mer on it; its mirror image, which does not hold that k-mer as it is, goes.
     """
-    settled, cycles = _doubled(nodes, links, scratch)
+    settled, cycles = _doubled(nodes.select(F.col("id").alias("u")), links, scratch)
     out = settled.withColumn("cyclic", F.lit(False))
     if cycles.isEmpty():
         return out
-    start = cycles.where("u = least").select("u")
-    opened = written(links.join(cycles.select("u"), "u").join(start.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"), "cycles")
+    start = _starts(cycles, links, nodes.select(F.col("id").alias("u"), F.col("u").alias("kmer")), scratch)
+    opened = written(links.join(cycles, "u").join(start.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"), "cycles")
     scratch.append(opened)
-    again, _ = _doubled(cycles.select("u"), opened, scratch)
-    # of paths that the cut made, those that begin at the least k-mer; mirror cycles were not cut and stay unsettled
+    again, _ = _doubled(cycles, opened, scratch)
     return out.unionAll(again.join(start.select(F.col("u").alias("head")), "head", "left_semi").select("u", "head", "d", F.lit(True).alias("cyclic")))
 
 
 def joined(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """seq, left_ext, right_ext of each path, in the orientation that was walked."""
-    rows = labels.join(nodes, "u")
-    last = F.max_by(F.struct("u", "r"), "d")
-    first = F.min_by(F.struct("u", "l"), "d")
+    rows = labels.select(F.col("u").alias("id"), "head", "d", "cyclic").join(nodes, "id")
     each = F.array_sort(F.collect_list(F.struct("d", F.right("u", F.lit(1)).alias("b"))))
-    paths = rows.groupBy("head").agg(each.alias("each"), first.alias("first"), last.alias("last"), F.bool_or("cyclic").alias("cyclic"))
-    tail = F.array_join(F.transform("each", lambda s: s["b"]), "")
-    seq = F.concat(F.expr("substring(head, 1, length(head) - 1)"), tail)
+    paths = rows.groupBy("head").agg(each.alias("each"), F.min_by(F.struct("u", "l", "r"), "d").alias("first"), F.max_by("r", "d").alias("last"), F.bool_or("cyclic").alias("cyclic"))
     # a cycle ends with the node it began with
-    seq = F.when(F.col("cyclic"), F.concat(seq, F.right("head", F.lit(1)))).otherwise(seq)
-    first_right = F.min_by("r", "d")
-    turned = rows.where("cyclic").groupBy("head").agg(first_right.alias("turn"))
-    paths = paths.join(turned, "head", "left")
-    return paths.select(seq.alias("seq"), F.col("first.l").alias("left_ext"), F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("last.r")).alias("right_ext"))
+    tail = F.array_join(F.transform("each", lambda s: s["b"]), "")
+    tail = F.when(F.col("cyclic"), F.concat(tail, F.right("first.u", F.lit(1)))).otherwise(tail)
+    seq = F.concat(F.expr("substring(first.u, 1, length(first.u) - 1)"), tail)
+    return paths.select(seq.alias("seq"), F.col("first.l").alias("left_ext"), F.when(F.col("cyclic"), F.col("first.r")).otherwise(F.col("last")).alias("right_ext"))
 
 
 def reverse_contigs(contigs: DataFrame) -> DataFrame:
@@ -126,8 +141,8 @@ def one_strand(walked: DataFrame) -> DataFrame:
 
 def contigs(table: DataFrame) -> DataFrame:
     """seq, left_ext, right_ext, len of the maximal unbranched paths of a UFX table (kmer, lmask, rmask)."""
-    nodes = written(oriented_nodes(table), "nodes")
-    links = written(edges(nodes), "edges")
+    nodes = numbered_nodes(table)
+    links = written(edge_ids(nodes), "edges")
     scratch = [nodes, links]
     out = written(one_strand(joined(nodes, labelled(nodes, links, scratch))), "contigs")
     discard(*scratch)
@@ -142,12 +157,14 @@ def two_level(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
     """
     scratch: list[DataFrame] = []
     keep = lambda df, what: scratch.append(written(df, what)) or scratch[-1]
-    nodes = keep(oriented_nodes(table), "nodes")
-    links = keep(edges(nodes), "edges")
-    binned = lambda c: nodes.select(F.col("u").alias(c), dna.canonical("u").alias("least")).select(c, F.pmod(bin_of, F.lit(bins)).alias(f"{c}_bin"))
+    nodes = numbered_nodes(table)
+    scratch.append(nodes)
+    links = keep(edge_ids(nodes), "edges")
+    ids = nodes.select(F.col("id").alias("u"))
+    binned = lambda c: nodes.select(F.col("id").alias(c), dna.canonical("u").alias("least")).select(c, F.pmod(bin_of, F.lit(bins)).alias(f"{c}_bin"))
     known = keep(links.join(binned("u"), "u").join(binned("v"), "v"), "edges")
     inside, across = (known.where(c).select("u", "v") for c in ("u_bin = v_bin", "u_bin <> v_bin"))
-    local, cycles = _doubled(nodes, inside, scratch)
+    local, cycles = _doubled(ids, inside, scratch)
     local = keep(local, "paths")
     ends = keep(local.groupBy("head").agg(F.max_by("u", "d").alias("tail")), "paths")
     upper_links = across.join(ends.select(F.col("tail").alias("u"), F.col("head").alias("from")), "u").join(ends.select(F.col("head").alias("v")), "v")
@@ -156,9 +173,10 @@ def two_level(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
     pieces = local.select("u", F.col("head").alias("piece"), F.col("d").alias("step"))
     # pieces before, and steps within the piece, in one number
     labels = pieces.join(order, "piece").select("u", F.col("top").alias("head"), (F.col("nth") * F.lit(1 << 31) + F.col("step")).alias("d"), F.lit(False).alias("cyclic"))
-    round_ones = keep(cycles.select("u").unionAll(pieces.join(upper_cycles.select(F.col("u").alias("piece")), "piece", "left_semi").select("u")), "cycles")
+    round_ones = keep(cycles.unionAll(pieces.join(upper_cycles.select(F.col("u").alias("piece")), "piece", "left_semi").select("u")), "cycles")
     if not round_ones.isEmpty():
-        labels = labels.unionAll(labelled(round_ones, links.join(round_ones, "u", "left_semi"), scratch))
+        circle = nodes.join(round_ones.select(F.col("u").alias("id")), "id", "left_semi")
+        labels = labels.unionAll(labelled(circle, links.join(round_ones, "u", "left_semi"), scratch))
     out = written(one_strand(joined(nodes, labels)), "contigs")
     discard(*scratch)
     return out
