@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, on one machine, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/contigua-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
