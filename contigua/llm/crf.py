@@ -6,7 +6,8 @@ fitted by gradient ascent on its likelihood with the labels of documents as labe
 marginals of the lines, weighted by length, add up to the share of good text, which a logistic curve
 fitted on the same rows turns into the score. Labels, lang, source and doc_id are no inputs of a score.
 
-It is fitted on at most SAMPLE labelled documents, those with the smallest hashes of doc_id whose crc32 mod 5 is not 0;
+It is fitted on at most SAMPLE labelled documents, those with the smallest hashes of doc_id whose crc32 mod 5 is not 0, without texts of
+over SAMPLE_CHARS characters;
 the parameters (a few hundred numbers) go to the tasks with the function. Scoring is a map: no shuffle.
 
 Defined cases: null and empty texts are one empty line; a line without a word has the shape of zeros; rows are scored one by
@@ -30,6 +31,8 @@ from contigua.llm.common import text_bytes
 
 #: Labelled documents that the field is fitted on at most.
 SAMPLE = 4000
+#: Longest text, in characters, that the field is fitted on: the sample meets on the driver. Scores take texts of any length.
+SAMPLE_CHARS = 100_000
 ROUNDS = 150
 RATE = 0.1
 DECAY = 1e-4
@@ -227,7 +230,8 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[
     """(quality, text) of at most `most` labelled documents that are not held out; the labels' side of the join is bounded by it."""
     chosen = labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").collect()
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
     return [(r["quality"], (r["text"] or "").encode()) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
