@@ -107,6 +107,33 @@ def _zones(data: bytes, shift: int, length: int, core: int) -> tuple[np.ndarray,
     return first + shift, x - first, last - first, h[x].view(np.int64), whole.view(np.int64)
 
 
+def once_each(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """first, shape, core, whole and times of the different zones of a text.
+
+    A text that repeats a word over and over has one zone again and again: it is passed on once, with times 2, and its
+    starts, merged, as rows of times 0, from first to whole.
+    """
+    first, before, span, h, whole = (np.asarray(x, np.int64) for x in found)
+    shape = before * 1024 + span
+    order = np.lexsort((first, shape, whole, h))
+    new = np.ones(len(first), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (shape, whole, h)], axis=0)
+    if new.all():
+        return first, shape, h, whole, np.ones(len(first), np.int64)
+    group = np.cumsum(new) - 1
+    many = np.bincount(group) > 1
+    times = np.where(many, 2, 1)
+    again = order[many[group]]
+    low = np.sort(first[again])
+    high = (first + span)[again][np.argsort(first[again], kind="stable")]
+    cut = np.r_[True, low[1:] > high[:-1] + 1]
+    runs = np.flatnonzero(cut)
+    ends = np.r_[runs[1:], len(low)] - 1
+    kept = order[new]
+    zero = np.zeros(len(runs), np.int64)
+    return tuple(np.concatenate(x) for x in ((first[kept], low[runs]), (shape[kept], zero), (h[kept], zero), (whole[kept], high[ends]), (times, zero)))
+
+
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     """Length of the common prefix, known to be at least `at`."""
     most = min(len(a), len(b))
@@ -338,18 +365,18 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, core: int = CORE, gr
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [zones(t, length, core) for t in text_bytes(b.column(2))]
-            row = np.repeat(np.arange(b.num_rows), [len(z[0]) for z in found])
-            first, before, span, h, whole = (np.concatenate(x) for x in zip(*found, strict=True))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first.astype(np.int64)), pa.array((before * 1024 + span).astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(whole.astype(np.int64))], ["doc", "version", "first", "shape", "core", "whole"])
-
-    every = written(texts.select("doc", "version", "text").mapInArrow(find, f"doc {kind}, version long, first long, shape int, core long, whole long"), "zones")
-    same = written(every.groupBy("core", "whole", "shape").agg(F.count("*").alias("n"), F.min(F.struct("doc", "version", "first")).alias("one")), "zones")
+            found = [once_each(zones(t, length, core)) for t in text_bytes(b.column(2))]
+            take = pa.array(np.repeat(np.arange(b.num_rows), [len(z[0]) for z in found]))
+            first, shape, h, whole, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first), pa.array(shape.astype(np.int32)), pa.array(h), pa.array(whole), pa.array(times.astype(np.int32))], ["doc", "version", "first", "shape", "core", "whole", "times"])
+
+    found = written(texts.select("doc", "version", "text").mapInArrow(find, f"doc {kind}, version long, first long, shape int, core long, whole long, times int"), "zones")
+    every = found.where("times > 0")
+    same = written(every.groupBy("core", "whole", "shape").agg(F.sum("times").alias("n"), F.min(F.struct("doc", "version", "first")).alias("one")), "zones")
     cores = same.groupBy("core").agg(F.count("*").alias("strings"), F.min("n").alias("least")).where("strings > 1 and least = 1")
     open_zones = written(same.join(cores, "core"), "zones")
-    parts = []
-    # zones that occur again as a whole
+    # starts that repeat within a text, and zones that occur again as a whole
+    parts = [found.where("times = 0").select("doc", "version", F.col("first").alias("low"), F.col("whole").alias("high"))]
     twice = same.where("n > 1").select("core", "whole", "shape")
     parts.append(every.join(twice, ["core", "whole", "shape"]).select("doc", "version", F.col("first").alias("low"), (F.col("first") + F.col("shape") % 1024).alias("high")))
     number, hot = open_zones.agg(F.count_if(F.col("strings") <= group), F.count_if(F.col("strings") > group)).first()
@@ -365,7 +392,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, core: int = CORE, gr
     for p in parts[1:]:
         out = out.unionAll(p)
     out = written(out.groupBy("doc", "version").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "starts")
-    for x in (every, same, open_zones):
+    for x in (found, same, open_zones):
         drop_written(x)
     if hot:
         drop_written(each)
