@@ -225,27 +225,16 @@ def hex_fp(fp: str = "fp") -> Column:
 
 # Near-duplicates by resemblance of shingle sets
 
-#: Words of a fingerprint of this kind; the first is the plain one.
-WORDS = 4
-#: Bits that a bucket's fingerprints agree on, and ways to pick them. At a resemblance of 0.8 a bit differs with a
-#: probability of 0.15, so a pair shares a bucket with one of 0.98.
-AGREE, WAYS = 16, 56
-#: Differing bits of 64 * WORDS up to which a pair surely resembles by 0.8 (three standard deviations from 0.75), and beyond which it surely does not.
-SURE, FAR = 26, 64
-#: Rows of a bucket that are compared pair by pair; larger ones are searched by the index.
-FEW = 64
-_PICKS = [np.random.default_rng(way).choice(64 * WORDS, AGREE, replace=False) for way in range(WAYS)]
+#: Leading bits of a shingle's hash by which its count is estimated, and texts that are counted for it.
+CELL_BITS, SAMPLE = 20, 20_000
+#: Arms of the trees along which texts with a shared shingle are compared first, and number of trees, each in another order.
+ARMS, TREES = 64, 4
+#: Words of a sketch of a set.
+PARITY = 4
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
-_W = [f"w{i}" for i in range(WORDS)]
-
-
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    out = [fingerprint(hashes)]
-    for odd in _ODD[1:]:
-        h = hashes * odd
-        h = (h ^ h >> np.uint64(32)) * _ODD[1]
-        out.append(fingerprint(h ^ h >> np.uint64(29)))
-    return out
+_P = [f"p{i}" for i in range(PARITY)]
+#: Nodes of a shared shingle that are compared by their distance in it; more are compared one with all.
+FEW = 64
 
 
 def resemblance(a: bytes, b: bytes, size: int) -> float:
@@ -254,6 +243,227 @@ def resemblance(a: bytes, b: bytes, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def needed(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that sets of x and y shingles share at least when they resemble each other by `least`."""
+    return np.ceil(least / (1 + least) * (x + y) - 1e-9).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles, rare ones first, of which a set shares one at least with each set that resembles it by `least`.
+
+    common has estimated counts by the leading bits of the hash. Any order that all sets go by gives the same links; only the work depends on it.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    order = np.lexsort((shingles, common[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+    return shingles[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of numbers, sorted by the first column, as arrays that cut no group."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+        if not len(rows):
+            continue
+        if held and held[0][0, 0] == rows[-1, 0]:
+            held.append(rows)
+            continue
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if held or last:
+            yield np.concatenate([*held, rows[:last]])
+        held = [rows[last:]]
+    if held:
+        yield np.concatenate(held)
+
+
+def _group_sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return starts, np.diff(np.r_[starts, len(key)])
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A sketch of PARITY words: for each of its bits whether an odd number of shingles falls to it. Sketches differ in no more bits than sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may(rows: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of rows x and y (_, node, shingles, place, _, sketch) can resemble each other when this shingle is the first they share."""
+    need = needed(rows[x, 2], rows[y, 2], least)
+    can = need <= np.minimum(rows[x, 2] - rows[x, 3], rows[y, 2] - rows[y, 3])
+    if rows.shape[1] > 5:
+        at = np.flatnonzero(can)
+        apart = np.bitwise_count((rows[x[at], 5:] ^ rows[y[at], 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        can[at] = apart <= (rows[x, 2] + rows[y, 2] - 2 * need)[at]
+    return can
+
+
+def tree_pairs(rows: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows (shingle, node, shingles, place) of shingles that several nodes have, and for each of TREES orders a node above each in a tree of ARMS arms, or itself."""
+    starts, sizes = _group_sizes(rows[:, 0])
+    rows = rows[np.repeat(sizes > 1, sizes)]
+    sizes = sizes[sizes > 1]
+    at, first = np.arange(len(rows)), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    above = np.where(at > first, first + (at - first - 1) // ARMS, at)
+    found = []
+    for odd in _ODD[:TREES]:
+        order = np.lexsort((rows[:, 1].view(np.uint64) * odd, first))
+        up = np.empty_like(order)
+        up[order] = order[above]
+        up = np.where(_may(rows, at, up, least), up, at)
+        found.append(rows[up, 1])
+    return rows, found
+
+
+def cross_pairs(rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """All pairs of nodes that share a shingle, can resemble each other and are not linked yet, from rows (shingle, node, shingles, place, root, sketch)."""
+    starts, sizes = _group_sizes(rows[:, 0])
+    mixed = np.minimum.reduceat(rows[:, 4], starts) != np.maximum.reduceat(rows[:, 4], starts)
+    few = mixed & (sizes <= FEW)
+    rest = rows[np.repeat(few, sizes)]
+    for d in range(1, int(sizes[few].max(initial=1))):
+        x = np.flatnonzero((rest[:-d, 0] == rest[d:, 0]) & (rest[:-d, 4] != rest[d:, 4]))
+        yield np.stack([rest[x, 1], rest[x + d, 1]], axis=1)[_may(rest, x, x + d, least)]
+    for s, m in zip(starts[mixed & ~few].tolist(), sizes[mixed & ~few].tolist(), strict=True):
+        part = rows[s : s + m]
+        part = part[np.argsort(part[:, 2], kind="stable")]
+        for x in range(m - 1):
+            # sorted by size, the sets that are not too large for this one are a run
+            end = int(np.searchsorted(part[:, 2], part[x, 2] / least + 1e-6, "right"))
+            y = np.arange(x + 1, max(end, x + 1))
+            y = y[part[y, 4] != part[x, 4]]
+            y = y[_may(part, np.full(len(y), x), y, least)]
+            yield np.stack([np.full(len(y), part[x, 1]), part[y, 1]], axis=1)
+
+
+def _grouped(df: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
+    """doc, digest (of the text), node (of its shingle set) and root of each row with a key; rows of one root are linked.
+
+    Texts with equal shingle sets are one node, by a digest of 64 bits. Sets are sorted by one order, so that two which resemble each other
+    share a shingle of their prefixes; no other link is lost or made: each pair that meets there is compared by its whole sets. Nodes
+    with a shared shingle are first compared along trees, so that large groups of near copies become one; then all
+    pairs that are not linked by now are compared.
+    """
+
+    ups = [f"above{i}" for i in range(TREES)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            sets = [shingle_set(x, size) >> np.uint64(64 - CELL_BITS) for x in text_bytes(b.column(1))]
+            if sets:
+                seen += np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << CELL_BITS)
+        cells = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x, size) for x in text_bytes(b.column(1))]
+            sketch = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
+            firsts = pa.array([prefix(s, common, least).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), firsts, *(pa.array(sketch[:, i]) for i in range(PARITY))], ["doc", "digest", "node", "n", "first", *_P])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            firsts = [np.frombuffer(x, np.int64) for x in text_bytes(b.column(2))]
+            many = np.array([len(x) for x in firsts], np.int64)
+            repeat = pa.array(np.repeat(np.arange(len(firsts)), many))
+            place = [np.arange(m, dtype=np.int32) for m in many.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])), b.column(0).take(repeat), b.column(1).take(repeat), pa.array(np.concatenate([np.zeros(0, np.int32), *place]))], ["shingle", "node", "n", "place"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            rows, above = tree_pairs(rows, least)
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(2)), *(pa.array(rows[:, i].astype(np.int32)) for i in (2, 3)), *(pa.array(x) for x in above)], ["shingle", "node", "n", "place", *ups])
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            for found in cross_pairs(rows, least):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x, size) for x in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(*(text_bytes(b.column(i)) for i in (2, 3)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared / (len(x) + len(y) - shared) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    every_nth = max(1, docs.count() // SAMPLE)
+    counts = docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(every_nth)) == 0).mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    common = np.zeros(1 << CELL_BITS, np.int32)
+    common[counts["cell"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 31) - 1)
+
+    every = written(docs.select("doc", "text", F.xxhash64("text").alias("digest")).mapInArrow(prints, "doc long, digest long, node long, n int, first binary, " + ", ".join(f"{p} long" for p in _P)), "sets")
+    nodes = every.select("node", "n", "first").dropDuplicates(["node"])
+    places = nodes.mapInArrow(spread, "shingle long, node long, n int, place int").repartition("shingle").sortWithinPartitions("shingle", "node")
+    met = written(places.mapInArrow(trees, "shingle long, node long, n int, place int, " + ", ".join(f"{u} long" for u in ups)), "places")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # one text of each node, and only of those that are asked for
+        keys = every.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")).select("doc").distinct()
+        sets = written(docs.join(keys, "doc", "left_semi").select("doc", "text").mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_shingles"))
+        out = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(checked, "a long, b long"), "links")
+        drop_written(sets)
+        return out
+
+    above = met.select("node", F.explode(F.array(*ups)).alias("above")).where("node <> above")
+    tried = written(above.select(F.least("node", "above").alias("a"), F.greatest("node", "above").alias("b")).distinct(), "pairs")
+    links = verified(tried)
+    roots = components(links)
+    sketches = every.select("node", *_P).dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_P)
+    labelled = met.select("shingle", "node", "n", "place").join(sketches, "node").select("shingle", "node", "n", "place", "root", *_P)
+    pairs = labelled.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(crossing, "a long, b long").distinct()
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    linked = components(links.unionAll(verified(pairs)))
+    for done in (met, tried, pairs):
+        drop_written(done)
+    return every.select("doc", "digest", "node").join(linked, "node", "left").select("doc", "digest", "node", F.coalesce("root", "node").alias("root"))
+
+
+def resembling_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """key and component_id of each row with a key: links are texts whose sets of word shingles resemble each other by `least` or more."""
+    every = _grouped(df, key, text, size, least)
+    smallest = every.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return every.join(smallest, "root").select(F.col("doc").alias(key), "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df, with all columns, whose key is the smallest of its group; rows with a null key stay."""
+    groups = resembling_groups(df.select(key, text), key, text, size, least)
+    gone = groups.where(F.col("component_id") < F.col(key)).select(key).distinct()
+    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+# Spanning forest of a bucket of wide fingerprints, by their bits alone; the pipeline no longer links by it
+
+#: Words of a wide fingerprint; the first is the plain one.
+WORDS = 4
+#: Differing bits of 64 * WORDS up to which a pair is listed.
+FAR = 64
+
+
 def _close(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
 
@@ -285,84 +495,3 @@ def _forest(pairs: np.ndarray, shift: int, size: int) -> np.ndarray:
     forest = Forest(size)
     pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
     return pairs[[forest.join(x - shift, y - shift) for x, y, _ in pairs.tolist()]] if len(pairs) else pairs
-
-
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows (key, id, w0 ...) sorted by key and Gray rank. Buckets over BUCKET rows are taken in blocks that overlap by half."""
-    held: list[np.ndarray] = []
-
-    def result(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1 and (out := _bucket_links(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64))):
-            a, b, n = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "bits"])
-
-    for b in batches:
-        rows = np.concatenate([*held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        yield from result(rows[:last])
-        rows = rows[last:]
-        while len(rows) > BUCKET:
-            yield from result(rows[:BUCKET])
-            rows = rows[BUCKET // 2 :]
-        held = [rows]
-    for rows in held:
-        yield from result(rows)
-
-
-def resembling_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """key and component_id of each row with a key: links are texts whose sets of word shingles resemble each other by `least` or more.
-
-    Fingerprints of 64 * WORDS bits are merged where equal and meet in the buckets of WAYS picks of AGREE bits, dealt by ranges of (bucket,
-    Gray rank), so that a large group of near copies is many ranges. Pairs of up to SURE differing bits are links; those of up
-    to FAR are checked by their whole texts unless their documents are linked already.
-    """
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = np.array([wide_fingerprint(shingle_hashes(x, size)) for x in text_bytes(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(w[:, i]) for i in range(WORDS))], ["doc", *_W])
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                w = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(w.astype(">i8")).view(np.uint8).reshape(len(w), -1), axis=1)
-                powers = 1 << np.arange(AGREE, dtype=np.int64)
-                keys = np.concatenate([bits[:, pick] @ powers + (way << AGREE) for way, pick in enumerate(_PICKS)])
-                order = (gray_rank(w[:, 0].view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
-                repeat = pa.array(np.tile(np.arange(len(w)), WAYS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(order, WAYS)), *(c.take(repeat) for c in b.columns)], ["bucket", "gray", "id", *_W])
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [resemblance(x, y, size) >= least for x, y in zip(text_bytes(b.column(2)), text_bytes(b.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    kind = ", ".join(f"{w} long" for w in _W)
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    every = written(docs.mapInArrow(prints, f"doc long, {kind}"), "fingerprints")
-    same = written(every.groupBy(*_W).agg(F.min("doc").alias("id")), "fingerprints")
-    rows = same.select("id", *_W).mapInArrow(dealt, f"bucket long, gray long, id long, {kind}").repartitionByRange("bucket", "gray").sortWithinPartitions("bucket", "gray")
-    pairs = written(rows.select("bucket", "id", *_W).mapInArrow(_in_buckets, "a long, b long, bits int"), "links")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct(), "links")
-    sure = pairs.where(F.col("bits") <= SURE).select("a", "b")
-    roots = components(sure)
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    open_pairs = pairs.where(F.col("bits") > SURE).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    texts = lambda side: bodies.select(F.col("doc").alias(side), F.col("text").alias(f"{side}_text"))
-    # only texts that are asked for meet
-    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    bodies = written(docs.join(asked, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    also = open_pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(checked, "a long, b long")
-    linked = components(sure.unionAll(also))
-    label = same.join(linked, F.col("id") == F.col("node"), "left").select(*_W, F.coalesce("root", "id").alias("component_id"))
-    return every.join(label, _W).select(F.col("doc").alias(key), "component_id")
-
-
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of df, with all columns, whose key is the smallest of its group; rows with a null key stay."""
-    groups = resembling_groups(df.select(key, text), key, text, size, least)
-    gone = groups.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -245,3 +245,23 @@ def test_resembling_groups_match_brute_force(spark, monkeypatch):
     w = np.zeros((200, simhash.WORDS), np.uint64)
     w[:, 1] = np.arange(200, dtype=np.uint64) & np.uint64(3)
     assert len(simhash._bucket_links(key, ids, w)) == 199
+
+
+def family(rng, count, shared, own, planted):
+    """Texts of one template; the first two times `planted` are pairs that also share a part of their own words."""
+    new = lambda n: ["%x" % rng.getrandbits(60) for _ in range(n)]
+    template, half = new(shared), [new(own // 3) for _ in range(planted)]
+    return [" ".join(template + (half[i // 2] + new(own - own // 3) if i < 2 * planted else new(own))) for i in range(count)]
+
+
+def groups_of(spark, texts):
+    found = {}
+    for r in simhash.resembling_groups(documents(spark, list(enumerate(texts)))).collect():
+        found.setdefault(r["component_id"], []).append(r["doc_id"])
+    return sorted(sorted(g) for g in found.values() if len(g) > 1)
+
+
+def test_texts_below_the_bound_are_not_linked(spark):
+    texts = family(random.Random(21), 120, 404, 54, 0)
+    assert 0.78 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.79
+    assert groups_of(spark, texts) == []
