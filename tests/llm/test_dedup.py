@@ -265,3 +265,11 @@ def test_texts_below_the_bound_are_not_linked(spark):
     texts = family(random.Random(21), 120, 404, 54, 0)
     assert 0.78 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.79
     assert groups_of(spark, texts) == []
+
+
+def test_repeated_shingles_count_once(spark):
+    rng = random.Random(22)
+    new = lambda n: ["%x" % rng.getrandbits(60) for _ in range(n)]
+    one, other, third = new(800), new(920), new(920)
+    texts = [" ".join(w + ["0"] * n) for w, n in ((one, 5), (one, 204), (other, 84), (third, 84))]
+    assert groups_of(spark, texts) == [[0, 1]]
