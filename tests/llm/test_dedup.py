@@ -273,3 +273,9 @@ def test_repeated_shingles_count_once(spark):
     one, other, third = new(800), new(920), new(920)
     texts = [" ".join(w + ["0"] * n) for w, n in ((one, 5), (one, 204), (other, 84), (third, 84))]
     assert groups_of(spark, texts) == [[0, 1]]
+
+
+def test_pairs_within_a_template_are_linked(spark):
+    texts = family(random.Random(23), 300, 404, 54, 30)
+    assert 0.83 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.86
+    assert groups_of(spark, texts) == [[i, i + 1] for i in range(0, 60, 2)]
