@@ -279,3 +279,20 @@ def test_pairs_within_a_template_are_linked(spark):
     texts = family(random.Random(23), 300, 404, 54, 30)
     assert 0.83 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.86
     assert groups_of(spark, texts) == [[i, i + 1] for i in range(0, 60, 2)]
+
+
+def test_large_groups_are_compared_whole(spark):
+    texts = family(random.Random(24), 9000, 104, 14, 60)
+    assert groups_of(spark, texts) == [[i, i + 1] for i in range(0, 120, 2)]
+
+
+def test_prefixes_and_sketches_lose_no_pair():
+    rng = np.random.default_rng(25)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(20, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)]) for _ in range(150)]
+    common = rng.integers(0, 3, 1 << simhash.CELL_BITS)
+    rows = np.array([(s.view(np.int64), i, len(x), p, i, *simhash.parity(x)) for i, x in enumerate(sets) for p, s in enumerate(simhash.prefix(x, common, 0.8))])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    found = {tuple(sorted(p)) for x in simhash.cross_pairs(rows, 0.8) for p in x.tolist()}
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert true and true <= found
