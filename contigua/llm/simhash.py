@@ -450,10 +450,15 @@ def resembling_groups(df: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of df, with all columns, whose key is the smallest of its group; rows with a null key stay."""
-    groups = resembling_groups(df.select(key, text), key, text, size, least)
-    gone = groups.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    """One row of df, with all columns, of each group: one with the smallest key and, of its texts in the group, that of the smallest digest.
+
+    Rows that repeat a key with another text stand for themselves; of rows that repeat both any one stays. Rows with a null key stay.
+    """
+    every = _grouped(df.select(key, text), key, text, size, least)
+    chosen = every.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("x")).select("x.doc", "x.digest")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    kept = rows.join(chosen, ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"]).select("row.*")
+    return kept.unionAll(df.where(F.col(key).isNull()))
 
 
 # Spanning forest of a bucket of wide fingerprints, by their bits alone; the pipeline no longer links by it

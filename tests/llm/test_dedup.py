@@ -296,3 +296,12 @@ def test_prefixes_and_sketches_lose_no_pair():
     found = {tuple(sorted(p)) for x in simhash.cross_pairs(rows, 0.8) for p in x.tolist()}
     true = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
     assert true and true <= found
+
+
+def test_repeated_keys_leave_one_row_of_each_group(spark):
+    rng = random.Random(26)
+    a, b, c, d = (" ".join("%x" % rng.getrandbits(60) for _ in range(40)) for _ in range(4))
+    # 2 twice with a text, 3 with a copy of 1's text and with one of its own, 4 with two texts of one group
+    df = documents(spark, [(1, a), (2, b), (2, b), (3, a), (3, c), (4, d), (4, d + " tail"), (None, a), (None, a)])
+    left = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in simhash.one_of_each(df).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (4, d), (None, a), (None, a)], key=str)
