@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping pieces. A text region within k edits of a piece of m bytes shares at
+Benchmark items are cut into overlapping pieces, and runs of ten words are searched verbatim beside them, so that thirteen words of an
+item are found at any offset. A text region within k edits of a piece of m bytes shares at
 least m - q + 1 - kq of its q-grams with it, on diagonals that differ by k at most. So the shared q-grams of text and
 pieces are counted in overlapping diagonal bands, of 2k diagonals every k, and only bands that reach that bound are
 aligned, by edit distance within the band. Text and items are compared in ASCII lower case with runs of
@@ -18,7 +19,7 @@ repeated item_ids as one item; a null doc_id stays null and is summed up as one
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ STRIDE = 50
 #: Edits allowed, as a share of a piece.
 EDITS = 0.1
 LEAST = 20
-BLOCK_BYTES = 8 << 20
+#: Any EXCERPT words in a row of an item hold one of its runs of RUN words, one every EXCERPT - RUN + 1, which are searched verbatim.
+EXCERPT, RUN = 13, 10
+BLOCK_BYTES = 4 << 20
 #: Bytes of text that are searched at once, and by which parts of a long text overlap.
 PART, OVERLAP = 4 << 20, 512
 SIEVE_BITS = 20
@@ -78,15 +81,21 @@ class Index:
 
     items: list[int]
     pieces: list[tuple[int, np.ndarray]]  # item, bytes
+    verbatim: list[bool] = field(default_factory=list)  # of each piece; empty for none
 
     def __post_init__(self):
         self.size = np.array([len(p) for _, p in self.pieces], np.int64)
         self.edits = np.array([budget(m) for m in self.size], np.int64)
         self.bound = self.size - Q + 1 - self.edits * Q
-        all_grams = [grams(p) for _, p in self.pieces]
+        # a verbatim region has all q-grams of its piece, so one of Q tells enough
+        each = np.ones(len(self.pieces), np.int64)
+        if self.verbatim:
+            self.edits[self.verbatim], each[self.verbatim] = 0, Q
+            self.bound = np.where(self.verbatim, self.size // Q, self.bound)
+        all_grams = [grams(p)[::e] for (_, p), e in zip(self.pieces, each.tolist(), strict=True)]
         flat = np.concatenate([np.zeros(0, np.uint64), *all_grams])
         piece = np.repeat(np.arange(len(self.pieces)), [len(g) for g in all_grams])
-        offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in all_grams)])
+        offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) * e for g, e in zip(all_grams, each.tolist(), strict=True))])
         order = np.argsort(flat, kind="stable")
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.piece, self.offset = piece[order], offset[order]
@@ -153,8 +162,18 @@ def matches(index: Index, a: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
                 yield int(p), max(0, z - int(index.size[p])), min(z, len(a)), e
 
 
+def runs(a: np.ndarray) -> list[np.ndarray]:
+    """Of a normalised item of EXCERPT words or more: its runs of RUN words, or of their first PIECE bytes; those of fewer than LEAST bytes are too short to tell."""
+    starts = np.r_[0, np.flatnonzero(a == 32) + 1]
+    if len(starts) < EXCERPT:
+        return []
+    ends = np.r_[starts[1:] - 1, len(a)]
+    cut = [a[starts[i] : min(ends[i + RUN - 1], starts[i] + PIECE)] for i in range(0, len(starts) - RUN + 1, EXCERPT - RUN + 1)]
+    return [x for x in cut if len(x) >= LEAST]
+
+
 def index_of(items: list[tuple[int, str | None]]) -> Index:
-    names, pieces = [], []
+    names, pieces, verbatim = [], [], []
     for item, text in items:
         a, _ = normalised((text or "").encode())
         if len(a) < LEAST:
@@ -162,9 +181,11 @@ def index_of(items: list[tuple[int, str | None]]) -> Index:
         starts = [*range(0, max(1, len(a) - PIECE), STRIDE)]
         if len(a) > PIECE:
             starts.append(len(a) - PIECE)
-        pieces += [(len(names), a[s : s + PIECE]) for s in sorted(set(starts))]
+        near, words = [a[s : s + PIECE] for s in sorted(set(starts))], runs(a)
+        pieces += [(len(names), x) for x in near + words]
+        verbatim += [False] * len(near) + [True] * len(words)
         names.append(item)
-    return Index(names, pieces)
+    return Index(names, pieces, verbatim)
 
 
 def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:

@@ -189,6 +189,16 @@ def test_decontamination_cases(spark, monkeypatch):
     assert decontam.found(documents(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_thirteen_words_at_any_offset():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+    index = decontam.index_of([(7, " ".join(words))])
+    for i in range(len(words) - 12):
+        text = "before it " + " ".join(words[i : i + 13]) + " after it"
+        assert {item for _, item, *_ in decontam._search(index, [text.encode()])} == {7}
+    assert not list(decontam._search(index, [" ".join(words[20:29]).encode()]))
+
+
 def test_decontamination_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
