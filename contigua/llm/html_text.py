@@ -6,7 +6,7 @@ that names itself as something else, and whether it is a heading. A decision tre
 table below, tells main text from the rest.
 
 Defined cases: null and empty pages have the empty text; unclosed tags, comments, scripts and attributes end with
-the page; what is no tag is text; character references are decoded once, after the tags are taken apart. White space is
+the page, but a self-closed svg is empty, and so is any other such element without a later end tag; what is no tag is text; character references are decoded once, after the tags are taken apart. White space is
 what Python's str.split() cuts at. Pages are independent: repeated rows give repeated results. A page of any
 length is read as a whole.
 """
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<shut>svg)\b[^>]*+(?<=/)>"
+    r"|<(?P<shut2>script|style|noscript|template|iframe|textarea|select|object|canvas|title)\b[^>]*+(?<=/)>(?!.*?</(?P=shut2)\s*>)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|canvas|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^>]*+)>"
@@ -92,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["shut"] or m["shut2"]:
                 flush()
             continue
         end = bool(m["end"] or m["end2"])

@@ -225,6 +225,14 @@ def test_extraction():
     assert html_text.main_text("<article>" + "word " * 100_000).count("word") == 100_000
 
 
+def test_self_closed_elements_are_empty():
+    text = "words of the article that are many enough to be its main text and go on"
+    for tag in ('<svg class="i"/>', "<SVG />", '<iframe src="x"/>', "<object/>", "<canvas />"):
+        assert html_text.main_text(f"<article><p>{text}</p>{tag}<p>{text}</p></article>") == f"{text} {text}"
+    assert html_text.main_text(f"<article><svg/><p>{text}</p><svg><text>no</text></svg></article>") == text
+    assert html_text.main_text(f"<article><p>{text}</p><iframe src=x/>no</iframe></article>") == text
+
+
 def test_extraction_query(spark):
     import html
 
