@@ -405,7 +405,7 @@ def bloom_membership(spark, d):
     rows = occurrences(spark, d).select("kmer", (F.col("read_id") % 2).alias("odd")).distinct()
     rows = written(rows, "kmers")
     even = rows.where("odd = 0").select("kmer")
-    f = bloom.build(even, capacity=1_000_000)
+    f = bloom.build(even, capacity=max(1, even.count()))
     asked = rows.where("odd = 1").join(even.withColumn("there", F.lit(True)), "kmer", "left")
     return asked.groupBy(F.coalesce("there", F.lit(False)).alias("there"), bloom.contains(f, "kmer").alias("maybe")).agg(F.count("*").alias("kmers"))
 

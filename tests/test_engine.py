@@ -247,6 +247,16 @@ def test_bloom_filters(spark):
     assert built.check(kmers[2000:]).mean() < 0.02
 
 
+def test_bloom_membership_fits_its_kmers(spark, monkeypatch):
+    from contigua.plans import queries
+
+    asked, build = [], bloom.build
+    monkeypatch.setattr(bloom, "build", lambda df, capacity: asked.append((df.count(), capacity)) or build(df, capacity))
+    rows = queries.queries()["bloom_membership"](spark, "/root/testdata/sf0.001").collect()
+    assert asked and all(n == capacity for n, capacity in asked)
+    assert not any(r["there"] and not r["maybe"] for r in rows)
+
+
 def test_without_first_and_spectrum(spark):
     rows = K.extract(as_reads(spark, ["ACGTACGTA", "ACGTAC"]), Config(k=5, d_min=1))
     n = rows.count()
