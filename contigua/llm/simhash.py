@@ -1,14 +1,17 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
 Fingerprints: the XXH64 values of a text's word shingles vote on each of 64 bits. Equal fingerprints are
-merged first, so that groups of copies cost one row. For links of at most d differing bits the 64 bits are
-cut into d + 1 segments: linked fingerprints agree on one segment at least, so each fingerprint goes to
-the d + 1 buckets of its segment values. A bucket that holds more than BUCKET distinct fingerprints is cut again
-by d + 1 segments of its remaining bits, and so on; as its fingerprints differ, this ends, and no task
-holds a large bucket. Within a bucket the fingerprints are sorted by Gray rank, so that neighbours share
-long bit patterns; nodes over runs of neighbours hold the bits that all of a run share. A search goes from the top,
-adds at each node only the differences in bits that the nodes above did not fix yet, and drops whole
-groups once these exceed d. A bucket passes on a spanning forest of its links, not every pair.
+merged first, so that groups of copies cost one row. The others are sorted by Gray rank, in which neighbours share long bit
+patterns, and cut into ranges of at most RANGE. Over each range stand nodes of FANOUT children that hold the bits that all
+below share. A search goes from the top, adds at each node only the differences in bits that the nodes above
+did not fix yet, and drops whole groups once these exceed the bits allowed.
+
+Up to RANGE fingerprints are one range. Beyond that the top nodes are spread over tasks: each is a range's first bits, as many as make
+ranges fit. A partner may differ in these, so there are d + 1 orders for links of at most d bits, each with another
+segment of the 64 bits first: partners agree on one segment at least, where no difference is added at the top
+node, so a fingerprint goes to one range of each order, not to all that d differences leave open. Ranges that are still too
+large are cut again by whole segments of the bits that are not fixed yet; as fingerprints differ, this ends, and no task
+holds more than a range. A range passes on a spanning forest of its links, not every pair.
 
 Defined cases: a null text is the empty text; texts without a word have fingerprint zero and are linked
 like others; fewer words than a shingle has make one shingle; repeated rows and repeated keys give a row each;
@@ -30,10 +33,10 @@ from contigua.llm.components import components
 
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Most fingerprints of a bucket that one search takes at once.
-BUCKET = 4096
+#: Most fingerprints of a range, which one search takes at once.
+RANGE = 8192
 #: Children of a node, and fingerprints of a leaf.
-FANOUT = 16
+FANOUT = 4
 #: Shingles whose bits are counted at once.
 STEP = 1 << 15
 
@@ -83,7 +86,10 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Nodes over Gray-ordered fingerprints; masks[h], values[h]: the bits that all below a node of height h share."""
+    """Nodes over Gray-ordered fingerprints; masks[h], values[h]: the bits that all below a node of height h share.
+
+    looked[h]: how many nodes of height h searches have looked at so far.
+    """
 
     def __init__(self, fps: np.ndarray):
         self.order = np.argsort(gray_rank(fps), kind="stable")
@@ -95,27 +101,29 @@ class GrayIndex:
             every, some = np.bitwise_and.reduceat(every, starts), np.bitwise_or.reduceat(some, starts)
             self.masks.append(every | ~some)
             self.values.append(every)
+        self.looked = [0] * len(self.masks)
 
     def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places (in the order given) at most `most` bits apart, each once, for some queries at a time."""
-        n = len(self.fps)
-        for first in range(0, n, 512):
-            query = np.arange(first, min(n, first + 512))
-            node = np.zeros(len(query), np.int64)
-            apart = np.bitwise_count((self.fps[query] ^ self.values[-1][0]) & self.masks[-1][0]).astype(np.int64)
-            known = np.full(len(query), self.masks[-1][0])
-            for h in range(len(self.masks) - 2, -1, -1):
-                keep = apart <= most
-                query, node, apart, known = query[keep], node[keep], apart[keep], known[keep]
-                child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                query, apart, known = (np.repeat(x, FANOUT) for x in (query, apart, known))
-                # each pair once: groups wholly before the query hold no partner to report
-                keep = (child < len(self.masks[h])) & ((child + 1) * FANOUT**h > query)
-                query, node, apart, known = query[keep], child[keep], apart[keep], known[keep]
-                mask = self.masks[h][node]
-                apart = apart + np.bitwise_count((self.fps[query] ^ self.values[h][node]) & mask & ~known)
-                known = mask
-            keep = (apart <= most) & (node > query)
+        n, top = len(self.fps), len(self.masks) - 1
+        for first in range(0, n, 1024):
+            query = np.arange(first, min(n, first + 1024), dtype=np.int32)
+            node, apart = np.zeros(len(query), np.int32), np.zeros(len(query), np.uint8)
+            for h in range(top, -1, -1):
+                if h < top:
+                    query, apart = np.repeat(query, FANOUT), np.repeat(apart, FANOUT)
+                    known = np.repeat(self.masks[h + 1][node], FANOUT)
+                    node = (node[:, None] * FANOUT + np.arange(FANOUT, dtype=np.int32)).ravel()
+                    # each pair once: groups wholly before the query hold no partner to report
+                    keep = np.flatnonzero((node < len(self.masks[h])) & ((node + 1) * np.int64(FANOUT**h) > query))
+                    query, node, apart, known = query[keep], node[keep], apart[keep], known[keep]
+                else:
+                    known = np.zeros(len(query), np.uint64)
+                self.looked[h] += len(node)
+                apart = apart + np.bitwise_count((self.fps[query] ^ self.values[h][node]) & self.masks[h][node] & ~known)
+                keep = np.flatnonzero(apart <= most)
+                query, node, apart = query[keep], node[keep], apart[keep]
+            keep = node > query
             yield self.order[query[keep]], self.order[node[keep]]
 
 
@@ -145,69 +153,83 @@ def links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(a, b) for x, y in GrayIndex(fps).pairs(most) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b)]
 
 
-def _cut(free: int, parts: int) -> list[int]:
-    """The set bits of a mask, as masks of `parts` runs of nearly equal size."""
+def _segments(free: int, parts: int, lead: int) -> list[int]:
+    """The first `lead` bits of each of `parts` runs of nearly equal size of the set bits of a mask, as masks."""
     bits = [i for i in range(63, -1, -1) if free >> i & 1]
-    return [sum(1 << i for i in bits[k * len(bits) // parts : (k + 1) * len(bits) // parts]) for k in range(parts)]
+    runs = [bits[k * len(bits) // parts : (k + 1) * len(bits) // parts] for k in range(parts)]
+    return [sum(1 << i for i in run[:lead]) for run in runs]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _buckets(rows: DataFrame, fixed: list[int], parts: int) -> DataFrame:
-    """rows (fp, way, value) -> a row for each further segment: way numbers the masks that are fixed."""
-    masks = {w: [m | c for c in _cut(~m & (1 << 64) - 1, parts)] for w, m in enumerate(fixed)}
-    deeper = F.create_map(*(x for w, ms in masks.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(w * parts + i).alias("way"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(ms))))))
-    return rows.select("fp", F.explode(deeper[F.col("way")]).alias("x")).select("fp", F.col("x.way").alias("way"), F.expr("fp & x.mask").alias("value"))
+def _ranges(rows: DataFrame, fixed: list[int], deeper: list[list[int]]) -> DataFrame:
+    """rows (fp, way) -> a row (fp, way, value) for each mask that goes deeper; ways number the masks in order."""
+    parts = len(deeper[0])
+    ways = F.create_map(*(x for w, masks in enumerate(deeper) for x in (F.lit(w), F.array(*(F.struct(F.lit(w * parts + i).alias("way"), F.lit(_signed(fixed[w] | m)).alias("mask")) for i, m in enumerate(masks))))))
+    return rows.select("fp", F.explode(ways[F.col("way")]).alias("x")).select("fp", F.col("x.way").alias("way"), F.expr("fp & x.mask").alias("value"))
 
 
-def near_pairs(distinct: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
+def near_pairs(distinct: DataFrame, most: int = 2, limit: int = RANGE) -> DataFrame:
     """For distinct fingerprints (column fp): pairs (a, b) whose components are those of all links of at most `most` bits."""
-    parts = most + 1
-    fixed, found = [0], []
-    rows = distinct.select("fp", F.lit(0).alias("way"), F.lit(0).cast("long").alias("value"))
-    scratch = []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, key = [], None
+        held: list[np.ndarray] = []
+        key = None
 
         def result() -> Iterator[pa.RecordBatch]:
-            if len(fps) > 1:
-                v = np.array(fps, np.int64)
-                if pairs := links(v.view(np.uint64), most):
-                    i = np.array(pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[i[:, 0]]), pa.array(v[i[:, 1]])], ["a", "b"])
+            v = np.concatenate(held) if held else np.zeros(0, np.int64)
+            if len(v) > 1 and (pairs := links(v.view(np.uint64), most)):
+                i = np.array(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(v[i[:, 0]]), pa.array(v[i[:, 1]])], ["a", "b"])
 
         for b in batches:
-            for fp, way, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (way, value) != key:
+            fp, way, value = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            cuts = np.flatnonzero((way[1:] != way[:-1]) | (value[1:] != value[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
+                if s == e:
+                    continue
+                if (way[s], value[s]) != key:
                     yield from result()
-                    fps, key = [], (way, value)
-                fps.append(fp)
+                    held, key = [], (way[s], value[s])
+                held.append(fp[s:e].astype(np.int64))
         yield from result()
 
-    while True:
-        rows = _buckets(rows, fixed, parts)
-        fixed = [m | c for m in fixed for c in _cut(~m & (1 << 64) - 1, parts)]
-        size = rows.groupBy("way", "value").agg(F.count("*").alias("n")).where("n > 1")
-        size = written(size, "buckets")
-        scratch.append(size)
+    searched = lambda rows: written(rows.repartition("way", "value").sortWithinPartitions("way", "value", "fp").mapInArrow(search, "a long, b long"), "links")
+    rows = distinct.select("fp", F.lit(0).alias("way"), F.lit(0).cast("long").alias("value"))
+    largest, fixed, found, scratch = distinct.count(), [0], [], []
+    if largest <= limit:
+        return searched(rows)
+    while largest > limit:
+        # first as many bits as even ranges need; what is crowded then is cut by whole segments
+        lead = (4 * largest // limit).bit_length() if fixed == [0] else 64
+        deeper = [_segments(~m & (1 << 64) - 1, most + 1, lead) for m in fixed]
+        rows = _ranges(rows, fixed, deeper)
+        fixed = [f | m for f, masks in zip(fixed, deeper, strict=True) for m in masks]
+        size = written(rows.groupBy("way", "value").agg(F.count("*").alias("n")).where("n > 1"), "ranges")
         rows = rows.join(size, ["way", "value"])
-        small = rows.where(F.col("n") <= bucket).select("fp", "way", "value")
-        found.append(written(small.repartition("way", "value").sortWithinPartitions("way", "value", "fp").mapInArrow(search, "a long, b long"), "links"))
-        if size.where(F.col("n") > bucket).isEmpty():
-            break
-        rows = written(rows.where(F.col("n") > bucket).select("fp", "way", "value"), "buckets")
-        scratch.append(rows)
+        found.append(searched(rows.where(F.col("n") <= limit).select("fp", "way", "value")))
+        largest = size.agg(F.max("n")).first()[0] or 0
+        if largest > limit:
+            rows = written(rows.where(F.col("n") > limit).select("fp", "way", "value"), "ranges")
+            scratch.append(rows)
+        scratch.append(size)
     for s in scratch:
         drop_written(s)
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
+    out.parts = found
     return out
 
 
+def drop_pairs(pairs: DataFrame) -> None:
+    """Deletes the tables behind a result of near_pairs()."""
+    for p in getattr(pairs, "parts", [pairs]):
+        drop_written(p)
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, most: int = 2) -> DataFrame:
     """key, fp and component_id, the smallest key reachable by links of at most `most` differing bits, of each row."""
     all_fps = written(fingerprints(df, key, text, size), "fingerprints")
@@ -215,288 +237,10 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     pairs = near_pairs(least, most)
     by_id = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     roots = components(by_id.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    drop_pairs(pairs)
     label = least.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"))
     return all_fps.join(label, "fp", "left").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hex_fp(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-# Near-duplicates by resemblance of shingle sets
-
-#: Leading bits of a shingle's hash by which its count is estimated, and texts that are counted for it.
-CELL_BITS, SAMPLE = 20, 20_000
-#: Arms of the trees along which texts with a shared shingle are compared first, and number of trees, each in another order.
-ARMS, TREES = 64, 4
-#: Words of a sketch of a set.
-PARITY = 4
-_ODD = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
-_P = [f"p{i}" for i in range(PARITY)]
-#: Nodes of a shared shingle that are compared by their distance in it; more are compared one with all.
-FEW = 64
-
-
-def resemblance(a: bytes, b: bytes, size: int) -> float:
-    """Shared shingles of two texts as a part of all; 1 of two texts without words."""
-    x, y = (set(shingle_hashes(t, size).tolist()) for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, size))
-
-
-def set_digest(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
-
-
-def needed(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Shingles that sets of x and y shingles share at least when they resemble each other by `least`."""
-    return np.ceil(least / (1 + least) * (x + y) - 1e-9).astype(np.int64)
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles, rare ones first, of which a set shares one at least with each set that resembles it by `least`.
-
-    common has estimated counts by the leading bits of the hash. Any order that all sets go by gives the same links; only the work depends on it.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    order = np.lexsort((shingles, common[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
-    return shingles[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows of numbers, sorted by the first column, as arrays that cut no group."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
-        if not len(rows):
-            continue
-        if held and held[0][0, 0] == rows[-1, 0]:
-            held.append(rows)
-            continue
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        if held or last:
-            yield np.concatenate([*held, rows[:last]])
-        held = [rows[last:]]
-    if held:
-        yield np.concatenate(held)
-
-
-def _group_sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return starts, np.diff(np.r_[starts, len(key)])
-
-
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """A sketch of PARITY words: for each of its bits whether an odd number of shingles falls to it. Sketches differ in no more bits than sets in shingles."""
-    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _may(rows: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether the sets of rows x and y (_, node, shingles, place, _, sketch) can resemble each other when this shingle is the first they share."""
-    need = needed(rows[x, 2], rows[y, 2], least)
-    can = need <= np.minimum(rows[x, 2] - rows[x, 3], rows[y, 2] - rows[y, 3])
-    if rows.shape[1] > 5:
-        at = np.flatnonzero(can)
-        apart = np.bitwise_count((rows[x[at], 5:] ^ rows[y[at], 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        can[at] = apart <= (rows[x, 2] + rows[y, 2] - 2 * need)[at]
-    return can
-
-
-def tree_pairs(rows: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rows (shingle, node, shingles, place) of shingles that several nodes have, and for each of TREES orders a node above each in a tree of ARMS arms, or itself."""
-    starts, sizes = _group_sizes(rows[:, 0])
-    rows = rows[np.repeat(sizes > 1, sizes)]
-    sizes = sizes[sizes > 1]
-    at, first = np.arange(len(rows)), np.repeat(np.cumsum(sizes) - sizes, sizes)
-    above = np.where(at > first, first + (at - first - 1) // ARMS, at)
-    found = []
-    for odd in _ODD[:TREES]:
-        order = np.lexsort((rows[:, 1].view(np.uint64) * odd, first))
-        up = np.empty_like(order)
-        up[order] = order[above]
-        up = np.where(_may(rows, at, up, least), up, at)
-        found.append(rows[up, 1])
-    return rows, found
-
-
-def cross_pairs(rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """All pairs of nodes that share a shingle, can resemble each other and are not linked yet, from rows (shingle, node, shingles, place, root, sketch)."""
-    starts, sizes = _group_sizes(rows[:, 0])
-    mixed = np.minimum.reduceat(rows[:, 4], starts) != np.maximum.reduceat(rows[:, 4], starts)
-    few = mixed & (sizes <= FEW)
-    rest = rows[np.repeat(few, sizes)]
-    for d in range(1, int(sizes[few].max(initial=1))):
-        x = np.flatnonzero((rest[:-d, 0] == rest[d:, 0]) & (rest[:-d, 4] != rest[d:, 4]))
-        yield np.stack([rest[x, 1], rest[x + d, 1]], axis=1)[_may(rest, x, x + d, least)]
-    for s, m in zip(starts[mixed & ~few].tolist(), sizes[mixed & ~few].tolist(), strict=True):
-        part = rows[s : s + m]
-        part = part[np.argsort(part[:, 2], kind="stable")]
-        for x in range(m - 1):
-            # sorted by size, the sets that are not too large for this one are a run
-            end = int(np.searchsorted(part[:, 2], part[x, 2] / least + 1e-6, "right"))
-            y = np.arange(x + 1, max(end, x + 1))
-            y = y[part[y, 4] != part[x, 4]]
-            y = y[_may(part, np.full(len(y), x), y, least)]
-            yield np.stack([np.full(len(y), part[x, 1]), part[y, 1]], axis=1)
-
-
-def _grouped(df: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
-    """doc, digest (of the text), node (of its shingle set) and root of each row with a key; rows of one root are linked.
-
-    Texts with equal shingle sets are one node, by a digest of 64 bits. Sets are sorted by one order, so that two which resemble each other
-    share a shingle of their prefixes; no other link is lost or made: each pair that meets there is compared by its whole sets. Nodes
-    with a shared shingle are first compared along trees, so that large groups of near copies become one; then all
-    pairs that are not linked by now are compared.
-    """
-
-    ups = [f"above{i}" for i in range(TREES)]
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << CELL_BITS, np.int64)
-        for b in batches:
-            sets = [shingle_set(x, size) >> np.uint64(64 - CELL_BITS) for x in text_bytes(b.column(1))]
-            if sets:
-                seen += np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << CELL_BITS)
-        cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x, size) for x in text_bytes(b.column(1))]
-            sketch = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
-            firsts = pa.array([prefix(s, common, least).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), firsts, *(pa.array(sketch[:, i]) for i in range(PARITY))], ["doc", "digest", "node", "n", "first", *_P])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            firsts = [np.frombuffer(x, np.int64) for x in text_bytes(b.column(2))]
-            many = np.array([len(x) for x in firsts], np.int64)
-            repeat = pa.array(np.repeat(np.arange(len(firsts)), many))
-            place = [np.arange(m, dtype=np.int32) for m in many.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])), b.column(0).take(repeat), b.column(1).take(repeat), pa.array(np.concatenate([np.zeros(0, np.int32), *place]))], ["shingle", "node", "n", "place"])
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches):
-            rows, above = tree_pairs(rows, least)
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(2)), *(pa.array(rows[:, i].astype(np.int32)) for i in (2, 3)), *(pa.array(x) for x in above)], ["shingle", "node", "n", "place", *ups])
-
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches):
-            for found in cross_pairs(rows, least):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x, size) for x in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(*(text_bytes(b.column(i)) for i in (2, 3)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared / (len(x) + len(y) - shared) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    every_nth = max(1, docs.count() // SAMPLE)
-    counts = docs.where(F.pmod(F.xxhash64("doc", "text"), F.lit(every_nth)) == 0).mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    common = np.zeros(1 << CELL_BITS, np.int32)
-    common[counts["cell"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 31) - 1)
-
-    every = written(docs.select("doc", "text", F.xxhash64("text").alias("digest")).mapInArrow(prints, "doc long, digest long, node long, n int, first binary, " + ", ".join(f"{p} long" for p in _P)), "sets")
-    nodes = every.select("node", "n", "first").dropDuplicates(["node"])
-    places = nodes.mapInArrow(spread, "shingle long, node long, n int, place int").repartition("shingle").sortWithinPartitions("shingle", "node")
-    met = written(places.mapInArrow(trees, "shingle long, node long, n int, place int, " + ", ".join(f"{u} long" for u in ups)), "places")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # one text of each node, and only of those that are asked for
-        keys = every.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")).select("doc").distinct()
-        sets = written(docs.join(keys, "doc", "left_semi").select("doc", "text").mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_shingles"))
-        out = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(checked, "a long, b long"), "links")
-        drop_written(sets)
-        return out
-
-    above = met.select("node", F.explode(F.array(*ups)).alias("above")).where("node <> above")
-    tried = written(above.select(F.least("node", "above").alias("a"), F.greatest("node", "above").alias("b")).distinct(), "pairs")
-    links = verified(tried)
-    roots = components(links)
-    sketches = every.select("node", *_P).dropDuplicates(["node"]).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_P)
-    labelled = met.select("shingle", "node", "n", "place").join(sketches, "node").select("shingle", "node", "n", "place", "root", *_P)
-    pairs = labelled.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(crossing, "a long, b long").distinct()
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    linked = components(links.unionAll(verified(pairs)))
-    for done in (met, tried, pairs):
-        drop_written(done)
-    return every.select("doc", "digest", "node").join(linked, "node", "left").select("doc", "digest", "node", F.coalesce("root", "node").alias("root"))
-
-
-def resembling_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """key and component_id of each row with a key: links are texts whose sets of word shingles resemble each other by `least` or more."""
-    every = _grouped(df, key, text, size, least)
-    smallest = every.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return every.join(smallest, "root").select(F.col("doc").alias(key), "component_id")
-
-
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of df, with all columns, of each group: one with the smallest key and, of its texts in the group, that of the smallest digest.
-
-    Rows that repeat a key with another text stand for themselves; of rows that repeat both any one stays. Rows with a null key stay.
-    """
-    every = _grouped(df.select(key, text), key, text, size, least)
-    chosen = every.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("x")).select("x.doc", "x.digest")
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    kept = rows.join(chosen, ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"]).select("row.*")
-    return kept.unionAll(df.where(F.col(key).isNull()))
-
-
-# Spanning forest of a bucket of wide fingerprints, by their bits alone; the pipeline no longer links by it
-
-#: Words of a wide fingerprint; the first is the plain one.
-WORDS = 4
-#: Differing bits of 64 * WORDS up to which a pair is listed.
-FAR = 64
-
-
-def _close(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-
-
-def _bucket_links(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """(id, id, differing bits) of a spanning forest, nearest first, of each bucket; rows are sorted by key and Gray rank."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    found = []
-    few = np.repeat(sizes <= FEW, sizes)
-    for d in range(1, min(FEW, int(sizes[sizes <= FEW].max(initial=1)))):
-        x = np.flatnonzero((key[:-d] == key[d:]) & few[:-d])
-        if not len(x):
-            break
-        n = _close(words, x, x + d)
-        found.append(np.stack([x, x + d, n], axis=1)[n <= FAR])
-    for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        # a word's share of FAR, with a margin; what is dropped by one way comes up in others
-        for x, y in GrayIndex(words[s : s + m, 0]).pairs(FAR // 3):
-            n = _close(words, s + x, s + y)
-            keep = n <= FAR
-            pairs = np.stack([s + x, s + y, n], axis=1)[keep]
-            # of these a forest at once, so that a large group does not pile up its pairs
-            found.append(_forest(pairs, s, m))
-    return [(int(ids[x]), int(ids[y]), int(n)) for x, y, n in _forest(np.concatenate(found), 0, len(key)).tolist()] if found else []
-
-
-def _forest(pairs: np.ndarray, shift: int, size: int) -> np.ndarray:
-    forest = Forest(size)
-    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-    return pairs[[forest.join(x - shift, y - shift) for x, y, _ in pairs.tolist()]] if len(pairs) else pairs

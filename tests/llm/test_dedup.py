@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import xxhash
 
-from contigua.llm import line_dedup, queries, simhash, suffix_dedup
+from contigua.llm import line_dedup, near_dups, queries, simhash, suffix_dedup
 from contigua.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -174,7 +174,7 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.near_groups(documents(spark, [])).count() == 0
 
 
-def test_near_pairs_in_small_buckets(spark):
+def test_near_pairs_in_small_ranges(spark):
     rng = random.Random(3)
     fps = set()
     for c in [rng.getrandbits(64) for _ in range(2)]:
@@ -186,8 +186,8 @@ def test_near_pairs_in_small_buckets(spark):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     place = {s: i for i, s in enumerate(signed)}
-    for bucket in (4096, 20):
-        pairs = simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long"), 2, bucket).collect()
+    for limit in (4096, 20):
+        pairs = simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long"), 2, limit).collect()
         assert all((fps[place[p["a"]]] ^ fps[place[p["b"]]]).bit_count() <= 2 for p in pairs)
         above = linked(fps, 2)
         joined = list(range(len(fps)))
@@ -237,14 +237,10 @@ def test_resembling_groups_match_brute_force(spark, monkeypatch):
             a, b = above[i], above[j]
             above = [min(a, b) if x in (a, b) else x for x in above]
     df = documents(spark, list(enumerate(texts)) + [(None, texts[0])])
-    found = {r["doc_id"]: r["component_id"] for r in simhash.resembling_groups(df).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_dups.resembling_groups(df).collect()}
     assert found == dict(enumerate(above))
-    assert simhash.one_of_each(df).where("doc_id is not null").count() == len(set(above))
-    assert simhash.resembling_groups(documents(spark, [])).count() == 0
-    key, ids = np.zeros(200, np.int64), np.arange(200)
-    w = np.zeros((200, simhash.WORDS), np.uint64)
-    w[:, 1] = np.arange(200, dtype=np.uint64) & np.uint64(3)
-    assert len(simhash._bucket_links(key, ids, w)) == 199
+    assert near_dups.one_of_each(df).where("doc_id is not null").count() == len(set(above))
+    assert near_dups.resembling_groups(documents(spark, [])).count() == 0
 
 
 def family(rng, count, shared, own, planted):
@@ -256,14 +252,14 @@ def family(rng, count, shared, own, planted):
 
 def groups_of(spark, texts):
     found = {}
-    for r in simhash.resembling_groups(documents(spark, list(enumerate(texts)))).collect():
+    for r in near_dups.resembling_groups(documents(spark, list(enumerate(texts)))).collect():
         found.setdefault(r["component_id"], []).append(r["doc_id"])
     return sorted(sorted(g) for g in found.values() if len(g) > 1)
 
 
 def test_texts_below_the_bound_are_not_linked(spark):
     texts = family(random.Random(21), 120, 404, 54, 0)
-    assert 0.78 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.79
+    assert 0.78 < near_dups.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.79
     assert groups_of(spark, texts) == []
 
 
@@ -277,7 +273,7 @@ def test_repeated_shingles_count_once(spark):
 
 def test_pairs_within_a_template_are_linked(spark):
     texts = family(random.Random(23), 300, 404, 54, 30)
-    assert 0.83 < simhash.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.86
+    assert 0.83 < near_dups.resemblance(texts[0].encode(), texts[1].encode(), 5) < 0.86
     assert groups_of(spark, texts) == [[i, i + 1] for i in range(0, 60, 2)]
 
 
@@ -290,12 +286,35 @@ def test_prefixes_and_sketches_lose_no_pair():
     rng = np.random.default_rng(25)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     sets = [np.unique(np.r_[rng.choice(base, rng.integers(20, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)]) for _ in range(150)]
-    common = rng.integers(0, 3, 1 << simhash.CELL_BITS)
-    rows = np.array([(s.view(np.int64), i, len(x), p, i, *simhash.parity(x)) for i, x in enumerate(sets) for p, s in enumerate(simhash.prefix(x, common, 0.8))])
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    found = {tuple(sorted(p)) for x in simhash.cross_pairs(rows, 0.8) for p in x.tolist()}
+    common = rng.integers(0, 3, 1 << near_dups.CELL_BITS)
     true = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
-    assert true and true <= found
+    assert true
+    rows = np.array([(s.view(np.int64), i, i, len(x), p, 0, *near_dups.parity(x)) for i, x in enumerate(sets) for p, s in enumerate(near_dups.prefix(x, common, 0.8))])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    assert true <= {tuple(sorted(p)) for x in near_dups.cross_pairs(rows, 0.8) for p in x.tolist()}
+    assert {tuple(sorted(p)) for x in near_dups.tree_pairs(rows, 0.8) for p in x.tolist()}
+    # across halves only pairs of both, none of linked nodes
+    rows[:, near_dups.HALF] = 1 + rows[:, near_dups.NODE] % 2
+    rows[:, near_dups.ROOT] = rows[:, near_dups.NODE] // 4
+    across = {tuple(sorted(p)) for x in near_dups.cross_pairs(rows, 0.8) for p in x.tolist()}
+    assert {(i, j) for i, j in true if (i - j) % 2 and i // 4 != j // 4} <= across
+    assert all((i - j) % 2 and i // 4 != j // 4 for i, j in across)
+
+
+def test_groups_do_not_depend_on_blocks_or_partitions(spark):
+    texts = family(random.Random(27), 200, 404, 54, 20) + family(random.Random(28), 60, 200, 2, 0)
+    df = documents(spark, list(enumerate(texts)))
+    found = [rows_of(near_dups.resembling_groups(d, block=b)) for d, b in ((df, near_dups.BLOCK), (df.repartition(7), 16), (df.coalesce(1), 64))]
+    assert found[0] == found[1] == found[2]
+    assert sum(1 for r in found[0] if r[1] == 200) == 60 and len({r[1] for r in found[0]}) == 181
+
+
+def test_unrelated_texts_of_equal_fingerprints_both_stay(spark):
+    rng = random.Random(29)
+    new = lambda n: ["%x" % rng.getrandbits(60) for _ in range(n)]
+    spam = "buy cheap pills now at our shop today\n" * 500
+    df = documents(spark, [(i, spam + " ".join(new(400))) for i in (1, 2)])
+    assert near_dups.one_of_each(df).count() == 2
 
 
 def test_repeated_keys_leave_one_row_of_each_group(spark):
@@ -303,5 +322,5 @@ def test_repeated_keys_leave_one_row_of_each_group(spark):
     a, b, c, d = (" ".join("%x" % rng.getrandbits(60) for _ in range(40)) for _ in range(4))
     # 2 twice with a text, 3 with a copy of 1's text and with one of its own, 4 with two texts of one group
     df = documents(spark, [(1, a), (2, b), (2, b), (3, a), (3, c), (4, d), (4, d + " tail"), (None, a), (None, a)])
-    left = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in simhash.one_of_each(df).collect()]
+    left = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in near_dups.one_of_each(df).collect()]
     assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (4, d), (None, a), (None, a)], key=str)

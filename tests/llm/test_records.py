@@ -5,7 +5,7 @@ import gzip
 import duckdb
 import pytest
 
-from contigua.llm import chat, decontam, line_dedup, queries, rules, simhash, warc
+from contigua.llm import chat, decontam, line_dedup, near_dups, queries, rules, warc
 
 DATA = "/root/testdata/sf0.01"
 
@@ -104,4 +104,4 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in near.collect()} - gone
     last = stages["bpe"](spark, clean, DATA)
     assert rows_of(last) == rows_of(corpus_pipeline.run(spark, DATA))
-    assert simhash.one_of_each(docs.limit(0)).count() == 0
+    assert near_dups.one_of_each(docs.limit(0)).count() == 0
