@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.llm import bpe, decontam, line_dedup, rules, simhash
+from contigua.llm import bpe, decontam, line_dedup, near_dups, rules
 from contigua.llm.common import table, written
 from contigua.llm.queries import TOKENIZERS
 
@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, one with the smallest doc_id, of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    return near_dups.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
