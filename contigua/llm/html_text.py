@@ -1,170 +1,294 @@
 """Main text of HTML pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its number of words and its
-share of words in links, the same of its neighbours, whether it stands in an article or in a part of the page
-that names itself as something else, and whether it is a heading. A decision tree, grown from the labelled
-table below, tells main text from the rest.
-
-Defined cases: null and empty pages have the empty text; unclosed tags, comments, scripts and attributes end with
-the page, but a self-closed svg is empty, and so is any other such element without a later end tag; what is no tag is text; character references are decoded once, after the tags are taken apart. White space is
-what Python's str.split() cuts at. Pages are independent: repeated rows give repeated results. A page of any
-length is read as a whole.
+share of words in links, the same of its neighbours, how its tags and their names speak of it (not at all, in passing, or as
+something else than main text; a name that most of a page goes by counts as in passing), whether it stands in an article, beside one
+or on a page without, and whether it is a heading. A decision tree, grown from the labelled table below, tells main
+text from the rest.
+
+Pages are scanned by hand, in time that grows with their length whatever they hold: a search that failed once is not made again.
+
+Defined cases: null and empty pages have the empty text; comments, scripts and tags that are not closed end with
+the page; a quoted attribute without its closing quote ends at the next ">"; a self-closed svg is empty, and so is any other such
+element without a later end tag; what is no tag is text; hidden blocks are left out; character references are decoded once, after
+the tags are taken apart. White space is what Python's str.split() cuts at. Pages are independent: repeated rows give repeated
+results. A page of any length is read as a whole. Extra columns are kept; those named like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<shut>svg)\b[^>]*+(?<=/)>"
-    r"|<(?P<shut2>script|style|noscript|template|iframe|textarea|select|object|canvas|title)\b[^>]*+(?<=/)>(?!.*?</(?P=shut2)\s*>)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|canvas|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Attributes whose words name a block.
+NAMES = ("class", "id", "role", "aria-label")
 
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template iframe svg textarea select object canvas title".split())
 #: Tags that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags that may hold blocks and are followed until they end.
 CONTAINERS = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 #: Containers that do not hold main text by what they are.
 OTHER = frozenset("aside button dialog fieldset footer form head menu nav".split())
-#: Words in class, id, role or aria-label that name a container as something else than main text.
+#: Words in class, id, role or aria-label that name a block as something else than main text.
 OTHER_NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer discuss discussion disqus dropdown feedback foot footer form gdpr links login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
+    "ad ads adv advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer discuss discussion disqus dropdown feedback footer gdpr masthead menu modal navbar nav navigation newsletter notice notices notification overlay pagination pager popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
 )
-#: Names that a page's head and an article's head share: they count outside articles only.
-HEADS = frozenset({"header"})
+#: What follows the word that matters in a name: a cookie-notice-box is a notice, a market-share-report is a report.
+HOLDERS = frozenset("area articles bar block body box button buttons container content cta element entries entry field footer form group head header headline heading holder icon icons inner item items label left link links list main message module outer overlay page panel placeholder posts region right row section slot stories text title top unit wrap wrapper zone".split())
+#: Words that make a name tell of a page's layout, not of the block itself.
+LAYOUT = frozenset("has hide layout no non show with without".split())
+#: Names that a page's head and an article's head share: they count outside articles only, and not where one names the article's.
+HEADS, OWN_HEADS = frozenset({"header"}), frozenset("article entry post section story".split())
+#: Tags that end a block but hold nothing.
+BREAKS = frozenset("br col embed hr input link meta source track".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags whose start ends an open element of the same kind.
 CLOSES_ITSELF = frozenset("li td th tr".split())
 
+#: How a block is named: not as something else, in passing, as something else.
+PLAIN, PASSING, ELSE = range(3)
+#: Where a block stands: outside the article of its page, on a page without one, in an article.
+BESIDE, NOWHERE, INSIDE = -1, 0, 1
+#: A block with so many words outside links is taken for text when a page's text is counted.
+LONG = 10
+
 
 @dataclass(slots=True)
 class Block:
     text: str
     words: int
     linked: int
-    other: bool
+    named: int
+    top: int  # number of the outermost element that is named as something else, or 0
     article: bool
     heading: bool
 
 
+@dataclass(slots=True)
+class Open:
+    tag: str
+    named: int = PLAIN
+    top: int = 0
+    hidden: bool = False
+    article: bool = False
+
+
+def attributes(rest: str) -> dict[str, str]:
+    return {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(rest)}
+
+
+def naming(attrs: dict[str, str], in_article: bool) -> int:
+    """What the names in a tag's attributes make of it."""
+    out = PLAIN
+    for token in " ".join(attrs.get(a, "") for a in NAMES).split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
+        hits = [i for i, w in enumerate(words) if w in OTHER_NAMES or w in HEADS and not in_article and not OWN_HEADS & set(words)]
+        if hits:
+            sure = not LAYOUT & set(words[: hits[-1]]) and all(w in HOLDERS for w in words[hits[-1] + 1 :])
+            out = max(out, ELSE if sure else PASSING)
+    return out
+
+
+def is_hidden(attrs: dict[str, str]) -> bool:
+    return attrs.get("hidden", "until-found") != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", attrs.get("style", "")).lower()
+
+
+@dataclass
+class Scanner:
+    """The parts of a page in order: texts as ("", text, ""), tags as (name, "" or "/", attributes); raw elements come as a break, without what they hold."""
+
+    page: str
+    gone: set[str] = field(default_factory=set)  # what does not come again
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the end tag of a raw element begins, or -1."""
+        key = f"</{name}"
+        if key in self.gone:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        if m is None:
+            self.gone.add(key)
+            return -1
+        return m.start()
+
+    def tag_end(self, at: int) -> int:
+        """Where the ">" is that ends a tag; those in quoted values do not. -1: nowhere."""
+        page, close = self.page, self.find(">", at)
+        while close >= 0:
+            equals = page.find("=", at, close)
+            while equals >= 0:
+                i = equals + 1
+                while i < close and page[i].isspace():
+                    i += 1
+                if i < close and page[i] in "\"'":
+                    break
+                equals = page.find("=", i, close)
+            if equals < 0:
+                return close
+            shut = self.find(page[i], i + 1)
+            if shut < 0:
+                return close
+            at = shut + 1
+            if at > close:
+                close = self.find(">", at)
+        return -1
+
+    def parts(self) -> Iterator[tuple[str, str, str]]:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            low = page.find("<", at)
+            if low < 0:
+                yield "", page[at:], ""
+                return
+            if low > at:
+                yield "", page[at:low], ""
+            nxt = page[low + 1 : low + 2]
+            if page.startswith("<!--", low):
+                close = self.find("-->", low + 4)
+                at = n if close < 0 else close + 3
+            elif nxt in ("!", "?") and nxt:
+                close = self.find(">", low)
+                at = n if close < 0 else close + 1
+            elif m := NAME.match(page, low + 2 if nxt == "/" else low + 1):
+                close = self.tag_end(m.end())
+                if close < 0:
+                    return
+                name, slash, attrs = m[0].lower(), "/" if nxt == "/" else "", page[m.end() : close]
+                at = close + 1
+                if name in RAW:
+                    if not slash and not (attrs.endswith("/") and (name == "svg" or self.end_of(name, at) < 0)):
+                        begin = self.end_of(name, at)
+                        close = self.find(">", begin) if begin >= 0 else -1
+                        at = n if close < 0 else close + 1
+                    yield "hr", "", ""
+                else:
+                    yield name, slash, attrs
+            elif nxt == "/":
+                close = self.find(">", low)
+                at = n if close < 0 else close + 1
+            else:
+                yield "", "<", ""
+                at = low + 1
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; blocks without a word are left out."""
+    """The text blocks of a page in order; blocks without a word and hidden ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside something else, inside an article
+    stack = [Open("")]
+    count: Counter[str] = Counter()  # open elements by tag
+    now = stack[0]  # what the text that comes next stands in
     texts: list[str] = []
-    linked, in_link, heading = 0, False, False
-    other = article = False
+    linked, in_link, heading, tops = 0, False, False, 0
 
     def flush() -> None:
         nonlocal linked
         if texts:
             words = "".join(texts).split()
-            if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), other, article, heading))
+            if words and not now.hidden:
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), now.named, now.top, now.article, heading))
             texts.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+    for tag, slash, rest in Scanner(page).parts():
+        if not tag:
+            text = html.unescape(slash) if "&" in slash else slash
             texts.append(text)
             if in_link:
                 linked += len(text.split())
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
-            if m["raw"] or m["shut"] or m["shut2"]:
-                flush()
             continue
-        end = bool(m["end"] or m["end2"])
         if tag == "a":
-            in_link = not end
+            in_link = not slash
             continue
         if tag in INLINE:
             continue
         flush()
+        if tag in BREAKS:
+            continue
         in_link = in_link and tag not in CONTAINERS
         if tag in HEADINGS:
-            heading = not end
+            heading = not slash
         elif tag == "p" or tag in CONTAINERS:
             heading = False
-        if tag not in CONTAINERS:
-            continue
-        if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        if slash:
+            while count[tag]:
+                gone = stack.pop().tag
+                count[gone] -= 1
+                if gone == tag:
                     break
-        else:
-            attrs = m["attrs"] or m["attrs2"] or ""
-            if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
-                stack.pop()
-            was_other, was_article = stack[-1][1:] if stack else (False, False)
-            names = {w for x in NAMED.findall(attrs) for w in re.split(r"[^a-z]+", "".join(x).lower())} if attrs else set()
-            head = (tag in HEADS or bool(names & HEADS)) and not was_article
-            is_other = tag in OTHER or head or tag not in ("body", "html", "article", "main") and bool(names & OTHER_NAMES) or bool(attrs and HIDDEN.search(attrs))
-            stack.append((tag, was_other or is_other, was_article or tag in ("article", "main") and not was_other))
-        other, article = stack[-1][1:] if stack else (False, False)
-    add(page[at:])
+            now = stack[-1]
+            continue
+        if tag in CLOSES_ITSELF and stack[-1].tag == tag:
+            count[stack.pop().tag] -= 1
+        above = now = stack[-1]
+        if tag in CONTAINERS or "=" in rest or "hidden" in rest:
+            attrs = attributes(rest) if rest else {}
+            named = ELSE if tag in OTHER or tag in HEADS and not above.article else PLAIN
+            if attrs and tag not in ("body", "html", "article", "main"):
+                named = max(named, naming(attrs, above.article))
+            top = above.top
+            if named == ELSE and not top:
+                top = tops = tops + 1
+            now = Open(tag, max(above.named, named), top, above.hidden or bool(attrs) and is_hidden(attrs), above.article or tag in ("article", "main") and above.named < ELSE)
+            if tag in CONTAINERS:
+                stack.append(now)
+                count[tag] += 1
     flush()
     return out
 
 
 #: The statistics that the tree may split at.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "other", "article", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "named", "article", "heading")
 
 #: Labelled blocks, in the order of FEATURES and then 1 for main text, 0 for anything else.
 LABELLED = (
     # menus, breadcrumbs and lists of links
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 2, -1, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 8, 0.0, 2, -1, 0, 0),
     (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 2, 1.0, 0, -1, 0, 0),
     (2, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0),
-    (6, 1.0, 5, 1.0, 7, 1.0, 0, 0, 0, 0),
+    (6, 1.0, 5, 1.0, 7, 1.0, 0, -1, 0, 0),
     (9, 0.9, 6, 1.0, 8, 1.0, 0, 0, 0, 0),
-    (12, 1.0, 10, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (12, 1.0, 10, 1.0, 0, 0.0, 0, -1, 0, 0),
     (5, 0.8, 40, 0.0, 6, 0.8, 0, 1, 0, 0),
     (3, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0, 0),
     # adverts, notices, sidebars, forms, headers and footers by name, short and long
-    (8, 0.0, 2, 1.0, 7, 0.0, 1, 0, 0, 0),
-    (14, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0),
-    (35, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (25, 0.1, 30, 0.0, 3, 1.0, 1, 0, 0, 0),
-    (60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0, 0),
-    (7, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (11, 0.0, 45, 0.0, 1, 0.0, 1, 0, 0, 0),
-    (1, 0.0, 12, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0),
-    (6, 0.0, 30, 0.0, 12, 0.0, 1, 0, 1, 0),
+    (8, 0.0, 2, 1.0, 7, 0.0, 2, 0, 0, 0),
+    (14, 0.0, 1, 1.0, 12, 0.0, 2, -1, 0, 0),
+    (35, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0),
+    (25, 0.1, 30, 0.0, 3, 1.0, 2, -1, 0, 0),
+    (60, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 0),
+    (7, 0.0, 90, 0.0, 0, 0.0, 2, -1, 0, 0),
+    (11, 0.0, 45, 0.0, 1, 0.0, 2, 0, 0, 0),
+    (1, 0.0, 12, 0.0, 0, 0.0, 2, -1, 0, 0),
+    (4, 0.0, 0, 0.0, 1, 1.0, 2, 0, 1, 0),
+    (6, 0.0, 30, 0.0, 12, 0.0, 2, -1, 1, 0),
     # readers' comments and asides within articles
-    (18, 0.0, 4, 0.0, 22, 0.0, 1, 1, 0, 0),
-    (70, 0.0, 3, 0.0, 2, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 80, 0.0, 18, 0.0, 1, 1, 1, 0),
-    (2, 0.5, 70, 0.0, 15, 0.0, 1, 1, 0, 0),
-    (12, 0.0, 55, 0.0, 48, 0.0, 1, 1, 0, 0),
+    (18, 0.0, 4, 0.0, 22, 0.0, 2, 1, 0, 0),
+    (70, 0.0, 3, 0.0, 2, 0.0, 2, 1, 0, 0),
+    (3, 0.0, 80, 0.0, 18, 0.0, 2, 1, 1, 0),
+    (2, 0.5, 70, 0.0, 15, 0.0, 2, 1, 0, 0),
+    (12, 0.0, 55, 0.0, 48, 0.0, 2, 1, 0, 0),
     # short lines outside articles, between other short lines
     (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
     (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
@@ -197,6 +321,9 @@ LABELLED = (
     (5, 0.0, 2, 1.0, 4, 1.0, 0, 1, 1, 1),
     (20, 0.5, 45, 0.0, 30, 0.0, 0, 1, 0, 1),
     (14, 0.4, 30, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (12, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
+    (15, 0.0, 3, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (8, 0.0, 1, 0.0, 2, 1.0, 0, 1, 0, 1),
     # paragraphs and headings of pages that name no article
     (40, 0.0, 35, 0.0, 50, 0.05, 0, 0, 0, 1),
     (25, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1),
@@ -212,6 +339,74 @@ LABELLED = (
     (22, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1),
     (18, 0.1, 55, 0.0, 2, 1.0, 0, 0, 0, 1),
     (35, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1),
+    # more lists of links: menus, related pages, tags, pages of results
+    (1, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (4, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
+    (7, 1.0, 6, 1.0, 9, 1.0, 0, 0, 0, 0),
+    (11, 1.0, 12, 1.0, 10, 1.0, 0, 0, 0, 0),
+    (14, 0.9, 11, 1.0, 9, 1.0, 0, 0, 0, 0),
+    (3, 1.0, 20, 0.0, 2, 1.0, 0, 0, 1, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, -1, 0, 0),
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, -1, 0, 0),
+    (5, 1.0, 2, 1.0, 0, 0.0, 0, -1, 0, 0),
+    (8, 1.0, 9, 1.0, 7, 1.0, 0, -1, 0, 0),
+    (4, 1.0, 30, 0.0, 4, 1.0, 0, 1, 0, 0),
+    (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0),
+    (9, 0.8, 6, 1.0, 50, 0.0, 0, 1, 0, 0),
+    (2, 1.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 2, 1.0, 1, 1, 0, 0),
+    (3, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 40, 0.0, 1, 0, 0, 0),
+    # short titles of pages that name no article, and short lines above text that are none
+    (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 1, 1.0, 50, 0.0, 1, 0, 1, 1),
+    (4, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
+    # titles that are links, and sentences that are, between paragraphs of an article
+    (8, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
+    (6, 1.0, 3, 1.0, 60, 0.0, 0, 1, 1, 1),
+    (2, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 2, 1.0, 50, 0.0, 0, 1, 1, 1),
+    (5, 1.0, 0, 0.0, 12, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 4, 1.0, 18, 0.0, 0, 1, 1, 1),
+    (9, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1),
+    (12, 1.0, 40, 0.0, 30, 0.0, 0, 1, 0, 1),
+    # what no name speaks of, beside an article
+    (12, 0.0, 1, 1.0, 9, 0.0, 0, -1, 0, 0),
+    (30, 0.0, 8, 0.0, 6, 0.0, 0, -1, 0, 0),
+    (5, 0.0, 60, 0.0, 0, 0.0, 0, -1, 0, 0),
+    (2, 0.0, 0, 0.0, 1, 1.0, 0, -1, 1, 0),
+    (18, 0.1, 70, 0.0, 4, 0.0, 0, -1, 0, 0),
+    # names in passing, of layouts and of topics: blocks of text are text
+    (40, 0.0, 7, 0.0, 35, 0.0, 1, 0, 0, 1),
+    (25, 0.0, 0, 0.0, 30, 0.0, 1, 0, 0, 1),
+    (60, 0.1, 40, 0.0, 3, 1.0, 1, 0, 0, 1),
+    (16, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (6, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1, 1),
+    (4, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (9, 0.0, 30, 0.0, 25, 0.0, 1, 1, 0, 1),
+    (50, 0.0, 8, 0.0, 30, 0.0, 1, 1, 0, 1),
+    (3, 0.0, 20, 0.0, 40, 0.0, 1, 1, 1, 1),
+    (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
+    (5, 0.0, 4, 0.0, 3, 1.0, 1, 0, 0, 0),
+    # pages that are all in one element which was never closed or is named oddly, so that the name is one in passing
+    (45, 0.0, 7, 0.0, 60, 0.0, 1, 0, 0, 1),
+    (60, 0.1, 45, 0.0, 30, 0.0, 1, 0, 0, 1),
+    (30, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (20, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 1),
+    (80, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (15, 0.0, 35, 0.0, 3, 1.0, 1, 0, 0, 1),
+    (6, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1, 1),
+    (5, 0.0, 40, 0.0, 45, 0.0, 1, 0, 0, 1),
+    (4, 0.0, 30, 0.0, 50, 0.0, 1, 0, 1, 1),
+    (35, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (50, 0.0, 1, 1.0, 40, 0.0, 1, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
+    (4, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 0),
 )
 
 Tree = bool | tuple[int, float, "Tree", "Tree"]
@@ -238,7 +433,17 @@ def grow(rows: tuple[tuple[float, ...], ...]) -> Tree:
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     size = [(b.words, b.linked / b.words) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
-    return [(*around[i + 1], *around[i], *around[i + 2], b.other, b.article, b.heading) for i, b in enumerate(found)]
+    has_article = any(b.article and b.named < ELSE for b in found)
+    # where hardly any text stands outside of what is named as something else, and most of the page in one such element, that name tells little
+    text = sum(b.words - b.linked for b in found if b.named < ELSE and b.words - b.linked >= LONG)
+    in_top = Counter[int]()
+    for b in found:
+        in_top[b.top] += b.words
+    most = 0.6 * sum(in_top.values())
+    alone = not has_article and text < 2 * LONG
+    place = lambda b: INSIDE if b.article else BESIDE if has_article else NOWHERE
+    named = lambda b: PASSING if alone and b.named == ELSE and in_top[b.top] >= most else b.named
+    return [(*around[i + 1], *around[i], *around[i + 2], named(b), place(b), b.heading) for i, b in enumerate(found)]
 
 
 def is_main(tree: Tree, x: tuple[float, ...]) -> bool:

@@ -233,13 +233,64 @@ def test_self_closed_elements_are_empty():
     assert html_text.main_text(f"<article><p>{text}</p><iframe src=x/>no</iframe></article>") == text
 
 
+PARAGRAPH = "many words of a real paragraph that goes on and on about the topic of this page and some more"
+
+
+def test_names_are_one_feature_of_many():
+    p = PARAGRAPH
+    assert html_text.FEATURES[html_text.TREE[0]] != "named"
+    for name in ("layout no-sidebar", "market-share-report", "notice-of-meeting"):
+        assert html_text.main_text(f"<div class='{name}'><h1>Title of it</h1><p>{p}</p><p>{p}</p></div>") == f"Title of it {p} {p}"
+    odd = f"<article><p>{p}</p><p class='advert'>{p}</p><p hidden>no</p><h2 class='newsletter-title'>Join us</h2><p class=ad>x<br>y</p><p title='hidden gem'>{p}</p></article><div>{p}</div>"
+    assert html_text.main_text(odd) == f"{p} {p}"
+    assert html_text.main_text(f"<nav><a href=x>Home</a> <a href=y>News</a><h1>The title</h1><p>{p}</p><p>Yes.</p><p>{p}</p></body>") == f"The title {p} Yes. {p}"
+    assert html_text.main_text(f"<article><h1><a href=x>A title</a></h1><p>{p}</p><ul><li><a href=a>One more</a><li><a href=b>Another</a></ul></article>") == f"A title {p}"
+    assert html_text.main_text(f"<div class=siteHeader><p>{p}</p></div><main><div class=article-header><h1>Title</h1></div><p>{p}</p></main>") == f"Title {p}"
+
+
+def test_tags_quotes_and_ends():
+    p = PARAGRAPH
+    assert html_text.main_text(f"<article><p title='a > b' data-x=\">\">{p}</p><p b='>{p}</p>") == f"{p} {p}"
+    assert html_text.main_text(f"<article>{p}</section></div></article ><footer>{p}") == p
+    assert html_text.main_text(f"<article>{p} < b <3 </ x> c <? y> d") == f"{p} < b <3 c d"
+    assert html_text.main_text(f"<ARTICLE>{p}<SCRIPT>no</Script >{p}<p lost") == f"{p} {p}"
+
+
+@pytest.mark.parametrize("unit", ["<a b='", "<a ", "<a b='>", "<svg/>", "<iframe/>", "<!--", "<div>", "</section><div>", "</", "&", "<x a=b", "='\"<a b=\"'>", "<p class='"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 3
+
+
 def test_extraction_query(spark):
-    import html
+    from html.parser import HTMLParser
+
+    class Model(HTMLParser):
+        """The words in the article, by another parser."""
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.parts.append(" " if tag in ("p", "br", "h1") else "")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            self.parts.append(" " if tag in ("p", "h1") else "")
+
+        def handle_data(self, data):
+            self.parts.append(data if self.inside else "")
 
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in queries.op10_html(spark, DATA).collect():
-        body = re.search("<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S)[1]
-        assert r["text"] == " ".join(html.unescape(re.sub("</?(p|b|br|h1)>", " ", body)).split())
+        model = Model()
+        model.feed(pages[r["page_id"]])
+        assert r["text"] == " ".join("".join(model.parts).split())
         assert r["n_chars"] == len(r["text"])
     odd = spark.createDataFrame([(1, None, None, 3), (None, "u", "<article>x y", None)], "page_id long, url string, html string, row int")
     assert sorted(map(str, (tuple(r) for r in html_text.extracted(odd).collect()))) == sorted(map(str, [(1, None, 3, "", 0), (None, "u", None, "x y", 3)]))
