@@ -7,26 +7,28 @@ pieces are counted in overlapping diagonal bands, of 2k diagonals every k, and o
 aligned, by edit distance within the band. Text and items are compared in ASCII lower case with runs of
 white space as one space.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of at most BLOCK_BYTES, one pass over the
-documents for each, so no block outgrows a task however large the benchmark is. Documents are not shuffled to be searched; only the
-matches are, to be summed up by document and item.
+The benchmark is a stated query set. Its pieces are cut by tasks and written; blocks of about BLOCK_BYTES of pieces then go to
+the tasks one after the other, with a pass over the documents for each, whose matches are written before the next block is read. So neither
+a task nor the driver holds more than a block, however large the benchmark or one item is. Documents are not shuffled to be searched; only
+the matches are, to be summed up by document and item.
 
 Defined cases: null and empty texts match nothing; items of fewer than LEAST bytes after normalising are too
 short to tell and match nothing, as null items; rows that repeat a doc_id are summed up as one document, and
-repeated item_ids as one item; a null doc_id stays null and is summed up as one document. Texts of any length are read whole, in overlapping parts. Extra columns are ignored.
+repeated item_ids as one item; items with a null id match nothing; a null doc_id stays null and is summed up as one document. Texts of any
+length are read whole, in parts that overlap in what is left of white space; what is found twice counts once. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import text_bytes
+from contigua.llm.common import drop_written, text_bytes, written
 
 Q = 8
 PIECE = 100
@@ -37,7 +39,7 @@ LEAST = 20
 #: Any EXCERPT words in a row of an item hold one of its runs of RUN words, one every EXCERPT - RUN + 1, which are searched verbatim.
 EXCERPT, RUN = 13, 10
 BLOCK_BYTES = 4 << 20
-#: Bytes of text that are searched at once, and by which parts of a long text overlap.
+#: Bytes of text that are searched at once, and normalised ones by which parts of a long text overlap: more than a region has.
 PART, OVERLAP = 4 << 20, 512
 SIEVE_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,16 +53,33 @@ _fold[65:91] += 32
 _fold[_blank] = 32
 
 
-def normalised(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes that are compared, and the place of each in data."""
+def normalised(data: bytes, after_blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that are compared, and the place of each in data; white space at the end is one space."""
     a = np.frombuffer(data, np.uint8)
     blank = _blank[a]
-    keep = np.flatnonzero(~(blank & np.r_[True, blank[:-1]])) if len(a) else np.zeros(0, np.int64)
-    if len(keep) and blank[keep[-1]]:
-        keep = keep[:-1]
+    keep = np.flatnonzero(~(blank & np.r_[after_blank, blank[:-1]])) if len(a) else np.zeros(0, np.int64)
     return _fold[a[keep]], keep
 
 
+def trimmed(data: bytes) -> np.ndarray:
+    """The bytes of an item that are compared."""
+    a, _ = normalised(data, True)
+    return a[:-1] if len(a) and a[-1] == 32 else a
+
+
+def parts(data: bytes, size: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Normalised parts of a text that overlap, the places of their bytes, and how many normalised bytes come before each."""
+    size = size or PART
+    held, places, blank, before = np.zeros(0, np.uint8), np.zeros(0, np.int64), False, 0
+    for shift in range(0, max(1, len(data)), size):
+        a, at = normalised(data[shift : shift + size], blank)
+        held, places = np.concatenate([held, a]), np.concatenate([places, at + shift])
+        yield held, places, before
+        blank = shift + size <= len(data) and bool(_blank[data[shift + size - 1]])
+        cut = max(0, len(held) - OVERLAP)
+        held, places, before = held[cut:], places[cut:], before + cut
+
+
 def grams(a: np.ndarray) -> np.ndarray:
     """Each 8 bytes in a row, as one number."""
     if len(a) < Q:
@@ -77,21 +96,20 @@ def budget(m: int) -> int:
 
 @dataclass
 class Index:
-    """q-grams of the pieces of some items."""
+    """q-grams of some pieces."""
 
-    items: list[int]
-    pieces: list[tuple[int, np.ndarray]]  # item, bytes
-    verbatim: list[bool] = field(default_factory=list)  # of each piece; empty for none
+    pieces: list[tuple[int, np.ndarray]]  # item id, bytes
+    verbatim: list[bool]  # of each piece
 
     def __post_init__(self):
         self.size = np.array([len(p) for _, p in self.pieces], np.int64)
         self.edits = np.array([budget(m) for m in self.size], np.int64)
         self.bound = self.size - Q + 1 - self.edits * Q
         # a verbatim region has all q-grams of its piece, so one of Q tells enough
-        each = np.ones(len(self.pieces), np.int64)
-        if self.verbatim:
-            self.edits[self.verbatim], each[self.verbatim] = 0, Q
-            self.bound = np.where(self.verbatim, self.size // Q, self.bound)
+        exact = np.array(self.verbatim, bool)
+        each = np.where(exact, Q, 1)
+        self.edits[exact] = 0
+        self.bound = np.where(exact, self.size // Q, self.bound)
         all_grams = [grams(p)[::e] for (_, p), e in zip(self.pieces, each.tolist(), strict=True)]
         flat = np.concatenate([np.zeros(0, np.uint64), *all_grams])
         piece = np.repeat(np.arange(len(self.pieces)), [len(g) for g in all_grams])
@@ -131,35 +149,47 @@ class Index:
         return piece, band * np.maximum(1, self.edits[piece]) - PIECE
 
 
-def aligned(piece: np.ndarray, a: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits between the piece and a region of a on the diagonals of each band from low, and the region's end.
+def aligned(pieces: np.ndarray, a: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between each piece (a row) and a region of a on the diagonals of its band from low, and the region's end.
 
-    One row for each byte of the piece, one column for each diagonal of the band and of its margin.
+    One step for each byte of the pieces, one column for each diagonal of the band and of its margin.
     """
+    n, m = pieces.shape
     width = 4 * most + 1 + 2 * (most == 0)
     start = low - most
-    t = np.arange(width)
-    row = np.zeros((len(low), width), np.int32)  # a region may begin anywhere
-    far = np.int32(1 << 20)
-    padded = lambda j: np.where((j >= 0) & (j < len(a)), a[np.clip(j, 0, len(a) - 1)], 0)
-    for i, c in enumerate(piece):
-        text = padded(start[:, None] + t + i)
-        row = np.minimum(row + (text != c), np.concatenate([row[:, 1:], np.full((len(low), 1), far, np.int32)], axis=1) + 1)
-        row = np.minimum.accumulate(row - t, axis=1) + t
+    at = start[:, None] + np.arange(width + m)
+    text = np.where((at >= 0) & (at < len(a)), a[np.clip(at, 0, max(0, len(a) - 1))], 0)
+    t = np.arange(width, dtype=np.int32)
+    row = np.zeros((n, width + 1), np.int32)  # a region may begin anywhere
+    row[:, -1] = 1 << 20
+    for i in range(m):
+        new = row[:, :-1] + (text[:, i : i + width] != pieces[:, i, None])
+        np.minimum(new, row[:, 1:] + 1, out=new)
+        new -= t
+        np.minimum.accumulate(new, axis=1, out=new)
+        row[:, :-1] = new + t
+    row = row[:, :-1]
     best = row.argmin(axis=1)
-    return row[np.arange(len(low)), best], start + best + len(piece)
+    return row[np.arange(n), best], start + best + m
 
 
-def matches(index: Index, a: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(piece, begin, end, edits) of the regions of a within the edit budget of a piece; begin is that of the straight diagonal."""
+#: Bands that are aligned at once.
+BANDS = 4096
+
+
+def hits(index: Index, a: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(piece, end, edits) of regions of a within the edit budget of a piece, the nearest one of each band."""
     piece, low = index.candidates(a)
-    for p in np.unique(piece):
-        bands, k = low[piece == p], int(index.edits[p])
-        edits, end = aligned(index.pieces[p][1], a, bands, k)
-        # a region that lies in two bands is one
-        for z, e in sorted(set(zip(end.tolist(), edits.tolist(), strict=True))):
-            if e <= k:
-                yield int(p), max(0, z - int(index.size[p])), min(z, len(a)), e
+    size, k = index.size[piece], index.edits[piece]
+    order = np.lexsort((low, piece, k, size))
+    cuts = np.flatnonzero((np.diff(size[order]) != 0) | (np.diff(k[order]) != 0)) + 1
+    for alike in np.split(order, cuts):
+        for s in range(0, len(alike), BANDS):
+            some = alike[s : s + BANDS]
+            most = int(k[some[0]])
+            edits, end = aligned(np.stack([index.pieces[p][1] for p in piece[some].tolist()]), a, low[some], most)
+            good = edits <= most
+            yield from zip(piece[some][good].tolist(), end[good].tolist(), edits[good].tolist(), strict=True)
 
 
 def runs(a: np.ndarray) -> list[np.ndarray]:
@@ -172,76 +202,110 @@ def runs(a: np.ndarray) -> list[np.ndarray]:
     return [x for x in cut if len(x) >= LEAST]
 
 
-def index_of(items: list[tuple[int, str | None]]) -> Index:
-    names, pieces, verbatim = [], [], []
-    for item, text in items:
-        a, _ = normalised((text or "").encode())
-        if len(a) < LEAST:
-            continue
-        starts = [*range(0, max(1, len(a) - PIECE), STRIDE)]
-        if len(a) > PIECE:
-            starts.append(len(a) - PIECE)
-        near, words = [a[s : s + PIECE] for s in sorted(set(starts))], runs(a)
-        pieces += [(len(names), x) for x in near + words]
-        verbatim += [False] * len(near) + [True] * len(words)
-        names.append(item)
-    return Index(names, pieces, verbatim)
+def pieces_of(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The different pieces of an item: overlapping ones, and runs of words that are searched verbatim (true)."""
+    a = trimmed(text)
+    if len(a) < LEAST:
+        return
+    starts = [*range(0, max(1, len(a) - PIECE), STRIDE)]
+    if len(a) > PIECE:
+        starts.append(len(a) - PIECE)
+    yield from dict.fromkeys((a[s : s + PIECE].tobytes(), False) for s in starts)
+    yield from dict.fromkeys((x.tobytes(), True) for x in runs(a))
+
+
+def index_of(pieces: list[tuple[int, bytes, bool]]) -> Index:
+    return Index([(item, np.frombuffer(x, np.uint8)) for item, x, _ in pieces], [v for *_, v in pieces])
 
 
 def _search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, begin, end, edits), in bytes of the text."""
-    group, size = [], 0  # (text, shift, bytes, places)
+    """(text, item, begin, end, edits) of each region, in bytes of the text; begin is that of the straight diagonal.
+
+    Hits of a piece whose ends are at most half its length apart are one region; the nearest of them, and of those the first, stands for it.
+    """
+    group, size = [], 0  # (text, bytes, places, bytes before)
+    found: set[tuple[int, int, int, int, int, int]] = set()  # text, piece, end in normalised bytes, edits, begin and end in bytes
+    gap = np.frombuffer(GAP, np.uint8)
 
-    def run() -> Iterator[tuple[int, int, int, int, int]]:
+    def run() -> None:
         if not group:
             return
-        gap = np.frombuffer(GAP, np.uint8)
-        starts = np.cumsum([0] + [len(g[2]) + len(gap) for g in group])
-        a = np.concatenate([x for g in group for x in (g[2], gap)])
-        for p, begin, end, edits in matches(index, a):
+        starts = np.cumsum([0] + [len(g[1]) + len(gap) for g in group])
+        a = np.concatenate([x for g in group for x in (g[1], gap)])
+        for p, end, edits in hits(index, a):
+            begin = end - int(index.size[p])
             j = int(np.searchsorted(starts, (begin + end) // 2, side="right")) - 1
-            text, shift, body, places = group[j]
-            b, e = max(0, begin - starts[j]), min(len(body), end - starts[j])
+            text, body, places, before = group[j]
+            b, e = max(0, begin - int(starts[j])), min(len(body), end - int(starts[j]))
             if b < e:
-                yield text, index.items[index.pieces[p][0]], shift + int(places[b]), shift + int(places[e - 1]) + 1, edits
+                found.add((text, p, before + e, edits, int(places[b]), int(places[e - 1]) + 1))
 
     for t, data in enumerate(texts):
-        for shift in range(0, max(1, len(data) - OVERLAP), PART):
-            part, places = normalised(data[shift : shift + PART + OVERLAP])
-            group.append((t, shift, part, places))
-            size += len(part)
+        for a, places, before in parts(data):
+            group.append((t, a, places, before))
+            size += len(a)
             if size >= PART:
-                yield from run()
+                run()
                 group.clear()
                 size = 0
-    yield from run()
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about `most` bytes, by hash of item_id."""
-    total = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // most))
+    run()
+    best: tuple[int, int, int, int, int, int] | None = None
+    last = 0
+    for hit in sorted(found):
+        t, p, end, edits, _, _ = hit
+        if best is not None and best[:2] == (t, p) and end - last <= index.size[p] // 2:
+            best = min(best, hit, key=lambda h: (h[3], h[2], -h[4]))
+        else:
+            if best is not None:
+                yield best[0], index.pieces[best[1]][0], best[4], best[5], best[3]
+            best = hit
+        last = end
+    if best is not None:
+        yield best[0], index.pieces[best[1]][0], best[4], best[5], best[3]
+
+
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """item_id, piece (bytes) and verbatim of the items; each different one once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+                if i is not None and (some := list(pieces_of(text))):
+                    piece, verbatim = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(piece, pa.binary()), pa.array(verbatim)], ["item_id", "piece", "verbatim"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "item_id long, piece binary, verbatim boolean").distinct()
+
+
+def blocks(cut: DataFrame, most: int = 0) -> Iterator[list[tuple[int, bytes, bool]]]:
+    """The pieces in blocks of about `most` bytes, by hash; one block is on the driver at a time."""
+    total = cut.agg(F.sum(F.octet_length("piece") + 8)).first()[0] or 0
+    n = max(1, -(-total // (most or BLOCK_BYTES)))
     for i in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text").collect()
-        yield sorted(((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None), key=lambda r: (r[0], r[1] or ""))
+        rows = cut.where(F.pmod(F.xxhash64("item_id", "piece", "verbatim"), F.lit(n)) == i).collect()
+        yield sorted((r["item_id"], bytes(r["piece"]), r["verbatim"]) for r in rows)
 
 
 def found(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id, n_regions (of pieces of the item), begin and end (bytes of the text, over all regions) and edits (of the nearest one)."""
     kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    cut = written(pieces(benchmark), "pieces")
     out = None
-    for block in blocks(benchmark):
+    for block in blocks(cut):
         index = index_of(block)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = list(_search(index, list(text_bytes(b.column(1)))))
-                if rows:
-                    which, item, begin, end, edits = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(item, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int64())], ["key", "item_id", "begin", "end", "edits"])
-
-        rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, item_id long, begin long, end long, edits long")
-        out = rows if out is None else out.unionAll(rows)
+                regions = list(_search(index, list(text_bytes(b.column(1)))))
+                if regions:
+                    which, item, begin, end, edits = zip(*regions, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), *(pa.array(x, pa.int64()) for x in (item, begin, end, edits))], ["key", "item_id", "begin", "end", "edits"])
+
+        part = written(rows.mapInArrow(run, f"key {kind}, item_id long, begin long, end long, edits long"), "matches")
+        out = part if out is None else out.unionAll(part)
+    drop_written(cut)
     out = out.groupBy("key", "item_id").agg(F.count("*").alias("n_regions"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("edits").alias("edits"))
     return out.withColumnRenamed("key", key)
 

@@ -18,6 +18,7 @@ from contigua.llm import bpe, crf, decontam, html_text, queries, rules
 DATA = "/root/testdata/sf0.01"
 BPE = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+simhash_lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def statistics(text):
@@ -138,21 +139,24 @@ def test_bpe_skips_stale_entries(tmp_path):
 
 def edit_distance_within(piece, text):
     """Fewest edits between the piece and any part of the text."""
+    text = np.frombuffer(text, np.uint8)
+    place = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, int)
     for i, c in enumerate(piece, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        for j, x in enumerate(text, 1):
-            new[j] = min(row[j - 1] + (c != x), row[j] + 1, new[j - 1] + 1)
-        row = new
+        new = np.r_[i, np.minimum(row[:-1] + (text != c), row[1:] + 1)]
+        row = np.minimum.accumulate(new - place) + place
     return row.min()
 
 
+def index_of(items):
+    return decontam.index_of([(i, piece, v) for i, t in items for piece, v in decontam.pieces_of(t.encode())])
+
+
 def test_decontamination_matches_brute_force():
     rng = random.Random(2)
     alphabet = "abcdefgh "
     items = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (30, 60, 100, 170)]
-    index = decontam.index_of(list(enumerate(items)))
+    index = index_of(enumerate(items))
     assert len(index.pieces) > len(items)
     for _ in range(60):
         item = rng.randrange(len(items))
@@ -174,13 +178,26 @@ def test_decontamination_matches_brute_force():
         assert best == expected
 
 
-def test_decontamination_cases(spark, monkeypatch):
+def test_regions_count_once_wherever_parts_end(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(400)]
+    item = " ".join(rng.choices(words, k=40))
+    wide = item.replace(" ", " " * 700)
+    index = index_of([(1, item)])
+    filler = lambda n: " ".join(rng.choices(words, k=n))
+    for text in (f"{filler(90)} {item} {filler(300)} {item}", f"{wide} {filler(60)}\n\n{wide}  ", item, f"{filler(700)}\t{item[:150]}"):
+        whole = sorted(decontam._search(index, [text.encode()]))
+        assert whole
+        for size in (500, 1000, 4096):
+            monkeypatch.setattr(decontam, "PART", size)
+            assert sorted(decontam._search(index, [text.encode()])) == whole
+        monkeypatch.undo()
+
+
+def test_decontamination_cases(spark):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the river bank"), (1, None), (2, None), (3, ""), (None, "y" * 90), (4, "short"), (5, "z" * 40)], "item_id long, text string")
     hit = "well: the QUICK  brown\nfox jumps over the lazy dog near the river bank!"
     docs = documents(spark, [(10, hit), (10, hit), (11, None), (12, ""), (13, "nothing to see here at all, move on please"), (None, hit), (14, "z" * 100), (15, "w " * 3_000_000 + hit)])
-    for most in (1 << 20, 64):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", most)
-        assert len(list(decontam.blocks(bench, most))) == (1 if most > 1000 else 9)
     found = {(r["doc_id"], r["item_id"]): r for r in decontam.found(docs, bench).collect()}
     assert set(found) == {(10, 1), (None, 1), (14, 5), (15, 1)}
     assert found[10, 1]["edits"] == 0 and found[15, 1]["begin"] >= 6_000_000
@@ -189,10 +206,20 @@ def test_decontamination_cases(spark, monkeypatch):
     assert decontam.found(documents(spark, []), bench).count() == 0
 
 
+def test_blocks_of_the_benchmark_give_the_same_matches(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontam.found(docs, bench).collect()))
+    cut = decontam.pieces(bench)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40_000)
+    sizes = [sum(len(x) for _, x, _ in block) for block in decontam.blocks(cut)]
+    assert 2 <= len(sizes) and max(sizes) < 80_000
+    assert whole and sorted(map(tuple, decontam.found(docs, bench).collect())) == whole
+
+
 def test_decontamination_finds_thirteen_words_at_any_offset():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
-    index = decontam.index_of([(7, " ".join(words))])
+    index = index_of([(7, " ".join(words))])
     for i in range(len(words) - 12):
         text = "before it " + " ".join(words[i : i + 13]) + " after it"
         assert {item for _, item, *_ in decontam._search(index, [text.encode()])} == {7}
@@ -200,12 +227,22 @@ def test_decontamination_finds_thirteen_words_at_any_offset():
 
 
 def test_decontamination_query(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
-    found = {(r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, DATA).collect()}
-    plain = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
-    folded = {(d, i) for d, t in docs.items() for i, x in items.items() if " ".join(x.lower().split()) in " ".join(t.lower().split())}
-    assert plain <= found and len(found - folded) <= 2
+    small = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    found = {(r["doc_id"], r["item_id"]): r for r in queries.op9_decontamination(spark, small).collect()}
+    cut = [(i, p, 0 if v else decontam.budget(len(p)), {p[j : j + 8] for j in range(len(p) - 7)}) for i, t in items.items() for p, v in decontam.pieces_of(t.encode())]
+    expected = {}
+    for d, t in docs.items():
+        plain = re.sub(rb"[ \t\n\x0b\x0c\r\x00]+", b" ", t.encode()).translate(simhash_lower)
+        there = {plain[j : j + 8] for j in range(len(plain) - 7)}
+        for i, p, k, of_piece in cut:
+            # within its edits a piece shares an 8-gram at least
+            if len(of_piece & there) and (e := 0 if p in plain else edit_distance_within(p, plain) if k else 99) <= k:
+                expected[d, i] = min(e, expected.get((d, i), 99))
+    assert expected and {k: r["edits"] for k, r in found.items()} == expected
+    for (d, _), r in found.items():
+        assert 0 <= r["begin"] < r["end"] <= len(docs[d].encode()) and r["n_regions"] > 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
