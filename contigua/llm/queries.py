@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigua.llm import bpe, chat, crf, decontam, html_text, line_dedup, rules, simhash, suffix_dedup, warc
 from contigua.llm.common import new_folder, table
 
-#: Where the public tokenizer files lie; they are never copied.
-TOKENIZERS = os.environ.get("CONTIGUA_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary that texts are encoded with; the file is read where it lies and never copied.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +24,9 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     warc.written_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.read_archives(spark, path)
+    # payloads of responses are read whole; of revisits, which have none, only the headers
+    responses = warc.read_archives(spark, path).where("record_type = 'response'")
+    found = responses.unionAll(warc.read_archives(spark, path, payload=False).where("record_type = 'revisit'"))
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).cast("long")
     stored = F.col("payload").isNotNull()
     return found.select(
@@ -59,7 +60,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

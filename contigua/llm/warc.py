@@ -1,9 +1,10 @@
 """WARC archives: a Python data source ("warc") that writes and reads them.
 
-Writing: each task writes archives of its own, gzip member by gzip member, and commits their names; a manifest names the
-archives of tasks that ended well, so repeated or lost attempts leave nothing that a reader takes. Reading: archives
-are dealt to partitions by size; a record's headers are parsed first, and a payload that pushed-down
-predicates or the option payload=false rule out is passed over without being kept or decoded.
+Writing: each task writes archives of its own, a gzip member for each record, and beside each archive the places of its members;
+a commit adds a manifest that names the archives of its tasks that ended well, so repeated or lost attempts leave nothing that a
+reader takes, and appended archives add up. Reading: archives are cut between members into partitions of like size; a record's headers
+are parsed first, and a payload that pushed-down predicates or the option payload=false rule out is neither inflated nor read: the reader
+goes to the next member. Archives from elsewhere, without such places, are read from end to end.
 
 Columns: record_id, record_type, target_uri, date, payload_digest (bare hex SHA-1 of the full payload),
 payload_bytes, refers_to (strings), payload (binary, null unless it was read). A revisit record has no payload of its own; its
@@ -12,7 +13,7 @@ digest and length are those of the payload that it refers to.
 Predicates that are pushed down: equality, IN and IS NOT NULL on record_type, record_id, target_uri, payload_digest and refers_to.
 
 Defined cases: a null or empty page has an empty payload; an empty table makes no archive and reads
-as no rows; records that end early make the reader fail. Paths are those of pyarrow's file systems (file, hdfs, s3, gs).
+as no rows; records that end early make the reader fail, whether their payload is wanted or not. Paths are those of pyarrow's file systems (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,13 @@ from pyspark.sql.types import StructType
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 PUSHED = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
-MANIFEST = "_manifest.json"
+#: Manifests have this prefix and the suffix .json; an archive's file of places has the archive's name and this suffix.
+MANIFEST, PLACES = "_manifest-", ".places"
 ARCHIVE_BYTES = 256 << 20
-CHUNK = 1 << 16
-#: Bytes of archives that one partition reads, unless one archive has more.
-PARTITION_BYTES = 64 << 20
+#: Bytes that are read at once, and inflated at once where headers are looked for.
+CHUNK, HEAD = 1 << 16, 1 << 11
+#: Bytes of archives that one partition reads at most and, where that leaves cores idle, at least.
+PARTITION_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 BATCH_BYTES = 8 << 20
 #: Payloads shorter than this are not worth a revisit record.
 REVISIT_BYTES = 1000
@@ -84,7 +88,33 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, int]]
+    files: list[tuple[str, int, list[int]]]  # name, bytes, places between which partitions may be cut
+
+
+class Archive:
+    """An archive that is being written."""
+
+    def __init__(self, where: fs.FileSystem, root: str):
+        self.where, self.path = where, f"{root}/part-{uuid.uuid4().hex}.warc.gz"
+        self.out, self.places = where.open_output_stream(self.path, compression=None), [0]
+
+    def add(self, data: bytes) -> None:
+        self.out.write(data)
+        self.places.append(self.places[-1] + len(data))
+
+    @property
+    def size(self) -> int:
+        return self.places[-1]
+
+    def close(self) -> tuple[str, int, list[int]]:
+        self.out.close()
+        with self.where.open_output_stream(self.path + PLACES, compression=None) as out:
+            out.write(np.array(self.places, "<i8").tobytes())
+        cuts = [0]
+        for p in self.places:
+            if p - cuts[-1] >= LEAST_BYTES:
+                cuts.append(p)
+        return self.path.rsplit("/", 1)[1], self.size, cuts
 
 
 class WarcWriter(DataSourceWriter):
@@ -94,53 +124,67 @@ class WarcWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         where, root = place(self.path)
         where.create_dir(root, recursive=True)
-        files, out, size = [], None, 0
+        files, now = [], None
         for row in iterator:
-            if out is None or size >= ARCHIVE_BYTES:
-                if out is not None:
-                    out.close()
-                    files[-1] = (files[-1][0], size)
-                files.append((f"part-{uuid.uuid4().hex}.warc.gz", 0))
-                out, size = where.open_output_stream(f"{root}/{files[-1][0]}", compression=None), 0
-            out.write(data := member(record(row)))
-            size += len(data)
-        if out is not None:
-            out.close()
-            files[-1] = (files[-1][0], size)
+            if now is not None and now.size >= ARCHIVE_BYTES:
+                files.append(now.close())
+                now = None
+            now = now or Archive(where, root)
+            now.add(member(record(row)))
+        if now is not None:
+            files.append(now.close())
         return Written(files)
 
     def commit(self, messages: list) -> None:
         where, root = place(self.path)
         where.create_dir(root, recursive=True)
-        with where.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with where.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(f for m in messages if m is not None for f in m.files)).encode())
 
     def abort(self, messages: list) -> None:
         where, root = place(self.path)
         for m in messages:
-            for name, _ in m.files if m is not None else ():
+            for name, *_ in m.files if m is not None else ():
                 where.delete_file(f"{root}/{name}")
+                where.delete_file(f"{root}/{name}{PLACES}")
+
+
+class Buffered:
+    """A file that is read in pieces of CHUNK bytes; places in the piece that is held cost nothing to go to."""
+
+    def __init__(self, source):
+        self.source, self.at, self.held, self.base, self.size = source, 0, b"", 0, source.size()
+
+    def read(self, n: int) -> bytes:
+        if not self.base <= self.at < self.base + len(self.held):
+            self.held, self.base = self.source.read_at(max(n, CHUNK), self.at), self.at
+        out = self.held[self.at - self.base : self.at - self.base + n]
+        self.at += len(out)
+        return out
 
 
 class Stream:
-    """Bytes of an archive, inflated where it is gzip; skip() keeps nothing."""
+    """Bytes of an archive up to a place, inflated where it is gzip; skip() keeps nothing."""
+
+    def __init__(self, source: Buffered, packed: bool, end: int):
+        self.source, self.end, self.held, self.inflate = source, end, b"", zlib.decompressobj(31) if packed else None
 
-    def __init__(self, source, packed: bool):
-        self.source, self.held, self.inflate = source, b"", zlib.decompressobj(31) if packed else None
+    def raw(self) -> bytes:
+        return self.source.read(min(CHUNK, self.end - self.source.at)) if self.source.at < self.end else b""
 
-    def more(self) -> bool:
+    def more(self, most: int = 4 * CHUNK) -> bool:
         while True:
             if self.inflate is not None and self.inflate.eof:
-                rest = self.inflate.unused_data or self.source.read(CHUNK)
+                rest = self.inflate.unused_data or self.raw()
                 if not rest:
                     return False
                 self.inflate = zlib.decompressobj(31)
             else:
                 rest = self.inflate.unconsumed_tail if self.inflate is not None else b""
-                rest = rest or self.source.read(CHUNK)
+                rest = rest or self.raw()
                 if not rest:
                     return False
-            got = rest if self.inflate is None else self.inflate.decompress(rest, 4 * CHUNK)
+            got = rest if self.inflate is None else self.inflate.decompress(rest, most)
             if got:
                 self.held += got
                 return True
@@ -150,7 +194,7 @@ class Stream:
         at = 0
         while (i := self.held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
             at = len(self.held)
-            if not self.more():
+            if not self.more(HEAD):
                 if self.held.strip():
                     raise ValueError("the archive ends within a record's headers")
                 return b""
@@ -170,7 +214,9 @@ class Stream:
     def skip(self, n: int) -> None:
         while n:
             if not self.held and self.inflate is None:
-                self.source.seek(self.source.tell() + n)  # the payload is not even read
+                self.source.at += n  # the payload is not even read
+                if self.source.at > self.end:
+                    raise ValueError("the archive ends within a record")
                 return
             if not self.held and not self.more():
                 raise ValueError("the archive ends within a record")
@@ -184,8 +230,8 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def parse(stream: Stream, wanted: dict[str, frozenset], there: set[str], with_payload: bool) -> Iterator[tuple]:
-    """Rows of the records whose headers meet the predicates."""
+def parse(stream: Stream, wanted: dict[str, frozenset], there: set[str], with_payload: bool, alone: bool = False) -> Iterator[tuple]:
+    """Rows of the records whose headers meet the predicates; of one that stands alone nothing is skipped that is not needed."""
     while head := stream.head():
         h = fields(head)
         left = int(h["content-length"])
@@ -193,31 +239,30 @@ def parse(stream: Stream, wanted: dict[str, frozenset], there: set[str], with_pa
         digest = h.get("warc-payload-digest", "").partition(":")[2]
         row = {"record_id": strip(h.get("warc-record-id")), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "refers_to": strip(h.get("warc-refers-to"))}
         row["payload_digest"] = base64.b32decode(digest).hex() if digest else None
-        if any(row[c] not in v for c, v in wanted.items()) or any(row[c] is None for c in there):
-            stream.skip(left)
-        else:
+        if all(row[c] in v for c, v in wanted.items()) and all(row[c] is not None for c in there):
             payload, size = None, None
             if h.get("content-type", "").startswith("application/http"):
                 before = stream.head()
                 left -= len(before) + 4
                 size = int(fields(before).get("content-length", left))
             if with_payload and row["record_type"] != "revisit":
-                payload = stream.take(left)
-            else:
-                stream.skip(left)
-            row |= {"payload": payload, "payload_bytes": left if size is None else size}
+                payload = stream.take(left + 4)[:left]
+                left = -4
+            row |= {"payload": payload, "payload_bytes": len(payload) if payload is not None and size is None else left if size is None else size}
             yield tuple(row[c] for c in COLUMNS)
-        stream.skip(4)
+        if alone:
+            return
+        stream.skip(left + 4)
 
 
 @dataclass
 class Archives(InputPartition):
-    files: list[str]
+    parts: list[tuple[str, int, int]]  # file, from, to; to is -1 where the file has no places of members
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, with_payload: bool):
-        self.path, self.with_payload, self.wanted, self.there = path, with_payload, {}, set()
+    def __init__(self, path: str, with_payload: bool, tasks: int = 1):
+        self.path, self.with_payload, self.tasks, self.wanted, self.there = path, with_payload, tasks, {}, set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -232,34 +277,57 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Archives]:
         where, root = place(self.path)
-        try:
-            with where.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                files = [tuple(x) for x in json.loads(f.read())]
-        except FileNotFoundError:
-            found = where.get_file_info(fs.FileSelector(root))
-            files = sorted((x.base_name, x.size) for x in found if x.base_name.endswith((".warc", ".warc.gz")))
+        there = {x.base_name: x for x in where.get_file_info(fs.FileSelector(root))}
+        cuts: list[tuple[str, int, int, int]] = []  # file, from, to, bytes
+        if manifests := [n for n in there if n.startswith(MANIFEST)]:
+            for m in sorted(manifests):
+                with where.open_input_stream(f"{root}/{m}", compression=None) as f:
+                    for name, size, at in json.loads(f.read()):
+                        cuts += [(name, s, e, e - s) for s, e in zip(at, [*at[1:], size], strict=True) if s < e]
+        else:
+            cuts = [(n, 0, -1, x.size) for n, x in sorted(there.items()) if n.endswith((".warc", ".warc.gz"))]
+        most = min(PARTITION_BYTES, max(LEAST_BYTES, sum(c[3] for c in cuts) // self.tasks))
         out, size = [Archives([])], 0
-        for name, n in files:
-            if size + n > PARTITION_BYTES and out[-1].files:
+        for name, s, e, n in cuts:
+            if size + n > most and out[-1].parts:
                 out.append(Archives([]))
                 size = 0
-            out[-1].files.append(f"{root}/{name}")
+            path = f"{root}/{name}"
+            if out[-1].parts and out[-1].parts[-1][::2] == (path, s):
+                out[-1].parts[-1] = (path, out[-1].parts[-1][1], e)
+            else:
+                out[-1].parts.append((path, s, e))
             size += n
         return out
 
+    def rows(self, where: fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple]:
+        rule = (self.wanted, self.there, self.with_payload)
+        with where.open_input_file(path) as f:
+            source, packed = Buffered(f), path.endswith(".gz")
+            if end < 0:
+                yield from parse(Stream(source, packed, source.size), *rule)
+                return
+            if source.size < end:
+                raise ValueError(f"the archive ends within a record: {path}")
+            with where.open_input_stream(path + PLACES, compression=None) as p:
+                places = np.frombuffer(p.read(), "<i8")
+            places = places[(places >= start) & (places <= end)].tolist()
+            for s, e in zip(places, places[1:], strict=False):
+                source.at = s
+                yield from parse(Stream(source, packed, e), *rule, alone=True)
+
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.binary() if c == "payload" else pa.int64() if c == "payload_bytes" else pa.string()) for c in COLUMNS])
         where, _ = place(self.path)
         rows, size = [], 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        for name in partition.files:
-            with where.open_input_file(name) as source:
-                for row in parse(Stream(source, name.endswith(".gz")), self.wanted, self.there, self.with_payload):
-                    rows.append(row)
-                    size += 200 + len(row[-1] or b"")
-                    if size >= BATCH_BYTES:
-                        yield pack()
-                        rows, size = [], 0
+        for part in partition.parts:
+            for row in self.rows(where, *part):
+                rows.append(row)
+                size += 200 + len(row[-1] or b"")
+                if size >= BATCH_BYTES:
+                    yield pack()
+                    rows, size = [], 0
         if rows:
             yield pack()
 
@@ -275,7 +343,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
+        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", int(self.options.get("tasks", "1")))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -318,7 +386,7 @@ def written_archives(pages: DataFrame, path: str) -> None:
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def sha1_hex(data: bytes) -> str:

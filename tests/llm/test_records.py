@@ -1,6 +1,7 @@
 """Conversations, archives and the pipeline."""
 
 import gzip
+import random
 
 import duckdb
 import pytest
@@ -67,17 +68,46 @@ def test_archives(spark, tmp_path):
     assert [r["payload_digest"] for r in one.collect()] == [warc.sha1_hex(big.encode())]
     assert "Filter " not in one._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
     assert warc.read_archives(spark, path, payload=False).where("payload is not null").isEmpty()
+    # appended archives add up
+    warc.written_archives(pages(spark, rows[:5]), path)
+    assert warc.read_archives(spark, path).count() == len(rows) + 5
     # the same archives without a manifest, one of them unpacked
+    for m in (tmp_path / "a").glob(warc.MANIFEST + "*"):
+        m.unlink()
     files = sorted((tmp_path / "a").glob("*.warc.gz"))
-    (tmp_path / "a" / warc.MANIFEST).unlink()
     (tmp_path / "a" / "z.warc").write_bytes(gzip.decompress(files[0].read_bytes()))
     files[0].unlink()
-    assert warc.read_archives(spark, path).count() == len(rows)
+    assert warc.read_archives(spark, path).count() == len(rows) + 5
     again = warc.read_archives(spark, path).where("record_type = 'revisit'")
-    assert again.count() == 2
+    assert again.count() == 4
     (tmp_path / "a" / "z.warc").write_bytes((tmp_path / "a" / "z.warc").read_bytes()[:-300])
-    with pytest.raises(Exception, match="archive ends"):
-        warc.read_archives(spark, path).collect()
+    for payload in (True, False):
+        with pytest.raises(Exception, match="archive ends"):
+            warc.read_archives(spark, path, payload).collect()
+
+
+def test_archives_are_cut_and_payloads_passed_over(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/b"
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnop<> ", k=40_000)) + str(i // 2)) for i in range(400)]
+    warc.written_archives(pages(spark, rows).coalesce(1), path)
+    found = warc.read_archives(spark, path)
+    assert found.rdd.getNumPartitions() > 2
+    assert sorted(bytes(r["payload"]).decode() for r in found.collect()) == sorted(r[2] for r in rows)
+    # the reader itself inflates no more than the headers when no payload is wanted
+    inflated = []
+    more = warc.Stream.more
+    monkeypatch.setattr(warc.Stream, "more", lambda self, *a: inflated.append(len(self.held)) or more(self, *a))
+    reader = warc.WarcReader(path, False)
+    rows_read = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows_read) == 400 and all(r["payload"] is None and r["payload_bytes"] > 40_000 for r in rows_read)
+    assert len(inflated) == 400  # one step of HEAD bytes for each record
+    # an archive that lost its end fails whether payloads are wanted or not
+    file = max((tmp_path / "b").glob("*.warc.gz"), key=lambda f: f.stat().st_size)
+    file.write_bytes(file.read_bytes()[:-10])
+    for payload in (True, False):
+        with pytest.raises(Exception, match="archive ends"):
+            warc.read_archives(spark, path, payload).collect()
 
 
 def test_no_pages(spark, tmp_path):

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from contigua.llm import bpe, crf, decontam, html_text, queries, rules
 
 DATA = "/root/testdata/sf0.01"
-BPE = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+BPE = queries.VOCABULARY
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 simhash_lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
