@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contigua.llm import bpe, decontam, line_dedup, near_dups, rules
 from contigua.llm.common import table, written
-from contigua.llm.queries import TOKENIZERS
+from contigua.llm.queries import VOCABULARY
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the decoded text."""
-    return bpe.encode_digests(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=True)
+    return bpe.encode_digests(docs, VOCABULARY, with_ids=True)
 
 
 STAGES = [
