@@ -6,12 +6,15 @@ For exact results DataFrames need none: see operators.kmers.without_first. These
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigua.functions.hashing import kmer_hashes
+from contigua.operators.kmers import numbered
 
 GROWTH, TIGHTENING = 2, 0.9
 
@@ -19,11 +22,11 @@ GROWTH, TIGHTENING = 2, 0.9
 class BloomFilter:
     """ceil(log2(1 / error)) slices of capacity / ln 2 bits; hash i has the seed i + seed."""
 
-    def __init__(self, capacity: int, error: float = 0.001, seed: int = 0):
+    def __init__(self, capacity: int, error: float = 0.001, seed: int = 0, empty: bool = False):
         self.capacity, self.error, self.seed, self.count = capacity, error, seed, 0
         self.slices = math.ceil(math.log2(1 / error))
         self.slice_size = math.ceil(capacity / math.log(2))
-        self.bits = np.zeros(self.slices * self.slice_size, bool)
+        self.bits = np.zeros(0 if empty else self.slices * self.slice_size, bool)
 
     def places(self, kmers: list[str]) -> np.ndarray:
         """k-mers x slices: places of their bits."""
@@ -65,34 +68,86 @@ class ScalableBloomFilter:
         return np.logical_or.reduce([f.check(kmers) for f in self.filters])
 
 
+def sizes(capacity: int, error: float, n: int) -> list[tuple[int, float]]:
+    """Capacity and error of the first n filters of a growing one."""
+    return [(capacity * GROWTH**i, error * TIGHTENING**i) for i in range(n)]
+
+
+def filters_for(count: int, capacity: int) -> int:
+    """How many filters `count` k-mers fill or begin."""
+    return max(1, math.ceil(math.log(count / capacity * (GROWTH - 1) + 1, GROWTH) - 1e-9))
+
+
+def bits_of(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0, filters: int = 1, nth: str | None = None) -> DataFrame:
+    """filter, word and bits, the 64-bit words of the column kmer, each filter's own. nth: a column that numbers the filter of a row.
+
+    Without nth each row is asked of all filters: kmer is a column more, and a row's words are not merged with others'.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [BloomFilter(c, e, seed + i, empty=True) for i, (c, e) in enumerate(sizes(capacity, error, filters))]
+        for b in batches:
+            every = np.array(b.column(0).to_pylist(), object)
+            which = b.column(1).to_numpy(zero_copy_only=False) if nth else None
+            for i, f in enumerate(own):
+                rows = np.flatnonzero(which == i) if nth else np.arange(len(every))
+                if not len(rows):
+                    continue
+                at = f.places(every[rows].tolist())
+                row = np.repeat(rows if not nth else np.zeros(len(rows), np.int64), at.shape[1])
+                at = at.ravel()
+                order = np.lexsort((at, row))
+                at, row = at[order], row[order]
+                new = np.flatnonzero(np.r_[True, (at[1:] // 64 != at[:-1] // 64) | (row[1:] != row[:-1])])
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at % 64).astype(np.uint64), new)
+                out = [pa.array(np.full(len(new), i, np.int32)), pa.array(at[new] // 64), pa.array(bits.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out if nth else [b.column(0).take(pa.array(row[new])), *out], names)
+
+    names = ["filter", "word", "bits"] if nth else ["kmer", "filter", "word", "bits"]
+    rows = kmers.select("kmer", F.col(nth).cast("int")) if nth else kmers.select("kmer")
+    found = rows.mapInArrow(run, ("" if nth else "kmer string, ") + "filter int, word long, bits long")
+    return found.groupBy("filter", "word").agg(F.bit_or("bits").alias("bits")) if nth else found
+
+
+def growing(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> tuple[DataFrame, int]:
+    """The words (filter, word, bits) of a growing filter of the distinct k-mers, and how many filters it has.
+
+    Filters fill up one after the other: a k-mer's number, by a range exchange, tells its filter. Nothing is collected.
+    """
+    rows = numbered(kmers.select("kmer").distinct(), F.col("kmer"))
+    filters = filters_for(rows.count(), capacity)
+    nth = F.floor(F.log(float(GROWTH), (F.col("n") - 1) / capacity * (GROWTH - 1) + 1) + 1e-12)
+    return bits_of(rows.withColumn("nth", F.least(nth, F.lit(filters - 1))), capacity, error, seed, filters, "nth"), filters
+
+
+def held(asked: DataFrame, words: DataFrame, filters: int, capacity: int, error: float = 0.001, seed: int = 0) -> DataFrame:
+    """kmer and maybe of distinct k-mers, by a join with the words of growing(): never false for one that was added."""
+    wanted = bits_of(asked, capacity, error, seed, filters)
+    rows = wanted.join(words.withColumnRenamed("bits", "there"), ["filter", "word"], "left")
+    whole = F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("there")) == F.col("bits"), F.lit(False)))
+    return rows.groupBy("kmer", "filter").agg(whole.alias("whole")).groupBy("kmer").agg(F.bool_or("whole").alias("maybe"))
+
+
 def build(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> BloomFilter:
-    """A filter of the column kmer. Places are set by a distributed aggregate; the driver gets the words of the filter, as many
-    as its capacity, a parameter, asks for."""
+    """A filter of the column kmer. Tasks merge its words; the driver gets them, as many as its capacity, a parameter, asks for."""
     out = BloomFilter(capacity, error, seed)
-
-    @F.pandas_udf("array<long>")
-    def places(s):
-        own = BloomFilter(capacity, error, seed)
-        return type(s)(list(own.places(s.tolist())), index=s.index) if len(s) else s
-
-    at = kmers.select(F.explode(places("kmer")).alias("at"))
-    words = at.groupBy(F.expr("at div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits"))
-    for r in words.toLocalIterator():
-        for i in range(32):
-            if r["bits"] >> i & 1:
-                out.bits[r["word"] * 32 + i] = True
+    words = bits_of(kmers.withColumn("nth", F.lit(0)), capacity, error, seed, 1, "nth").select("word", "bits").toArrow()
+    packed = np.zeros(-(-len(out.bits) // 64), np.uint64)
+    packed[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    out.bits = np.unpackbits(packed.astype("<u8").view(np.uint8), bitorder="little", count=len(out.bits)).astype(bool)
     out.count = kmers.count()
     return out
 
 
 def contains(f: BloomFilter, kmer: Column | str) -> Column:
-    """Whether the filter may hold a k-mer; never false for one that was added."""
-    packed, size, seed, capacity, error = np.packbits(f.bits), len(f.bits), f.seed, f.capacity, f.error
+    """Whether the filter may hold a k-mer; never false for one that was added. The filter goes to the tasks: held() is for large ones."""
+    packed, seed, capacity, error = np.packbits(f.bits, bitorder="little"), f.seed, f.capacity, f.error
 
     @F.pandas_udf("boolean")
     def run(s):
-        own = BloomFilter(capacity, error, seed)
-        own.bits = np.unpackbits(packed, count=size).astype(bool)
-        return type(s)(own.check(s.tolist()), index=s.index)
+        if not len(s):
+            return s.astype(bool)
+        at = BloomFilter(capacity, error, seed, empty=True).places(s.tolist())
+        return type(s)((packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1), index=s.index)
 
     return run(F.col(kmer) if isinstance(kmer, str) else kmer)

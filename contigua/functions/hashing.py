@@ -19,11 +19,17 @@ def knuth_hash(x: Column) -> Column:
 
 
 def shingles(kmer: Column | str, k: int) -> Column:
-    """The k - 15 numbers of 16 bases, two bits each, of a k-mer."""
+    """The k - 15 numbers of 16 bases, two bits each, of a k-mer.
+
+    Up to 31 bases become one number, of which 16 shingles are shifted out; longer k-mers are such pieces that overlap by 15 bases.
+    """
     if k < SHINGLE:
         raise ValueError(f"k-mers need {SHINGLE} bases at least")
     digits = F.translate(F.col(kmer) if isinstance(kmer, str) else kmer, "ACGT", "0123")
-    return F.transform(F.sequence(F.lit(1), F.lit(k - SHINGLE + 1)), lambda i: F.conv(F.substr(digits, i, F.lit(SHINGLE)), 4, 10).cast("long"))
+    pieces = [(at, min(2 * SHINGLE - 1, k - at)) for at in range(0, k - SHINGLE + 1, SHINGLE)]
+    numbers = F.array(*(F.struct(F.conv(F.substring(digits, at + 1, n), 4, 10).cast("long").alias("v"), F.lit(n - SHINGLE).alias("last")) for at, n in pieces))
+    shifted = lambda p: F.transform(F.sequence(p["last"], F.lit(0)), lambda i: F.call_function("shiftright", p["v"], 2 * i).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.flatten(F.transform(numbers, shifted))
 
 
 def min_hash(kmer: Column | str, k: int) -> Column:
@@ -35,7 +41,6 @@ def kmer_bin(h: Column, bins: int) -> Column:
     return F.pmod(h, F.lit(bins)).cast("int")
 
 
-M32 = np.uint32(0xFFFFFFFF)
 #: Rotations of the hash's mixing steps, in order.
 MIX_ROTATIONS = (4, 6, 8, 16, 19, 4)
 FINAL_ROTATIONS = (14, 11, 25, 16, 4, 14, 24)
@@ -88,6 +93,12 @@ def unpacked(data: np.ndarray, k: int) -> list[str]:
     return [bytes(row).decode() for row in np.frombuffer(b"ACGT", np.uint8)[codes]]
 
 
+def packed_hex(kmer: Column | str, k: int) -> Column:
+    """The bytes of packed() as hexadecimal text, in native expressions."""
+    digits = F.rpad(F.translate(F.col(kmer) if isinstance(kmer, str) else kmer, "ACGT", "0123"), -(-k // 4) * 4, "0")
+    return F.concat(*(F.lpad(F.conv(F.reverse(F.substring(digits, at + 1, 4)), 4, 16), 2, "0") for at in range(0, k, 4)))
+
+
 def kmer_hashes(kmers: list[str], seed: int = 0) -> np.ndarray:
     """64-bit hashes of k-mers of one length: whole bytes by hashlittle2, the bases that are left one by one."""
     k = len(kmers[0])

@@ -30,21 +30,29 @@ def following(u: Column | str, r: Column | str) -> Column:
     return F.concat(F.substr(c, F.lit(2)), F.col(r) if isinstance(r, str) else r)
 
 
+def _ahead(nodes: DataFrame, name: str) -> DataFrame:
+    """Each node with the k + 1 bases that it and its right base make."""
+    return nodes.select(F.col("u").alias(name), F.concat("u", "r").alias("step"))
+
+
+def _back(nodes: DataFrame, name: str) -> DataFrame:
+    """Each node with the k + 1 bases that its left base and it make."""
+    return nodes.select(F.col("u").alias(name), F.concat("l", "u").alias("step"))
+
+
 def edges(nodes: DataFrame) -> DataFrame:
-    """u, v where both ends agree."""
-    ahead = nodes.select("u", following("u", "r").alias("v"))
-    back = nodes.select(F.col("u").alias("v"), F.col("l").alias("back"))
-    return ahead.join(back, "v").where(F.col("back") == F.substring("u", 1, 1)).select("u", "v")
+    """u, v where both ends agree: the k + 1 bases that one makes ahead are those that the other makes back."""
+    return _ahead(nodes, "u").join(_back(nodes, "v"), "step").select("u", "v")
 
 
-def path_heads(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """u of the nodes that nothing leads to."""
-    return nodes.select("u").join(links.select(F.col("v").alias("u")), "u", "left_anti")
+def path_heads(nodes: DataFrame) -> DataFrame:
+    """u of the nodes that nothing leads to: one anti-join, no edge is made for it."""
+    return _back(nodes, "u").join(_ahead(nodes, "v").select("step"), "step", "left_anti").select("u")
 
 
-def path_tails(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def path_tails(nodes: DataFrame) -> DataFrame:
     """u of the nodes that lead nowhere."""
-    return nodes.select("u").join(links.select("u"), "u", "left_anti")
+    return _ahead(nodes, "u").join(_back(nodes, "v").select("step"), "step", "left_anti").select("u")
 
 
 def numbered_nodes(table: DataFrame) -> DataFrame:
@@ -54,29 +62,34 @@ def numbered_nodes(table: DataFrame) -> DataFrame:
 
 def edge_ids(nodes: DataFrame) -> DataFrame:
     """u, v: the edges as ids."""
-    ahead = nodes.select(F.col("id").alias("u"), following("u", "r").alias("next"), F.substring("u", 1, 1).alias("first"))
-    back = nodes.select(F.col("id").alias("v"), F.col("u").alias("next"), F.col("l").alias("first"))
-    return ahead.join(back, ["next", "first"]).select("u", "v")
+    rows = nodes.select(F.col("u").alias("k"), "id", "l", "r")
+    ahead = rows.select(F.col("id").alias("u"), F.concat("k", "r").alias("step"))
+    back = rows.select(F.col("id").alias("v"), F.concat("l", "k").alias("step"))
+    return ahead.join(back, "step").select("u", "v")
 
 
 def _doubled(nodes: DataFrame, links: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(u, head, d) of the nodes (column u) on paths, and u of those on cycles."""
+    """(u, head, d) of the nodes (column u) on paths, and u of those on cycles.
+
+    In a round each node that is not settled asks the one that it points to, 2**round steps back. A settled node that nobody asks in
+    a round is never asked again: a later asker stands further on, and the node between would have asked. So a round reads
+    the answers of the last one only, and the tables shrink as paths settle.
+    """
     before = links.select(F.col("v").alias("u"), F.col("u").alias("before"))
     first = nodes.select("u").join(before, "u", "left").select("u", F.coalesce("before", "u").alias("head"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("d"), F.col("before").isNull().alias("done"))
     now = written(first, "paths")
     scratch.append(now)
-    parts = [now.where("done")]
+    parts, pool = [now.where("done")], now
     rest, was = now.where("not done"), None
     left = rest.count()
     # a round settles part of each path that has nodes left; where none settles, only cycles are left
     while left and left != was:
-        pool = rest
-        for p in parts:
-            pool = pool.unionAll(p)
-        to = pool.select(F.col("u").alias("head"), F.col("head").alias("head2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
-        now = written(rest.select("u", "head", "d").join(to, "head").select("u", F.col("head2").alias("head"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done")), "paths")
-        scratch.append(now)
+        asking = rest.select(F.col("u").alias("asker"), F.col("head").alias("u"), F.col("d").alias("more"))
+        answers = written(pool.join(asking, "u").select("asker", F.col("d") + F.col("more"), "u", "head", "d", "done").toDF("asker", "far", "u", "head", "d", "done"), "paths")
+        scratch.append(answers)
+        now = answers.select(F.col("asker").alias("u"), "head", F.col("far").alias("d"), "done")
         parts.append(now.where("done"))
+        pool = now.unionAll(answers.where("done").select("u", "head", "d", "done"))
         rest, was = now.where("not done"), left
         left = rest.count()
     out = parts[0]
@@ -114,16 +127,24 @@ def labelled(nodes: DataFrame, links: DataFrame, scratch: list[DataFrame]) -> Da
     return out.unionAll(again.join(start.select(F.col("u").alias("head")), "head", "left_semi").select("u", "head", "d", F.lit(True).alias("cyclic")))
 
 
+#: log2 of the steps whose bases are joined at once.
+CHUNK_BITS = 12
+
+
 def joined(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """seq, left_ext, right_ext of each path, in the orientation that was walked."""
-    rows = labels.select(F.col("u").alias("id"), "head", "d", "cyclic").join(nodes, "id")
-    each = F.array_sort(F.collect_list(F.struct("d", F.right("u", F.lit(1)).alias("b"))))
-    paths = rows.groupBy("head").agg(each.alias("each"), F.min_by(F.struct("u", "l", "r"), "d").alias("first"), F.max_by("r", "d").alias("last"), F.bool_or("cyclic").alias("cyclic"))
+    """seq, left_ext, right_ext of each path, in the orientation that was walked.
+
+    Bases are joined in chunks of steps first and chunks then, so that only the sequence itself is as long as its path.
+    """
+    rows = labels.select(F.col("u").alias("id"), "head", "d", "cyclic").join(nodes, "id").withColumn("chunk", F.shiftright("d", CHUNK_BITS))
+    text = lambda place, part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, part))), lambda s: s["part"]), "")
+    ends = F.min(F.struct("d", "u", "l", "r")).alias("first"), F.max(F.struct("d", "r")).alias("last"), F.bool_or("cyclic").alias("cyclic")
+    chunks = rows.withColumn("part", F.right("u", F.lit(1))).groupBy("head", "chunk").agg(text("d", "part").alias("part"), *ends)
+    paths = chunks.groupBy("head").agg(text("chunk", "part").alias("tail"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or("cyclic").alias("cyclic"))
     # a cycle ends with the node it began with
-    tail = F.array_join(F.transform("each", lambda s: s["b"]), "")
-    tail = F.when(F.col("cyclic"), F.concat(tail, F.right("first.u", F.lit(1)))).otherwise(tail)
+    tail = F.when(F.col("cyclic"), F.concat("tail", F.right("first.u", F.lit(1)))).otherwise(F.col("tail"))
     seq = F.concat(F.expr("substring(first.u, 1, length(first.u) - 1)"), tail)
-    return paths.select(seq.alias("seq"), F.col("first.l").alias("left_ext"), F.when(F.col("cyclic"), F.col("first.r")).otherwise(F.col("last")).alias("right_ext"))
+    return paths.select(seq.alias("seq"), F.col("first.l").alias("left_ext"), F.when(F.col("cyclic"), F.col("first.r")).otherwise(F.col("last.r")).alias("right_ext"))
 
 
 def reverse_contigs(contigs: DataFrame) -> DataFrame:
@@ -149,6 +170,24 @@ def contigs(table: DataFrame) -> DataFrame:
     return out
 
 
+def _binned_edges(nodes: DataFrame, links: DataFrame, bin_of: Column, bins: int) -> DataFrame:
+    """u, v and inside: whether the canonical k-mers of both ends are of one bin."""
+    binned = lambda c: nodes.select(F.col("id").alias(c), dna.canonical("u").alias("least")).select(c, F.pmod(bin_of, F.lit(bins)).alias(f"{c}_bin"))
+    return links.join(binned("u"), "u").join(binned("v"), "v").select("u", "v", (F.col("u_bin") == F.col("v_bin")).alias("inside"))
+
+
+def local_contigs(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
+    """seq, left_ext, right_ext, len of the paths within bins of canonical k-mers, before two_level() joins them; cycles within a bin are none."""
+    nodes = numbered_nodes(table)
+    links = written(edge_ids(nodes), "edges")
+    scratch = [nodes, links]
+    inside = _binned_edges(nodes, links, bin_of, bins).where("inside").select("u", "v")
+    paths, _ = _doubled(nodes.select(F.col("id").alias("u")), inside, scratch)
+    out = written(one_strand(joined(nodes, paths.withColumn("cyclic", F.lit(False)))), "contigs")
+    discard(*scratch)
+    return out
+
+
 def two_level(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
     """Like contigs(), in two steps: paths within bins of canonical k-mers first, then the ends of these across bins.
 
@@ -161,9 +200,8 @@ def two_level(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
     scratch.append(nodes)
     links = keep(edge_ids(nodes), "edges")
     ids = nodes.select(F.col("id").alias("u"))
-    binned = lambda c: nodes.select(F.col("id").alias(c), dna.canonical("u").alias("least")).select(c, F.pmod(bin_of, F.lit(bins)).alias(f"{c}_bin"))
-    known = keep(links.join(binned("u"), "u").join(binned("v"), "v"), "edges")
-    inside, across = (known.where(c).select("u", "v") for c in ("u_bin = v_bin", "u_bin <> v_bin"))
+    known = keep(_binned_edges(nodes, links, bin_of, bins), "edges")
+    inside, across = (known.where(c).select("u", "v") for c in ("inside", "not inside"))
     local, cycles = _doubled(ids, inside, scratch)
     local = keep(local, "paths")
     ends = keep(local.groupBy("head").agg(F.max_by("u", "d").alias("tail")), "paths")

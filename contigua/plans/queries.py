@@ -6,12 +6,13 @@ bases from each stretch of 128, every third one from the other strand, every ele
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.config import Config
+from contigua.config import Config, load_config
 from contigua.functions import bloom, dna, hashing
 from contigua.operators import contigs as C
 from contigua.operators import kmers as K
@@ -23,6 +24,9 @@ CFG = Config(q_min=19, d_min=2, k=15, min_contig_len=40)
 #: k of the queries on minimum hashes, which need 16 bases at least.
 LONG_K = 31
 BINS = 16
+LONG = Config(q_min=19, d_min=2, k=LONG_K, min_contig_len=40)
+#: Bins of k-mers by two letters.
+LETTER_BINS = 5
 
 READS_SQL = """
   SELECT read_id,
@@ -56,13 +60,13 @@ FOUND: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, cfg: Config = CFG) -> Callable[[Query], Query]:
     """Registers a query under its name, with the last SELECT of its SQL over the common tables below."""
 
     def put(f: Query) -> Query:
         FOUND[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"WITH RECURSIVE {common_sql(sql)} {sql}"
+            SQL[f.__name__] = with_common(sql, cfg)
         return f
 
     return put
@@ -72,67 +76,87 @@ def rc(x: str) -> str:
     return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
 
 
-_k, _q, _d = CFG.k, CFG.q_min, CFG.d_min
-_counts = ", ".join(f"count(*) FILTER (WHERE {s} = '{b}' AND {s}q > {_q}) AS {s}{b}" for s in "lr" for b in "ACGT")
-_mask = {s: " + ".join(f"CASE WHEN {s}{b} >= {_d} THEN {1 << i} ELSE 0 END" for i, b in enumerate("ACGT")) for s in "lr"}
-_letter = lambda m: f"CASE {m} WHEN 0 THEN 'X' WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'F' END"
-_quality = lambda at: f"CAST((ascii(substring(qual, {at}, 1)) - 64) & 255 AS SMALLINT)"
-
-#: Tables that the SQL of queries may name, each with those that it needs.
-COMMON = {
-    "reads": ((), READS_SQL),
-    "windows": (("reads",), f"SELECT read_id, seq, qual, CAST(p AS INT) AS pos, substring(seq, CAST(p AS INT) + 1, {_k}) AS kmer FROM reads, unnest(range(0, length(seq) - {_k} + 1)) AS t(p)"),
-    "occurrences": (
-        ("windows",),
-        f"""SELECT read_id, pos, kmer, CASE WHEN pos > 0 THEN translate(substring(seq, pos, 1), 'N', 'A') END AS l, CASE WHEN pos > 0 THEN {_quality("pos")} ELSE CAST(0 AS SMALLINT) END AS lq,
-        CASE WHEN pos + {_k} < length(seq) THEN translate(substring(seq, pos + {_k} + 1, 1), 'N', 'A') END AS r,
-        CASE WHEN pos + {_k} < length(seq) THEN {_quality(f"pos + {_k} + 1")} ELSE CAST(0 AS SMALLINT) END AS rq FROM windows WHERE instr(kmer, 'N') = 0""",
-    ),
-    "good": (("occurrences",), f"SELECT * FROM occurrences WHERE lq > {_q} OR rq > {_q}"),
-    "canon": (
-        ("good",),
-        f"""SELECT read_id, pos, least(kmer, {rc("kmer")}) AS kmer, CASE WHEN {rc("kmer")} < kmer THEN translate(r, 'ACGT', 'TGCA') ELSE l END AS l, CASE WHEN {rc("kmer")} < kmer THEN rq ELSE lq END AS lq,
-        CASE WHEN {rc("kmer")} < kmer THEN translate(l, 'ACGT', 'TGCA') ELSE r END AS r, CASE WHEN {rc("kmer")} < kmer THEN lq ELSE rq END AS rq FROM good""",
-    ),
-    "counts": (("canon",), f"SELECT kmer, {_counts} FROM canon GROUP BY kmer"),
-    "masks": (("counts",), f"SELECT kmer, CAST({_mask['l']} AS TINYINT) AS lmask, CAST({_mask['r']} AS TINYINT) AS rmask FROM counts"),
-    "ufx": (("masks",), "SELECT * FROM masks WHERE lmask > 0 OR rmask > 0"),
-    "lettered": (("ufx",), f"SELECT kmer, {_letter('lmask')} AS lext, {_letter('rmask')} AS rext FROM ufx"),
-    "strands": (("lettered",), f"SELECT kmer, lext, rext FROM lettered UNION ALL SELECT {rc('kmer')}, translate(rext, 'ACGT', 'TGCA'), translate(lext, 'ACGT', 'TGCA') FROM lettered"),
-    "nodes": (("strands",), "SELECT kmer AS u, lext AS l, rext AS r FROM strands WHERE lext IN ('A', 'C', 'G', 'T') AND rext IN ('A', 'C', 'G', 'T')"),
-    "links": (("nodes",), "SELECT a.u AS u, b.u AS v FROM nodes a JOIN nodes b ON b.u = concat(substring(a.u, 2), a.r) AND b.l = substring(a.u, 1, 1)"),
-    "walk": (
-        ("nodes", "links"),
-        """SELECT u AS head, u, u AS seq, l AS left_ext, r AS right_ext FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.v = n.u)
-        UNION ALL SELECT w.head, e.v, concat(w.seq, right(e.v, 1)), w.left_ext, n.r FROM walk w JOIN links e ON e.u = w.u JOIN nodes n ON n.u = e.v""",
-    ),
-    "walked": (("walk", "links"), "SELECT seq, left_ext, right_ext FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.u = w.u)"),
-    "contigs": (
-        ("walked",),
-        f"""SELECT seq, min(left_ext) AS left_ext, min(right_ext) AS right_ext, CAST(length(seq) AS BIGINT) AS len FROM (
-        SELECT least(seq, {rc("seq")}) AS seq, CASE WHEN {rc("seq")} < seq THEN translate(right_ext, 'ACGT', 'TGCA') ELSE left_ext END AS left_ext,
-        CASE WHEN {rc("seq")} < seq THEN translate(left_ext, 'ACGT', 'TGCA') ELSE right_ext END AS right_ext FROM walked) AS one GROUP BY seq""",
-    ),
-    "numbered": (("contigs",), "SELECT row_number() OVER (ORDER BY len DESC, seq) AS contig_id, * FROM contigs"),
-}
+_rotated = lambda x, n: f"(((({x}) << {n}) & 4294967295) | (({x}) >> {32 - n}))"
+
+
+def quality_sql(at: str) -> str:
+    return f"CAST((ascii(substring(qual, {at}, 1)) - 64) & 255 AS SMALLINT)"
+
 
+def bin_sql(u: str) -> str:
+    """The bin of a k-mer's canonical form by two of its letters."""
+    least = f"least({u}, {rc(u)})"
+    return f"(ascii(substring({least}, 3, 1)) + ascii(substring({least}, 8, 1))) % {LETTER_BINS}"
 
-def common_sql(sql: str) -> str:
-    """The common tables that a statement names, in order."""
-    import re
 
-    need: set[str] = set()
+def common(cfg: Config) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Tables that the SQL of queries may name, each with those that it needs; MATERIALIZED where several read it."""
+    k, q, d = cfg.k, cfg.q_min, cfg.d_min
+    counts = ", ".join(f"count(*) FILTER (WHERE {s} = '{b}' AND {s}q > {q}) AS {s}{b}" for s in "lr" for b in "ACGT")
+    mask = {s: " + ".join(f"CASE WHEN {s}{b} >= {d} THEN {1 << i} ELSE 0 END" for i, b in enumerate("ACGT")) for s in "lr"}
+    letter = lambda m: f"CASE {m} WHEN 0 THEN 'X' WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'F' END"
+    flip = f"{rc('kmer')} < kmer"
+    walk = lambda links: f"""SELECT u AS head, u, u AS seq, l AS left_ext, r AS right_ext FROM nodes WHERE u NOT IN (SELECT v FROM {links})
+        UNION ALL SELECT w.head, e.v, concat(w.seq, right(e.v, 1)), w.left_ext, n.r FROM {links}_walk w JOIN {links} e ON e.u = w.u JOIN nodes n ON n.u = e.v"""
+    one_strand = lambda walked: f"""SELECT seq, min(left_ext) AS left_ext, min(right_ext) AS right_ext, CAST(length(seq) AS BIGINT) AS len FROM (
+        SELECT least(seq, {rc("seq")}) AS seq, CASE WHEN {rc("seq")} < seq THEN translate(right_ext, 'ACGT', 'TGCA') ELSE left_ext END AS left_ext,
+        CASE WHEN {rc("seq")} < seq THEN translate(left_ext, 'ACGT', 'TGCA') ELSE right_ext END AS right_ext FROM {walked}) AS one GROUP BY seq"""
+    return {
+        "reads": ((), READS_SQL),
+        "windows": (("reads",), f"SELECT read_id, seq, qual, CAST(p AS INT) AS pos, substring(seq, CAST(p AS INT) + 1, {k}) AS kmer FROM reads, unnest(range(0, length(seq) - {k} + 1)) AS t(p)"),
+        "occurrences": (
+            ("windows",),
+            f"""SELECT read_id, pos, kmer, CASE WHEN pos > 0 THEN translate(substring(seq, pos, 1), 'N', 'A') END AS l, CASE WHEN pos > 0 THEN {quality_sql("pos")} ELSE CAST(0 AS SMALLINT) END AS lq,
+            CASE WHEN pos + {k} < length(seq) THEN translate(substring(seq, pos + {k} + 1, 1), 'N', 'A') END AS r,
+            CASE WHEN pos + {k} < length(seq) THEN {quality_sql(f"pos + {k} + 1")} ELSE CAST(0 AS SMALLINT) END AS rq FROM windows WHERE instr(kmer, 'N') = 0""",
+        ),
+        "good": (("occurrences",), f"SELECT * FROM occurrences WHERE lq > {q} OR rq > {q}"),
+        "canon": (
+            ("good",),
+            f"""SELECT read_id, pos, least(kmer, {rc("kmer")}) AS kmer, CASE WHEN {flip} THEN translate(r, 'ACGT', 'TGCA') ELSE l END AS l, CASE WHEN {flip} THEN rq ELSE lq END AS lq,
+            CASE WHEN {flip} THEN translate(l, 'ACGT', 'TGCA') ELSE r END AS r, CASE WHEN {flip} THEN lq ELSE rq END AS rq FROM good""",
+        ),
+        "counts": (("canon",), f"SELECT kmer, {counts} FROM canon GROUP BY kmer"),
+        "masks": (("counts",), f"SELECT kmer, CAST({mask['l']} AS TINYINT) AS lmask, CAST({mask['r']} AS TINYINT) AS rmask FROM counts"),
+        "ufx": (("masks",), "SELECT * FROM masks WHERE lmask > 0 OR rmask > 0"),
+        "lettered": (("ufx",), f"SELECT kmer, {letter('lmask')} AS lext, {letter('rmask')} AS rext FROM ufx"),
+        "strands": (("lettered",), f"SELECT kmer, lext, rext FROM lettered UNION ALL SELECT {rc('kmer')}, translate(rext, 'ACGT', 'TGCA'), translate(lext, 'ACGT', 'TGCA') FROM lettered"),
+        "nodes": (("strands",), "SELECT kmer AS u, lext AS l, rext AS r FROM strands WHERE lext IN ('A', 'C', 'G', 'T') AND rext IN ('A', 'C', 'G', 'T')"),
+        # one key, the k + 1 bases of a step, so that there is one way to join
+        "ahead": (("nodes",), "SELECT u, concat(u, r) AS step FROM nodes"),
+        "back": (("nodes",), "SELECT u AS v, concat(l, u) AS step FROM nodes"),
+        "links": (("ahead", "back"), "SELECT u, v FROM ahead JOIN back USING (step)"),
+        "links_walk": (("nodes", "links"), walk("links")),
+        "walked": (("links_walk", "links"), "SELECT seq, left_ext, right_ext FROM links_walk WHERE u NOT IN (SELECT u FROM links)"),
+        "contigs": (("walked",), one_strand("walked")),
+        "inside": (("links",), f"SELECT u, v FROM links WHERE {bin_sql('u')} = {bin_sql('v')}"),
+        "inside_walk": (("nodes", "inside"), walk("inside")),
+        "inside_walked": (("inside_walk", "inside"), "SELECT seq, left_ext, right_ext FROM inside_walk WHERE u NOT IN (SELECT u FROM inside)"),
+        "pieces": (("inside_walked",), one_strand("inside_walked")),
+        "numbered": (("contigs",), "SELECT row_number() OVER (ORDER BY len DESC, seq) AS contig_id, * FROM contigs"),
+    }
+
+
+SHARED = frozenset({"nodes", "links", "inside"})
+
+
+def with_common(sql: str, cfg: Config) -> str:
+    """A statement after the common tables that it names, in order."""
+    tables, need = common(cfg), set()
 
     def add(name: str) -> None:
         if name not in need:
             need.add(name)
-            for n in COMMON[name][0]:
+            for n in tables[name][0]:
                 add(n)
 
-    for name in COMMON:
+    for name in tables:
         if re.search(rf"\b(?:FROM|JOIN) {name}\b", sql):
             add(name)
-    return ", ".join(f"{n} AS ({body})" for n, (_, body) in COMMON.items() if n in need)
+    if not need:
+        return sql
+    recursive = "RECURSIVE " if any(n.endswith("_walk") for n in need) else ""
+    return f"WITH {recursive}{', '.join(f'{n} AS {"MATERIALIZED " if n in SHARED else ""}({body})' for n, (_, body) in tables.items() if n in need)} {sql}"
 
 
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +193,7 @@ def kmer_extensions(spark, d):
     return occurrences(spark, d)
 
 
-@query(f"SELECT read_id, CAST(p AS INT) AS pos, {_quality('CAST(p AS INT)')} AS quality FROM reads, unnest(range(1, length(qual) + 1)) AS t(p)")
+@query(f"SELECT read_id, CAST(p AS INT) AS pos, {quality_sql('CAST(p AS INT)')} AS quality FROM reads, unnest(range(1, length(qual) + 1)) AS t(p)")
 def quality_decode(spark, d):
     return K.decoded_qualities(reads(spark, d), CFG).select("read_id", F.posexplode("quals").alias("pos", "quality")).withColumn("pos", F.col("pos") + 1)
 
@@ -182,6 +206,34 @@ def fastq_scan(spark, d):
     return fastq.read_fastq(spark, path, split=1 << 20).withColumn("read_id", F.col("read_id").cast("long"))
 
 
+@query("SELECT CAST(sum(length(CAST(read_id AS STRING)) + length(seq) + length(qual) + 6) AS BIGINT) AS bytes FROM reads")
+def fastq_bytes(spark, d):
+    """The size of the reads as files: at, plus and four line ends beside what a read holds."""
+    path = new_folder(spark, "fastq")
+    fastq.write_fastq(reads(spark, d), path)
+    return fastq.total_bytes(spark, path).select(F.col("bytes").cast("long").alias("bytes"))
+
+
+CONFIG_FILE = """; a comment
+defaults {
+  Q_MIN "21"   ; another
+  K "33"
+  FASTA_TEXTWIDTH 60
+  UNKNOWN "1"
+}
+"""
+
+
+@query("SELECT 'file' AS source, 21 AS q_min, 10 AS d_min, 33 AS k, 66 AS min_contig_len, 60 AS fasta_textwidth, 9 AS packed, 12 AS occurrence UNION ALL SELECT 'none', 19, 10, 41, 82, 50, 11, 14")
+def config_file(spark, d):
+    """A configuration file that sets some keys, and none at all: parameters, and bytes of a packed k-mer and of an occurrence."""
+    path = new_folder(spark, "config")
+    spark.createDataFrame([(CONFIG_FILE,)], "value string").coalesce(1).write.text(path)
+    found = (("file", load_config(spark, path)), ("none", load_config(spark, f"{path}/none")))
+    rows = [(name, c.q_min, c.d_min, c.k, c.least_length, c.fasta_textwidth, dna.packed_size(c.k), dna.occurrence_size(c.k)) for name, c in found]
+    return spark.createDataFrame(rows, "source string, q_min int, d_min int, k int, min_contig_len int, fasta_textwidth int, packed int, occurrence int")
+
+
 # bases and strands
 
 
@@ -304,26 +356,28 @@ def oriented_nodes(spark, d):
     return C.oriented_nodes(table(spark, d))
 
 
-@query("SELECT * FROM links")
+@query("SELECT u, v FROM links")
 def edges(spark, d):
     return C.edges(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
-@query("SELECT u FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.v = n.u)")
+@query("SELECT v AS u FROM back WHERE step NOT IN (SELECT step FROM ahead)")
 def path_heads(spark, d):
-    nodes = written(C.oriented_nodes(table(spark, d)), "nodes")
-    return C.path_heads(nodes, C.edges(nodes))
+    return C.path_heads(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
-@query("SELECT u FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links e WHERE e.u = n.u)")
+@query("SELECT u FROM ahead WHERE step NOT IN (SELECT step FROM back)")
 def path_tails(spark, d):
-    nodes = written(C.oriented_nodes(table(spark, d)), "nodes")
-    return C.path_tails(nodes, C.edges(nodes))
+    return C.path_tails(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
 # contigs
 
 
+def letters_of(kmer: str) -> Column:
+    return F.ascii(F.substring(kmer, 3, 1)) + F.ascii(F.substring(kmer, 8, 1))
+
+
 def found_contigs(spark: SparkSession, d: str) -> DataFrame:
     return C.contigs(written(table(spark, d), "ufx"))
 
@@ -348,7 +402,7 @@ def contig_lengths(spark, d):
     return found_contigs(spark, d).groupBy("len").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT seq, concat(right(seq, {_k - 1}), right_ext) AS next_kmer FROM contigs")
+@query(f"SELECT seq, concat(right(seq, {CFG.k - 1}), right_ext) AS next_kmer FROM contigs")
 def contig_ext_kmer(spark, d):
     return found_contigs(spark, d).select("seq", C.extension_kmer("seq", "right_ext", CFG.k).alias("next_kmer"))
 
@@ -360,7 +414,35 @@ def contig_contains(spark, d):
 
 @query("SELECT seq, left_ext, right_ext, len FROM contigs")
 def contig_join_two_level(spark, d):
-    return C.two_level(written(table(spark, d), "ufx"), F.ascii(F.substring("least", 3, 1)) + F.ascii(F.substring("least", 8, 1)), 5)
+    return C.two_level(written(table(spark, d), "ufx"), letters_of("least"), LETTER_BINS)
+
+
+@query("SELECT seq, left_ext, right_ext, len FROM pieces")
+def contig_pieces(spark, d):
+    """What two_level() joins: paths that stay within a bin."""
+    return C.local_contigs(written(table(spark, d), "ufx"), letters_of("least"), LETTER_BINS)
+
+
+@query("SELECT seq, left_ext, right_ext, len FROM contigs", LONG)
+def contig_join_minhash(spark, d):
+    """In two levels, with bins by minimum hash, in which neighbours mostly share a bin."""
+    found = written(U.ufx_table(reads(spark, d), LONG), "ufx")
+    return C.two_level(found, hashing.min_hash("least", LONG_K), BINS)
+
+
+@query("SELECT seq AS value FROM contigs")
+def sequence_lines(spark, d):
+    """Writes the sequences as lines and reads these back."""
+    path = new_folder(spark, "sequences")
+    tables.write_sequences(found_contigs(spark, d), path)
+    return spark.read.text(path)
+
+
+@query("SELECT CAST(length(seq) AS STRING) AS value FROM contigs")
+def length_lines(spark, d):
+    path = new_folder(spark, "lengths")
+    tables.write_lengths(found_contigs(spark, d), path)
+    return spark.read.text(path)
 
 
 _wrapped = "rtrim(regexp_replace(seq, '(.{%d})', '\\1' || chr(10), 'g'), chr(10))" % CFG.fasta_textwidth
@@ -394,20 +476,71 @@ def kmer_bin(spark, d):
     return long_kmers(spark, d).groupBy(hashing.kmer_bin(hashing.min_hash("kmer", LONG_K), BINS).alias("bin")).agg(F.count("*").alias("kmers"))
 
 
-@query()
+def lookup3_sql(k: int) -> str:
+    """kmer and h of the distinct canonical k-mers whose whole bytes are three: the final mix over one word, then a step for each base that is left."""
+    digits = lambda part: f"list_reduce(list_transform(string_split({part}, ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT)), lambda a, c: a * 4 + c)"
+    seed = (0xDEADBEEF + 3) & 0xFFFFFFFF
+    steps = [f"SELECT kmer, ({digits('reverse(substring(kmer, 1, 12))')} + {seed}) & 4294967295 AS x0, CAST({seed} AS BIGINT) AS x1, CAST({seed} AS BIGINT) AS x2 FROM (SELECT DISTINCT kmer FROM canon) AS d"]
+    for i, n in enumerate(hashing.FINAL_ROTATIONS):
+        x, y = (2, 0, 1)[i % 3], (1, 2, 0)[i % 3]
+        steps.append(", ".join(f"(xor(x{x}, x{y}) - {_rotated(f'x{y}', n)} + 4294967296) & 4294967295 AS x{x}" if j == x else f"x{j}" for j in range(3)))
+    out = steps[0]
+    for step in steps[1:]:
+        out = f"SELECT kmer, {step} FROM ({out}) AS m"
+    h = "(CAST(x2 AS HUGEINT) + CAST(x1 AS HUGEINT) * 4294967296)"
+    for i in range(k - 12):
+        h = f"(({h} * 33 + instr('ACGT', substring(kmer, {13 + i}, 1)) - 1) % 18446744073709551616)"
+    return f"SELECT kmer, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS h FROM (SELECT kmer, {h} AS h FROM ({out}) AS f) AS g"
+
+
+@query(lookup3_sql(CFG.k))
 def kmer_hash_lookup3(spark, d):
     return canon(spark, d).select("kmer").distinct().select("kmer", hashing.kmer_hash("kmer").alias("h"))
 
 
-@query()
-def bloom_membership(spark, d):
-    """How many k-mers of odd reads an exact join and a filter of those of even reads hold."""
-    rows = occurrences(spark, d).select("kmer", (F.col("read_id") % 2).alias("odd")).distinct()
-    rows = written(rows, "kmers")
+_byte = lambda at: "printf('%02X', CAST(" + " + ".join(f"greatest(instr('ACGT', substring(kmer, {at + i}, 1)) - 1, 0) * {4**i}" for i in range(min(4, CFG.k - at + 1))) + " AS INT))"
+
+
+@query(f"SELECT DISTINCT kmer, concat({', '.join(_byte(at) for at in range(1, CFG.k + 1, 4))}) AS packed FROM canon")
+def kmer_packed(spark, d):
+    return canon(spark, d).select("kmer").distinct().select("kmer", hashing.packed_hex("kmer", CFG.k).alias("packed"))
+
+
+_odd_even = "SELECT DISTINCT kmer, read_id % 2 AS odd FROM occurrences"
+_membership = f"""SELECT CAST(count(*) AS BIGINT) AS asked, CAST(count(e.kmer) AS BIGINT) AS members, CAST(0 AS BIGINT) AS missed, true AS within FROM ({_odd_even}) AS o
+    LEFT JOIN (SELECT kmer FROM ({_odd_even}) AS x WHERE odd = 0) AS e ON e.kmer = o.kmer WHERE o.odd = 1"""
+
+
+def odd_even(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """k-mers of odd reads with whether even reads have them, and those of even reads."""
+    rows = written(occurrences(spark, d).select("kmer", (F.col("read_id") % 2).alias("odd")).distinct(), "kmers")
     even = rows.where("odd = 0").select("kmer")
+    return rows.where("odd = 1").join(even.withColumn("there", F.lit(True)), "kmer", "left").select("kmer", F.coalesce("there", F.lit(False)).alias("there")), even
+
+
+def membership(rows: DataFrame, most: float) -> DataFrame:
+    """Of rows (there, maybe): all, members, members that a filter missed, and whether it took at most a share `most` of the others for members."""
+    wrong, others = F.count_if(~F.col("there") & F.col("maybe")), F.count_if(~F.col("there"))
+    return rows.agg(F.count("*").alias("asked"), F.count_if("there").alias("members"), F.count_if(F.col("there") & ~F.col("maybe")).alias("missed"), (wrong <= most * others).alias("within"))
+
+
+@query(_membership)
+def bloom_membership(spark, d):
+    """A filter of the k-mers of even reads, asked for those of odd reads: none missed, at most four times the nominal error."""
+    asked, even = odd_even(spark, d)
     f = bloom.build(even, capacity=max(1, even.count()))
-    asked = rows.where("odd = 1").join(even.withColumn("there", F.lit(True)), "kmer", "left")
-    return asked.groupBy(F.coalesce("there", F.lit(False)).alias("there"), bloom.contains(f, "kmer").alias("maybe")).agg(F.count("*").alias("kmers"))
+    return membership(asked.select("there", bloom.contains(f, "kmer").alias("maybe")), 4 * f.error)
+
+
+@query(_membership)
+def bloom_growing(spark, d):
+    """The same with filters that grow from a tenth of what is added, as tables: nothing goes to the driver."""
+    asked, even = odd_even(spark, d)
+    capacity = max(1, even.count() // 10)
+    words, filters = bloom.growing(even, capacity)
+    maybe = bloom.held(asked, written(words, "words"), filters, capacity)
+    # each filter adds its share: the sum of a falling series
+    return membership(asked.join(maybe, "kmer"), 4 * sum(e for _, e in bloom.sizes(capacity, 0.001, filters)))
 
 
 def queries() -> dict[str, Query]:

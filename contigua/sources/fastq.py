@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 SCHEMA = "read_id string, seq string, qual string"
 SPLIT_BYTES = 64 << 20
 BATCH = 8192
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -33,24 +34,28 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Lines:
-    """Lines of a file from a byte on, each with the place where it begins."""
+    """Lines of a file from a byte on, each with the place where it begins. Bytes are read and cut in blocks, each once."""
 
     def __init__(self, source, start: int):
         source.seek(start)
-        self.source, self.at, self.held = source, start, b""
+        self.source, self.at, self.ready, self.cut = source, start, iter(()), []
 
     def next(self) -> tuple[int, bytes] | None:
-        while (i := self.held.find(b"\n")) < 0:
-            more = self.source.read(1 << 16)
-            if not more:
-                if not self.held:
+        while (line := next(self.ready, None)) is None:
+            block = self.source.read(BLOCK)
+            if not block:
+                if not self.cut:
                     return None
-                i = len(self.held)
+                line, self.cut = b"".join(self.cut), []
                 break
-            self.held += more
-        line, begun = self.held[:i], self.at
-        self.at += min(i + 1, len(self.held))
-        self.held = self.held[i + 1 :]
+            end = block.rfind(b"\n")
+            if end < 0:
+                self.cut.append(block)
+                continue
+            self.ready = iter((b"".join(self.cut) + block[:end]).split(b"\n"))
+            self.cut = [block[end + 1 :]] if end + 1 < len(block) else []
+        begun = self.at
+        self.at += len(line) + 1
         return begun, line.rstrip(b"\r")
 
 
@@ -137,6 +142,13 @@ def read_fastq(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> Data
     return spark.read.format("fastq").option("splitBytes", split).load(path)
 
 
+def total_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """bytes: the size of a file or of all files of a folder; their contents are not read."""
+    from pyspark.sql import functions as F
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def write_fastq(reads: DataFrame, path: str) -> None:
     """Reads (read_id, seq, qual) as FASTQ text files."""
     from pyspark.sql import functions as F

@@ -252,9 +252,49 @@ def test_bloom_membership_fits_its_kmers(spark, monkeypatch):
 
     asked, build = [], bloom.build
     monkeypatch.setattr(bloom, "build", lambda df, capacity: asked.append((df.count(), capacity)) or build(df, capacity))
-    rows = queries.queries()["bloom_membership"](spark, "/root/testdata/sf0.001").collect()
+    (row,) = queries.queries()["bloom_membership"](spark, "/root/testdata/sf0.001").collect()
     assert asked and all(n == capacity for n, capacity in asked)
-    assert not any(r["there"] and not r["maybe"] for r in rows)
+    assert row["missed"] == 0 and row["within"] and 0 < row["members"] < row["asked"]
+
+
+def test_growing_filter_equals_the_one_in_memory(spark):
+    rng = random.Random(2)
+    kmers = sorted({"".join(rng.choice("ACGT") for _ in range(21)) for _ in range(900)})
+    added, other = sorted(kmers[::2]), kmers[1::2]
+    model = bloom.ScalableBloomFilter(40)
+    model.add(added)
+    words, filters = bloom.growing(spark.createDataFrame([(k,) for k in added], "kmer string").repartition(5), 40)
+    assert filters == len(model.filters) > 3
+    found = {r["kmer"]: r["maybe"] for r in bloom.held(spark.createDataFrame([(k,) for k in kmers], "kmer string"), words, filters, 40).collect()}
+    assert found == dict(zip(kmers, model.check(kmers).tolist(), strict=True))
+    assert all(found[k] for k in added) and sum(found[k] for k in other) < len(other) / 20
+
+
+def test_long_paths_are_joined_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_BITS", 3)
+    rng = random.Random(3)
+    genome = "".join(rng.choice("ACGT") for _ in range(700))
+    reads = [genome[i : i + 60] for i in range(0, 641, 4)] * 3
+    found = C.assemble(as_reads(spark, reads), Config(k=21, d_min=2, min_contig_len=1)).collect()
+    longest = max(found, key=lambda r: r["len"])["seq"]
+    assert longest in genome or longest in genome.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert len(longest) > 600
+
+
+def test_lines_are_cut_at_any_block(monkeypatch):
+    import io
+
+    from contigua.sources import fastq
+
+    text = b"@a\r\nACGT\n+\nhhhh\n\n@long\n" + b"ACGT" * 50 + b"\n+\n" + b"h" * 200
+    whole, at = [], 0
+    for line in text.split(b"\n"):
+        whole.append((at, line.rstrip(b"\r")))
+        at += len(line) + 1
+    for block in (1, 2, 7, 64, 1 << 18):
+        monkeypatch.setattr(fastq, "BLOCK", block)
+        lines = fastq.Lines(io.BytesIO(text), 0)
+        assert list(iter(lines.next, None)) == whole
 
 
 def test_without_first_and_spectrum(spark):
