@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that new_folder() has named and nobody has deleted yet.
+_named: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; nothing is created."""
+    _named.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _named:
+        _named.remove(path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -35,7 +49,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
+    """Deletes the files behind a result of written() that nothing reads any more."""
     if path := getattr(df, "written_to", None):
-        spark = df.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What make() returns, written; the other folders that were named for it are deleted."""
+    before = set(_named)
+    out = written(make(), what)
+    for path in [p for p in _named if p not in before and p != out.written_to]:
+        remove(spark, path)
+    return out
