@@ -19,16 +19,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contigua.llm.common import drop_written, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def turns(df: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text and the rolling hash (p1, p2) of the turns up to this one."""
-    rows = df.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+def rows_of(df: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of the turns, each different one once, dealt by conversation."""
+    rows = df.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # dealt by conv_id, rows need no further exchange, neither to be told apart nor to be ordered
+    return rows.repartition("conv_id").distinct()
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """conv_id, place (from 1) and the rolling hash (p1, p2) of the turns up to this one."""
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(by))
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("conv_id", "place", "role", "text", *(F.bit_xor(F.xxhash64(F.lit(k), "place", "role", "text")).over(so_far).alias(f"p{k}") for k in (1, 2)))
+    return rows.select("conv_id", "place", *(F.bit_xor(F.xxhash64(F.lit(k), "place", "role", "text")).over(so_far).alias(f"p{k}") for k in (1, 2)))
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
@@ -40,16 +48,20 @@ def maximal(hashed: DataFrame) -> DataFrame:
     return whole.join(inner, ["place", "p1", "p2"], "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"), "n_copies")
 
 
-def rendered(hashed: DataFrame) -> DataFrame:
+def rendered(rows: DataFrame) -> DataFrame:
     """conv_id and text: all turns in ChatML form, each closed and followed by a line end."""
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    line = F.concat(F.lit(START), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit(END + "\n"))
-    each = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
-    return hashed.groupBy("conv_id").agg(F.array_join(F.transform(each, lambda s: s["line"]), "").alias("text"))
+    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    line = lambda s: F.concat(F.lit(START), safe(s["role"]), F.lit("\n"), safe(s["text"]), F.lit(END + "\n"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(each, line), "").alias("text"))
 
 
 def formatted(df: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies and text of the maximal conversations of df (conv_id, turn, role, text)."""
-    hashed = turns(df)
-    kept = maximal(hashed)
-    return rendered(hashed.join(kept.select("conv_id"), "conv_id", "left_semi")).join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", "text")
+    """conv_id, n_turns, n_copies and text of the maximal conversations of df (conv_id, turn, role, text).
+
+    The hashes are written once, without the texts, which only meet the conversations that are kept.
+    """
+    prints = written(hashed(rows_of(df)), "turns")
+    kept = written(maximal(prints), "conversations")
+    drop_written(prints)
+    return rendered(rows_of(df).join(kept.select("conv_id"), "conv_id", "left_semi")).join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", "text")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from contigua.operators.storage import drop_written, new_folder, settled, written
+
+__all__ = ["SPACES", "WORD_GAP", "drop_written", "new_folder", "settled", "table", "text_bytes", "written"]
+
 #: The characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -19,47 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share.
-
-    Where it is unset (tests, single machine) a folder of this machine is set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.gettempdir()}/contigua-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder; nothing is created."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files behind a result of written() that nothing reads any more."""
-    if path := getattr(df, "written_to", None):
-        remove(df.sparkSession, path)
-
-
 def text_bytes(values: pa.Array) -> Iterator[bytes]:
     """Each text as UTF-8 bytes, null as empty, one at a time."""
     for x in values.cast(pa.binary()) if not pa.types.is_binary(values.type) else values:

@@ -6,9 +6,9 @@ fitted by gradient ascent on its likelihood with the labels of documents as labe
 marginals of the lines, weighted by length, add up to the share of good text, which a logistic curve
 fitted on the same rows turns into the score. Labels, lang, source and doc_id are no inputs of a score.
 
-It is fitted on at most SAMPLE labelled documents, those with the smallest hashes of doc_id whose crc32 mod 5 is not 0, without texts of
-over SAMPLE_CHARS characters;
-the parameters (a few hundred numbers) go to the tasks with the function. Scoring is a map: no shuffle.
+It is fitted on at most SAMPLE labelled documents, one text of each, those with the smallest hashes of doc_id whose crc32 mod 5 is
+not 0; of these it takes, in this order, what fits into SAMPLE_BYTES of text. The parameters (a few hundred numbers) go to the tasks with
+the function. Scoring is a map: no shuffle.
 
 Defined cases: null and empty texts are one empty line; a line without a word has the shape of zeros; rows are scored one by
 one, so repeated rows get repeated scores; null labels teach nothing; without labels of both kinds each
@@ -31,8 +31,8 @@ from contigua.llm.common import text_bytes
 
 #: Labelled documents that the field is fitted on at most.
 SAMPLE = 4000
-#: Longest text, in characters, that the field is fitted on: the sample meets on the driver. Scores take texts of any length.
-SAMPLE_CHARS = 100_000
+#: Bytes of text that the field is fitted on at most: the sample meets on the driver. Scores take texts of any length.
+SAMPLE_BYTES = 48 << 20
 ROUNDS = 150
 RATE = 0.1
 DECAY = 1e-4
@@ -226,13 +226,26 @@ def _all_marginals(e: np.ndarray, moves: np.ndarray, index: list[np.ndarray], le
     return out, pairs
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[int, bytes]]:
-    """(quality, text) of at most `most` labelled documents that are not held out; the labels' side of the join is bounded by it."""
+def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
+    """(quality, text) of at most `most` labelled documents and `most_bytes` of text, none of them held out.
+
+    Of a doc_id with several texts one is taken, that with the smallest hash. The labels' side of the joins is bounded by `most`.
+    """
     chosen = labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["quality"], (r["text"] or "").encode()) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select("doc_id", body.alias("text"), F.xxhash64(body).alias("digest"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("digest", F.octet_length("text").alias("size"))).alias("one"))
+    picked, left = [], most_bytes
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["one"]["size"] <= left:
+            picked.append((r["doc_id"], r["quality"], r["one"]["digest"]))
+            left -= r["one"]["size"]
+    if not picked:
+        return []
+    wanted = documents.sparkSession.createDataFrame(picked, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, quality int, digest long")
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "digest"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return [(r["quality"], r["text"].encode()) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def scored(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -178,11 +178,13 @@ def learn(rows: list[tuple[int, dict[str, float | None]]]) -> list[Rule]:
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, text and quality of at most `most` labelled documents, chosen by hash; no row whose crc32(doc_id) mod 5 is 0.
 
-    The labels' side is bounded by `most` rows and is therefore broadcast.
+    Of a doc_id with several texts that with the smallest hash is taken. The labels' side is bounded by `most` rows and is therefore broadcast.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select("doc_id", body.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")).select("doc_id", "one.text", "quality")
 
 
 def learned(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[Rule]:

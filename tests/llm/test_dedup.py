@@ -75,6 +75,10 @@ def test_suffix_dedup_parts_and_text(spark, monkeypatch):
     assert kept == {1: b"x" * 10, 2: b""}
 
 
+def test_suffix_dedup_of_nothing(spark):
+    assert suffix_dedup.deduplicated(documents(spark, [])).count() == 0
+
+
 def test_merging_and_front_coding():
     rng = random.Random(4)
     runs, items = [], []
@@ -206,6 +210,17 @@ def test_gray_index_finds_all_pairs():
     assert found == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
 
 
+def test_upper_nodes_prune_groups_of_the_table(spark):
+    fps = np.array(sorted({r["fp"] for r in simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}), np.int64).view(np.uint64)
+    index = simhash.GrayIndex(fps)
+    found = {(min(a, b), max(a, b)) for x, y in index.pairs(2) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    # the set of queries: every hundredth fingerprint, against all
+    for q in range(0, len(fps), 100):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[q]) <= 2)
+        assert {(min(q, j), max(q, j)) for j in near.tolist() if j != q} <= found
+    assert len(index.looked) > 5 and index.looked[0] < len(fps) * len(fps) / 200
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(5, 5), (None, 3)]

@@ -105,6 +105,18 @@ def test_classifier(spark):
     assert crf.score(crf.fit([(1, b"x")]), b"y") > 0.99
 
 
+def test_repeated_doc_ids_teach_once(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.unionAll(docs).unionAll(docs.withColumn("text", F.lit("x " * 50))).unionAll(docs.withColumn("text", F.lit(None).cast("string")))
+    n = labels.where("quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").join(docs, "doc_id").select("doc_id").distinct().count()
+    assert len(crf.sample(docs, labels)) == len(crf.sample(again, labels)) == rules.labelled_sample(again, labels).count() == min(n, rules.SAMPLE)
+    assert sorted(crf.sample(docs, labels)) == sorted(crf.sample(docs.unionAll(docs), labels))
+    assert rules.learned(docs, labels) == rules.learned(docs.unionAll(docs), labels)
+    few = crf.sample(docs, labels, most_bytes=20_000)
+    assert 0 < len(few) < n and sum(len(t) for _, t in few) <= 20_000
+    assert crf.sample(docs.limit(0), labels) == []
+
+
 def test_bpe_matches_the_library(spark):
     library, own = Tokenizer.from_file(BPE), bpe.ByteBpe(BPE)
     texts = ["", "a<|endoftext|> b  \n", "<|endoftext|><|endoftext|>", "  x y " + "z" * 1000, "I'll 'S é\x00 🙂 don't", "a\r\n\n  b", "　\x85 1234567", "x" * 30_000]
