@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; docs has the columns of
-documents. run() applies the stages to documents, writing each result to the shared folder and reading it again.
+documents. run() applies the stages to documents, writing each result to the shared folder and reading it again; what a stage left there
+beside its result is deleted.
 
 Defined cases are those of the operators; a stage on an empty table returns an empty one. Rows with a null doc_id
 pass through line dedup unread and stay in near-dedup and decontamination.
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigua.llm import bpe, decontam, line_dedup, near_dups, rules
-from contigua.llm.common import table, written
+from contigua.llm.common import drop_written, settled, table
 from contigua.llm.queries import VOCABULARY
 
 
@@ -59,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return docs
