@@ -123,20 +123,20 @@ def _may(rows: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.nda
     return can
 
 
-def tree_pairs(rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes along TREES trees of ARMS arms over each group, each in another order, that may resemble each other and are not linked yet."""
+def trees(rows: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows of groups of several nodes, and for each of TREES orders the node above each row's in a tree of ARMS arms, where the two may resemble each other, or its own."""
     starts, sizes = _group_sizes(rows[:, GROUP])
     rows = rows[np.repeat(sizes > 1, sizes)]
     sizes = sizes[sizes > 1]
     at, first = np.arange(len(rows)), np.repeat(np.cumsum(sizes) - sizes, sizes)
     above = np.where(at > first, first + (at - first - 1) // ARMS, at)
+    found = []
     for odd in _ODD[:TREES]:
         order = np.lexsort((rows[:, NODE].view(np.uint64) * odd, first))
-        x, y = order, order[above]
-        other = rows[x, ROOT] != rows[y, ROOT]
-        x, y = x[other], y[other]
-        may = _may(rows, x, y, least)
-        yield np.stack([rows[x[may], NODE], rows[y[may], NODE]], axis=1)
+        up = np.empty_like(order)
+        up[order] = order[above]
+        found.append(rows[np.where(_may(rows[:, :SKETCH], at, up, least), up, at), NODE])
+    return rows, found
 
 
 def cross_pairs(rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
@@ -163,18 +163,6 @@ def cross_pairs(rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
 _PAIR = "a long, b long"
 
 
-def _pairs_of(rows: DataFrame, find, least: float) -> DataFrame:
-    """Distinct pairs (a < b) that find() yields of rows, dealt by group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches):
-            for found in find(part, least):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
-
-    return rows.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(run, _PAIR).distinct()
-
-
 def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block: int = BLOCK) -> DataFrame:
     """doc, digest (of the text), node (of its shingle set) and root of each row with a key; rows of one root are linked."""
 
@@ -182,7 +170,11 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block:
         seen = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             for x in text_bytes(b.column(1)):
-                np.add.at(seen, (shingle_set(x, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                cells = (shingle_hashes(x, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                if len(cells) > 1 << 14:
+                    seen += np.bincount(cells, minlength=1 << CELL_BITS)
+                else:
+                    np.add.at(seen, cells, 1)
         yield packed(seen.reshape(CHUNKS, -1))
 
     def packed(counts: np.ndarray) -> pa.RecordBatch:
@@ -211,11 +203,24 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.frombuffer(x, np.int64) for x in text_bytes(b.column(1))]
+            each = [np.frombuffer(x, np.int64) for x in text_bytes(b.column(2))]
             many = np.array([len(x) for x in each], np.int64)
             repeat = pa.array(np.repeat(np.arange(len(each)), many))
             place = [np.arange(m, dtype=np.int32) for m in many.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *each])), b.column(0).take(repeat), pa.array(np.concatenate([np.zeros(0, np.int32), *place]))], ["grp", "node", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *each])), b.column(0).take(repeat), b.column(1).take(repeat), pa.array(np.concatenate([np.zeros(0, np.int32), *place]))], ["shingle", "node", "n", "place"])
+
+    ups = [f"above{i}" for i in range(TREES)]
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            rows, above = trees(rows, least)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, SKETCH]), pa.array(rows[:, NODE]), *(pa.array(rows[:, i].astype(np.int32)) for i in (SHINGLES, PLACE, SKETCH + 1)), *(pa.array(x) for x in above)], ["shingle", "node", "n", "place", "size", *ups])
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            for found in cross_pairs(rows, least):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,29 +259,32 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block:
     same = nodes.select("node", "fp").join(fps, "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
     found = by_bits.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    # places of the shingles of prefixes, of those that two nodes or more have; the rest meet nobody
-    every_place = keep(every.select("node", "first").dropDuplicates(["node"]).mapInArrow(spread, "grp long, node long, place int"), "places")
-    sizes = every_place.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    places = keep(every_place.join(sizes, "grp"), "places")
+    # the shingles of prefixes; those that over `block` nodes have are known before anything is dealt by shingle
+    places = keep(every.select("node", "n", "first").dropDuplicates(["node"]).mapInArrow(spread, "shingle long, node long, n int, place int"), "places")
+    large = keep(places.groupBy("shingle").agg(F.count("*").cast("int").alias("size")).where(F.col("size") > block), "large")
     order = ("grp", "node", "root", "n", "place", "half")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.when(F.col("size") > block, F.pmod(F.xxhash64("node", "grp"), blocks).cast("int")).otherwise(0)
+    own = F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int")
+    dealt = lambda rows: rows.repartition("grp").sortWithinPartitions("grp", "node")
 
-    within = places.withColumn("own", own).withColumn("grp", F.when(F.col("size") > block, F.xxhash64("grp", "own")).otherwise(F.col("grp")))
-    along = _pairs_of(within.join(nodes.select("node", "n"), "node").withColumn("root", F.col("node")).withColumn("half", F.lit(0)).select(*order), tree_pairs, least)
+    sized = places.join(large, "shingle", "left").withColumn("grp", F.when(F.col("size").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", own)))
+    rows = sized.select("grp", "node", F.col("node").alias("root"), "n", "place", F.lit(0).alias("half"), "shingle", F.coalesce("size", F.lit(0)).alias("size"))
+    met = keep(dealt(rows).mapInArrow(climb, "shingle long, node long, n int, place int, size int, " + ", ".join(f"{u} long" for u in ups)), "places")
+    along = met.select("node", F.explode(F.array(*ups)).alias("above")).where("node <> above").select(F.least("node", "above").alias("a"), F.greatest("node", "above").alias("b"))
     tried = keep(found.unionAll(along).distinct(), "pairs")
     drop_pairs(close)
     links = verified(tried)
-    now = keep(nodes.drop("one", "fp").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
-    labelled = places.join(now, "node")
-    several = keep(labelled.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp"), "groups")
-    labelled = labelled.join(several, "grp", "left_semi")
-    small = labelled.where(F.col("size") <= block).withColumn("half", F.lit(0)).select(*order, *_P)
-    # each pair of blocks of a large group is a group: rows of the lower block are its half 1, those of the other its half 2
-    large = labelled.where(F.col("size") > block).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    now = keep(nodes.select("node", *_P).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    labelled = met.select("shingle", "node", "n", "place", "size").join(now, "node")
+    small = labelled.where("size = 0").withColumn("half", F.lit(0)).withColumnRenamed("shingle", "grp").select(*order, *_P)
+    # of large groups those of one root leave; each pair of blocks of the others is a group: rows of the lower block are its half 1, those of the other its half 2
+    several = labelled.where("size > 0").groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    cut = labelled.where("size > 0").join(several, "shingle", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    large = large.withColumn("half", half).withColumn("grp", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).select(*order, *_P)
-    pairs = keep(_pairs_of(small.unionAll(large), cross_pairs, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    cut = cut.withColumn("half", half).withColumn("grp", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))).select(*order, *_P)
+    pairs = dealt(small.unionAll(cut)).mapInArrow(crossing, _PAIR).distinct()
+    pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     linked = components(links.unionAll(verified(pairs)))
     for done in scratch:
         drop_written(done)

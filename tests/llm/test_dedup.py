@@ -307,7 +307,8 @@ def test_prefixes_and_sketches_lose_no_pair():
     rows = np.array([(s.view(np.int64), i, i, len(x), p, 0, *near_dups.parity(x)) for i, x in enumerate(sets) for p, s in enumerate(near_dups.prefix(x, common, 0.8))])
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     assert true <= {tuple(sorted(p)) for x in near_dups.cross_pairs(rows, 0.8) for p in x.tolist()}
-    assert {tuple(sorted(p)) for x in near_dups.tree_pairs(rows, 0.8) for p in x.tolist()}
+    met, above = near_dups.trees(rows, 0.8)
+    assert len(above) == near_dups.TREES and any((met[:, near_dups.NODE] != x).any() for x in above)
     # across halves only pairs of both, none of linked nodes
     rows[:, near_dups.HALF] = 1 + rows[:, near_dups.NODE] % 2
     rows[:, near_dups.ROOT] = rows[:, near_dups.NODE] // 4
