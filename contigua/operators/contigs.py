@@ -2,13 +2,19 @@
 
 Nodes are the oriented k-mers with one valid base on each side, in both orientations. An edge leads from u to v if v is u moved
 on by its right base and v's left base is u's first one. Each node has one predecessor and one successor at most, so the graph
-falls into paths and cycles, which pointer doubling labels in as many rounds as the longest path has binary digits: each
-round joins the nodes that are not settled with the pointers they hold and writes the result to the shared folder. Plans and size
-estimates therefore stay small, and a lost executor costs one round.
+falls into paths and cycles.
+
+Neighbours mostly share a minimizer, so nodes are dealt by it and each task walks the paths that it holds, block by block, into pieces.
+Pointer doubling then labels the pieces in as many rounds as the longest path has binary digits: each round joins those that are not
+settled with the pointers they hold and writes the result to the shared folder. Plans and size estimates therefore stay small, and
+a lost executor costs one round. How nodes are dealt and cut into blocks changes the pieces, not the paths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,16 +137,19 @@ def labelled(nodes: DataFrame, links: DataFrame, scratch: list[DataFrame]) -> Da
 CHUNK_BITS = 12
 
 
+def _in_order(place: str, part: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, part))), lambda s: s[part]), "")
+
+
 def joined(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """seq, left_ext, right_ext of each path, in the orientation that was walked.
 
     Bases are joined in chunks of steps first and chunks then, so that only the sequence itself is as long as its path.
     """
     rows = labels.select(F.col("u").alias("id"), "head", "d", "cyclic").join(nodes, "id").withColumn("chunk", F.shiftright("d", CHUNK_BITS))
-    text = lambda place, part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, part))), lambda s: s["part"]), "")
     ends = F.min(F.struct("d", "u", "l", "r")).alias("first"), F.max(F.struct("d", "r")).alias("last"), F.bool_or("cyclic").alias("cyclic")
-    chunks = rows.withColumn("part", F.right("u", F.lit(1))).groupBy("head", "chunk").agg(text("d", "part").alias("part"), *ends)
-    paths = chunks.groupBy("head").agg(text("chunk", "part").alias("tail"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or("cyclic").alias("cyclic"))
+    chunks = rows.withColumn("part", F.right("u", F.lit(1))).groupBy("head", "chunk").agg(_in_order("d", "part").alias("part"), *ends)
+    paths = chunks.groupBy("head").agg(_in_order("chunk", "part").alias("tail"), F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or("cyclic").alias("cyclic"))
     # a cycle ends with the node it began with
     tail = F.when(F.col("cyclic"), F.concat("tail", F.right("first.u", F.lit(1)))).otherwise(F.col("tail"))
     seq = F.concat(F.expr("substring(first.u, 1, length(first.u) - 1)"), tail)
@@ -160,12 +169,86 @@ def one_strand(walked: DataFrame) -> DataFrame:
     return rows.groupBy("seq").agg(F.min(F.struct("left_ext", "right_ext")).alias("e")).select("seq", "e.left_ext", "e.right_ext", F.length("seq").cast("long").alias("len"))
 
 
+#: Bases of a minimizer, and nodes that a task walks at once.
+MINIMIZER, BLOCK = 7, 1 << 18
+
+
+def minimizer(u: Column | str) -> Column:
+    """The smallest hash of MINIMIZER bases in a row: that of the next k-mer is mostly the same."""
+    c = F.col(u) if isinstance(u, str) else u
+    size = F.least(F.lit(MINIMIZER), F.length(c))
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.xxhash64(F.substr(c, i, size))))
+
+
+def walked(u: list[str], left: list[str], right: list[str]) -> Iterator[tuple[str, str, str]]:
+    """seq, left_ext and right_ext of the paths among some nodes; a cycle is cut anywhere."""
+    ahead = {b + k: i for i, (k, b) in enumerate(zip(u, left, strict=True))}
+    following = [ahead.get(k + b, -1) for k, b in zip(u, right, strict=True)]
+    inner, seen = set(following), bytearray(len(u))
+    heads = [i for i in range(len(u)) if i not in inner]
+    for start in (*heads, *range(len(u))):
+        if seen[start]:
+            continue
+        i, bases = start, [u[start]]
+        seen[i] = 1
+        while (n := following[i]) >= 0 and not seen[n]:
+            i = n
+            seen[i] = 1
+            bases.append(u[i][-1])
+        yield "".join(bases), left[start], right[i]
+
+
+def pieces(nodes: DataFrame) -> DataFrame:
+    """id, seq, l, r, into and out: paths of nodes (u, l, r) that meet in a block, with the k + 1 bases of the steps into and out of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            u, left, right = ([x for b in held for x in b.column(i).to_pylist()] for i in range(3))
+            if u:
+                k = len(u[0])
+                seq, first, last = zip(*walked(u, left, right), strict=True)
+                columns = (seq, first, last, [b + s[:k] for s, b in zip(seq, first, strict=True)], [s[-k:] + b for s, b in zip(seq, last, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["seq", "l", "r", "into", "out"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BLOCK:
+                yield from result()
+                held.clear()
+        yield from result()
+
+    dealt = nodes.withColumn("bin", minimizer("u")).repartition("bin").sortWithinPartitions("bin").select("u", "l", "r")
+    return dealt.mapInArrow(run, "seq string, l string, r string, into string, out string").withColumn("id", F.monotonically_increasing_id())
+
+
+def joined_pieces(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """seq, left_ext and right_ext of the paths of pieces, in chunks of pieces as joined() has them of steps."""
+    rows = labels.select(F.col("u").alias("id"), "head", "d").join(found, "id")
+    rows = rows.withColumn("part", F.when(F.col("d") == 0, F.col("seq")).otherwise(F.substr("seq", F.length("into") - 1))).withColumn("chunk", F.shiftright("d", CHUNK_BITS))
+    ends = F.min(F.struct("d", "l")).alias("first"), F.max(F.struct("d", "r")).alias("last")
+    chunks = rows.groupBy("head", "chunk").agg(_in_order("d", "part").alias("part"), *ends)
+    paths = chunks.groupBy("head").agg(_in_order("chunk", "part").alias("seq"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return paths.select("seq", F.col("first.l").alias("left_ext"), F.col("last.r").alias("right_ext"))
+
+
 def contigs(table: DataFrame) -> DataFrame:
     """seq, left_ext, right_ext, len of the maximal unbranched paths of a UFX table (kmer, lmask, rmask)."""
-    nodes = numbered_nodes(table)
-    links = written(edge_ids(nodes), "edges")
-    scratch = [nodes, links]
-    out = written(one_strand(joined(nodes, labelled(nodes, links, scratch))), "contigs")
+    scratch: list[DataFrame] = []
+    keep = lambda df, what: scratch.append(written(df, what)) or scratch[-1]
+    nodes = oriented_nodes(table)
+    found = keep(pieces(nodes), "pieces")
+    steps = found.select(F.col("id").alias("u"), F.col("out").alias("step")).join(found.select(F.col("id").alias("v"), F.col("into").alias("step")), "step")
+    labels, cycles = _doubled(found.select(F.col("id").alias("u")), keep(steps.select("u", "v"), "edges"), scratch)
+    walks = joined_pieces(found, labels)
+    if not cycles.isEmpty():
+        # what lies on a cycle is labelled node by node, from its smallest canonical k-mer on
+        size = F.length("into") - 1
+        on = found.join(cycles.select(F.col("u").alias("id")), "id", "left_semi").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - size + 1), lambda i: F.substr("seq", i, size))).alias("u"))
+        circle = keep(nodes.join(on, "u", "left_semi").withColumn("id", F.monotonically_increasing_id()), "nodes")
+        walks = walks.unionAll(joined(circle, labelled(circle, keep(edge_ids(circle), "edges"), scratch)))
+    out = written(one_strand(walks), "contigs")
     discard(*scratch)
     return out
 

@@ -281,6 +281,14 @@ def test_long_paths_are_joined_in_chunks(spark, monkeypatch):
     assert len(longest) > 600
 
 
+def test_walked_pieces():
+    # TACG -> ACGT -> CGTT by steps of five bases, and a circle of two
+    rows = [("ACGT", "T", "T"), ("TACG", "G", "T"), ("CGTT", "A", "X"), ("ATAT", "T", "A"), ("TATA", "A", "T")]
+    found = sorted(C.walked(*(list(c) for c in zip(*rows, strict=True))))
+    assert found[1:] == [("TACGTT", "G", "X")]
+    assert found[0][0] in ("ATATA", "TATAT")
+
+
 def test_lines_are_cut_at_any_block(monkeypatch):
     import io
 
