@@ -234,7 +234,7 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block:
     scratch: list[DataFrame] = []
     keep = lambda frame, what: scratch.append(written(frame, what)) or scratch[-1]
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
-    counts = docs.select("doc", "text").mapInArrow(tally, "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(summed, "chunk int, counts binary").toArrow()
+    counts = docs.select("doc", "text").mapInArrow(tally, "chunk int, counts binary").repartition("chunk").mapInArrow(summed, "chunk int, counts binary").toArrow()
     common = np.zeros((CHUNKS, (1 << CELL_BITS) // CHUNKS), np.int32)
     for i, x in zip(counts["chunk"].to_pylist(), counts["counts"].to_pylist(), strict=True):
         common[i] = np.frombuffer(x, np.int32)

@@ -224,13 +224,15 @@ def test_upper_nodes_prune_groups_of_the_table(spark):
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(5, 5), (None, 3)]
-    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
     for a, b in edges:
         if a is not None:
             x, y = root.setdefault(a, a), root.setdefault(b, b)
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    assert found == {k: v for k, v in root.items() if k != v}
+    for few in (0, 50_000):
+        found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), few).collect()}
+        assert found == {k: v for k, v in root.items() if k != v}
+        assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 def test_resembling_groups_match_brute_force(spark, monkeypatch):
