@@ -198,8 +198,11 @@ def walked(u: list[str], left: list[str], right: list[str]) -> Iterator[tuple[st
         yield "".join(bases), left[start], right[i]
 
 
-def pieces(nodes: DataFrame) -> DataFrame:
-    """id, seq, l, r, into and out: paths of nodes (u, l, r) that meet in a block, with the k + 1 bases of the steps into and out of each."""
+def pieces(nodes: DataFrame, bin_of: Column) -> DataFrame:
+    """id, seq, l, r, into and out: paths of nodes (u, l, r) that meet in a block, with the k + 1 bases of the steps into and out of each.
+
+    Nodes are dealt by bin_of; a block holds whole bins where these are not larger than it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,7 +222,7 @@ def pieces(nodes: DataFrame) -> DataFrame:
                 held.clear()
         yield from result()
 
-    dealt = nodes.withColumn("bin", minimizer("u")).repartition("bin").sortWithinPartitions("bin").select("u", "l", "r")
+    dealt = nodes.withColumn("least", dna.canonical("u")).withColumn("bin", bin_of).repartition("bin").sortWithinPartitions("bin").select("u", "l", "r")
     return dealt.mapInArrow(run, "seq string, l string, r string, into string, out string").withColumn("id", F.monotonically_increasing_id())
 
 
@@ -233,12 +236,15 @@ def joined_pieces(found: DataFrame, labels: DataFrame) -> DataFrame:
     return paths.select("seq", F.col("first.l").alias("left_ext"), F.col("last.r").alias("right_ext"))
 
 
-def contigs(table: DataFrame) -> DataFrame:
-    """seq, left_ext, right_ext, len of the maximal unbranched paths of a UFX table (kmer, lmask, rmask)."""
+def contigs(table: DataFrame, bin_of: Column | None = None) -> DataFrame:
+    """seq, left_ext, right_ext, len of the maximal unbranched paths of a UFX table (kmer, lmask, rmask).
+
+    bin_of, an expression over the k-mer u or its canonical form least, tells which nodes are walked together first; the result does not depend on it.
+    """
     scratch: list[DataFrame] = []
     keep = lambda df, what: scratch.append(written(df, what)) or scratch[-1]
     nodes = oriented_nodes(table)
-    found = keep(pieces(nodes), "pieces")
+    found = keep(pieces(nodes, minimizer("u") if bin_of is None else bin_of), "pieces")
     steps = found.select(F.col("id").alias("u"), F.col("out").alias("step")).join(found.select(F.col("id").alias("v"), F.col("into").alias("step")), "step")
     labels, cycles = _doubled(found.select(F.col("id").alias("u")), keep(steps.select("u", "v"), "edges"), scratch)
     walks = joined_pieces(found, labels)
@@ -272,35 +278,11 @@ def local_contigs(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
 
 
 def two_level(table: DataFrame, bin_of: Column, bins: int) -> DataFrame:
-    """Like contigs(), in two steps: paths within bins of canonical k-mers first, then the ends of these across bins.
+    """Like contigs(), with given bins: paths within bins of canonical k-mers first, then the ends of these across bins.
 
     bin_of is an expression over the column least, the canonical k-mer. The second step works on one row for each local path.
-    Whatever lies on a cycle of either step is labelled on its own, as contigs() does.
     """
-    scratch: list[DataFrame] = []
-    keep = lambda df, what: scratch.append(written(df, what)) or scratch[-1]
-    nodes = numbered_nodes(table)
-    scratch.append(nodes)
-    links = keep(edge_ids(nodes), "edges")
-    ids = nodes.select(F.col("id").alias("u"))
-    known = keep(_binned_edges(nodes, links, bin_of, bins), "edges")
-    inside, across = (known.where(c).select("u", "v") for c in ("inside", "not inside"))
-    local, cycles = _doubled(ids, inside, scratch)
-    local = keep(local, "paths")
-    ends = keep(local.groupBy("head").agg(F.max_by("u", "d").alias("tail")), "paths")
-    upper_links = across.join(ends.select(F.col("tail").alias("u"), F.col("head").alias("from")), "u").join(ends.select(F.col("head").alias("v")), "v")
-    upper, upper_cycles = _doubled(ends.select(F.col("head").alias("u")), keep(upper_links.select(F.col("from").alias("u"), "v"), "edges"), scratch)
-    order = upper.select(F.col("u").alias("piece"), F.col("head").alias("top"), F.col("d").alias("nth"))
-    pieces = local.select("u", F.col("head").alias("piece"), F.col("d").alias("step"))
-    # pieces before, and steps within the piece, in one number
-    labels = pieces.join(order, "piece").select("u", F.col("top").alias("head"), (F.col("nth") * F.lit(1 << 31) + F.col("step")).alias("d"), F.lit(False).alias("cyclic"))
-    round_ones = keep(cycles.unionAll(pieces.join(upper_cycles.select(F.col("u").alias("piece")), "piece", "left_semi").select("u")), "cycles")
-    if not round_ones.isEmpty():
-        circle = nodes.join(round_ones.select(F.col("u").alias("id")), "id", "left_semi")
-        labels = labels.unionAll(labelled(circle, links.join(round_ones, "u", "left_semi"), scratch))
-    out = written(one_strand(joined(nodes, labels)), "contigs")
-    discard(*scratch)
-    return out
+    return contigs(table, F.pmod(bin_of, F.lit(bins)))
 
 
 def assemble(reads: DataFrame, cfg: Config) -> DataFrame:
