@@ -380,19 +380,23 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, core: int = CORE, gr
     twice = same.where("n > 1").select("core", "whole", "shape")
     parts.append(every.join(twice, ["core", "whole", "shape"]).select("doc", "version", F.col("first").alias("low"), (F.col("first") + F.col("shape") % 1024).alias("high")))
     number, hot = open_zones.agg(F.count_if(F.col("strings") <= group), F.count_if(F.col("strings") > group)).first()
+    needed: list[DataFrame] = []
     if number:
         buckets = max(1, min(4096, -(-number * (2 * length) // MERGE_BYTES)), min(number // 1000, 2 * texts.sparkSession.sparkContext.defaultParallelism))
-        runs = _strings(_by_text(open_zones.where(F.col("strings") <= group)), texts, length, buckets)
+        # written first: its size is known when the join is planned, and a small one needs no exchange of the texts
+        needed.append(written(_by_text(open_zones.where(F.col("strings") <= group)), "needed"))
+        runs = _strings(needed[-1], texts, length, buckets)
         parts.append(_merge(runs, kind, length, buckets))
     if hot:
-        each = written(_windows(_by_text(open_zones.where(F.col("strings") > group)), texts, kind, length), "windows")
+        needed.append(written(_by_text(open_zones.where(F.col("strings") > group)), "needed"))
+        each = written(_windows(needed[-1], texts, kind, length), "windows")
         again = each.groupBy("digest").agg(F.sum("n").alias("all")).where("all > 1").select("digest")
         parts.append(each.where("n = 1").join(again, "digest").select("doc", "version", F.col("start").alias("low"), F.col("start").alias("high")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     out = written(out.groupBy("doc", "version").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "starts")
-    for x in (found, same, open_zones):
+    for x in (found, same, open_zones, *needed):
         drop_written(x)
     if hot:
         drop_written(each)
