@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from contigua.llm.common import drop_written, written
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 PUSHED = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
@@ -354,17 +356,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """Rows of SCHEMA for pages: of equal payloads of at least `least` bytes the largest key is response, others revisit it.
+def payloads(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
+    body = F.encode(F.coalesce(F.col(page).cast("string"), F.lit("")), "UTF-8")
+    return pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
+
+
+def repeats(pages: DataFrame, key: str = "page_id", page: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+    """key and first: of equal payloads of at least `least` bytes, the largest key for each smaller one. Payloads are not shuffled."""
+    rows = payloads(pages, key, key, page)
+    digests = rows.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where((F.col("n") >= least) & F.col("key").isNotNull())
+    first = digests.groupBy("digest").agg(F.max("key").alias("first"), F.min("key").alias("last")).where("last < first").select("digest", "first")
+    return digests.join(first, "digest").where("key < first").select("key", "first").groupBy("key").agg(F.max("first").alias("first"))
+
+
+def records(pages: DataFrame, again: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+    """Rows of SCHEMA for pages, those that `again` (of repeats()) names as revisits.
 
     A null key is a response of its own; rows of the largest key that repeat it are responses too.
     """
-    body = F.encode(F.coalesce(F.col(page).cast("string"), F.lit("")), "UTF-8")
-    pages = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    digests = pages.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where((F.col("n") >= least) & F.col("key").isNotNull())
-    first = digests.groupBy("digest").agg(F.max("key").alias("first"), F.min("key").alias("last")).where("last < first").select("digest", "first")
-    again = digests.join(first, "digest").where("key < first").select("key", "first").groupBy("key").agg(F.max("first").alias("first"))
-    rows = pages.join(again, "key", "left")
+    rows = payloads(pages, key, url, page).join(again, "key", "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     revisit = F.col("first").isNotNull() & (F.octet_length("payload") >= least)
     return rows.select(
@@ -380,8 +390,11 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
 
 def written_archives(pages: DataFrame, path: str) -> None:
+    """Appends an archive of the pages. The repeats are written first, so that few of them need no exchange of the pages."""
     register(pages.sparkSession)
-    records(pages).write.format("warc").mode("append").save(path)
+    again = written(repeats(pages), "repeats")
+    records(pages, again).write.format("warc").mode("append").save(path)
+    drop_written(again)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
