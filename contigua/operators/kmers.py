@@ -38,11 +38,16 @@ def checked_reads(reads: DataFrame, cfg: Config) -> DataFrame:
     return reads.withColumn("seq", dna.checked("seq", ok, "not a read of A, C, G, T and N with as many qualities"))
 
 
-def windows(reads: DataFrame, k: int) -> DataFrame:
-    """read_id, seq, qual, pos (from 0) and kmer of each window; reads shorter than k have none."""
+def windows(reads: DataFrame, k: int, strands: bool = False) -> DataFrame:
+    """read_id, seq, qual, pos (from 0) and kmer of each window; reads shorter than k have none.
+
+    With strands also rc, its reverse complement, cut out of the read's, which is made once for a read and not for each k-mer.
+    """
+    rows = reads.withColumn("_rc", dna.revcomp("seq")) if strands else reads
     # the condition comes first, as sequence() would count downwards
-    at = reads.where(F.length("seq") >= k).select("read_id", "seq", "qual", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return at.withColumn("kmer", F.substr("seq", F.col("pos") + 1, F.lit(k)))
+    at = rows.where(F.length("seq") >= k).select("read_id", "seq", "qual", *["_rc"] * strands, F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    at = at.withColumn("kmer", F.substr("seq", F.col("pos") + 1, F.lit(k)))
+    return at.withColumn("rc", F.substr("_rc", F.length("seq") - F.col("pos") - k + 1, F.lit(k))).drop("_rc") if strands else at
 
 
 def without_n(occurrences: DataFrame) -> DataFrame:
@@ -65,12 +70,13 @@ def with_neighbours(found: DataFrame, cfg: Config) -> DataFrame:
         F.when(has_left, q(left)).otherwise(zero).alias("lq"),
         F.when(has_right, base(right)).alias("r"),
         F.when(has_right, q(right)).otherwise(zero).alias("rq"),
+        *(c for c in ("rc",) if c in found.columns),
     )
 
 
-def extract(reads: DataFrame, cfg: Config) -> DataFrame:
-    """All occurrences of k-mers without N."""
-    return with_neighbours(without_n(windows(checked_reads(reads, cfg), cfg.k)), cfg)
+def extract(reads: DataFrame, cfg: Config, strands: bool = False) -> DataFrame:
+    """All occurrences of k-mers without N; with strands also rc, their reverse complements, which spare canonicalised() making them."""
+    return with_neighbours(without_n(windows(checked_reads(reads, cfg), cfg.k, strands)), cfg)
 
 
 def good_quality(occurrences: DataFrame, cfg: Config) -> DataFrame:
@@ -80,7 +86,7 @@ def good_quality(occurrences: DataFrame, cfg: Config) -> DataFrame:
 
 def canonicalised(occurrences: DataFrame) -> DataFrame:
     """The smaller of each k-mer and its reverse complement; on a change the sides swap and pair."""
-    rc = dna.revcomp("kmer")
+    rc = F.col("rc") if "rc" in occurrences.columns else dna.revcomp("kmer")
     rows = occurrences.withColumn("_rc", rc).withColumn("_flip", F.col("_rc") < F.col("kmer"))
     pick = lambda yes, no: F.when(F.col("_flip"), yes).otherwise(no)
     return rows.select(

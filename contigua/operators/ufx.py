@@ -75,5 +75,5 @@ def from_letters(lettered: DataFrame) -> DataFrame:
 
 def ufx_table(reads: DataFrame, cfg: Config) -> DataFrame:
     """kmer, lmask, rmask of all k-mers of the reads with a valid extension."""
-    found = kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg), cfg))
+    found = kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg, strands=True), cfg))
     return valid(masks(kmers.extension_counts(found, cfg), cfg))

@@ -164,7 +164,7 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canon(spark: SparkSession, d: str) -> DataFrame:
-    return K.canonicalised(K.good_quality(occurrences(spark, d), CFG))
+    return K.canonicalised(K.good_quality(K.extract(reads(spark, d), CFG, strands=True), CFG))
 
 
 def table(spark: SparkSession, d: str) -> DataFrame:

@@ -13,4 +13,4 @@ def stream_extension_counts(reads: DataFrame, cfg: Config) -> DataFrame:
 
     The state has a row for each k-mer. Reads have no time, so nothing in it grows old and there is no watermark.
     """
-    return kmers.extension_counts(kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg), cfg)), cfg)
+    return kmers.extension_counts(kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg, strands=True), cfg)), cfg)
