@@ -117,8 +117,10 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.piece, self.offset = piece[order], offset[order]
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self.grams * MIX >> np.uint64(64 - SIEVE_BITS)] = True
+        # at most an eighth of the sieve is set
+        self.shift = np.uint64(64 - max(SIEVE_BITS, (8 * len(self.grams)).bit_length()))
+        self.sieve = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.sieve[self.grams * MIX >> self.shift] = True
 
     def candidates(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, lowest diagonal) of the bands that hold enough shared q-grams."""
@@ -126,7 +128,7 @@ class Index:
         g = grams(a)
         if not len(self.grams) or not len(g):
             return none
-        at = np.flatnonzero(self.sieve[g * MIX >> np.uint64(64 - SIEVE_BITS)])
+        at = np.flatnonzero(self.sieve[g * MIX >> self.shift])
         i = np.searchsorted(self.grams, g[at])
         i[i == len(self.grams)] = 0
         hit = self.grams[i] == g[at]
@@ -311,5 +313,8 @@ def found(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a match, with all their columns; rows with a null key stay."""
-    return documents.join(found(documents, benchmark, key, text).select(key).distinct(), key, "left_anti")
+    """The documents without a match, with all their columns; rows with a null key stay.
+
+    The keys are written first: their size is known when the join is planned, and few of them need no exchange of the documents.
+    """
+    return documents.join(written(found(documents, benchmark, key, text).select(key).distinct(), "matched"), key, "left_anti")

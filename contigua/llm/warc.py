@@ -46,6 +46,8 @@ ARCHIVE_BYTES = 256 << 20
 CHUNK, HEAD = 1 << 16, 1 << 11
 #: Bytes of archives that one partition reads at most and, where that leaves cores idle, at least.
 PARTITION_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Bytes of an archive after which a partition may be cut: the driver holds the places of these cuts, not those of all members.
+CUT_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
 #: Payloads shorter than this are not worth a revisit record.
 REVISIT_BYTES = 1000
@@ -96,8 +98,8 @@ class Written(WriterCommitMessage):
 class Archive:
     """An archive that is being written."""
 
-    def __init__(self, where: fs.FileSystem, root: str):
-        self.where, self.path = where, f"{root}/part-{uuid.uuid4().hex}.warc.gz"
+    def __init__(self, where: fs.FileSystem, root: str, cut: int):
+        self.where, self.path, self.cut = where, f"{root}/part-{uuid.uuid4().hex}.warc.gz", cut
         self.out, self.places = where.open_output_stream(self.path, compression=None), [0]
 
     def add(self, data: bytes) -> None:
@@ -114,14 +116,14 @@ class Archive:
             out.write(np.array(self.places, "<i8").tobytes())
         cuts = [0]
         for p in self.places:
-            if p - cuts[-1] >= LEAST_BYTES:
+            if p - cuts[-1] >= self.cut:
                 cuts.append(p)
         return self.path.rsplit("/", 1)[1], self.size, cuts
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, cut: int = CUT_BYTES):
+        self.path, self.cut = path, cut
 
     def write(self, iterator: Iterator) -> Written:
         where, root = place(self.path)
@@ -131,7 +133,7 @@ class WarcWriter(DataSourceWriter):
             if now is not None and now.size >= ARCHIVE_BYTES:
                 files.append(now.close())
                 now = None
-            now = now or Archive(where, root)
+            now = now or Archive(where, root, self.cut)
             now.add(member(record(row)))
         if now is not None:
             files.append(now.close())
@@ -348,7 +350,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", int(self.options.get("tasks", "1")))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], int(self.options.get("cut", CUT_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -389,11 +391,11 @@ def records(pages: DataFrame, again: DataFrame, key: str = "page_id", url: str =
     )
 
 
-def written_archives(pages: DataFrame, path: str) -> None:
+def written_archives(pages: DataFrame, path: str, cut: int = CUT_BYTES) -> None:
     """Appends an archive of the pages. The repeats are written first, so that few of them need no exchange of the pages."""
     register(pages.sparkSession)
     again = written(repeats(pages), "repeats")
-    records(pages, again).write.format("warc").mode("append").save(path)
+    records(pages, again).write.format("warc").mode("append").option("cut", cut).save(path)
     drop_written(again)
 
 

@@ -90,7 +90,7 @@ def test_archives_are_cut_and_payloads_passed_over(spark, tmp_path, monkeypatch)
     path = f"file://{tmp_path}/b"
     rng = random.Random(1)
     rows = [(i, "u", "".join(rng.choices("abcdefghijklmnop<> ", k=40_000)) + str(i // 2)) for i in range(400)]
-    warc.written_archives(pages(spark, rows).coalesce(1), path)
+    warc.written_archives(pages(spark, rows).coalesce(1), path, cut=1 << 20)
     found = warc.read_archives(spark, path)
     assert found.rdd.getNumPartitions() > 2
     assert sorted(bytes(r["payload"]).decode() for r in found.collect()) == sorted(r[2] for r in rows)
