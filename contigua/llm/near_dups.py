@@ -19,6 +19,7 @@ make one shingle; repeated rows are copies; rows with a null key belong to no gr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from contigua.llm.common import drop_written, text_bytes, written
 from contigua.llm.components import components
-from contigua.llm.simhash import SEED, drop_pairs, fingerprint, near_pairs, shingle_hashes
+from contigua.llm.simhash import LOWER, SEED, drop_pairs, fingerprint, near_pairs, shingle_hashes
 
 SIZE, LEAST = 5, 0.8
 #: Differing bits up to which the Gray-order index proposes pairs.
@@ -42,6 +43,7 @@ BLOCK = 16384
 #: Words of a sketch of a set.
 PARITY = 4
 _ODD = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _P = [f"p{i}" for i in range(PARITY)]
 #: Nodes of a group that are compared by their distance in it; more are compared one with all.
 FEW = 64
@@ -53,9 +55,28 @@ def resemblance(a: bytes, b: bytes, size: int = SIZE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def rolled_hashes(text: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of each word shingle, repeats included, made of the hashes of its words, so that each word is hashed once; equal shingles have equal ones."""
+    words = text.translate(LOWER).split()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    wide = min(size, len(each))
+    if not wide:
+        return each
+    many = len(each) - wide + 1
+    out = np.full(many, wide, np.uint64)
+    for i in range(wide):
+        # the place of a word in the shingle counts: each has another odd factor
+        out += each[i : i + many] * np.uint64(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) | 1)
+    for _ in range(2):
+        out ^= out >> np.uint64(32)
+        out *= _MIX
+    return out ^ (out >> np.uint64(32))
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, size))
+    every = np.sort(rolled_hashes(text, size))
+    return every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -170,7 +191,7 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, least: float, block:
         seen = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
             for x in text_bytes(b.column(1)):
-                cells = (shingle_hashes(x, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                cells = (rolled_hashes(x, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 if len(cells) > 1 << 14:
                     seen += np.bincount(cells, minlength=1 << CELL_BITS)
                 else:

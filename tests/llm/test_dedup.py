@@ -7,6 +7,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from contigua.llm import line_dedup, near_dups, queries, simhash, suffix_dedup
 from contigua.llm.components import components
@@ -342,3 +344,15 @@ def test_repeated_keys_leave_one_row_of_each_group(spark):
     df = documents(spark, [(1, a), (2, b), (2, b), (3, a), (3, c), (4, d), (4, d + " tail"), (None, a), (None, a)])
     left = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in near_dups.one_of_each(df).collect()]
     assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (4, d), (None, a), (None, a)], key=str)
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAb é\t\n\x0b\x00\x85"), max_size=90), max_size=4), st.integers(1, 6))
+def test_rolled_hashes_tell_shingles_apart_as_their_words_do(parts, size):
+    texts = [p.encode() for p in parts] + [" ".join(parts).encode(), b"a" * 32, b"A" * 33 + b" b", b""]
+    words = [t.translate(simhash.LOWER).split() for t in texts]
+    shingles = [[tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))] if w else [] for w in words]
+    hashes = [near_dups.rolled_hashes(t, size).tolist() for t in texts]
+    assert [len(h) for h in hashes] == [len(s) for s in shingles]
+    pairs = {(s, h) for ss, hh in zip(shingles, hashes, strict=True) for s, h in zip(ss, hh, strict=True)}
+    assert len(pairs) == len({s for s, _ in pairs}) == len({h for _, h in pairs})
