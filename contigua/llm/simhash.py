@@ -21,6 +21,7 @@ rows with a null key get a fingerprint, but a null component, and link nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,7 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
