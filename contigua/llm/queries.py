@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contigua.llm import bpe, chat, crf, decontam, html_text, line_dedup, rules, simhash, suffix_dedup, warc
+from contigua.llm import bpe, chat, clustering, crf, decontam, divergence, html_text, licenses, line_dedup, rules, simhash, suffix_dedup, warc
+from contigua.llm.audit_sql import centroids_sql, divergence_sql, licenses_sql
 from contigua.llm.common import new_folder, table
 
 #: The vocabulary that texts are encoded with; the file is read where it lies and never copied.
@@ -71,6 +72,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -83,6 +96,9 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_decontamination": op9_decontamination,
         "op10_html": op10_html,
+        "op11_centroids": op11_centroids,
+        "op12_divergence": op12_divergence,
+        "op13_licenses": op13_licenses,
     }
 
 
@@ -147,4 +163,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": CHAT_SQL, "op3_warc": WARC_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_chat": CHAT_SQL, "op3_warc": WARC_SQL, "op6_line_dedup": LINE_DEDUP_SQL, "op11_centroids": centroids_sql(), "op12_divergence": divergence_sql(), "op13_licenses": licenses_sql()}
