@@ -228,6 +228,40 @@ def test_blocks_of_the_benchmark_give_the_same_matches(spark, monkeypatch):
     assert whole and sorted(map(tuple, decontam.found(docs, bench).collect())) == whole
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_rules_of_one_or_two_characters_match_brute_force(monkeypatch, limit):
+    monkeypatch.setattr(decontam, "LIMIT", limit)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6)))
+    items = [(1, "-" * 120), (2, "-" * 60), (3, "=-" * 40), (4, word() + " " + "-" * 50 + " " + word()), (5, " ".join([word(), "--"] * 9)), (6, "-" * 60)]
+    index = index_of(items)
+    same = {p.tobytes(): [i for i, t in items if p.tobytes() in [x for x, _ in decontam.pieces_of(t.encode())]] for _, p in index.pieces}
+    for text in ("-" * 400, "-" * 55, "=-" * 70 + "x" + "-" * 64, items[3][1] + " y " + items[4][1], ("ab " + "-" * 40 + "\n") * 5, "-" * 90 + "z" + "-" * 30):
+        plain = decontam.normalised(text.encode())[0].tobytes()
+        expected = {}
+        for (_, p), k, v in zip(index.pieces, index.edits, index.exact, strict=True):
+            e = (0 if p.tobytes() in plain else 99) if v else edit_distance_within(p.tobytes(), plain)
+            if e <= k:
+                for i in same[p.tobytes()]:
+                    expected[i] = min(e, expected.get(i, 99))
+        best = {}
+        for _, i, begin, end, e in decontam._search(index, [text.encode()]):
+            assert 0 <= begin < end <= len(text)
+            best[i] = min(e, best.get(i, 99))
+        assert best == expected, text
+
+
+def test_long_rules_are_searched_in_bounded_memory():
+    import tracemalloc
+
+    index = index_of([(i, "-" * (30 + i)) for i in range(100)] + [(100 + i, f"{i} some words {'-' * 50} and more of them {i}") for i in range(10)])
+    tracemalloc.start()
+    found = list(decontam._search(index, [b"-" * 200_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for _, i, *_ in found} == set(range(100)) and peak < 300 << 20
+
+
 def test_decontamination_finds_thirteen_words_at_any_offset():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
