@@ -7,12 +7,13 @@ marginals of the lines, weighted by length, add up to the share of good text, wh
 fitted on the same rows turns into the score. Labels, lang, source and doc_id are no inputs of a score.
 
 It is fitted on at most SAMPLE labelled documents, one text of each, those with the smallest hashes of doc_id whose crc32 mod 5 is
-not 0; of these it takes, in this order, what fits into SAMPLE_BYTES of text. The parameters (a few hundred numbers) go to the tasks with
+not 0; of these it takes, in this order, what fits into SAMPLE_BYTES of text and SAMPLE_LINES lines. The parameters (a few hundred numbers) go to the tasks with
 the function. Scoring is a map: no shuffle.
 
 Defined cases: null and empty texts are one empty line; a line without a word has the shape of zeros; rows are scored one by
 one, so repeated rows get repeated scores; null labels teach nothing; without labels of both kinds each
-score is the share of label 1, or 0.5. Extra columns are ignored. Texts of any length are scored whole.
+score is the share of label 1, or 0.5. Extra columns are ignored. Texts of any length are scored whole, a part of their lines at a time: what is held for a line are
+its evidence and its length, beside the text itself and the different lines that it had so far.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from contigua.llm.common import text_bytes
 SAMPLE = 4000
 #: Bytes of text that the field is fitted on at most: the sample meets on the driver. Scores take texts of any length.
 SAMPLE_BYTES = 48 << 20
+#: Lines that the field is fitted on at most: each has FEATURES numbers on the driver.
+SAMPLE_LINES = 200_000
+#: Lines, and about how many bytes of whole lines, that are looked at at once.
+PART_LINES, PART_BYTES = 4096, 1 << 18
 ROUNDS = 150
 RATE = 0.1
 DECAY = 1e-4
@@ -57,8 +62,23 @@ OWN_FEATURES = len(KINDS) + len(OWN) + 10
 FEATURES = 3 * OWN_FEATURES + 3
 
 
-def line_shapes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics of each line of a text (lines x OWN_FEATURES), and the bytes of each line."""
+def line_parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of whole lines."""
+    at = 0
+    while True:
+        end = text.find(b"\n", at + PART_BYTES)
+        part = text[at:] if end < 0 else text[at:end]
+        if part.count(b"\n") >= PART_LINES:
+            end = at + int(np.flatnonzero(np.frombuffer(part, np.uint8) == 10)[PART_LINES - 1])
+            part = text[at:end]
+        yield part
+        if end < 0:
+            return
+        at = end + 1
+
+
+def line_shapes(text: bytes, seen: set[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of each line of a text (lines x OWN_FEATURES), and the bytes of each line. seen: lines of the parts before, to which these are added."""
     data = np.frombuffer(text + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.r_[0, ends[:-1] + 1]
@@ -83,7 +103,8 @@ def line_shapes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     lone = np.bincount(line[first & last], minlength=n)
     rest = np.stack([np.log1p(words) / 5, np.minimum(3, filled[:, 0] / some / 5), marked / some, capital / some, lone / some, words == 0, share[:, KINDS.index("capital")] > share[:, KINDS.index("lower")]], axis=1)
     # words that repeat the one before, words that the line had before, and lines that the text had before
-    again, seen = np.zeros((n, 3)), set()
+    again = np.zeros((n, 3))
+    seen = set() if seen is None else seen
     for i, x in enumerate(text.split(b"\n")):
         if len(w := x.split()) > 1:
             again[i, 0] = sum(map(eq, w, w[1:])) / len(w)
@@ -145,12 +166,69 @@ def marginals(evidence: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.n
     return out, pairs
 
 
+def evidence(field: Field, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The evidence for "good" of each line, from its own statistics and those of the lines before and after it, and the bytes of each line."""
+    own, before, after = field.weights[: 3 * OWN_FEATURES].reshape(3, OWN_FEATURES)
+    first, last, always = field.weights[3 * OWN_FEATURES :]
+    seen: set[bytes] = set()
+    out, sizes, carried = [], [], first
+    for part in line_parts(text):
+        x, size = line_shapes(part, seen)
+        e = x @ own + always
+        e[0] += carried
+        b, a = x @ before, x @ after
+        e[1:] += b[:-1]
+        e[:-1] += a[1:]
+        if out:
+            out[-1][-1] += a[0]
+        carried = b[-1]
+        out.append(e)
+        sizes.append(size.astype(np.int32))
+    out[-1][-1] += last
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def good_mean(e: np.ndarray, moves: np.ndarray, weight: np.ndarray) -> float:
+    """The weighted mean of the marginals P(good), by forward-backward in parts: states are kept at the beginnings of parts only."""
+    (m00, m01), (m10, m11) = np.exp(moves).tolist()
+    starts = range(0, len(e), PART_LINES)
+
+    def forward(at: int, p: float, q: float) -> tuple[list[float], list[float], list[float]]:
+        """P(good) so far of the lines of a part, and what their evidence adds; p and q are those of the line before."""
+        x = np.clip(e[at : at + PART_LINES], -30, 30)
+        good, bad = np.exp(x - np.maximum(x, 0)).tolist(), np.exp(-np.maximum(x, 0)).tolist()
+        out = []
+        for i, (g, b) in enumerate(zip(good, bad, strict=True)):
+            if at or i:
+                p, q = p * m11 + q * m01, p * m10 + q * m00
+            p, q = p * g, q * b
+            p = p / (p + q)
+            q = 1 - p
+            out.append(p)
+        return out, good, bad
+
+    known = [(1.0, 1.0)]
+    for at in starts:
+        part = forward(at, *known[-1])
+        known.append((part[0][-1], 1 - part[0][-1]))
+    total, u, v = 0.0, 1.0, 1.0
+    for n in range(len(starts) - 1, -1, -1):
+        ps, good, bad = part if n == len(starts) - 1 else forward(starts[n], *known[n])
+        ws = weight[starts[n] : starts[n] + PART_LINES].tolist()
+        for p, g, b, w in zip(reversed(ps), reversed(good), reversed(bad), reversed(ws), strict=True):
+            x, y = p * u, (1 - p) * v
+            total += w * x / (x + y)
+            x, y = g * u, b * v
+            u, v = m11 * x + m10 * y, m01 * x + m00 * y
+            s = u + v
+            u, v = u / s, v / s
+    return total / float(weight.sum())
+
+
 def good_share(field: Field, text: bytes) -> float:
     """The length-weighted mean of the marginals, as a log-odds."""
-    x, size = line_shapes(text)
-    p, _ = marginals(with_neighbours(x) @ field.weights, field.moves)
-    w = size + 1.0
-    mean = float(np.clip((p @ w) / w.sum(), 1e-6, 1 - 1e-6))
+    e, size = evidence(field, text)
+    mean = float(np.clip(good_mean(e, field.moves, size + 1.0), 1e-6, 1 - 1e-6))
     return float(np.log(mean / (1 - mean)))
 
 
@@ -165,16 +243,17 @@ def fit(rows: list[tuple[int, bytes]]) -> Field:
     if not len(rows) or labels.min() == labels.max():
         field.slope, field.offset = 0.0, float(np.log(labels.mean() / (1 - labels.mean()))) if len(rows) and 0 < labels.mean() < 1 else (30.0 * (2 * labels.mean() - 1) if len(rows) else 0.0)
         return field
-    shapes = [line_shapes(t) for _, t in rows]
-    xs = [with_neighbours(x) for x, _ in shapes]
-    at = np.cumsum([0] + [len(x) for x in xs])
-    big = np.concatenate(xs)
-    # a document counts once, whatever its number of lines, and a line by its length
-    weight = np.concatenate([(s + 1.0) / (s + 1.0).sum() for _, s in shapes])
+    at = np.cumsum([0] + [t.count(b"\n") + 1 for _, t in rows])
+    big, weight = np.empty((at[-1], FEATURES)), np.empty(at[-1])
+    for i, (_, t) in enumerate(rows):
+        x, s = line_shapes(t)
+        big[at[i] : at[i + 1]] = with_neighbours(x)
+        # a document counts once, whatever its number of lines, and a line by its length
+        weight[at[i] : at[i + 1]] = (s + 1.0) / (s + 1.0).sum()
     y = np.repeat(labels, np.diff(at))
     moved = [0.0, 0.0]
-    for (label, _), x in zip(rows, xs, strict=True):
-        moved[label] += (len(x) - 1) / len(x)
+    for (label, _), n in zip(rows, np.diff(at).tolist(), strict=True):
+        moved[label] += (n - 1) / n
     # Adam on the likelihood of evidence; chains are walked for all documents at once
     length = np.diff(at)
     order = np.argsort(-length, kind="stable")
@@ -226,8 +305,8 @@ def _all_marginals(e: np.ndarray, moves: np.ndarray, index: list[np.ndarray], le
     return out, pairs
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
-    """(quality, text) of at most `most` labelled documents and `most_bytes` of text, none of them held out.
+def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, most_lines: int = SAMPLE_LINES) -> list[tuple[int, bytes]]:
+    """(quality, text) of at most `most` labelled documents, `most_bytes` of text and `most_lines` lines, none of them held out.
 
     Of a doc_id with several texts one is taken, that with the smallest hash. The labels' side of the joins is bounded by `most`.
     """
@@ -235,12 +314,12 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_byt
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = documents.select("doc_id", body.alias("text"), F.xxhash64(body).alias("digest"))
-    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("digest", F.octet_length("text").alias("size"))).alias("one"))
-    picked, left = [], most_bytes
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("digest", F.octet_length("text").alias("size"), (F.size(F.split("text", "\n", -1))).alias("lines"))).alias("one"))
+    picked, left, lines = [], most_bytes, most_lines
     for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if r["one"]["size"] <= left:
+        if r["one"]["size"] <= left and r["one"]["lines"] <= lines:
             picked.append((r["doc_id"], r["quality"], r["one"]["digest"]))
-            left -= r["one"]["size"]
+            left, lines = left - r["one"]["size"], lines - r["one"]["lines"]
     if not picked:
         return []
     wanted = documents.sparkSession.createDataFrame(picked, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, quality int, digest long")

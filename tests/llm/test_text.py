@@ -228,6 +228,35 @@ def test_blocks_of_the_benchmark_give_the_same_matches(spark, monkeypatch):
     assert whole and sorted(map(tuple, decontam.found(docs, bench).collect())) == whole
 
 
+def test_scores_in_parts_are_those_of_whole_texts(monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 2, "\n".join(" ".join(rng.choice(("Good", "words", "||", "x1", "$$ &&"[: 1 + 4 * (i % 2)])) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 30))).encode()) for i in range(60)]
+    field = crf.fit(rows)
+    texts = [t for _, t in rows] + [b"", b"\n", b"\n" * 50, b"a\n" * 40 + b"last", b"one long line " * 50]
+    whole = []
+    for t in texts:
+        x, size = crf.line_shapes(t)
+        p, _ = crf.marginals(crf.with_neighbours(x) @ field.weights, field.moves)
+        mean = np.clip(p @ (size + 1.0) / (size + 1.0).sum(), 1e-6, 1 - 1e-6)
+        whole.append(np.log(mean / (1 - mean)))
+    for lines, size in ((4096, 1 << 18), (3, 1 << 18), (1, 1 << 18), (4096, 5)):
+        monkeypatch.setattr(crf, "PART_LINES", lines)
+        monkeypatch.setattr(crf, "PART_BYTES", size)
+        assert all(b"\n".join(crf.line_parts(t)) == t for t in texts)
+        assert np.allclose([crf.good_share(field, t) for t in texts], whole, atol=1e-9)
+
+
+def test_many_lines_are_scored_in_bounded_memory():
+    import tracemalloc
+
+    field = crf.Field(np.ones(crf.FEATURES) / 10, np.ones((2, 2)))
+    tracemalloc.start()
+    assert 0 <= crf.score(field, b"\n" * 100_000) <= 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 40])
 def test_rules_of_one_or_two_characters_match_brute_force(monkeypatch, limit):
     monkeypatch.setattr(decontam, "LIMIT", limit)
