@@ -32,6 +32,8 @@ LEAST, TOP = 30, 50
 SMOOTH, BILLION = 5, 1_000_000_000
 #: Terms of a chunk and sources of a block, on average; chunks that one task of a tile reads at most.
 CHUNK, BLOCK, SPAN = 4096, 64, 256
+#: Languages or sources that are broadcast at most.
+FEW = 20_000
 #: Different terms, and documents, that a task holds before it passes its counts on; bytes of a text that are cut into terms at once.
 HELD, SLICE = 1 << 18, 1 << 22
 
@@ -169,23 +171,33 @@ def tiled(vectors: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, a string, b string, value long")
 
 
+def _near(rows: DataFrame, what: str, most: int = FEW) -> DataFrame:
+    """rows, written, and broadcast where they are few by count: a frequent key of the other side then stays where it is."""
+    found = written(rows, what)
+    if found.count() > most:
+        return found
+    out = F.broadcast(found)
+    out.written_to = found.written_to
+    return out
+
+
 def audited(documents: DataFrame, least: int = LEAST, top: int = TOP, chunk: int = CHUNK, block: int = BLOCK, span: int = SPAN) -> DataFrame:
     """lang, source, part, item, value and rank: see above."""
     counts = written(counted(documents).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= least).select("lang", "term", "all")
     kept = written(kept, "kept")
-    of_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total"))
+    of_lang = _near(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total")), "langs")
     # a term's place within its chunk: windows of about `chunk` rows
     chunks = lambda terms: F.greatest(F.lit(1), F.ceil(terms / chunk)).cast("int")
     in_chunk = Window.partitionBy("lang", "chunk")
     placed = kept.join(of_lang, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks(F.col("terms"))).cast("int"))
-    placed = written(placed.withColumn("at", F.row_number().over(in_chunk.orderBy("term")) - 1), "placed")
+    placed = written(placed.repartition("lang", "chunk").withColumn("at", F.row_number().over(in_chunk.orderBy("term")) - 1), "placed")
     known = written(counts.where("term is not null").select("lang", "source", "term", "n").join(placed, ["lang", "term"]), "known")
 
     groups = counts.where("term is null").select("lang", "source").distinct()
     totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(of_lang.select("lang", "terms"), "lang", "left").fillna(0, ["total", "terms"])
-    groups = written(groups, "groups")
+    groups = _near(groups, "groups")
     blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
 
     packed = known.groupBy("lang", "source", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("v")).select("lang", "source", "chunk", "v.at", "v.n")
@@ -206,6 +218,6 @@ def audited(documents: DataFrame, least: int = LEAST, top: int = TOP, chunk: int
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     ranked = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.row_number().over(order).alias("rank"))
     out = written(ranked(pairs, "pair").unionAll(ranked(above, "term").where(F.col("rank") <= top)), "audit")
-    for x in (counts, kept, placed, known, groups, half):
+    for x in (counts, kept, of_lang, placed, known, groups, half):
         drop_written(x)
     return out
