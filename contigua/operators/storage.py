@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,21 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that new_folder() has named and nobody has deleted yet.
-_named: list[str] = []
+#: Folders that the settled() call of this thread has named and nobody has deleted yet; none are kept outside of one.
+_named: ContextVar[dict[str, None] | None] = ContextVar("named", default=None)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder; nothing is created."""
-    _named.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _named[-1]
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if (scope := _named.get()) is not None:
+        scope[path] = None
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _named:
-        _named.remove(path)
+    if scope := _named.get():
+        scope.pop(path, None)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -55,9 +58,15 @@ def drop_written(df: DataFrame) -> None:
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
-    """What make() returns, written; the other folders that were named for it are deleted."""
-    before = set(_named)
-    out = written(make(), what)
-    for path in [p for p in _named if p not in before and p != out.written_to]:
-        remove(spark, path)
+    """What make() returns, written; the other folders that were named for it, by this thread, are deleted."""
+    outer, scope = _named.get(), {}
+    token = _named.set(scope)
+    try:
+        out = written(make(), what)
+        for path in [p for p in scope if p != out.written_to]:
+            remove(spark, path)
+    finally:
+        _named.reset(token)
+    if outer is not None:
+        outer.update(scope)
     return out

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contigua.config import Config, load_config
-from contigua.functions import bloom, dna, hashing
+from contigua.functions import bloom, dna, hashing, packed
+from contigua.operators import bidirected as B
 from contigua.operators import contigs as C
 from contigua.operators import kmers as K
+from contigua.operators import sketch, superkmers
 from contigua.operators import ufx as U
 from contigua.operators.storage import new_folder, written
 from contigua.sources import fastq, tables
@@ -25,6 +27,8 @@ CFG = Config(q_min=19, d_min=2, k=15, min_contig_len=40)
 LONG_K = 31
 BINS = 16
 LONG = Config(q_min=19, d_min=2, k=LONG_K, min_contig_len=40)
+#: k of the queries on k-mers of two words.
+LONG_TWO = Config(q_min=19, d_min=2, k=41, min_contig_len=40)
 #: Bins of k-mers by two letters.
 LETTER_BINS = 5
 
@@ -137,7 +141,7 @@ def common(cfg: Config) -> dict[str, tuple[tuple[str, ...], str]]:
     }
 
 
-SHARED = frozenset({"nodes", "links", "inside"})
+SHARED = frozenset({"nodes", "links", "inside", "ahead", "back"})
 
 
 def with_common(sql: str, cfg: Config) -> str:
@@ -224,14 +228,25 @@ defaults {
 """
 
 
-@query("SELECT 'file' AS source, 21 AS q_min, 10 AS d_min, 33 AS k, 66 AS min_contig_len, 60 AS fasta_textwidth, 9 AS packed, 12 AS occurrence UNION ALL SELECT 'none', 19, 10, 41, 82, 50, 11, 14")
+def _config_row(source: str, c: Config) -> str:
+    kmers = f"CAST(({with_common('SELECT count(*) FROM good', c)}) AS BIGINT)"
+    return f"""SELECT '{source}' AS source, {c.q_min} AS q_min, {c.d_min} AS d_min, {c.k} AS k, {c.least_length} AS min_contig_len, {c.fasta_textwidth} AS fasta_textwidth,
+        {-(-c.k // 4)} AS packed, {3 + -(-c.k // 4)} AS occurrence, {kmers} AS kmers, {kmers} * {3 + -(-c.k // 4)} AS bytes"""
+
+
+@query(f"{_config_row('file', Config(q_min=21, k=33, fasta_textwidth=60))} UNION ALL {_config_row('none', Config())}")
 def config_file(spark, d):
-    """A configuration file that sets some keys, and none at all: parameters, and bytes of a packed k-mer and of an occurrence."""
+    """A configuration file that sets some keys, and none at all: parameters, bytes of a packed k-mer and of an occurrence, and the good k-mers of the reads by these, with all their bytes."""
     path = new_folder(spark, "config")
     spark.createDataFrame([(CONFIG_FILE,)], "value string").coalesce(1).write.text(path)
     found = (("file", load_config(spark, path)), ("none", load_config(spark, f"{path}/none")))
-    rows = [(name, c.q_min, c.d_min, c.k, c.least_length, c.fasta_textwidth, dna.packed_size(c.k), dna.occurrence_size(c.k)) for name, c in found]
-    return spark.createDataFrame(rows, "source string, q_min int, d_min int, k int, min_contig_len int, fasta_textwidth int, packed int, occurrence int")
+    text, out = reads(spark, d), None
+    for name, c in found:
+        fixed = {"source": name, "q_min": c.q_min, "d_min": c.d_min, "k": c.k, "min_contig_len": c.least_length, "fasta_textwidth": c.fasta_textwidth, "packed": dna.packed_size(c.k), "occurrence": dna.occurrence_size(c.k)}
+        n = K.good_quality(K.extract(text, c), c).agg(F.count("*").alias("kmers"))
+        row = n.select(*(F.lit(v).alias(k) for k, v in fixed.items()), "kmers", (F.col("kmers") * fixed["occurrence"]).alias("bytes"))
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
 # bases and strands
@@ -297,6 +312,46 @@ def extension_counts(spark, d):
     return K.extension_counts(canon(spark, d), CFG)
 
 
+@query("SELECT * FROM counts")
+def extension_counts_packed(spark, d):
+    """By k-mers of 64 bits."""
+    return superkmers.extension_counts(reads(spark, d), CFG)
+
+
+@query("SELECT * FROM counts", LONG_TWO)
+def extension_counts_two_words(spark, d):
+    """By k-mers of two words, as more than 32 bases need."""
+    return superkmers.extension_counts(reads(spark, d), LONG_TWO)
+
+
+@query("SELECT * FROM counts")
+def extension_counts_superkmers(spark, d):
+    """By runs of k-mers of one minimizer, which are exchanged whole."""
+    return superkmers.extension_counts_by_runs(reads(spark, d), CFG)
+
+
+@query(
+    f"""SELECT read_id, CAST(sum(length(part) - {CFG.k} + 1) AS BIGINT) AS kmers, CAST(count(*) AS BIGINT) AS stretches
+    FROM (SELECT read_id, unnest(string_split(seq, 'N')) AS part FROM reads) AS p WHERE length(part) >= {CFG.k} GROUP BY read_id"""
+)
+def superkmer_cover(spark, d):
+    """How many k-mers the runs of each read hold, and how many stretches without N these make: runs cover each k-mer once."""
+    runs = superkmers.super_kmers(reads(spark, d), CFG, keep=("read_id", "s"))
+    pieces = runs.groupBy("read_id").agg(F.sum("n").cast("long").alias("kmers"), F.array_sort(F.collect_list(F.struct("s", "n"))).alias("at"))
+    breaks = F.filter(F.transform("at", lambda x, i: F.coalesce(F.get("at", i - 1)["s"] + F.get("at", i - 1)["n"] == x["s"], F.lit(False))), lambda same: ~same)
+    return pieces.select("read_id", "kmers", F.size(breaks).cast("long").alias("stretches"))
+
+
+_number = lambda part: f"list_reduce(list_transform(string_split({part}, ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT)), lambda a, c: a * 4 + c)"
+
+
+@query(f"SELECT DISTINCT kmer, {_number('kmer')} AS lo, {_number(rc('kmer'))} AS rc_lo, kmer < {rc('kmer')} AS smaller FROM canon")
+def kmer_words(spark, d):
+    """Packed k-mers, their reverse complements and order, by shifts."""
+    word = packed.from_text("kmer", CFG.k)
+    return canon(spark, d).select("kmer").distinct().select("kmer", word.lo.alias("lo"), word.revcomp().lo.alias("rc_lo"), (word < word.revcomp()).alias("smaller"))
+
+
 @query("SELECT * FROM masks")
 def ext_masks(spark, d):
     return U.masks(K.extension_counts(canon(spark, d), CFG), CFG)
@@ -322,6 +377,16 @@ def singleton_suppressed(spark, d):
     return K.without_first(canon(spark, d)).select("read_id", "pos", "kmer")
 
 
+#: Slots of the sketch of the test tables.
+SLOTS = 1 << 22
+
+
+@query("SELECT read_id, pos, kmer FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY read_id, pos) AS nth FROM canon) AS c WHERE nth > 1")
+def singletons_sketched(spark, d):
+    """Like singleton_suppressed; k-mers that a sketch shows to be single leave before the exchange."""
+    return sketch.repeated_occurrences(written(canon(spark, d), "occurrences"), SLOTS).select("read_id", "pos", "kmer")
+
+
 @query("SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM canon GROUP BY kmer) AS c GROUP BY n")
 def kmer_spectrum(spark, d):
     return K.spectrum(canon(spark, d))
@@ -361,16 +426,30 @@ def edges(spark, d):
     return C.edges(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
-@query("SELECT v AS u FROM back WHERE step NOT IN (SELECT step FROM ahead)")
+@query("SELECT v AS u FROM back ANTI JOIN ahead USING (step)")
 def path_heads(spark, d):
     return C.path_heads(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
-@query("SELECT u FROM ahead WHERE step NOT IN (SELECT step FROM back)")
+@query("SELECT u FROM ahead ANTI JOIN back USING (step)")
 def path_tails(spark, d):
     return C.path_tails(written(C.oriented_nodes(table(spark, d)), "nodes"))
 
 
+@query("SELECT kmer AS u, lext AS l, rext AS r FROM lettered WHERE lext IN ('A', 'C', 'G', 'T') AND rext IN ('A', 'C', 'G', 'T')")
+def canonical_nodes(spark, d):
+    """The nodes of the bidirected graph: half the rows of oriented_nodes."""
+    return B.nodes(table(spark, d))
+
+
+@query(f"SELECT kmer, kmer <= {rc('kmer')} AS canonical FROM lettered WHERE lext IN ('A', 'C', 'G', 'T') AND rext IN ('A', 'C', 'G', 'T')")
+def piece_kmers(spark, d):
+    """The k-mers, on the smaller strand, of the pieces that tasks make before these are joined: each node once."""
+    found = B.pieces(B.nodes(table(spark, d)))
+    at = F.explode(F.sequence(F.lit(1), F.length("seq") - CFG.k + 1)).alias("i")
+    return found.select("seq", at).select(dna.canonical(F.substr("seq", F.col("i"), F.lit(CFG.k))).alias("kmer"), F.lit(True).alias("canonical"))
+
+
 # contigs
 
 
@@ -453,6 +532,31 @@ def fasta_lines(spark, d):
     return C.fasta(C.with_ids(found_contigs(spark, d)), CFG)
 
 
+@query("SELECT seq, left_ext, right_ext, len FROM contigs")
+def contigs_bidirected(spark, d):
+    """Contigs of the bidirected graph, made as rows of chunks."""
+    return B.whole(*B.contig_chunks(written(table(spark, d), "ufx")))
+
+
+#: Bases of a chunk of the test tables, of which most contigs have one and the longest some.
+CHUNK = B.chunk_size(CFG, 50)
+_chunk = f"substring(seq, CAST(c * {CHUNK} + 1 AS INT), {CHUNK})"
+
+
+@query(f"SELECT contig_id, c AS chunk, {_chunk} AS bases FROM numbered, unnest(range(0, CAST(ceil(len / {CHUNK}.0) AS BIGINT))) AS t(c)")
+def contig_chunks(spark, d):
+    return B.contig_chunks(written(table(spark, d), "ufx"), size=CHUNK)[1]
+
+
+@query(
+    f"""SELECT contig_id, c AS chunk, concat(CASE WHEN c = 0 THEN concat('>contig ', contig_id, ' len ', len, ' left_ext ', left_ext, ' right_ext ', right_ext, chr(10)) ELSE '' END,
+    rtrim(regexp_replace({_chunk}, '(.{{{CFG.fasta_textwidth}}})', '\\1' || chr(10), 'g'), chr(10))) AS value FROM numbered, unnest(range(0, CAST(ceil(len / {CHUNK}.0) AS BIGINT))) AS t(c)"""
+)
+def fasta_chunks(spark, d):
+    """The lines of fasta_lines, chunk by chunk."""
+    return B.fasta(*B.contig_chunks(written(table(spark, d), "ufx"), size=CHUNK), CFG)
+
+
 # hashes
 
 
