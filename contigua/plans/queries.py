@@ -16,11 +16,12 @@ from contigua.config import Config, load_config
 from contigua.functions import bloom, dna, hashing, packed
 from contigua.operators import bidirected as B
 from contigua.operators import contigs as C
+from contigua.operators import growing, sketch, superkmers
 from contigua.operators import kmers as K
-from contigua.operators import sketch, superkmers
 from contigua.operators import ufx as U
 from contigua.operators.storage import new_folder, written
-from contigua.sources import fastq, tables
+from contigua.sources import committed, fastq, fastq_stream, tables
+from contigua.streaming.counts import count_available
 
 CFG = Config(q_min=19, d_min=2, k=15, min_contig_len=40)
 #: k of the queries on minimum hashes, which need 16 bases at least.
@@ -342,6 +343,24 @@ def superkmer_cover(spark, d):
     return pieces.select("read_id", "kmers", F.size(breaks).cast("long").alias("stretches"))
 
 
+@query("SELECT * FROM counts")
+def counts_grown(spark, d):
+    """Counts of half of the reads, stored in buckets, and grown by the other half."""
+    rows = reads(spark, d)
+    stored = growing.store(superkmers.extension_counts(rows.where("read_id % 2 = 0"), CFG), new_folder(spark, "counts"), 8)
+    return growing.grow(stored, rows.where("read_id % 2 = 1"), new_folder(spark, "counts"), CFG, 8)
+
+
+@query("SELECT * FROM counts")
+def counts_streamed(spark, d):
+    """Counts of a stream of FASTQ files that is stopped and started again after half of the files came."""
+    rows, folder, out, state = reads(spark, d), *(new_folder(spark, x) for x in ("fastq", "counts", "state"))
+    for half in range(2):
+        fastq.write_fastq(rows.where(F.col("read_id") % 2 == half), f"{folder}/{half}")
+        found = count_available(fastq_stream.stream_fastq(spark, folder), out, state, CFG)
+    return found
+
+
 _number = lambda part: f"list_reduce(list_transform(string_split({part}, ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT)), lambda a, c: a * 4 + c)"
 
 
@@ -557,6 +576,29 @@ def fasta_chunks(spark, d):
     return B.fasta(*B.contig_chunks(written(table(spark, d), "ufx"), size=CHUNK), CFG)
 
 
+@query(
+    f"""SELECT contig_id, len, left_ext, right_ext, i AS line, substring(seq, CAST(i * {CFG.fasta_textwidth} + 1 AS INT), {CFG.fasta_textwidth}) AS bases
+    FROM numbered, unnest(range(0, CAST(ceil(len / {CFG.fasta_textwidth}.0) AS BIGINT))) AS t(i)"""
+)
+def committed_fasta(spark, d):
+    """Writes contigs as FASTA with a commit and reads their lines back."""
+    ids, chunks = B.contig_chunks(written(table(spark, d), "ufx"), size=CHUNK)
+    rows = chunks.join(ids, "contig_id").select("contig_id", "len", "left_ext", "right_ext", "chunk", "bases")
+    path = new_folder(spark, "fasta")
+    committed.write_committed(rows.repartitionByRange("contig_id").sortWithinPartitions("contig_id", "chunk"), path, "fasta", CFG.fasta_textwidth)
+    return committed.read_committed(spark, path, "fasta")
+
+
+@query("SELECT kmer, concat(lext, rext) AS exts FROM strands")
+def committed_ufx(spark, d):
+    """Writes the table of both strands in two commits and reads back what was committed."""
+    rows = U.both_strands(U.with_letters(table(spark, d))).select("kmer", F.concat("lext", "rext").alias("exts"))
+    path = new_folder(spark, "ufx")
+    for part in (dna.is_canonical("kmer"), ~dna.is_canonical("kmer")):
+        committed.write_committed(rows.where(part), path, "ufx")
+    return committed.read_committed(spark, path, "ufx")
+
+
 # hashes
 
 

@@ -14,3 +14,23 @@ def stream_extension_counts(reads: DataFrame, cfg: Config) -> DataFrame:
     The state has a row for each k-mer. Reads have no time, so nothing in it grows old and there is no watermark.
     """
     return kmers.extension_counts(kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg, strands=True), cfg)), cfg)
+
+
+def count_available(reads: DataFrame, path: str, state: str, cfg: Config) -> DataFrame:
+    """Counts what a stream of reads has now, on top of what an earlier call with the same state counted, and returns the sums so far.
+
+    The state's checkpoint has the offsets of the reads: a call that was interrupted is made up for by the next one, and no read counts twice. Sums are
+    written to `path`, a folder for each batch; those of the last one are whole.
+    """
+    spark = reads.sparkSession
+    last: list[str] = []
+
+    def put(sums: DataFrame, batch: int) -> None:
+        last[:] = [f"{path}/batch-{batch}"]
+        sums.write.mode("overwrite").parquet(last[0])
+
+    counts = stream_extension_counts(reads, cfg)
+    counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(put).start().awaitTermination()
+    if not last:
+        raise ValueError("the stream had nothing that was not counted before")
+    return spark.read.schema(counts.schema).parquet(last[0])
