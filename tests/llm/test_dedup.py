@@ -66,6 +66,29 @@ def test_suffix_dedup_query(spark):
     assert rows_of(queries.op1_suffix_dedup(spark, DATA)) == suffix_model(rows, 400)
 
 
+def test_planted_passages_above_and_below_the_length(spark):
+    """Passages of over 50 words that two documents share: those of 400 bytes or more go from both, shorter ones stay, and so does all around them."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for i in range(120):
+        size = rng.randrange(400, 900) if i % 2 else rng.randrange(300, 400)
+        passage = (words(51) + " " + words(120))[:size]
+        for j, (a, b) in enumerate((("<", ">"), ("[", "]"))):  # what stands beside it differs
+            key = 2 * i + j
+            planted[key] = (size, f"{words(rng.randrange(5, 60))}{a}", passage, f"{b}{words(rng.randrange(5, 60))}")
+            rows.append((key, "".join(planted[key][1:])))
+    rows += [(1000 + i, words(150)) for i in range(60)]
+    found = {r["doc_id"]: r for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for key, text in rows:
+        size, before, _, after = planted.get(key, (0, "", "", ""))
+        gone = size >= 400
+        left = before + after if gone else text
+        assert (found[key]["n_bytes"], found[key]["n_removed"], found[key]["n_spans"]) == (len(text), size if gone else 0, int(gone))
+        assert found[key]["kept_sha256"] == hashlib.sha256(left.encode()).hexdigest()
+
+
 def test_suffix_dedup_parts_and_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 64)
     a, b = (suffix_dedup.zones(bytes(random.Random(2).choices(b"abcdef", k=600)), 40, 13) for _ in range(2))
