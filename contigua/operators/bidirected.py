@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from contigua.config import Config
 from contigua.functions import dna
 from contigua.operators import kmers, ufx
-from contigua.operators.contigs import _in_order
+from contigua.operators.contigs import _in_order, dealt_by_bin
 from contigua.operators.storage import drop_written, written
 
 #: Bases of a minimizer, nodes that a task joins at once, and bases of a chunk.
@@ -112,15 +112,8 @@ def pieces(found: DataFrame, size: int = MINIMIZER, block: int = BLOCK) -> DataF
                 held = ([], [], [])
         yield from result()
 
-    binned = found.withColumn("bin", minimizer("u", size))
-    large = written(binned.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > block), "bins")
-    if not large.isEmpty():
-        # nodes of a bin that fills several blocks are dealt by their own hash
-        part = F.coalesce(F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / block)), F.lit(0))
-        binned = binned.join(large, "bin", "left").withColumn("part", part).drop("n")
-    else:
-        binned = binned.withColumn("part", F.lit(0))
-    dealt = binned.repartition("bin", "part").sortWithinPartitions("bin", "part").select("u", "l", "r")
+    # nodes of a minimizer that fills several blocks are dealt by themselves
+    dealt = dealt_by_bin(found.withColumn("bin", minimizer("u", size)), F.col("u"), block).select("u", "l", "r")
     return dealt.mapInArrow(run, PIECE).withColumn("id", F.monotonically_increasing_id())
 
 

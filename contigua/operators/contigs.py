@@ -198,10 +198,21 @@ def walked(u: list[str], left: list[str], right: list[str]) -> Iterator[tuple[st
         yield "".join(bases), left[start], right[i]
 
 
+def dealt_by_bin(nodes: DataFrame, part_of: Column, block: int) -> DataFrame:
+    """nodes with bin, each bin in one task, or dealt to several by the hash part_of where it has more than `block` nodes."""
+    large = written(nodes.groupBy("bin").agg(F.count("*").alias("_n")).where(F.col("_n") > block), "bins")
+    if large.isEmpty():
+        drop_written(large)
+        return nodes.repartition("bin").sortWithinPartitions("bin")
+    part = F.coalesce(F.pmod(F.xxhash64(part_of), F.ceil(F.col("_n") / block)), F.lit(0))
+    return nodes.join(large, "bin", "left").withColumn("part", part).drop("_n").repartition("bin", "part").sortWithinPartitions("bin", "part")
+
+
 def pieces(nodes: DataFrame, bin_of: Column) -> DataFrame:
     """id, seq, l, r, into and out: paths of nodes (u, l, r) that meet in a block, with the k + 1 bases of the steps into and out of each.
 
-    Nodes are dealt by bin_of; a block holds whole bins where these are not larger than it.
+    Nodes are dealt by bin_of; a block holds whole bins where these are not larger than it. Larger ones are dealt to as many tasks as they fill blocks, by
+    the minimizer, so that tasks grow with the nodes, not with the number of bins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +226,17 @@ def pieces(nodes: DataFrame, bin_of: Column) -> DataFrame:
                 columns = (seq, first, last, [b + s[:k] for s, b in zip(seq, first, strict=True)], [s[-k:] + b for s, b in zip(seq, last, strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["seq", "l", "r", "into", "out"])
 
+        rows = 0
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= BLOCK:
+            rows += b.num_rows
+            if rows >= BLOCK:
                 yield from result()
                 held.clear()
+                rows = 0
         yield from result()
 
-    dealt = nodes.withColumn("least", dna.canonical("u")).withColumn("bin", bin_of).repartition("bin").sortWithinPartitions("bin").select("u", "l", "r")
+    dealt = dealt_by_bin(nodes.withColumn("least", dna.canonical("u")).withColumn("bin", bin_of), minimizer("u"), BLOCK).select("u", "l", "r")
     return dealt.mapInArrow(run, "seq string, l string, r string, into string, out string").withColumn("id", F.monotonically_increasing_id())
 
 

@@ -517,7 +517,7 @@ def contig_join_two_level(spark, d):
 
 @query("SELECT seq, left_ext, right_ext, len FROM pieces")
 def contig_pieces(spark, d):
-    """What two_level() joins: paths that stay within a bin."""
+    """Paths that stay within a bin of k-mers; piece_kmers shows what tasks make."""
     return C.local_contigs(written(table(spark, d), "ufx"), letters_of("least"), LETTER_BINS)
 
 

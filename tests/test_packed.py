@@ -138,3 +138,22 @@ def test_fasta_lines_do_not_cross_chunks(spark):
     whole = "".join(r["value"] + "\n" for r in C.fasta(C.with_ids(C.contigs(table)), cfg).orderBy("contig_id").collect())
     cut = B.fasta(*B.contig_chunks(table, size=size), cfg).orderBy("contig_id", "chunk").collect()
     assert "".join(r["value"] + "\n" for r in cut) == whole and len(cut) > 3
+
+
+def test_large_bins_are_dealt_to_several_tasks(spark, monkeypatch):
+    seqs = tiled(genome(random.Random(4), 400), 15, 30)
+    table = U.ufx_table(as_reads(spark, seqs), Config(q_min=19, d_min=2, k=15)).cache()
+    expected = sorted(tuple(r) for r in C.contigs(table).collect())
+    nodes = C.oriented_nodes(table).withColumn("least", F.col("u")).withColumn("bin", F.lit(1))
+    tasks = lambda block: C.dealt_by_bin(nodes, C.minimizer("u"), block).select(F.spark_partition_id()).distinct().count()
+    with_conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        assert tasks(10_000) == 1 and tasks(50) > 5
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(C, "BLOCK", 50)
+    assert sorted(tuple(r) for r in C.two_level(table, F.ascii("least"), 2).collect()) == expected
