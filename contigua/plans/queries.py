@@ -20,7 +20,7 @@ from contigua.operators import growing, sketch, superkmers
 from contigua.operators import kmers as K
 from contigua.operators import ufx as U
 from contigua.operators.storage import new_folder, written
-from contigua.sources import committed, fastq, fastq_stream, tables
+from contigua.sources import bam, committed, fastq, fastq_stream, tables
 from contigua.streaming.counts import count_available
 
 CFG = Config(q_min=19, d_min=2, k=15, min_contig_len=40)
@@ -211,6 +211,14 @@ def fastq_scan(spark, d):
     return fastq.read_fastq(spark, path, split=1 << 20).withColumn("read_id", F.col("read_id").cast("long"))
 
 
+@query("SELECT read_id, seq, qual FROM reads")
+def bam_scan(spark, d):
+    """Writes the reads as BAM files and reads them by small byte ranges."""
+    path = new_folder(spark, "bam")
+    bam.write_bam(reads(spark, d), path)
+    return bam.read_bam(spark, path, split=1 << 16).withColumn("read_id", F.col("read_id").cast("long"))
+
+
 @query("SELECT CAST(sum(length(CAST(read_id AS STRING)) + length(seq) + length(qual) + 6) AS BIGINT) AS bytes FROM reads")
 def fastq_bytes(spark, d):
     """The size of the reads as files: at, plus and four line ends beside what a read holds."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from contigua.config import Config
 from contigua.operators import growing, superkmers
 from contigua.operators.storage import new_folder, settled, written
-from contigua.sources import committed, fastq, fastq_stream
+from contigua.sources import bam, committed, fastq_stream
 from contigua.streaming.counts import count_available
 from tests.test_engine import as_reads
 
@@ -132,3 +132,30 @@ def test_entry_without_what_the_operators_need():
     said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=True)
     n, ops = said.stdout.split()
     assert int(n) > 50 and ops == "False"
+
+
+@pytest.mark.parametrize("split, block_bytes", [(97, 60), (300, 500), (1 << 20, bam.BLOCK_BYTES)])
+def test_bam_ranges_own_each_record_once(spark, tmp_path, split, block_bytes):
+    rng = random.Random(split)
+    rows = [(f"r{i}", "".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("BTh@") for _ in range(n))) for i, n in enumerate([0, 1, 2, 700, *(rng.randrange(80) for _ in range(60))])]
+    path = str(tmp_path / "bam")
+    bam.write_bam(spark.createDataFrame(rows, "read_id string, seq string, qual string").repartition(2), path, block_bytes=block_bytes)
+    assert rows_of(bam.read_bam(spark, path, split)) == sorted(rows)
+
+
+def test_bam_flags_headers_and_damage(spark, tmp_path):
+    import struct
+
+    records = [bam.encoded("a", "ACGN", "hTBh", 64, 4 | 0x10), bam.encoded("b", "ACG", "hhh", 64, 0x100), bam.encoded("c", "AC", "hT", 64)]
+    head = bam.FILE_MAGIC + struct.pack("<i", 5) + b"@HD\n\n" + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\x00" + struct.pack("<i", 9)
+    p = tmp_path / "x.bam"
+    p.write_bytes(bam.block(head + b"".join(records)[:50]) + bam.block(b"".join(records)[50:]) + bam.LAST_BLOCK)
+    assert rows_of(bam.read_bam(spark, str(p))) == [("a", "NCGT", "hBTh"), ("c", "AC", "hT")]
+    p.write_bytes(bam.block(head) + bam.LAST_BLOCK)
+    assert bam.read_bam(spark, str(p)).count() == 0
+    p.write_bytes(bam.block(head + records[0][:-3]))
+    with pytest.raises(Exception, match="ends within"):
+        bam.read_bam(spark, str(p)).count()
+    p.write_bytes(bam.block(b"no such file"))
+    with pytest.raises(Exception, match="not a BAM"):
+        bam.read_bam(spark, str(p)).count()
