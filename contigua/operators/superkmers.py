@@ -141,7 +141,8 @@ def hot_bins(runs: DataFrame, share: int = HOT) -> list[int]:
 
 def extension_counts_by_runs(reads: DataFrame, cfg: Config, size: int = MINIMIZER, share: int = HOT) -> DataFrame:
     """kmers.extension_counts() with an exchange of super-k-mers."""
-    runs = super_kmers(reads, cfg, size)
+    # written, as minimizers are the dear part and runs are read twice
+    runs = written(super_kmers(reads, cfg, size), "runs")
     hot = hot_bins(runs, share)
     keys = _keys(cfg.k)
     cold = _counts(_apart((runs.where(~F.col("bin").isin(hot)) if hot else runs).repartition("bin"), cfg), "bin", *keys).drop("bin")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigua.config import Config
-from contigua.functions import dna
-from contigua.operators import kmers
+from contigua.functions import dna, packed
+from contigua.operators import kmers, superkmers
 
 
 def masks(counts: DataFrame, cfg: Config) -> DataFrame:
@@ -74,6 +74,8 @@ def from_letters(lettered: DataFrame) -> DataFrame:
 
 
 def ufx_table(reads: DataFrame, cfg: Config) -> DataFrame:
-    """kmer, lmask, rmask of all k-mers of the reads with a valid extension."""
+    """kmer, lmask, rmask of all k-mers of the reads with a valid extension; k-mers of up to 64 bases are counted packed."""
+    if cfg.k <= packed.LONGEST:
+        return valid(masks(superkmers.extension_counts(reads, cfg), cfg))
     found = kmers.canonicalised(kmers.good_quality(kmers.extract(reads, cfg, strands=True), cfg))
     return valid(masks(kmers.extension_counts(found, cfg), cfg))
