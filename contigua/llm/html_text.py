@@ -1,10 +1,11 @@
 """Main text of HTML pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its number of words and its
-share of words in links, the same of its neighbours, how its tags and their names speak of it (not at all, in passing, or as
-something else than main text; a name that most of a page goes by counts as in passing), whether it stands in an article, beside one
-or on a page without, and whether it is a heading. A decision tree, grown from the labelled table below, tells main
-text from the rest.
+share of words in links, the same of its neighbours, where it lies as seen from the home of the page's text, how its tags and
+their names speak of it (not at all, in passing, or as something else than main text; a name that most of a page goes by counts
+as in passing), and whether it is a heading. The home is the deepest element that holds most words outside links; words of an
+article or main element count eight times, so a page without one has a home too, and an article of few words beside a long text is
+not one. A decision tree, grown from the labelled pages below, tells main text from the rest.
 
 Pages are scanned by hand, in time that grows with their length whatever they hold: a search that failed once is not made again.
 
@@ -19,9 +20,10 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,12 +44,21 @@ CONTAINERS = frozenset("address article aside blockquote body button center deta
 OTHER = frozenset("aside button dialog fieldset footer form head menu nav".split())
 #: Words in class, id, role or aria-label that name a block as something else than main text.
 OTHER_NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer discuss discussion disqus dropdown feedback footer gdpr masthead menu modal navbar nav navigation newsletter notice notices notification overlay pagination pager popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
+    # in English, and names of services
+    "ad ads adv advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer discuss discussion disqus dropdown feedback footer gdpr masthead menu modal navbar nav navigation newsletter notice notices notification overlay pagination pager popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets outbrain taboola addthis sharethis adsense".split()
+    # in German, French, Spanish, Italian and Portuguese, without accents
+    + "anzeige anzeigen fusszeile hinweis hinweise kommentar kommentare kopfzeile navigationsleiste seitenleiste teilen werbung".split()
+    + "commentaire commentaires partager publicite publicites".split()
+    + "anuncio anuncios aviso avisos comentario comentarios compartir publicidad".split()
+    + "commenti condividi navigazione pubblicita".split()
+    + "compartilhar navegacao publicidade rodape".split()
 )
+#: Names of readers and of what they leave: together, in this order, they name comments.
+READERS, VOICES = frozenset("customer guest reader readers user users visitor visitors".split()), frozenset("answers opinion opinions posts reactions reviews thoughts voices".split())
 #: What follows the word that matters in a name: a cookie-notice-box is a notice, a market-share-report is a report.
-HOLDERS = frozenset("area articles bar block body box button buttons container content cta element entries entry field footer form group head header headline heading holder icon icons inner item items label left link links list main message module outer overlay page panel placeholder posts region right row section slot stories text title top unit wrap wrapper zone".split())
+HOLDERS = frozenset("area articles bar block body box button buttons container content cta element entries entry field footer form group head header headline heading holder icon icons inner item items label left link links list main message module outer overlay page panel placeholder posts region right row section slot stories text title top unit wrap wrapper zone bereich bloc bloque bloques boite caja contenedor kasten leiste lista liste seccion".split())
 #: Words that make a name tell of a page's layout, not of the block itself.
-LAYOUT = frozenset("has hide layout no non show with without".split())
+LAYOUT = frozenset("about has hide how layout no non of on show the to why with without".split())
 #: Names that a page's head and an article's head share: they count outside articles only, and not where one names the article's.
 HEADS, OWN_HEADS = frozenset({"header"}), frozenset("article entry post section story".split())
 #: Tags that end a block but hold nothing.
@@ -58,10 +69,14 @@ CLOSES_ITSELF = frozenset("li td th tr".split())
 
 #: How a block is named: not as something else, in passing, as something else.
 PLAIN, PASSING, ELSE = range(3)
-#: Where a block stands: outside the article of its page, on a page without one, in an article.
-BESIDE, NOWHERE, INSIDE = -1, 0, 1
+#: Where a block lies: in the home of the page's text, loose in an element around it, in an element beside it, beside an article that has most text.
+HOME, AROUND, BESIDE, OUTSIDE = range(4)
+#: Elements that can be a home, those whose words count more, how much more, and the share of all that a home has.
+HOMES, ARTICLES, MORE, MOST = frozenset("article body center div main section td".split()), frozenset({"article", "main"}), 8, 0.7
 #: A block with so many words outside links is taken for text when a page's text is counted.
 LONG = 10
+#: Sizes that labelled pages come in, and the fewest blocks of a leaf.
+SIZES, LEAST = (1, 0.8, 1.5, 3), 5
 
 
 @dataclass(slots=True)
@@ -73,6 +88,7 @@ class Block:
     top: int  # number of the outermost element that is named as something else, or 0
     article: bool
     heading: bool
+    element: int  # number of the innermost open container
 
 
 @dataclass(slots=True)
@@ -82,6 +98,15 @@ class Open:
     top: int = 0
     hidden: bool = False
     article: bool = False
+    element: int = 0
+
+
+@dataclass(slots=True)
+class Elements:
+    """The containers of a page by number: what they stand in, always of a smaller number, and their tags. Number 0 is the page."""
+
+    parents: list[int] = field(default_factory=lambda: [0])
+    tags: list[str] = field(default_factory=lambda: ["body"])
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -91,9 +116,12 @@ def attributes(rest: str) -> dict[str, str]:
 def naming(attrs: dict[str, str], in_article: bool) -> int:
     """What the names in a tag's attributes make of it."""
     out = PLAIN
-    for token in " ".join(attrs.get(a, "") for a in NAMES).split():
+    names = " ".join(attrs.get(a, "") for a in NAMES)
+    if not names.isascii():
+        names = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", names))
+    for token in names.split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
-        hits = [i for i, w in enumerate(words) if w in OTHER_NAMES or w in HEADS and not in_article and not OWN_HEADS & set(words)]
+        hits = [i for i, w in enumerate(words) if w in OTHER_NAMES or w in VOICES and READERS & set(words[:i]) or w in HEADS and not in_article and not OWN_HEADS & set(words)]
         if hits:
             sure = not LAYOUT & set(words[: hits[-1]]) and all(w in HOLDERS for w in words[hits[-1] + 1 :])
             out = max(out, ELSE if sure else PASSING)
@@ -190,9 +218,10 @@ class Scanner:
                 at = low + 1
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; blocks without a word and hidden ones are left out."""
+def blocks(page: str) -> tuple[list[Block], Elements]:
+    """The text blocks of a page in order, and its elements; blocks without a word and hidden ones are left out."""
     out: list[Block] = []
+    elements = Elements()
     stack = [Open("")]
     count: Counter[str] = Counter()  # open elements by tag
     now = stack[0]  # what the text that comes next stands in
@@ -204,7 +233,7 @@ def blocks(page: str) -> list[Block]:
         if texts:
             words = "".join(texts).split()
             if words and not now.hidden:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), now.named, now.top, now.article, heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), now.named, now.top, now.article, heading, now.element))
             texts.clear()
         linked = 0
 
@@ -247,192 +276,156 @@ def blocks(page: str) -> list[Block]:
             top = above.top
             if named == ELSE and not top:
                 top = tops = tops + 1
-            now = Open(tag, max(above.named, named), top, above.hidden or bool(attrs) and is_hidden(attrs), above.article or tag in ("article", "main") and above.named < ELSE)
+            now = Open(tag, max(above.named, named), top, above.hidden or bool(attrs) and is_hidden(attrs), above.article or tag in ARTICLES and above.named < ELSE, above.element)
             if tag in CONTAINERS:
+                now.element = len(elements.tags)
+                elements.parents.append(above.element)
+                elements.tags.append(tag)
                 stack.append(now)
                 count[tag] += 1
     flush()
-    return out
+    return out, elements
 
 
 #: The statistics that the tree may split at.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "named", "article", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place", "named", "heading")
 
-#: Labelled blocks, in the order of FEATURES and then 1 for main text, 0 for anything else.
+#: Labelled pages in outline: a number stands for as many words, "+" for main text.
 LABELLED = (
-    # menus, breadcrumbs and lists of links
-    (1, 1.0, 0, 0.0, 1, 1.0, 2, -1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 8, 0.0, 2, -1, 0, 0),
-    (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 2, 1.0, 0, -1, 0, 0),
-    (2, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0),
-    (6, 1.0, 5, 1.0, 7, 1.0, 0, -1, 0, 0),
-    (9, 0.9, 6, 1.0, 8, 1.0, 0, 0, 0, 0),
-    (12, 1.0, 10, 1.0, 0, 0.0, 0, -1, 0, 0),
-    (5, 0.8, 40, 0.0, 6, 0.8, 0, 1, 0, 0),
-    (3, 1.0, 60, 0.0, 3, 1.0, 0, 1, 0, 0),
-    # adverts, notices, sidebars, forms, headers and footers by name, short and long
-    (8, 0.0, 2, 1.0, 7, 0.0, 2, 0, 0, 0),
-    (14, 0.0, 1, 1.0, 12, 0.0, 2, -1, 0, 0),
-    (35, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0),
-    (25, 0.1, 30, 0.0, 3, 1.0, 2, -1, 0, 0),
-    (60, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 0),
-    (7, 0.0, 90, 0.0, 0, 0.0, 2, -1, 0, 0),
-    (11, 0.0, 45, 0.0, 1, 0.0, 2, 0, 0, 0),
-    (1, 0.0, 12, 0.0, 0, 0.0, 2, -1, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 2, 0, 1, 0),
-    (6, 0.0, 30, 0.0, 12, 0.0, 2, -1, 1, 0),
-    # readers' comments and asides within articles
-    (18, 0.0, 4, 0.0, 22, 0.0, 2, 1, 0, 0),
-    (70, 0.0, 3, 0.0, 2, 0.0, 2, 1, 0, 0),
-    (3, 0.0, 80, 0.0, 18, 0.0, 2, 1, 1, 0),
-    (2, 0.5, 70, 0.0, 15, 0.0, 2, 1, 0, 0),
-    (12, 0.0, 55, 0.0, 48, 0.0, 2, 1, 0, 0),
-    # short lines outside articles, between other short lines
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 0.2, 2, 1.0, 3, 0.5, 0, 0, 0, 0),
-    (6, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0),
-    # paragraphs, headings and short lines of articles
-    (9, 0.0, 8, 0.0, 9, 0.0, 0, 1, 1, 1),
-    (7, 0.0, 1, 1.0, 45, 0.0, 0, 1, 1, 1),
-    (4, 0.0, 40, 0.0, 35, 0.0, 0, 1, 1, 1),
-    (2, 0.0, 60, 0.0, 50, 0.0, 0, 1, 1, 1),
-    (9, 0.0, 9, 0.0, 40, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 35, 0.0, 42, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 80, 0.0, 10, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 4, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 9, 0.0, 8, 0.0, 0, 1, 0, 1),
-    (12, 0.0, 8, 0.0, 11, 0.0, 0, 1, 0, 1),
-    (45, 0.05, 38, 0.0, 60, 0.1, 0, 1, 0, 1),
-    (60, 0.0, 45, 0.0, 11, 0.0, 0, 1, 0, 1),
-    (25, 0.3, 50, 0.0, 40, 0.0, 0, 1, 0, 1),
-    (150, 0.02, 70, 0.0, 90, 0.0, 0, 1, 0, 1),
-    (400, 0.0, 3, 0.0, 9, 0.0, 0, 1, 0, 1),
-    (30, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 1),
-    # the ends of articles, before links
-    (30, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (8, 0.0, 35, 0.0, 1, 1.0, 0, 1, 0, 1),
-    (1, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0, 1),
-    (2, 0.0, 60, 0.0, 4, 0.5, 0, 1, 0, 1),
-    (12, 0.0, 8, 0.0, 1, 1.0, 0, 1, 0, 1),
-    (5, 0.0, 2, 1.0, 4, 1.0, 0, 1, 1, 1),
-    (20, 0.5, 45, 0.0, 30, 0.0, 0, 1, 0, 1),
-    (14, 0.4, 30, 0.0, 2, 1.0, 0, 1, 0, 1),
-    (12, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
-    (15, 0.0, 3, 0.0, 2, 1.0, 0, 1, 0, 1),
-    (8, 0.0, 1, 0.0, 2, 1.0, 0, 1, 0, 1),
-    # paragraphs and headings of pages that name no article
-    (40, 0.0, 35, 0.0, 50, 0.05, 0, 0, 0, 1),
-    (25, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1),
-    (90, 0.1, 6, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (16, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 1),
-    (20, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (8, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 55, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1),
-    (7, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1, 1),
-    (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (18, 0.1, 55, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (35, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1),
-    # more lists of links: menus, related pages, tags, pages of results
-    (1, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (4, 1.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (7, 1.0, 6, 1.0, 9, 1.0, 0, 0, 0, 0),
-    (11, 1.0, 12, 1.0, 10, 1.0, 0, 0, 0, 0),
-    (14, 0.9, 11, 1.0, 9, 1.0, 0, 0, 0, 0),
-    (3, 1.0, 20, 0.0, 2, 1.0, 0, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, -1, 0, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, -1, 0, 0),
-    (5, 1.0, 2, 1.0, 0, 0.0, 0, -1, 0, 0),
-    (8, 1.0, 9, 1.0, 7, 1.0, 0, -1, 0, 0),
-    (4, 1.0, 30, 0.0, 4, 1.0, 0, 1, 0, 0),
-    (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0),
-    (9, 0.8, 6, 1.0, 50, 0.0, 0, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 1, 1, 0, 0),
-    (3, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 40, 0.0, 1, 0, 0, 0),
-    # short titles of pages that name no article, and short lines above text that are none
-    (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1, 1),
-    (2, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 1),
-    (3, 0.0, 1, 1.0, 50, 0.0, 1, 0, 1, 1),
-    (4, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
-    # titles that are links, and sentences that are, between paragraphs of an article
-    (8, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
-    (6, 1.0, 3, 1.0, 60, 0.0, 0, 1, 1, 1),
-    (2, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
-    (3, 1.0, 2, 1.0, 50, 0.0, 0, 1, 1, 1),
-    (5, 1.0, 0, 0.0, 12, 0.0, 0, 1, 1, 1),
-    (3, 1.0, 4, 1.0, 18, 0.0, 0, 1, 1, 1),
-    (9, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (12, 1.0, 40, 0.0, 30, 0.0, 0, 1, 0, 1),
-    # what no name speaks of, beside an article
-    (12, 0.0, 1, 1.0, 9, 0.0, 0, -1, 0, 0),
-    (30, 0.0, 8, 0.0, 6, 0.0, 0, -1, 0, 0),
-    (5, 0.0, 60, 0.0, 0, 0.0, 0, -1, 0, 0),
-    (2, 0.0, 0, 0.0, 1, 1.0, 0, -1, 1, 0),
-    (18, 0.1, 70, 0.0, 4, 0.0, 0, -1, 0, 0),
-    # names in passing, of layouts and of topics: blocks of text are text
-    (40, 0.0, 7, 0.0, 35, 0.0, 1, 0, 0, 1),
-    (25, 0.0, 0, 0.0, 30, 0.0, 1, 0, 0, 1),
-    (60, 0.1, 40, 0.0, 3, 1.0, 1, 0, 0, 1),
-    (16, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1, 1),
-    (4, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1),
-    (9, 0.0, 30, 0.0, 25, 0.0, 1, 1, 0, 1),
-    (50, 0.0, 8, 0.0, 30, 0.0, 1, 1, 0, 1),
-    (3, 0.0, 20, 0.0, 40, 0.0, 1, 1, 1, 1),
-    (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
-    (5, 0.0, 4, 0.0, 3, 1.0, 1, 0, 0, 0),
-    # pages that are all in one element which was never closed or is named oddly, so that the name is one in passing
-    (45, 0.0, 7, 0.0, 60, 0.0, 1, 0, 0, 1),
-    (60, 0.1, 45, 0.0, 30, 0.0, 1, 0, 0, 1),
-    (30, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (20, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 1),
-    (80, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
-    (15, 0.0, 35, 0.0, 3, 1.0, 1, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 45, 0.0, 1, 0, 1, 1),
-    (5, 0.0, 40, 0.0, 45, 0.0, 1, 0, 0, 1),
-    (4, 0.0, 30, 0.0, 50, 0.0, 1, 0, 1, 1),
-    (35, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (50, 0.0, 1, 1.0, 40, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 0),
+    # an article between a menu, an advert and a footer
+    "<nav><ul><li><a>1</a><li><a>1</a><li><a>2</a></ul></nav><div class=ad>8</div><article><h1>9+</h1><p>9+<p>30+<p>1+<p>45+<p>3+<p>22+</article><footer>9</footer>",
+    "<nav><a>1</a></nav><div class=ad>6</div><article><h1>1+</h1><p>1+</article><footer>12</footer>",
+    "<nav><a>1</a></nav><div class=ad>30</div><article><h1>3+</h1><p>4+<p>2+<p>5+</article><footer>25</footer>",
+    "<nav><a>1</a></nav><article><h1><a>6+</a></h1><p>40+<p><a>9+</a><p>50+<a>8+</a><p>12+<a>5+</a><ul><li><a>3</a><li><a>4</a><li><a>2</a></ul></article><footer>9<a>2</a></footer>",
+    "<article><h1><a>2+</a></h1><p>12+<p><a>12+</a><p>30+</article>",
+    "<article><h1>5+</h1><p>60+<h2>2+</h2><p>50+<ul><li>3+<li>4+<li>2+</ul><p>20+<section class=comments><h3>1</h3><p>18<p>70<p>3</section></article>",
+    "<article><h1>5+</h1><p>60+<aside><p>12</aside><p>50+<div class=share>2<a>4</a></div></article><div class=x><p>40<p>12</div>",
+    "<div><p>12<p>30</div><article><p>20+<p>25+</article><div><h3>2</h3><p>18<p>5</div>",
+    "5<main><h2>4+</h2><p>35+<p>6+<p>40+<table><tr><td>1+<td>2+<tr><td>3+<td>1+</table></main>18",
+    "<div><a>2</a></div><main><article><p>30+</article><article><p>28+<p>3+</article></main><div>25</div>",
+    "<article><p>30+<p>4+</article><div>15</div><article><p>35+</article>",
+    "<article><p>40+<div class=no-sidebar><p>30+<p>9+</div><p>3+</article>",
+    # articles of short blocks
+    "<nav><a>2</a></nav><div class=ad>9</div><article><h1>9+</h1><p>9+<p>12+<p>11+<p>10+<p>14+<p>1+<p>8+<p>17+</article><footer>14</footer>",
+    "<article><h1>12+</h1><p>11+<p>13+<p>7+<p>10+<p>10+<p>4+<p>12+</article><div>4</div>",
+    "<article><h2>11+</h2><p>75+<p>12+<p>30+<p>10+<p>120+<p>15+</article><div>6<a>3</a></div>",
+    # an article that is a teaser beside a long text
+    "<div><h1>6+</h1><p>260+<p>150+<p>3+<p>9+<p>270+</div><article><h3><a>5</a></h3><p>12</article><article><h3><a>4</a></h3><p>9</article>",
+    # pages without an article: a text between lists of links, short lines and notices of any name
+    "<div><a>1</a><a>1</a></div><div><h1>5+</h1><p>30+<p>25+<p>2+<p>40+</div><div>6</div>",
+    "<ul><li><a>1</a><li><a>1</a><li><a>2</a></ul><div>3</div><div><h1>4+</h1><p>20+<p>8+<p>16+</div><div><p>12</div><div>4</div>",
+    "<div><p>14</div><div><h2>3+</h2><p>9+<p>8+<p>7+<p>9+<p>8+<p>9+</div><ul><li><a>3</a><li><a>2</a></ul>",
+    "<div>5</div><div><p>8+<p>8+<p>8+</div><div>4</div>",
+    "<div><a>2</a></div><div><p>6+<p>9+<p>5+</div><div><a>1</a></div>",
+    "<div>2<a>3</a></div><div><h1>2+</h1><p>45+<ul><li>3+<li>5+<li>4+</ul><p>60+</div><div>9<a>2</a></div><div>18</div>",
+    "<div><div><h3>2</h3><ul><li><a>3</a><li><a>4</a></ul><p>12</div><div><h1>6+</h1><p>50+<p>1+<p>35+<blockquote>9+</blockquote><p>30+</div></div><div>8</div>",
+    "<div><h1>7+</h1><div><p>40+<p>50+<p>60+</div></div><div>15</div>",
+    "<div><h1>3+</h1><p>12+<div><p>40+<p>50+</div><p>4+</div><div>5</div>",
+    "<div><div><h1>4+</h1></div><div><p>30+<p>25+<p>40+</div><div><h4>2</h4><p>12</div></div><div>9</div>",
+    "<div><h1>2+</h1></div><div><p>45+<p>20+</div><div><h3>1</h3><p>10<p>14</div>",
+    "<div><p>30+<p>45+</div><div><p>35+<p>40+</div><div><p>25+<p>5+</div>",
+    "<h1>4+</h1><p>30+<p>8+<p>3+<p>40+<p>16+",
+    "<a>1</a><p><a>1</a><h1>5+</h1><p>22+<p>6+<p>9+<p>30+<p><a>2</a><p><a>3</a>",
+    "<h1>3+</h1><p>5+<p>4+",
+    "12+",
+    "<p>3+",
+    "30+<br>9+<br>2+<br>40+",
+    "<div><a>1</a> | <a>1</a></div><table><tr><td><a>2</a><br><a>2</a><td><h2>4+</h2><p>40+<p>9+<p>50+<td>8</table>",
+    "<center><p>20+<p>2+<p>25+</center><div><a>5</a></div>",
+    "<div>9</div><div><p>45+<p>70+<p>8+</div>",
+    "<div><p>14</div><div>80+<br>60+</div><div>6</div>",
+    "<div>5<a>1</a></div><div><p>90+<p>50+<h2>2+</h2><p>12+</div>",
+    "<div><a>4</a></div><div>22</div><div><p>120+<p>66+</div><div><p>3</div>",
+    "<div><h1>6+</h1></div><div><p>70+<p>50+<p>90+</div>",
+    "<div>3</div><div><h2>9+</h2></div><div><p>90+<p>8+<p>60+</div>",
+    # links in texts, and texts of links
+    "<div><a>2</a> <a>1</a></div><div><h1><a>3+</a></h1><p>25+<p>2+<p>40+</div>",
+    "<div><a>1</a><a>2</a></div><h1><a>5+</a></h1><p>30+<p>18+<h2><a>4+</a></h2><p>60+",
+    "<div><a>1</a></div><article><h2><a>6+</a></h2><p>20+</article><div>9<a>2</a></div>",
+    "<ul><li><a>1</a><li><a>3</a></ul><div><h2><a>4+</a></h2><p>16+<p>70+<h2><a>7+</a></h2><p>50+</div>",
+    "<article><h1>4+</h1><p>35+<p><a>9+</a><p>40+<p><a>12+</a><p>30+<p>20+</article>",
+    "<div><p>45+<p><a>7+</a><p>25+<p><a>11+</a><p>35+<p><a>6+</a><p>45+</div>",
+    "<article><p>20+<p><a>8+</a><p>50+<ul><li><a>3</a><li><a>7</a><li><a>9</a></ul><p>30+</article>",
+    "<div><p>30+<a>10+</a><p>20+<a>15+</a><p>6+<a>4+</a><p>40+<p><a>7+</a><p>35+</div><div>3<a>9</a></div>",
+    "<div><h1>5+</h1><p>50+<p>40+<ul><li><a>5</a><li><a>6</a><li><a>4</a></ul></div>",
+    "<div><h1><a>5+</a></h1><p>50+<p>4+<h3>2</h3><ul><li><a>5</a><li><a>9</a></ul></div>",
+    "<div><a>1</a><a>1</a><a>2</a><p>1<a>4</a><p>45+<p>7+<p>30+<p>1<a>3</a><p><a>8</a><p><a>7</a></div>",
+    "<div><ul><li><a>3</a><li><a>3</a><li><a>8</a><li><a>11</a><li><a>14</a></ul><p>60+<p>12+</div>",
+    "<a>1</a><p>2<a>8</a><p><a>5</a>",
+    # sections beside a long text: long ones are text, short ones not
+    "<div><h1>5+</h1><p>200+<p>150+</div><div><p>60+<p>50+</div>",
+    "<div><h1>5+</h1><p>100+<p>150+<p>120+</div><div><p>18<p>25<p>4</div><div><p>30</div>",
+    "<div><h2>5+</h2><p>300+</div><div><h2>3+</h2><p>70+</div><div><h3>2</h3><p>20</div>",
+    # what names tell, on pages without an article
+    "<div class=menu><a>1</a>2</div><div class=cookie><p>35</div><div><h1>4+</h1><p>30+<p>8+<p>25+</div><div class=comments><h3>2</h3><p>60<p>45<p>3</div>",
+    "<header><h2>3</h2><p>9</header><div><p>12+<p>9+</div><form>4<p>9</form><aside><h3>2</h3><p>25</aside><footer>20</footer>",
+    "<div class=sidebar><p>80<p>2</div><h1>4+</h1><p>40+<p>3+<div class=promo>6</div><p>25+<div class=share>2<a>3</a></div>",
+    "<nav><a>1</a><a>2</a></nav><div class=layout-sidebar><h1>3+</h1><p>40+<p>4+<p>30+<a>2+</a><p>16+</div>",
+    # pages that are all in one element that was never closed or is named oddly
+    "<nav><a>1</a> <a>2</a><h1>3+</h1><p>45+<p>1+<p>60+",
+    "<div class=menu><h1>5+</h1><p>30+<p>4+<p>20+</div>",
+    "<div class=sidebar><p><a>1</a><p>50+<p>15+<p><a>3</a></div>",
 )
 
 Tree = bool | tuple[int, float, "Tree", "Tree"]
 
 
-def grow(rows: tuple[tuple[float, ...], ...]) -> Tree:
-    """A decision tree by Gini impurity: (feature, threshold, at most, above), or the label of a leaf."""
-    ones = sum(r[-1] for r in rows)
-    if ones in (0, len(rows)):
-        return bool(ones)
-    gini = lambda part: (k := sum(r[-1] for r in part)) * (len(part) - k) / len(part)
+def grow(rows: Sequence[tuple[float, ...]], least: int = LEAST) -> Tree:
+    """A decision tree by Gini impurity, each leaf of at least so many rows: (feature, threshold, at most, above), or the label of a leaf."""
+    n, ones = len(rows), sum(r[-1] for r in rows)
     best = None
-    for f in range(len(FEATURES)):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:], strict=False):
-            t = (a + b) / 2
-            low, high = [r for r in rows if r[f] <= t], [r for r in rows if r[f] > t]
-            worth = gini(low) + gini(high)
-            if best is None or worth < best[0] - 1e-12:
-                best = worth, f, t, tuple(low), tuple(high)
-    return bool(2 * ones > len(rows)) if best is None else (best[1], best[2], grow(best[3]), grow(best[4]))
-
-
-def features(found: list[Block]) -> list[tuple[float, ...]]:
+    for f in range(len(FEATURES) if 0 < ones < n else 0):
+        ordered = sorted(rows, key=lambda r: r[f])
+        k = 0
+        for i, (a, b) in enumerate(zip(ordered, ordered[1:], strict=False), 1):
+            k += a[-1]
+            if a[f] < b[f] and least <= i <= n - least:
+                impure = k * (i - k) / i + (ones - k) * (n - i - ones + k) / (n - i)
+                if best is None or impure < best[0] - 1e-9:
+                    best = impure, f, (a[f] + b[f]) / 2
+    if best is None or ones * (n - ones) / n - best[0] < 1e-9:
+        return 2 * ones > n
+    _, f, t = best
+    low, high = grow([r for r in rows if r[f] <= t], least), grow([r for r in rows if r[f] > t], least)
+    return low if isinstance(low, bool) and low == high else (f, t, low, high)
+
+
+def places(found: list[Block], elements: Elements) -> list[int]:
+    """Where each block lies as seen from the home of the page's text."""
+    parents, tags = elements.parents, elements.tags
+    own = [(100 * (b.words - b.linked) + b.linked) * (MORE if b.article else 1) if b.named < ELSE else 0 for b in found]
+    weight = [0] * len(tags)
+    for b, w in zip(found, own, strict=True):
+        weight[b.element] += w
+    for e in range(len(tags) - 1, 0, -1):
+        weight[parents[e]] += weight[e]
+    enough = MOST * weight[0]
+    home = deepest = 0
+    for e in range(1, len(tags) if enough else 0):
+        if parents[e] == deepest and weight[e] >= enough and tags[home] != "article":
+            deepest = e
+            home = e if tags[e] in HOMES else home
+    inside, around = [home == 0] * len(tags), {home}
+    for e in range(1, len(tags)):
+        inside[e] = e == home or inside[parents[e]]
+    e = home
+    while e:
+        e = parents[e]
+        around.add(e)
+    believed = sum(w for b, w in zip(found, own, strict=True) if b.article) >= enough > 0
+    several = believed and not any(b.article for b in found if b.element in around) and not any(tags[e] in ARTICLES for e in around)
+    out = []
+    for b in found:
+        if believed:
+            out.append(HOME if (b.article if several else inside[b.element]) else OUTSIDE)
+        else:
+            out.append(HOME if inside[b.element] else AROUND if b.element in around else BESIDE)
+    return out
+
+
+def features(found: list[Block], elements: Elements) -> list[tuple[float, ...]]:
     size = [(b.words, b.linked / b.words) for b in found]
-    around = [(0, 0.0), *size, (0, 0.0)]
+    beyond = [(0, 0.0), *size, (0, 0.0)]
     has_article = any(b.article and b.named < ELSE for b in found)
     # where hardly any text stands outside of what is named as something else, and most of the page in one such element, that name tells little
     text = sum(b.words - b.linked for b in found if b.named < ELSE and b.words - b.linked >= LONG)
@@ -440,10 +433,9 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     for b in found:
         in_top[b.top] += b.words
     most = 0.6 * sum(in_top.values())
-    alone = not has_article and text < 2 * LONG
-    place = lambda b: INSIDE if b.article else BESIDE if has_article else NOWHERE
-    named = lambda b: PASSING if alone and b.named == ELSE and in_top[b.top] >= most else b.named
-    return [(*around[i + 1], *around[i], *around[i + 2], named(b), place(b), b.heading) for i, b in enumerate(found)]
+    if not has_article and text < 2 * LONG:
+        found = [replace(b, named=PASSING) if b.named == ELSE and in_top[b.top] >= most else b for b in found]
+    return [(*beyond[i + 1], *beyond[i], *beyond[i + 2], place, b.named, b.heading) for i, (b, place) in enumerate(zip(found, places(found, elements), strict=True))]
 
 
 def is_main(tree: Tree, x: tuple[float, ...]) -> bool:
@@ -452,12 +444,23 @@ def is_main(tree: Tree, x: tuple[float, ...]) -> bool:
     return tree
 
 
-TREE = grow(LABELLED)
+def labelled(pages: Iterable[str] = LABELLED, sizes: Sequence[float] = SIZES) -> list[tuple[float, ...]]:
+    """The blocks of labelled pages in the order of FEATURES, and then 1 for main text, 0 for anything else; each once. Pages come in several sizes: longer blocks grow and shrink."""
+    rows = {}
+    for size in sizes:
+        words = lambda m: ("+ " if m[2] else "- ") * int(int(m[1]) * (size if int(m[1]) >= LONG and m[2] else 1))  # noqa: B023, E731
+        for page in pages:
+            found, elements = blocks(re.sub(r"(\d+)(\+?)(?![^<]*>)", words, page))
+            rows.update({(*x, int(b.text[0] == "+")): None for b, x in zip(found, features(found, elements), strict=True)})
+    return list(rows)
+
+
+TREE = grow(labelled())
 
 
 def main_text(page: str | None, tree: Tree = TREE) -> str:
-    found = blocks(page or "")
-    return " ".join(b.text for b, x in zip(found, features(found), strict=True) if is_main(tree, x))
+    found, elements = blocks(page or "")
+    return " ".join(b.text for b, x in zip(found, features(found, elements), strict=True) if is_main(tree, x))
 
 
 def extracted(df: DataFrame, page: str = "html", text: str = "text") -> DataFrame:

@@ -377,6 +377,87 @@ def test_hostile_pages_take_linear_time(unit):
     assert time.process_time() - began < 3
 
 
+P1, P2 = "Der Fluss trat gestern nach langem Regen über die Ufer und stand am Abend in den Kellern der alten Stadt. ", "Men worked all night to carry sand to the bridge, and by dawn the water had begun to fall again. "
+#: What stands before a text, and after it, on pages without an article: names are no English words of the trade.
+BEFORE = (
+    "<div class=kopf><a href=/>Start</a> <a href=/n>Neues</a> <a href=/s>Sport</a></div>",
+    "<div class=barre-haut><ul><li><a href=/>Accueil</a><li><a href=/a>À la une</a></ul></div><div class=bandeau>Abonnez-vous dès ce soir</div>",
+    "<div id=cabezal><a href=/>Inicio</a></div><div class=aviso><p>Este sitio usa galletas para mejorar la visita de todos</p></div>",
+    "<table><tr><td><a href=/>Home</a><td><a href=/i>Index</a></table>",
+    "<div class=zzz>Heute 12 Grad, Regen</div>",
+    "<div class=lang><a href=/de>Deutsch</a> <a href=/fr>Français</a></div>",
+)
+AFTER = (
+    "<div class=fuss>Impressum und Datenschutz</div>",
+    "<div class=werbung><p>Jetzt kaufen und zwei Tage lang sparen</p></div><div class=unten><a href=/k>Kontakt</a></div>",
+    "<div class=pied>Tous droits réservés, mentions légales</div>",
+    "<div class=user-opinions><p>Great read, thanks for it!</p><p>I was there and it was not like that at all.</p></div>",
+    "<div class=abajo><h4>Más leídas</h4><ul><li><a href=/1>La lluvia vuelve el lunes</a><li><a href=/2>El puente cerrado</a></ul></div>",
+    "",
+)
+TEXTS = (
+    ("<h1>Hochwasser</h1><p>{0}</p><p>Ja.</p><p>{1}</p>", "Hochwasser {0}Ja. {1}"),
+    ("<h1>The flood</h1><p>{1}</p><ul><li>sand<li>two boats<li>rope</ul><p>{0}</p>", "The flood {1}sand two boats rope {0}"),
+    ("<p>Three men came.</p><p>Nobody saw them go.</p><p>It rained all night.</p>", "Three men came. Nobody saw them go. It rained all night."),
+    ("{0}<br>{1}<br>Ende.<br>{0}", "{0}{1}Ende. {0}"),
+    ("<h2>Crue</h2><p>{0} <a href=x>mehr davon hier</a> {1}</p><blockquote>Jamais vu.</blockquote><p>{1}</p>", "Crue {0}mehr davon hier {1}Jamais vu. {1}"),
+    ("<h2><a href=x>El río</a></h2><p>{1}</p><h3>Después</h3><p>{0}</p><p>Fin.</p>", "El río {1}Después {0}Fin."),
+)
+SHORT = 2  # a text as short as what is around it
+
+
+def test_pages_without_an_article():
+    right = 0
+    for b, before in enumerate(BEFORE):
+        for t, (text, words) in enumerate(TEXTS):
+            page = f"<html><body>{before}<div class=inhalt>{text.format(P1, P2)}</div>{AFTER[(b + t) % len(AFTER)]}</body></html>"
+            if html_text.main_text(page) == words.format(P1, P2).strip():
+                right += 1
+            else:
+                assert t == SHORT, page
+    assert right >= 0.9 * len(BEFORE) * len(TEXTS)
+
+
+def test_names_and_articles_can_be_overruled():
+    p = "some words here " * 10 + "and there."
+    inside = "<article><p>{0}</p><div class='{1}'><p>What others say of it</p></div><p>{0}</p></article>"
+    for name in ("outbrain", "hinweis", "user-opinions", "Publicité", "comentarios-lista"):
+        assert html_text.main_text(inside.format(p, name)) == f"{p} {p}", name
+    for name in ("how-to-respond", "opinions", "the-avis", "share-of-markets"):
+        assert html_text.main_text(inside.format(p, name)) == f"{p} What others say of it {p}", name
+    assert html_text.main_text(f"<div id=how-to-respond><p>{p}</p><p>{p}</p></div><div>one of two small lines</div>") == f"{p} {p}"
+    # teasers in articles beside a long text, links in an article
+    teaser = "<article><h3><a href=x>Rain again on Monday</a></h3><p>It will be wet.</p></article>"
+    assert html_text.main_text("<div><h1>The flood</h1>" + f"<p>{p}</p>" * 9 + f"</div>{teaser}{teaser}") == " ".join(["The flood"] + [p] * 9)
+    assert html_text.main_text(f"<article><p>{p}</p><ul><li><a href=x>One more</a><li><a href=y>Two more</a></ul></article>") == p
+    # an article keeps its few words beside many
+    assert html_text.main_text(f"<div class=zzz>{'other words ' * 6}</div><article>Just these five words here</article>") == "Just these five words here"
+    split = {f for f in _splits(html_text.TREE)}
+    assert {"words", "link_density"} <= split and split & {"words_before", "words_after", "link_density_before", "link_density_after"}
+
+
+def _splits(tree):
+    if not isinstance(tree, bool):
+        yield html_text.FEATURES[tree[0]]
+        yield from _splits(tree[2])
+        yield from _splits(tree[3])
+
+
+def test_pages_whose_articles_are_renamed():
+    import re
+
+    import pyarrow.parquet as pq
+
+    same = [html_text.main_text(h) == html_text.main_text(re.sub(r"<(/?)article\b", r"<\1div", h)) for h in pq.read_table(f"{DATA}/pages.parquet")["html"].to_pylist()]
+    assert sum(same) >= 0.9 * len(same)
+
+
+def test_deep_and_wide_pages():
+    p = "some words here " * 10
+    assert html_text.main_text("<div>" * 100_000 + p + "</div>" * 100_000) == p.strip()
+    assert html_text.main_text(f"<div>{p}</div>" * 10_000).count("some") == 100_000
+
+
 def test_extraction_query(spark):
     from html.parser import HTMLParser
 
