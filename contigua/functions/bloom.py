@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from contigua.functions.hashing import kmer_hashes
 from contigua.operators.kmers import numbered
+from contigua.operators.storage import written
 
 GROWTH, TIGHTENING = 2, 0.9
+#: k-mers whose filter may go to the driver and the tasks: some 1.8 MB there.
+IN_MEMORY = 1_000_000
 
 
 class BloomFilter:
@@ -128,10 +131,25 @@ def held(asked: DataFrame, words: DataFrame, filters: int, capacity: int, error:
     return rows.groupBy("kmer", "filter").agg(whole.alias("whole")).groupBy("kmer").agg(F.bool_or("whole").alias("maybe"))
 
 
+def whole(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> DataFrame:
+    """The words (filter, word, bits) of one filter of the column kmer, for held(). Tasks merge them; nothing is collected."""
+    return bits_of(kmers.withColumn("nth", F.lit(0)), capacity, error, seed, 1, "nth")
+
+
+def answered(kmers: DataFrame, asked: DataFrame, capacity: int) -> DataFrame:
+    """asked, rows of distinct k-mers, with the column maybe: whether a filter of the column kmer of kmers may hold theirs.
+
+    A filter for up to IN_MEMORY k-mers goes to the tasks; a larger one stays a table that is joined. Both have the same bits.
+    """
+    if capacity <= IN_MEMORY:
+        return asked.withColumn("maybe", contains(build(kmers, capacity=capacity), "kmer"))
+    return asked.join(held(asked, written(whole(kmers, capacity), "words"), 1, capacity), "kmer")
+
+
 def build(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> BloomFilter:
-    """A filter of the column kmer. Tasks merge its words; the driver gets them, as many as its capacity, a parameter, asks for."""
+    """A filter of the column kmer for the driver. Tasks merge its words; capacity bounds what is collected: answered() tells when that is too much."""
     out = BloomFilter(capacity, error, seed)
-    words = bits_of(kmers.withColumn("nth", F.lit(0)), capacity, error, seed, 1, "nth").select("word", "bits").toArrow()
+    words = whole(kmers, capacity, error, seed).select("word", "bits").toArrow()
     packed = np.zeros(-(-len(out.bits) // 64), np.uint64)
     packed[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     out.bits = np.unpackbits(packed.astype("<u8").view(np.uint8), bitorder="little", count=len(out.bits)).astype(bool)

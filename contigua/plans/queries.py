@@ -680,10 +680,9 @@ def membership(rows: DataFrame, most: float) -> DataFrame:
 
 @query(_membership)
 def bloom_membership(spark, d):
-    """A filter of the k-mers of even reads, asked for those of odd reads: none missed, at most four times the nominal error."""
+    """A filter of the k-mers of even reads, asked for those of odd reads: none missed, at most four times the nominal error. Large filters stay tables."""
     asked, even = odd_even(spark, d)
-    f = bloom.build(even, capacity=max(1, even.count()))
-    return membership(asked.select("there", bloom.contains(f, "kmer").alias("maybe")), 4 * f.error)
+    return membership(bloom.answered(even, asked, max(1, even.count())), 4 * 0.001)
 
 
 @query(_membership)

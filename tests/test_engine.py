@@ -257,6 +257,17 @@ def test_bloom_membership_fits_its_kmers(spark, monkeypatch):
     assert row["missed"] == 0 and row["within"] and 0 < row["members"] < row["asked"]
 
 
+def test_large_filters_stay_tables_with_the_same_answers(spark, monkeypatch):
+    rng = random.Random(4)
+    kmers = sorted({"".join(rng.choice("ACGT") for _ in range(21)) for _ in range(4000)})
+    frame = lambda some: spark.createDataFrame([(k,) for k in some], "kmer string").repartition(3)
+    answers = lambda: {r["kmer"]: r["maybe"] for r in bloom.answered(frame(kmers[::2]), frame(kmers), len(kmers) // 2).collect()}
+    small = answers()
+    monkeypatch.setattr(bloom, "IN_MEMORY", 10)
+    monkeypatch.setattr(bloom, "build", None)
+    assert answers() == small and len(small) == len(kmers) and all(small[k] for k in kmers[::2])
+
+
 def test_growing_filter_equals_the_one_in_memory(spark):
     rng = random.Random(2)
     kmers = sorted({"".join(rng.choice("ACGT") for _ in range(21)) for _ in range(900)})
