@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.llm.common import drop_written, text_bytes, written
+from contigua.llm.common import drop_written, joined, text_bytes, written
 from contigua.llm.components import components
 
 SEED = 42
@@ -233,13 +233,15 @@ def drop_pairs(pairs: DataFrame) -> None:
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, most: int = 2) -> DataFrame:
     """key, fp and component_id, the smallest key reachable by links of at most `most` differing bits, of each row."""
     all_fps = written(fingerprints(df, key, text, size), "fingerprints")
-    least = written(all_fps.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    pairs = near_pairs(least, most)
+    least = written(all_fps.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "fingerprints")
+    pairs = near_pairs(least.select("fp", "least"), most)
     by_id = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     roots = components(by_id.select(F.col("x").alias("a"), F.col("y").alias("b")))
     drop_pairs(pairs)
-    label = least.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return all_fps.join(label, "fp", "left").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    label = written(least.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"), "n"), "labels")
+    names = (key, "fp", "component_id")
+    told = joined(all_fps.where(F.col(key).isNotNull()), label, "fp").select(*names)
+    return told.unionAll(all_fps.where(F.col(key).isNull()).withColumn("component_id", F.lit(None)).select(*names))
 
 
 def hex_fp(fp: str = "fp") -> Column:

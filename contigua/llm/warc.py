@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from contigua.llm.common import drop_written, written
+from contigua.llm.common import drop_written, joined, settled, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
@@ -364,11 +364,12 @@ def payloads(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
 
 
 def repeats(pages: DataFrame, key: str = "page_id", page: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """key and first: of equal payloads of at least `least` bytes, the largest key for each smaller one. Payloads are not shuffled."""
+    """key and first: of equal payloads of at least `least` bytes, the largest key for each smaller one. Payloads are not shuffled, and read once; digests are written."""
     rows = payloads(pages, key, key, page)
-    digests = rows.select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where((F.col("n") >= least) & F.col("key").isNotNull())
-    first = digests.groupBy("digest").agg(F.max("key").alias("first"), F.min("key").alias("last")).where("last < first").select("digest", "first")
-    return digests.join(first, "digest").where("key < first").select("key", "first").groupBy("key").agg(F.max("first").alias("first"))
+    large = rows.where((F.octet_length("payload") >= least) & F.col("key").isNotNull())
+    digests = written(large.select("key", F.unhex(F.sha1("payload")).alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.max("key").alias("first"), F.min("key").alias("last"), F.count("*").alias("n")).where("last < first").select("digest", "first", "n")
+    return joined(digests, written(first, "firsts"), "digest").where("key < first").select("key", "first").groupBy("key").agg(F.max("first").alias("first"))
 
 
 def records(pages: DataFrame, again: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -394,7 +395,7 @@ def records(pages: DataFrame, again: DataFrame, key: str = "page_id", url: str =
 def written_archives(pages: DataFrame, path: str, cut: int = CUT_BYTES) -> None:
     """Appends an archive of the pages. The repeats are written first, so that few of them need no exchange of the pages."""
     register(pages.sparkSession)
-    again = written(repeats(pages), "repeats")
+    again = settled(pages.sparkSession, lambda: repeats(pages), "repeats")
     records(pages, again).write.format("warc").mode("append").option("cut", cut).save(path)
     drop_written(again)
 

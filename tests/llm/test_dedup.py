@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from contigua.llm import line_dedup, near_dups, queries, simhash, suffix_dedup
+from contigua.llm.common import joined
 from contigua.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -379,3 +380,15 @@ def test_rolled_hashes_tell_shingles_apart_as_their_words_do(parts, size):
     assert [len(h) for h in hashes] == [len(s) for s in shingles]
     pairs = {(s, h) for ss, hh in zip(shingles, hashes, strict=True) for s, h in zip(ss, hh, strict=True)}
     assert len(pairs) == len({s for s, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_rows_of_hot_keys_meet_a_broadcast(spark):
+    rows = [("hot", i) for i in range(600)] + [("warm", i) for i in range(40)] + [(f"k{i % 150}", i) for i in range(300)] + [("lost", 1), (None, 2)]
+    one = [("hot", 600, 1), ("warm", 40, 2), *((f"k{i}", 2, 3 + i) for i in range(150))]
+    df, ones = spark.createDataFrame(rows, "fp string, i int").repartition(4), spark.createDataFrame(one, "fp string, n long, x int")
+    label = {k: x for k, _, x in one}
+    for hot in (1, 10, 1024):
+        found = joined(df, ones, "fp", hot=hot)
+        assert found.columns == ["fp", "i", "x"]
+        assert sorted(map(tuple, found.collect())) == sorted((k, i, label[k]) for k, i in rows if k in label), hot
+    assert joined(df, ones.limit(0), "fp").count() == 0 and joined(df.limit(0), ones, "fp").count() == 0

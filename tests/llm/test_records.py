@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
