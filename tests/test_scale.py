@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from contigua.config import Config
-from contigua.functions import windows
+from contigua.functions import walks, windows
+from contigua.operators import contigs as C
 from contigua.operators import superkmers
 from contigua.operators import kmers as K
+from contigua.operators import ufx as U
 from contigua.plans import queries
 from tests.test_engine import as_reads
-from tests.test_packed import odd_reads
+from tests.test_packed import graphs, odd_reads
 
 
 @pytest.mark.parametrize("k", [13, 31, 35])
@@ -40,3 +42,25 @@ def test_reads_in_parts():
     cut = [b.column(1).to_pylist() for b in windows.parts(batch, 10)]
     assert [x for c in cut for x in c] == texts and len(cut) > 2
     assert np.array_equal(windows.sums(np.full(600, 255, np.int64), np.array([0, 1])), [[255] + [0] * 7, [255 * 599] + [0] * 7])
+
+
+@pytest.mark.parametrize("name, k, seqs", list(graphs()))
+def test_words_make_the_pieces_of_strings(spark, monkeypatch, name, k, seqs):
+    table = U.ufx_table(as_reads(spark, seqs), Config(q_min=19, d_min=2, k=k)).cache()
+    for block in (1 << 18, 7):
+        monkeypatch.setattr(C, "BLOCK", block)
+        found = C.word_pieces(table, k).collect()
+        # each oriented node is in one piece, and pieces come as pairs of strands
+        kmers = sorted(r["seq"][i : i + k] for r in found for i in range(len(r["seq"]) - k + 1))
+        assert kmers == sorted(r["u"] for r in C.oriented_nodes(table).collect())
+        at = {r["id"]: r["seq"] for r in found}
+        assert all(s == at[i ^ 1].translate(str.maketrans("ACGT", "TGCA"))[::-1] for i, s in at.items())
+
+
+def test_large_bins_do_not_cut_neighbours_apart(spark, monkeypatch):
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(400))] * 3
+    table = U.ufx_table(as_reads(spark, seqs), Config(q_min=19, d_min=2, k=15)).cache()
+    by_minimizer = C.word_pieces(table, 15).count()
+    monkeypatch.setattr(C, "BLOCK", 100)
+    assert C.word_pieces(table, 15, F.pmod(F.crc32("least"), F.lit(2))).count() < 2 * by_minimizer + 20
