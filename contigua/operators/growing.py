@@ -17,6 +17,8 @@ from contigua.operators import kmers, superkmers
 from contigua.operators.storage import written
 
 BUCKETS = 64
+#: k-mers of a bucket, which a task sorts and merges.
+BUCKET = 1 << 21
 SCHEMA = "kmer STRING, " + ", ".join(f"{c} BIGINT" for c in kmers.COUNTS)
 
 
@@ -24,6 +26,11 @@ def _name() -> str:
     return f"counts_{uuid.uuid4().hex}"
 
 
+def buckets_for(counts: DataFrame, least: int = 1) -> int:
+    """So many buckets that none has many more than BUCKET of the k-mers of counts."""
+    return max(least, -(-counts.count() // BUCKET))
+
+
 def store(counts: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Writes counts (kmer, COUNTS) to a fresh path, bucketed, and opens them."""
     name = _name()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contigua.config import Config
 from contigua.functions import walks, windows
 from contigua.operators import contigs as C
-from contigua.operators import superkmers
+from contigua.operators import growing, superkmers
 from contigua.operators import kmers as K
 from contigua.operators import ufx as U
 from contigua.plans import queries
@@ -64,3 +64,26 @@ def test_large_bins_do_not_cut_neighbours_apart(spark, monkeypatch):
     by_minimizer = C.word_pieces(table, 15).count()
     monkeypatch.setattr(C, "BLOCK", 100)
     assert C.word_pieces(table, 15, F.pmod(F.crc32("least"), F.lit(2))).count() < 2 * by_minimizer + 20
+
+
+def test_buckets_follow_the_kmers(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"{i:04d}",) for i in range(100)], "kmer string")
+    monkeypatch.setattr(growing, "BUCKET", 10)
+    assert growing.buckets_for(counts, 8) == 10 and growing.buckets_for(counts.limit(3), 8) == 8
+
+
+def test_streams_keep_no_state_of_kmers(spark, tmp_path):
+    from contigua.operators.storage import new_folder
+    from contigua.sources import fastq_stream
+    from contigua.streaming.counts import count_available
+
+    folder, state = tmp_path / "reads", new_folder(spark, "state")
+    folder.mkdir()
+    cfg = Config(q_min=19, d_min=2, k=5)
+    for i, s in enumerate(("ACGTTGCATG", "GGATTACAGA")):
+        (folder / f"{i}.fq").write_text(f"@r{i}\n{s}\n+\n{'h' * 10}\n")
+        found = count_available(fastq_stream.stream_fastq(spark, str(folder)), str(new_folder(spark, "counts")), state, cfg, 4) if not i else found
+    assert found.count() == superkmers.extension_counts(as_reads(spark, ["ACGTTGCATG"]), cfg).count()
+    from pathlib import Path
+
+    assert not Path(state.removeprefix("file://"), "state").exists()
