@@ -87,3 +87,16 @@ def test_streams_keep_no_state_of_kmers(spark, tmp_path):
     from pathlib import Path
 
     assert not Path(state.removeprefix("file://"), "state").exists()
+
+
+@pytest.mark.parametrize("k", [9, 31, 40])
+def test_runs_hold_each_occurrence_once(k):
+    import pyarrow as pa
+
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGT" * 9 + "N") for _ in range(rng.randrange(150))) for _ in range(40)] + ["A" * 300]
+    quals = ["".join(rng.choice("hB") for _ in s) for s in seqs]
+    text = windows.Text.of(pa.array(seqs), pa.array(quals), windows.good_table("h"))
+    _, n, _, begin, words, a, b = windows.runs(text, k, 7, 60)
+    rows = lambda found: sorted(zip(*(x.tolist() for x in found if x is not None), strict=True))
+    assert rows(windows.apart(n, begin[:-1], words, a, b, k)) == rows(windows.occurrences(text, k)) and n.max() <= 60
