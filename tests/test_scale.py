@@ -100,3 +100,12 @@ def test_runs_hold_each_occurrence_once(k):
     _, n, _, begin, words, a, b = windows.runs(text, k, 7, 60)
     rows = lambda found: sorted(zip(*(x.tolist() for x in found if x is not None), strict=True))
     assert rows(windows.apart(n, begin[:-1], words, a, b, k)) == rows(windows.occurrences(text, k)) and n.max() <= 60
+
+
+def test_steps_alone_are_exchanged(spark):
+    nodes = spark.createDataFrame([("ACG", "T", "A"), ("CGA", "A", "G"), ("GAG", "T", "C")], "u string, l string, r string")
+    for f, expected in ((C.edges, [("ACG", "CGA")]), (C.path_heads, [("ACG",), ("GAG",)]), (C.path_tails, [("CGA",), ("GAG",)])):
+        found = f(nodes)
+        assert sorted(tuple(r) for r in found.collect()) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Project [u#" not in plan and plan.count("AS step#") == 2
