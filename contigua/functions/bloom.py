@@ -1,25 +1,29 @@
 """Bloom filters over k-mers of one length: one slice of bits for each hash, and filters that grow.
 
 For exact results DataFrames need none: see operators.kmers.without_first. These serve membership tests whose size must be bounded.
+
+Filters of tables have parts of some PART k-mers, to which k-mers are dealt by a hash; each part is a filter of its own. So k-mers are exchanged once, be they added or
+asked, and a task holds one part, while parts grow in number with the k-mers.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.functions.hashing import kmer_hashes
-from contigua.operators.kmers import numbered
+from contigua.functions import hashing, packed
 from contigua.operators.storage import written
 
 GROWTH, TIGHTENING = 2, 0.9
 #: k-mers whose filter may go to the driver and the tasks: some 1.8 MB there.
 IN_MEMORY = 1_000_000
+#: k-mers of a part of a filter that is a table: some 2 MB.
+PART = 1 << 20
 
 
 class BloomFilter:
@@ -31,9 +35,14 @@ class BloomFilter:
         self.slice_size = math.ceil(capacity / math.log(2))
         self.bits = np.zeros(0 if empty else self.slices * self.slice_size, bool)
 
+    def slice_places(self, data: np.ndarray, k: int, i: int) -> np.ndarray:
+        """Places of the bits of packed k-mers in slice i."""
+        return (hashing.packed_hashes(data, k, i + self.seed) % np.uint64(self.slice_size)).astype(np.int64) + i * self.slice_size
+
     def places(self, kmers: list[str]) -> np.ndarray:
         """k-mers x slices: places of their bits."""
-        return np.stack([(kmer_hashes(kmers, i + self.seed) % np.uint64(self.slice_size)).astype(np.int64) + i * self.slice_size for i in range(self.slices)], axis=1)
+        data, k = hashing.packed(kmers), len(kmers[0])
+        return np.stack([self.slice_places(data, k, i) for i in range(self.slices)], axis=1)
 
     @property
     def full(self) -> bool:
@@ -47,6 +56,20 @@ class BloomFilter:
     def check(self, kmers: list[str]) -> np.ndarray:
         return self.bits[self.places(kmers)].all(axis=1) if kmers else np.zeros(0, bool)
 
+    def add_packed(self, data: np.ndarray, k: int) -> None:
+        for i in range(self.slices):
+            self.bits[self.slice_places(data, k, i)] = True
+        self.count += len(data)
+
+    def check_packed(self, data: np.ndarray, k: int) -> np.ndarray:
+        """Slice by slice, of those that all slices before have."""
+        left = np.arange(len(data))
+        for i in range(self.slices):
+            left = left[self.bits[self.slice_places(data[left], k, i)]]
+        out = np.zeros(len(data), bool)
+        out[left] = True
+        return out
+
 
 class ScalableBloomFilter:
     """Filters of growing capacity and falling error; the last takes what is added, all are asked."""
@@ -58,15 +81,26 @@ class ScalableBloomFilter:
     def add(self, kmers: list[str]) -> None:
         at = 0
         while at < len(kmers):
-            last = self.filters[-1]
-            if last.full:
-                n = len(self.filters)
-                last = BloomFilter(self.capacity * GROWTH**n, self.error * TIGHTENING**n, self.seed + n)
-                self.filters.append(last)
+            last = self._last()
             part = kmers[at : at + last.capacity - last.count]
             last.add(part)
             at += len(part)
 
+    def add_packed(self, data: np.ndarray, k: int) -> None:
+        at = 0
+        while at < len(data):
+            last = self._last()
+            part = data[at : at + last.capacity - last.count]
+            last.add_packed(part, k)
+            at += len(part)
+
+    def _last(self) -> BloomFilter:
+        """The filter that takes what comes next."""
+        if self.filters[-1].full:
+            n = len(self.filters)
+            self.filters.append(BloomFilter(self.capacity * GROWTH**n, self.error * TIGHTENING**n, self.seed + n))
+        return self.filters[-1]
+
     def check(self, kmers: list[str]) -> np.ndarray:
         return np.logical_or.reduce([f.check(kmers) for f in self.filters])
 
@@ -76,96 +110,147 @@ def sizes(capacity: int, error: float, n: int) -> list[tuple[int, float]]:
     return [(capacity * GROWTH**i, error * TIGHTENING**i) for i in range(n)]
 
 
-def filters_for(count: int, capacity: int) -> int:
-    """How many filters `count` k-mers fill or begin."""
-    return max(1, math.ceil(math.log(count / capacity * (GROWTH - 1) + 1, GROWTH) - 1e-9))
+def _data(kmers: pa.Array, k: int | None) -> tuple[np.ndarray, int]:
+    """Packed k-mers and k, of strings or, with k, of words of functions.packed."""
+    if k is not None:
+        return hashing.packed_words(kmers.to_numpy().view(np.uint64), k), k
+    texts = kmers.to_pylist()
+    return hashing.packed(texts), len(texts[0])
 
 
-def bits_of(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0, filters: int = 1, nth: str | None = None) -> DataFrame:
-    """filter, word and bits, the 64-bit words of the column kmer, each filter's own. nth: a column that numbers the filter of a row.
+def _part(parts: int) -> Column:
+    """The part of the column kmer; not by the hash that exchanges use."""
+    return F.pmod(F.xxhash64("kmer", F.lit(1)), F.lit(parts)).cast("int")
 
-    Without nth each row is asked of all filters: kmer is a column more, and a row's words are not merged with others'.
-    """
+
+def _words(parts: int, kmers: DataFrame, make: Callable[[], ScalableBloomFilter | BloomFilter], k: int | None) -> DataFrame:
+    """part, parts, filter and bits: the filters of the parts of the column kmer; k-mers that are there again are added once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [BloomFilter(c, e, seed + i, empty=True) for i, (c, e) in enumerate(sizes(capacity, error, filters))]
+        own: dict[int, ScalableBloomFilter | BloomFilter] = {}
+        last = None
         for b in batches:
-            every = np.array(b.column(0).to_pylist(), object)
-            which = b.column(1).to_numpy(zero_copy_only=False) if nth else None
-            for i, f in enumerate(own):
-                rows = np.flatnonzero(which == i) if nth else np.arange(len(every))
-                if not len(rows):
-                    continue
-                at = f.places(every[rows].tolist())
-                row = np.repeat(rows if not nth else np.zeros(len(rows), np.int64), at.shape[1])
-                at = at.ravel()
-                order = np.lexsort((at, row))
-                at, row = at[order], row[order]
-                new = np.flatnonzero(np.r_[True, (at[1:] // 64 != at[:-1] // 64) | (row[1:] != row[:-1])])
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (at % 64).astype(np.uint64), new)
-                out = [pa.array(np.full(len(new), i, np.int32)), pa.array(at[new] // 64), pa.array(bits.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(out if nth else [b.column(0).take(pa.array(row[new])), *out], names)
-
-    names = ["filter", "word", "bits"] if nth else ["kmer", "filter", "word", "bits"]
-    rows = kmers.select("kmer", F.col(nth).cast("int")) if nth else kmers.select("kmer")
-    found = rows.mapInArrow(run, ("" if nth else "kmer string, ") + "filter int, word long, bits long")
-    return found.groupBy("filter", "word").agg(F.bit_or("bits").alias("bits")) if nth else found
-
-
-def growing(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> tuple[DataFrame, int]:
-    """The words (filter, word, bits) of a growing filter of the distinct k-mers, and how many filters it has.
-
-    Filters fill up one after the other: a k-mer's number, by a range exchange, tells its filter. Nothing is collected.
+            if not b.num_rows:
+                continue
+            part, kmer = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            data, n = _data(b.column(1), k)
+            new = np.r_[kmer[0] != last, kmer[1:] != kmer[:-1]]
+            last = kmer[-1]
+            for p in np.unique(part).tolist():
+                if p not in own:
+                    own[p] = make()
+                own[p].add_packed(data[new & (part == p)], n)
+        for p, found in own.items():
+            # one filter a batch, as a batch goes to the JVM whole
+            for i, f in enumerate(found.filters if isinstance(found, ScalableBloomFilter) else [found]):
+                bits = np.packbits(f.bits, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (p, parts, i)), pa.array([bits], pa.binary())], ["part", "parts", "filter", "bits"])
+
+    # a task holds one part, so k-mers alone are sorted
+    rows = kmers.select(_part(parts).alias("part"), "kmer").repartitionById(parts, F.col("part")).sortWithinPartitions("kmer")
+    return rows.mapInArrow(run, "part int, parts int, filter int, bits binary")
+
+
+def growing(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0, k: int | None = None) -> tuple[DataFrame, int]:
+    """The filters, written, that grow from `capacity` with the k-mers, for held(), and how many a part has at most.
+
+    The filters of a part fill up one after the other, in the order of its k-mers. Nothing is collected.
     """
-    rows = numbered(kmers.select("kmer").distinct(), F.col("kmer"))
-    filters = filters_for(rows.count(), capacity)
-    nth = F.floor(F.log(float(GROWTH), (F.col("n") - 1) / capacity * (GROWTH - 1) + 1) + 1e-12)
-    return bits_of(rows.withColumn("nth", F.least(nth, F.lit(filters - 1))), capacity, error, seed, filters, "nth"), filters
-
+    parts = max(1, math.ceil(kmers.count() / PART))
+    own = math.ceil(capacity / parts)
+    words = written(_words(parts, kmers, lambda: ScalableBloomFilter(own, error, seed), k), "words")
+    return words, (words.agg(F.max("filter")).first()[0] or 0) + 1
 
-def held(asked: DataFrame, words: DataFrame, filters: int, capacity: int, error: float = 0.001, seed: int = 0) -> DataFrame:
-    """kmer and maybe of distinct k-mers, by a join with the words of growing(): never false for one that was added."""
-    wanted = bits_of(asked, capacity, error, seed, filters)
-    rows = wanted.join(words.withColumnRenamed("bits", "there"), ["filter", "word"], "left")
-    whole = F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("there")) == F.col("bits"), F.lit(False)))
-    return rows.groupBy("kmer", "filter").agg(whole.alias("whole")).groupBy("kmer").agg(F.bool_or("whole").alias("maybe"))
 
+def whole(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0, k: int | None = None) -> DataFrame:
+    """One filter for `capacity` k-mers, in parts, of the column kmer, for held(). Nothing is collected."""
+    parts = max(1, math.ceil(capacity / PART))
+    own = math.ceil(capacity / parts)
+    return _words(parts, kmers, lambda: BloomFilter(own, error, seed), k)
 
-def whole(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> DataFrame:
-    """The words (filter, word, bits) of one filter of the column kmer, for held(). Tasks merge them; nothing is collected."""
-    return bits_of(kmers.withColumn("nth", F.lit(0)), capacity, error, seed, 1, "nth")
 
+def held(asked: DataFrame, words: DataFrame, filters: int, capacity: int, error: float = 0.001, seed: int = 0, k: int | None = None) -> DataFrame:
+    """asked, rows with the column kmer, and maybe, by whole() or growing(): never false for one that was added.
 
-def answered(kmers: DataFrame, asked: DataFrame, capacity: int) -> DataFrame:
-    """asked, rows of distinct k-mers, with the column maybe: whether a filter of the column kmer of kmers may hold theirs.
+    Rows meet the filters of their part in its task, which holds one part and a batch of rows.
+    """
+    parts = (words.select("parts").head() or [1])[0]
+    shapes = sizes(math.ceil(capacity / parts), error, filters)
+    names, at = asked.columns, asked.columns.index("kmer")
 
-    A filter for up to IN_MEMORY k-mers goes to the tasks; a larger one stays a table that is joined. Both have the same bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[BloomFilter]] = {}
+        for b in batches:
+            part, nth = b.column(0).to_numpy(), b.column(1).to_numpy()
+            # filters come before all that is asked
+            first = int(np.searchsorted(nth, filters))
+            for p, i, bits in zip(part[:first].tolist(), nth[:first].tolist(), b.column(2)[:first].to_pylist(), strict=True):
+                f = BloomFilter(*shapes[i], seed + i, empty=True)
+                f.bits = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little", count=f.slices * f.slice_size).view(bool)
+                own.setdefault(p, []).append(f)
+            if first == b.num_rows:
+                continue
+            rows, part = b.slice(first), part[first:]
+            data, n = _data(rows.column(3 + at), k)
+            maybe = np.zeros(len(data), bool)
+            for p in np.unique(part).tolist():
+                left = np.flatnonzero(part == p)
+                for f in own.get(p, ()):
+                    yes = f.check_packed(data[left], n)
+                    maybe[left[yes]] = True
+                    left = left[~yes]
+            yield pa.RecordBatch.from_arrays([*rows.columns[3:], pa.array(maybe)], [*names, "maybe"])
+
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema]
+    rows = asked.select(_part(parts).alias("part"), F.lit(filters).alias("filter"), F.lit(None).cast("binary").alias("bits"), *names)
+    rows = rows.unionAll(words.select("part", "filter", "bits", *none)).repartitionById(parts, F.col("part")).sortWithinPartitions("filter")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    return rows.mapInArrow(run, f"{kinds}, maybe boolean")
+
+
+def answered(kmers: DataFrame, asked: DataFrame, capacity: int, k: int | None = None) -> DataFrame:
+    """asked, rows with the column kmer, with the column maybe: whether a filter of the column kmer of kmers may hold theirs. With k, k-mers are words.
+
+    A filter for up to IN_MEMORY k-mers goes to the tasks; a larger one stays a table. Up to PART k-mers both have the same bits.
     """
     if capacity <= IN_MEMORY:
-        return asked.withColumn("maybe", contains(build(kmers, capacity=capacity), "kmer"))
-    return asked.join(held(asked, written(whole(kmers, capacity), "words"), 1, capacity), "kmer")
+        text = F.col("kmer") if k is None else packed.Kmer(F.lit(0), F.col("kmer"), k).text()
+        return asked.withColumn("maybe", contains(build(kmers.select(text.alias("kmer")), capacity=capacity), text))
+    return held(asked, written(whole(kmers, capacity, k=k), "words"), 1, capacity, k=k)
 
 
 def build(kmers: DataFrame, capacity: int, error: float = 0.001, seed: int = 0) -> BloomFilter:
-    """A filter of the column kmer for the driver. Tasks merge its words; capacity bounds what is collected: answered() tells when that is too much."""
+    """A filter of the column kmer for the driver. Tasks merge its bits; capacity bounds what is collected: answered() tells when that is too much."""
     out = BloomFilter(capacity, error, seed)
-    words = whole(kmers, capacity, error, seed).select("word", "bits").toArrow()
-    packed = np.zeros(-(-len(out.bits) // 64), np.uint64)
-    packed[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    out.bits = np.unpackbits(packed.astype("<u8").view(np.uint8), bitorder="little", count=len(out.bits)).astype(bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some = BloomFilter(capacity, error, seed), False
+        for b in batches:
+            own.add(b.column(0).to_pylist())
+            some = some or b.num_rows > 0
+        if some:
+            word = np.packbits(own.bits, bitorder="little")
+            word = np.pad(word, (0, -len(word) % 8)).view("<i8")
+            at = np.flatnonzero(word)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word[at])], ["word", "bits"])
+
+    words = kmers.select("kmer").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = np.zeros(-(-len(out.bits) // 64), np.uint64)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    out.bits = np.unpackbits(found.astype("<u8").view(np.uint8), bitorder="little", count=len(out.bits)).astype(bool)
     out.count = kmers.count()
     return out
 
 
 def contains(f: BloomFilter, kmer: Column | str) -> Column:
     """Whether the filter may hold a k-mer; never false for one that was added. The filter goes to the tasks: held() is for large ones."""
-    packed, seed, capacity, error = np.packbits(f.bits, bitorder="little"), f.seed, f.capacity, f.error
+    bits, seed, capacity, error = np.packbits(f.bits, bitorder="little"), f.seed, f.capacity, f.error
 
     @F.pandas_udf("boolean")
     def run(s):
         if not len(s):
             return s.astype(bool)
         at = BloomFilter(capacity, error, seed, empty=True).places(s.tolist())
-        return type(s)((packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1), index=s.index)
+        return type(s)((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1), index=s.index)
 
     return run(F.col(kmer) if isinstance(kmer, str) else kmer)

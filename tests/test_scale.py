@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contigua.config import Config
-from contigua.functions import walks, windows
+from contigua.functions import bloom, walks, windows
 from contigua.operators import contigs as C
 from contigua.operators import growing, superkmers
 from contigua.operators import kmers as K
@@ -109,3 +109,40 @@ def test_steps_alone_are_exchanged(spark):
         assert sorted(tuple(r) for r in found.collect()) == expected
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Project [u#" not in plan and plan.count("AS step#") == 2
+
+
+@pytest.mark.parametrize("grows", [False, True])
+def test_filters_of_tables_have_parts_and_meet_each_kmer_once(spark, monkeypatch, grows):
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("ACGT") for _ in range(15)) for _ in range(3000)})
+    word = lambda t: sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(t)))
+    monkeypatch.setattr(bloom, "PART", 100)
+    monkeypatch.setattr(bloom, "IN_MEMORY", 10)
+    frame = lambda some: spark.createDataFrame([(word(t), t) for t in some], "kmer long, text string").repartition(3)
+    added, asked = frame(texts[::2] + texts[:100:2]), frame(texts)
+    if grows:
+        words, filters = bloom.growing(added.select("kmer"), 150, k=15)
+        found = bloom.held(asked, words, filters, 150, k=15)
+        assert 3 < filters < 7 and words.select("part").distinct().count() == words.select("parts").first()[0] == 16
+    else:
+        found = bloom.answered(added.select("kmer"), asked, 1500, k=15)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2  # that of the frame and that by part
+    maybe = {r["text"]: r["maybe"] for r in found.collect()}
+    assert sorted(maybe) == texts and all(maybe[t] for t in texts[::2])
+    assert sum(maybe[t] for t in texts[1::2]) < 40
+
+
+def test_sets_of_reads_that_have_a_kmer(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "COMBINED", 50)
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGTACGTN") for _ in range(n)) for n in (3, 4, 5, *[30] * 40)]
+    expected: dict[str, int] = {}
+    for i, s in enumerate(seqs):
+        for at in range(len(s) - 3):
+            if "N" not in (k := s[at : at + 4]):
+                expected[k] = expected.get(k, 0) | 1 << i % 3
+    frame = spark.createDataFrame([(i, s, "h" * len(s)) for i, s in enumerate(seqs)], "read_id long, seq string, qual string").repartition(3)
+    found = superkmers.kmer_sets(frame, 4, F.col("read_id") % 3).collect()
+    spelled = lambda w: "".join("ACGT"[w >> 2 * i & 3] for i in (3, 2, 1, 0))
+    assert len(found) == len(expected) and {spelled(r["kmer"]): r["sets"] for r in found} == expected
