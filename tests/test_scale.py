@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from contigua.config import Config
 from contigua.functions import bloom, walks, windows
+from contigua.operators import bidirected as B
 from contigua.operators import contigs as C
 from contigua.operators import growing, superkmers
 from contigua.operators import kmers as K
 from contigua.operators import ufx as U
 from contigua.plans import queries
+from contigua.operators.storage import written
 from tests.test_engine import as_reads
 from tests.test_packed import graphs, odd_reads
 
@@ -146,3 +148,22 @@ def test_sets_of_reads_that_have_a_kmer(spark, monkeypatch):
     found = superkmers.kmer_sets(frame, 4, F.col("read_id") % 3).collect()
     spelled = lambda w: "".join("ACGT"[w >> 2 * i & 3] for i in (3, 2, 1, 0))
     assert len(found) == len(expected) and {spelled(r["kmer"]): r["sets"] for r in found} == expected
+
+
+@pytest.mark.parametrize("name, k, seqs", [g for g in graphs() if g[0] in ("branches", "circles and a line")])
+def test_bidirected_pieces_are_walked_as_words(spark, monkeypatch, name, k, seqs):
+    monkeypatch.setattr(C, "BLOCK", 5)
+    cfg = Config(q_min=19, d_min=1, k=k)
+    table = written(U.ufx_table(as_reads(spark, seqs), cfg), "ufx")
+    found = B.joined_nodes(table, k)
+    assert ("a" in found.columns) == (k % 2 == 1 and k <= 31)
+    rc = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    rows = found.collect()
+    on = [min(x, rc(x)) for r in rows for x in (r["seq"][i : i + k] for i in range(len(r["seq"]) - k + 1))]
+    assert sorted(on) == sorted(r["u"] for r in B.nodes(table).collect())
+    for r in rows:
+        nodes = [r["seq"][i : i + k] for i in range(len(r["seq"]) - k + 1)]
+        least = min(min(x, rc(x)) for x in nodes)
+        assert min(nodes[r["place"]], rc(nodes[r["place"]])) == least and (nodes[r["place"]] != least) == r["flip"]
+    whole = lambda df: sorted(tuple(r) for r in df.collect())
+    assert whole(B.whole(*B.contig_chunks(table, size=7))) == whole(C.contigs(table))
