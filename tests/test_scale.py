@@ -167,3 +167,18 @@ def test_bidirected_pieces_are_walked_as_words(spark, monkeypatch, name, k, seqs
         assert min(nodes[r["place"]], rc(nodes[r["place"]])) == least and (nodes[r["place"]] != least) == r["flip"]
     whole = lambda df: sorted(tuple(r) for r in df.collect())
     assert whole(B.whole(*B.contig_chunks(table, size=7))) == whole(C.contigs(table))
+
+
+@pytest.mark.parametrize("k", [9, 35])
+def test_first_occurrences_alone_are_exchanged(spark, monkeypatch, k):
+    cfg = Config(q_min=19, d_min=2, k=k)
+    reads = written(odd_reads(spark, k).withColumn("read_id", F.crc32(F.col("read_id").cast("string").cast("binary")) - 2000000000).repartition(3), "reads")
+    expected = K.without_first(K.canonicalised(K.good_quality(K.extract(reads, cfg), cfg))).select("read_id", "pos", "kmer")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for combined in (1 << 22, 30):
+        monkeypatch.setattr(superkmers, "COMBINED", combined)
+        found = superkmers.without_first(reads, cfg)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
+        assert found.schema == expected.schema or found.dtypes == expected.dtypes
+        assert rows(found) == rows(expected)
