@@ -182,3 +182,16 @@ def test_first_occurrences_alone_are_exchanged(spark, monkeypatch, k):
         assert "Join" not in plan and plan.count("Exchange") == 1
         assert found.schema == expected.schema or found.dtypes == expected.dtypes
         assert rows(found) == rows(expected)
+
+
+@pytest.mark.parametrize("name, k, seqs", [g for g in graphs() if g[0] in ("branches", "circles and a line")])
+def test_contigs_of_words_are_those_of_the_table(spark, monkeypatch, name, k, seqs):
+    monkeypatch.setattr(C, "BLOCK", 30)
+    cfg = Config(q_min=19, d_min=2, k=k)
+    reads = as_reads(spark, seqs)
+    words = superkmers.unique_words(reads, cfg)
+    assert words.dtypes == [("word", "bigint"), ("l", "tinyint"), ("r", "tinyint")]
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    expected = rows(C.contigs(written(U.ufx_table(reads, cfg), "ufx")))
+    assert expected and rows(C.of_reads(reads, cfg)) == expected
+    assert rows(B.whole(*B.contig_chunks(words, size=50, k=k))) == expected
