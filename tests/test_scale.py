@@ -195,3 +195,31 @@ def test_contigs_of_words_are_those_of_the_table(spark, monkeypatch, name, k, se
     expected = rows(C.contigs(written(U.ufx_table(reads, cfg), "ufx")))
     assert expected and rows(C.of_reads(reads, cfg)) == expected
     assert rows(B.whole(*B.contig_chunks(words, size=50, k=k))) == expected
+
+
+@pytest.mark.parametrize("k", [9, 32, 35])
+def test_distinct_kmers_are_exchanged_as_words(spark, monkeypatch, k):
+    cfg = Config(q_min=19, d_min=2, k=k)
+    reads = written(odd_reads(spark, k).repartition(3), "reads")
+    expected = sorted(r["kmer"] for r in K.canonicalised(K.good_quality(K.extract(reads, cfg), cfg)).select("kmer").distinct().collect())
+    number = lambda text: sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(text)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for combined in (1 << 22, 30):
+        monkeypatch.setattr(superkmers, "COMBINED", combined)
+        found = superkmers.distinct_kmers(reads, cfg)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+        rows = found.collect()
+        assert sorted(r["kmer"] for r in rows) == expected
+        assert all(signed(number(r["kmer"][-32:])) == r["lo"] and (k <= 32 or number(r["kmer"][:-32]) == r["hi"]) for r in rows)
+    # batches of a task cut runs of one k-mer
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(r["kmer"] for r in superkmers.distinct_kmers(reads, cfg).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_kmer_words_are_cut_as_words(spark):
+    plan = queries.queries()["kmer_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "conv(" not in plan and plan.count("Exchange") == 1
