@@ -4,6 +4,8 @@ A first pass sets, in each task, one slot for each k-mer by its hash, and a seco
 a slot is taken twice if a task had it twice or two tasks had it. The second pass drops, where they are read, the k-mers whose slot was not taken twice: these
 are single for sure. What else is single shares a slot and leaves by the exact count, so slots change what is shuffled and no result.
 
+repeated_of_reads() does both passes over words of reads, and makes strings of the result alone.
+
 The sketch has SLOTS slots whatever the data; a share of about (k-mers / slots) of single ones gets through. Tasks, the broadcast and the merge hold two bits a slot.
 """
 
@@ -16,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contigua.operators import kmers
+from contigua.config import Config
+from contigua.functions import windows
+from contigua.operators import kmers, superkmers
 from contigua.operators.storage import written
 
 #: Slots of a sketch: 8 MiB of them as words. Slots of a word, and words that go to a merging task as one row.
@@ -31,11 +35,25 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
-def repeated(rows: DataFrame, slots: int = SLOTS, kmer: str = "kmer") -> DataFrame:
-    """word and bits: the slots that were taken twice or more; words without any are left out."""
+def _checked(slots: int) -> None:
     if slots < 1 or slots % WORD:
         raise ValueError(f"slots are a multiple of {WORD}")
-    part = min(PART, slots // WORD)
+
+
+def _rows_of(once: np.ndarray, twice: np.ndarray, slots: int) -> Iterator[pa.RecordBatch]:
+    """The slots of a task that were taken, and those taken twice, part by part."""
+    part, a, b = min(PART, slots // WORD), _packed(once), _packed(twice)
+    for p in range(0, slots // WORD, part):
+        if a[p : p + part].any():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([a[p : p + part].tobytes()]), pa.array([b[p : p + part].tobytes()])], ["part", "once", "twice"])
+
+
+SEEN = "part long, once binary, twice binary"
+
+
+def repeated(rows: DataFrame, slots: int = SLOTS, kmer: str = "kmer") -> DataFrame:
+    """word and bits: the slots that were taken twice or more; words without any are left out."""
+    _checked(slots)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(slots, bool), np.zeros(slots, bool)
@@ -43,10 +61,45 @@ def repeated(rows: DataFrame, slots: int = SLOTS, kmer: str = "kmer") -> DataFra
             at, n = np.unique(b.column(0).to_numpy(), return_counts=True)
             twice[at[(n > 1) | once[at]]] = True
             once[at] = True
-        a, b = _packed(once), _packed(twice)
-        for p in range(0, slots // WORD, part):
-            if a[p : p + part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([a[p : p + part].tobytes()]), pa.array([b[p : p + part].tobytes()])], ["part", "once", "twice"])
+        yield from _rows_of(once, twice, slots)
+
+    return _merged(rows.select(slot(kmer, slots).alias("slot")).mapInArrow(seen, SEEN))
+
+
+def word_slots(hi: np.ndarray | None, lo: np.ndarray, slots: int) -> np.ndarray:
+    """The slots of k-mers as words."""
+    x = lo if hi is None else lo ^ (hi + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+
+
+def repeated_words(reads: DataFrame, cfg: Config, slots: int = SLOTS) -> DataFrame:
+    """repeated() of the canonical k-mers of reads that have a good neighbour, by word_slots()."""
+    _checked(slots)
+    rows, cut = superkmers.good_words(reads, cfg)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(slots, bool), np.zeros(slots, bool)
+        for b in batches:
+            # nothing can be added to a full sketch
+            if twice.all():
+                continue
+            for words in cut(b):
+                at = word_slots(*words, slots)
+                at.sort()
+                first = windows.first_of_runs(at)
+                more = np.diff(first, append=len(at)) > 1
+                at = at[first]
+                twice[at[more | once[at]]] = True
+                once[at] = True
+        yield from _rows_of(once, twice, slots)
+
+    return _merged(rows.mapInArrow(seen, SEEN))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """word and bits of the slots that a task had twice or that several had."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, twice = None, np.zeros(0, "<i8"), np.zeros(0, "<i8")
@@ -66,7 +119,6 @@ def repeated(rows: DataFrame, slots: int = SLOTS, kmer: str = "kmer") -> DataFra
                 once |= a
         yield from result()
 
-    found = rows.select(slot(kmer, slots).alias("slot")).mapInArrow(seen, "part long, once binary, twice binary")
     return found.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "word long, bits long")
 
 
@@ -82,3 +134,20 @@ def without_single(rows: DataFrame, slots: int = SLOTS, kmer: str = "kmer") -> D
 def repeated_occurrences(occurrences: DataFrame, slots: int = SLOTS) -> DataFrame:
     """kmers.without_first() of the occurrences: all but the first one of each k-mer; most single ones are not shuffled for it."""
     return kmers.without_first(without_single(occurrences, slots))
+
+
+def repeated_of_reads(reads: DataFrame, cfg: Config, slots: int = SLOTS) -> DataFrame:
+    """read_id, pos and kmer of repeated_occurrences() of reads with whole numbers as read_id, over words; reads are read for each pass and so must be the same each time.
+
+    The sketch is broadcast as an array of `slots` bits.
+    """
+    words = repeated_words(reads, cfg, slots).toArrow()
+    bits = np.zeros(slots // WORD, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sketch = reads.sparkSession.sparkContext.broadcast(bits)
+
+    def may_repeat(hi: np.ndarray | None, lo: np.ndarray) -> np.ndarray:
+        at = word_slots(hi, lo, slots)
+        return (sketch.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    return superkmers.without_first(reads, cfg, may_repeat)

@@ -10,7 +10,7 @@ from contigua.config import Config
 from contigua.functions import bloom, walks, windows
 from contigua.operators import bidirected as B
 from contigua.operators import contigs as C
-from contigua.operators import growing, superkmers
+from contigua.operators import growing, sketch, superkmers
 from contigua.operators import kmers as K
 from contigua.operators import ufx as U
 from contigua.plans import queries
@@ -223,3 +223,30 @@ def test_distinct_kmers_are_exchanged_as_words(spark, monkeypatch, k):
 def test_kmer_words_are_cut_as_words(spark):
     plan = queries.queries()["kmer_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "conv(" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("k", [13, 25, 35])
+def test_sketches_of_words_drop_single_kmers_before_the_exchange(spark, monkeypatch, k):
+    cfg = Config(q_min=19, d_min=2, k=k)
+    # ids neither rise nor differ: reads that come in another order have the same first occurrence
+    reads = written(odd_reads(spark, k).withColumn("read_id", F.crc32(F.substring("read_id", 2, 1).cast("binary")) - 2000000000).repartition(3), "reads")
+    found = K.canonicalised(K.good_quality(K.extract(reads, cfg), cfg)).select("read_id", "pos", "kmer")
+    rows = found.collect()
+    times, places = {}, {}
+    for r in rows:
+        times[r["kmer"]] = times.get(r["kmer"], 0) + 1
+        places.setdefault(r["kmer"], []).append((r["read_id"], r["pos"]))
+    expected = sorted((*at, kmer) for kmer, some in places.items() for at in sorted(some)[1:])
+    assert expected and sum(n == 1 for n in times.values()) > 5
+    for slots, combined in ((64, 1 << 22), (1 << 10, 30), (1 << 20, 1 << 22)):
+        monkeypatch.setattr(superkmers, "COMBINED", combined)
+        out = sketch.repeated_of_reads(reads, cfg, slots)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") == 1
+        assert sorted(tuple(r) for r in out.collect()) == expected
+    # a slot a k-mer, nearly: the slots taken twice are those of k-mers that repeat
+    words = sketch.repeated_words(reads, cfg, 1 << 20).collect()
+    assert sum(bin(r["bits"] & (1 << 64) - 1).count("1") for r in words) <= sum(n > 1 for n in times.values()) + 2
+    assert sketch.repeated_of_reads(reads.limit(0), cfg, 64).count() == 0
+    with pytest.raises(ValueError, match="64"):
+        sketch.repeated_words(reads, cfg, 100)
