@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contigua.config import Config
-from contigua.functions import bloom, walks, windows
+from contigua.functions import bloom, hashing, walks, windows
 from contigua.operators import bidirected as B
 from contigua.operators import contigs as C
 from contigua.operators import growing, sketch, superkmers
@@ -250,3 +250,48 @@ def test_sketches_of_words_drop_single_kmers_before_the_exchange(spark, monkeypa
     assert sketch.repeated_of_reads(reads.limit(0), cfg, 64).count() == 0
     with pytest.raises(ValueError, match="64"):
         sketch.repeated_words(reads, cfg, 100)
+
+
+@pytest.mark.parametrize("bits", [10, 40, 50, 64])
+def test_order_of_words(bits):
+    rng = np.random.default_rng(bits)
+    some = rng.integers(0, 1 << bits, 5000, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 64, 5000, np.uint64)
+    # words that only their last bits tell apart, and equal ones
+    close = (some[:50, None] & np.uint64((1 << bits) - 1024 if bits > 10 else 0) | np.arange(64, dtype=np.uint64)[::-1]).ravel()
+    for x in (np.r_[some, close, some[:99]], some[:1], some[:0]):
+        assert np.array_equal(windows.order(x, bits), np.argsort(x, kind="stable"))
+
+
+@pytest.mark.parametrize("k", [16, 23, 31, 32])
+def test_minimum_hashes_of_words_are_those_of_strings(spark, k):
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGT") for _ in range(k)) for _ in range(40)] + ["T" * k, "A" * k]
+    word = np.array([sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(t))) for t in texts], np.uint64)
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", hashing.min_hash("s", k).alias("h")).collect()
+    assert hashing.min_hash_words(word, k).tolist() == [h for _, h in sorted(tuple(r) for r in found)]
+    with pytest.raises(ValueError, match="16"):
+        hashing.min_hash_words(word, 15)
+
+
+@pytest.mark.parametrize("name, k, seqs", [g for g in graphs() if g[0] in ("branches", "circles and a line")])
+def test_two_levels_of_words_are_contigs(spark, monkeypatch, name, k, seqs):
+    cfg = Config(q_min=19, d_min=2, k=k)
+    reads = as_reads(spark, seqs)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    expected = rows(C.contigs(written(U.ufx_table(reads, cfg), "ufx")))
+    words = superkmers.unique_words(reads, cfg)
+    bin_of = lambda word: (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % 3
+    sizes = sorted(np.bincount(bin_of(np.array([r["word"] for r in words.select("word").collect()], np.int64).view(np.uint64))).tolist())
+    # all bins are small, or some are
+    for block in (1 << 18, sizes[0]):
+        monkeypatch.setattr(C, "BLOCK", block)
+        assert rows(C.two_level_of_words(words, bin_of, k)) == expected
+
+
+def test_bins_of_minimum_hashes_need_no_strings(spark, monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("a table of strings, or pointers that are doubled")
+
+    for at, name in ((U, "ufx_table"), (C, "_doubled"), (hashing, "min_hash")):
+        monkeypatch.setattr(at, name, never)
+    assert queries.queries()["contig_join_minhash"](spark, "/root/testdata/sf0.001").count() > 0
